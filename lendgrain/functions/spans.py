@@ -6,40 +6,47 @@ gaps between the matches, so each start is the total length of what came before
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lendgrain.functions.parsing import strip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def empty_array(element: str) -> Column:
+    return F.array().cast(f"array<{element}>")
+
+
 def spans(col: Column, pattern: str, groups: int = 0) -> Column:
-    """``array<struct<start,end,text,g1..>>`` of all matches, zero-based, in text order."""
-    texts = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    captured = [F.regexp_extract_all(col, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-    gaps = F.transform(F.split(col, pattern, -1), F.length)
-    parts = F.arrays_zip(
-        F.slice(gaps, F.lit(1), F.size(texts)).alias("gap"), texts.alias("text"),
-        *[c.alias(f"g{i}") for i, c in enumerate(captured, 1)],
+    """``array<struct<start,end,text,g1..>>`` of all matches, zero-based, in text order.
+
+    A text without a match costs one scan and yields an empty array.
+    """
+    captures = [f"g{i}" for i in range(1, groups + 1)]
+    found = F.struct(
+        F.transform(F.split(col, pattern, -1), F.length).alias("gaps"),
+        F.regexp_extract_all(col, F.lit(pattern), F.lit(0)).alias("texts"),
+        *[F.regexp_extract_all(col, F.lit(pattern), F.lit(i)).alias(g) for i, g in enumerate(captures, 1)],
     )
-    names = ["gap", "text"] + [f"g{i}" for i in range(1, groups + 1)]
-
-    def place(i: Column) -> Column:
-        before = F.aggregate(
-            F.slice(parts, F.lit(1), i), F.lit(0),
-            lambda acc, p: acc + p["gap"] + F.length(p["text"]),
-        )
-        part = F.get(parts, i)
-        start = before + part["gap"]
+
+    def place(b: Column, i: Column) -> Column:
+        earlier = F.aggregate(
+            F.zip_with(F.slice(b["gaps"], F.lit(1), i), F.slice(b["texts"], F.lit(1), i), lambda g, t: g + F.length(t)),
+            F.lit(0), lambda acc, n: acc + n)
+        start = earlier + F.get(b["gaps"], i)
         return F.struct(
-            start.alias("start"), (start + F.length(part["text"])).alias("end"),
-            *[part[n].alias(n) for n in names[1:]],
-        )
+            start.alias("start"), (start + F.length(F.get(b["texts"], i))).alias("end"),
+            F.get(b["texts"], i).alias("text"), *[F.get(b[g], i).alias(g) for g in captures])
 
-    return F.when(
-        F.size(texts) > 0, F.transform(F.sequence(F.lit(0), F.size(texts) - 1), place)
-    ).otherwise(F.expr("array()").cast(
-        "array<struct<start:int,end:int,text:string" + "".join(f",g{i}:string" for i in range(1, groups + 1)) + ">>"
-    ))
+    element = "struct<start:int,end:int,text:string" + "".join(f",{g}:string" for g in captures) + ">"
+    return F.when(col.rlike(pattern), let(found, lambda b: F.transform(
+        F.sequence(F.lit(0), F.size(b["texts"]) - 1), lambda i: place(b, i)))).otherwise(empty_array(element))
 
 
 def window_text(col: Column, start: Column, end: Column, before: int | Column, after: int | Column) -> Column:
@@ -53,13 +60,13 @@ def snippet(col: Column, start: Column, end: Column, before: int | Column, after
     return strip(window_text(col, start, end, before, after))
 
 
-def drop_overlaps(found: Column, struct_type: str) -> Column:
+def drop_overlaps(found: Column, element: str) -> Column:
     """Keep spans in start order, skipping any that starts before the last kept one ends.
 
     ``found`` must already be sorted; its structs need ``start`` and ``end``.
     """
     return F.aggregate(
-        found, F.expr("array()").cast(f"array<{struct_type}>"),
+        found, empty_array(element),
         lambda kept, m: F.when(
             (F.size(kept) == 0) | (m["start"] >= F.get(kept, F.size(kept) - 1)["end"]),
             F.concat(kept, F.array(m)),
