@@ -88,7 +88,8 @@ def decide(
     priced = triggers.join(F.broadcast(rules), "rule_id", "left")
     folded = priced.groupBy("applicant_id").agg(
         F.coalesce(F.sum("rate_penalty_bps"), F.lit(0)).alias("total_bps"),
-        F.coalesce(F.product(1 - F.col("limit_reduction_pct") / 100), F.lit(1.0)).alias("kept"),
+        F.array_sort(F.collect_list(F.when(F.col("limit_reduction_pct").isNotNull(), F.struct(
+            "source_ord", "rule_id", "rate_penalty_bps", "limit_reduction_pct")))).alias("cuts"),
         F.coalesce(F.bool_or("requires_manual_review"), F.lit(False)).alias("requires_manual_review"),
         F.count(F.lit(1)).alias("rules_triggered"),
         F.count("rate_penalty_bps").alias("penalties_applied"),
@@ -98,12 +99,17 @@ def decide(
     )
     if applicants is not None:
         folded = applicants.select("applicant_id").distinct().join(folded, "applicant_id", "left")
+    # Penalties apply in trigger order, so both sums are the same doubles on every run.
+    rate = F.coalesce(F.aggregate("cuts", F.lit(base_rate), lambda now, c: now + c["rate_penalty_bps"] / 100),
+                      F.lit(base_rate))
+    limit = F.coalesce(F.aggregate("cuts", F.lit(base_limit), lambda left, c: left * (
+        1 - c["limit_reduction_pct"] / 100)), F.lit(base_limit))
     rules_triggered = F.coalesce("rules_triggered", F.lit(0).cast("bigint"))
     manual = F.coalesce("requires_manual_review", F.lit(False))
     return folded.select(
         "applicant_id",
-        F.round(F.lit(base_rate) + F.coalesce("total_bps", F.lit(0)) / 100, 2).alias("final_rate_pct"),
-        F.round(F.lit(base_limit) * F.coalesce("kept", F.lit(1.0)), 2).alias("final_limit_cr"),
+        F.round(rate, 2).alias("final_rate_pct"),
+        F.round(limit, 2).alias("final_limit_cr"),
         F.when(manual, "MANUAL_REVIEW").when(rules_triggered > 0, "CONDITIONAL_APPROVAL").otherwise("APPROVE")
         .alias("recommendation"),
         manual.alias("requires_manual_review"),
@@ -134,9 +140,12 @@ def waterfall(
     steps = priced.select(
         "applicant_id", (F.row_number().over(order) + 1).alias("step"), "rule_id", "name", "finding",
         "rate_penalty_bps", "limit_reduction_pct",
-        (F.lit(base_rate) + F.sum("rate_penalty_bps").over(so_far) / 100).alias("running_rate"),
-        (F.lit(base_limit) * F.product(1 - F.col("limit_reduction_pct") / 100).over(so_far)).alias("running_limit"),
-    )
+        F.collect_list("rate_penalty_bps").over(so_far).alias("_adds"),
+        F.collect_list("limit_reduction_pct").over(so_far).alias("_cuts"),
+    ).withColumns({
+        "running_rate": F.aggregate("_adds", F.lit(base_rate), lambda now, bps: now + bps / 100),
+        "running_limit": F.aggregate("_cuts", F.lit(base_limit), lambda left, cut: left * (1 - cut / 100)),
+    }).drop("_adds", "_cuts")
     rate_part = F.when(F.col("rate_penalty_bps") > 0, F.format_string(
         "+%d bps to rate (now %.1f%%)", "rate_penalty_bps", "running_rate"))
     limit_part = F.when(F.col("limit_reduction_pct") > 0, F.format_string(

@@ -29,11 +29,11 @@ MATCH = "struct<start:int,ord:int,end:int,label:string>"
 
 def _labelled(col: Column, patterns: list[tuple[str, str]]) -> Column:
     """Spans of several labelled patterns in start order, earlier pattern first on ties."""
-    parts = [
-        F.transform(spans(col, pattern), lambda m, n=n, label=label: F.struct(
-            m["start"].alias("start"), F.lit(n).alias("ord"), m["end"].alias("end"), F.lit(label).alias("label")))
-        for n, (label, pattern) in enumerate(patterns)
-    ]
+    def tag(n: int, label: str):
+        return lambda m: F.struct(
+            m["start"].alias("start"), F.lit(n).alias("ord"), m["end"].alias("end"), F.lit(label).alias("label"))
+
+    parts = [F.transform(spans(col, pattern), tag(n, label)) for n, (label, pattern) in enumerate(patterns)]
     return drop_overlaps(F.array_sort(F.concat(*parts)), MATCH)
 
 
@@ -59,9 +59,9 @@ def audit_spans(documents: DataFrame) -> DataFrame:
 def compliance_matches(documents: DataFrame) -> DataFrame:
     """One row per match with the text around it (400 characters in all, match included)."""
     spanned = audit_spans(documents)
+    of_kind = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m"))
     tagged = F.concat(*[
-        F.transform(F.col(f"_{kind}"), lambda m, kind=kind: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
-        for kind in ("caro", "qualification", "emphasis")])
+        F.transform(F.col(f"_{kind}"), of_kind(kind)) for kind in ("caro", "qualification", "emphasis")])
     rows = spanned.select(*keys_of(documents), TEXT, F.explode(tagged).alias("f"))
     start, end = F.col("f.m.start"), F.col("f.m.end")
     padding = F.greatest(F.lit(0), F.floor((fv.SNIPPET_LENGTH - (end - start)) / 2)).cast("int")

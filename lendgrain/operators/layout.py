@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendgrain import fixed_values as fv
 from lendgrain.functions import text as tx
@@ -41,7 +42,7 @@ def classify_docs(documents: DataFrame, pages: DataFrame, sample: int = 10, leas
 
 
 # --- Clean-up ------------------------------------------------------------------------
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

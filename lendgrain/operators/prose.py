@@ -68,8 +68,8 @@ def keyword_counts(words: Column, lowered: Column, terms: list[str]) -> Column:
     single = let(F.filter(words, lambda w: w.isin(*plain)), lambda hits: F.transform(
         F.array_distinct(hits), lambda h: let(F.size(F.filter(hits, lambda w: w == h)), lambda n: F.struct(
             (-n).alias("neg"), F.array_position(literal, h).cast("int").alias("pos"), n.alias("hits")))))
-    multi = [let(tx.phrase_count(lowered, t), lambda c, n=n: F.struct(
-        (-c).alias("neg"), F.lit(n).alias("pos"), c.alias("hits"))) for n, t in mixed]
+    placed = lambda n: lambda c: F.struct((-c).alias("neg"), F.lit(n).alias("pos"), c.alias("hits"))
+    multi = [let(tx.phrase_count(lowered, t), placed(n)) for n, t in mixed]
     found = F.concat(single, F.filter(F.array(*multi), lambda c: c["hits"] > 0)) if multi else single
     return F.array_sort(found)
 
@@ -84,11 +84,11 @@ def ambidexterity(documents: DataFrame, lexicon: dict[str, list[str]] | None = N
         f"_{s}": keyword_counts(F.col("_words"), F.col("_low"), lexicon[s]) for s in sides})
     total = F.size("_words")
     hits = {s: F.aggregate(f"_{s}", F.lit(0), lambda acc, c: acc + c["hits"]) for s in sides}
+    named = lambda terms: lambda c: F.struct(
+        F.element_at(F.array(*map(F.lit, terms)), c["pos"]).alias("keyword"), c["hits"].alias("hits"))
     read = prepared.select(
         *keys_of(documents), total.alias("total_words"), *[hits[s].alias(f"{s}_frequency") for s in sides],
-        *[F.transform(F.slice(f"_{s}", 1, k), lambda c, s=s: F.struct(
-            F.element_at(F.array(*map(F.lit, lexicon[s])), c["pos"]).alias("keyword"), c["hits"].alias("hits")))
-          .alias(f"top_{s}_keywords") for s in sides])
+        *[F.transform(F.slice(f"_{s}", 1, k), named(lexicon[s])).alias(f"top_{s}_keywords") for s in sides])
     up, down = F.col(f"{sides[0]}_frequency"), F.col(f"{sides[1]}_frequency")
     density = lambda n: F.round(F.coalesce(F.try_divide(n, F.col("total_words")), F.lit(0.0)), 6)
     ratio = F.round(F.try_divide(up, down), 4)
@@ -117,20 +117,21 @@ def site_visit_signals(notes: DataFrame, signals: list[tuple] | None = None, tex
                  else F.lit(None).cast("double")).alias("reading")))
             for p in patterns])
 
-    groups = []
-    for rule_id, meaning, patterns in signals:
-        capacity = rule_id == fv.CAPACITY_RULE
+    def finding(rule_id: str, meaning: str, capacity: bool):
         _, name, bps, cut, _, severity, _ = rules[rule_id]
-        groups.append(let(first_match(patterns, capacity), lambda m, r=(
-            rule_id, name, meaning, severity, bps, cut), capacity=capacity: F.when(
-                m.isNotNull() & ((m["reading"] < fv.CAPACITY_THRESHOLD) if capacity else F.lit(True)), F.struct(
-                    F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("rule_name"),
-                    F.when(m["reading"] > 0, F.format_string(
-                        f"Factory operating at %.0f%% capacity — below {fv.CAPACITY_THRESHOLD}%% threshold",
-                        m["reading"])).otherwise(r[2]).alias("description"),
-                    snippet(raw, m["at"], m["at"] + m["size"], 20, 20).alias("matched_text"),
-                    F.lit(r[3]).alias("severity"), F.lit(r[4]).alias("rate_penalty_bps"),
-                    F.lit(r[5]).alias("limit_reduction_pct")))))
+        fires = lambda m: m.isNotNull() & ((m["reading"] < fv.CAPACITY_THRESHOLD) if capacity else F.lit(True))
+        return lambda m: F.when(fires(m), F.struct(
+            F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule_name"),
+            F.when(m["reading"] > 0, F.format_string(
+                f"Factory operating at %.0f%% capacity — below {fv.CAPACITY_THRESHOLD}%% threshold", m["reading"]))
+            .otherwise(meaning).alias("description"),
+            snippet(raw, m["at"], m["at"] + m["size"], 20, 20).alias("matched_text"),
+            F.lit(severity).alias("severity"), F.lit(bps).alias("rate_penalty_bps"),
+            F.lit(cut).alias("limit_reduction_pct")))
+
+    groups = [
+        let(first_match(patterns, rule_id == fv.CAPACITY_RULE), finding(rule_id, meaning, rule_id == fv.CAPACITY_RULE))
+        for rule_id, meaning, patterns in signals]
     return lowered.filter(F.length(strip(raw)) > 0).select(
         *keys, F.explode(F.array_compact(F.array(*groups))).alias("f")).select(*keys, "f.*")
 

@@ -1,6 +1,11 @@
 """All registered queries: importing the modules fills the registry."""
 
-from lendgrain.plans import statement_queries  # noqa: F401
+from lendgrain.plans import (  # noqa: F401
+    decision_queries,
+    filing_queries,
+    prose_queries,
+    statement_queries,
+)
 from lendgrain.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

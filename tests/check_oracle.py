@@ -17,7 +17,7 @@ from tests.oracle import compare, connect  # noqa: E402
 def main() -> int:
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, checks = contract.queries(), contract.oracle_sql()
