@@ -2,6 +2,8 @@
 
 from lendgrain.plans import (  # noqa: F401
     decision_queries,
+    network_queries,
+    verify_queries,
     filing_queries,
     prose_queries,
     statement_queries,

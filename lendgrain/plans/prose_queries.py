@@ -337,7 +337,7 @@ chosen AS (SELECT doc_id, section, page AS start_page, text AS heading, score AS
   AND (doc_id, section) NOT IN (SELECT (doc_id, section) FROM st)),
 found AS (SELECT c.doc_id, c.section, start_page, heading, confidence, coalesce(CAST(min(CASE WHEN m.is_end AND m.page > start_page
   THEN m.page END) - 1 AS INTEGER), start_page + 10) AS end_page FROM chosen c
-  LEFT JOIN marked m ON m.doc_id = c.doc_id AND m.section = c.section GROUP BY ALL)"""
+  LEFT JOIN marked m ON m.doc_id = c.doc_id AND m.section = c.section GROUP BY c.doc_id, c.section, start_page, heading, confidence)"""
 
 
 @query("sections_found", f"""{SECTIONS} SELECT doc_id, section, start_page, heading, round(confidence, 6) AS confidence, end_page
