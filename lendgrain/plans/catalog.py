@@ -3,6 +3,7 @@
 from lendgrain.plans import (  # noqa: F401
     decision_queries,
     network_queries,
+    portfolio_queries,
     verify_queries,
     filing_queries,
     prose_queries,

@@ -255,7 +255,7 @@ def contradicted_claims(spark, sf_dir):
   CASE WHEN coalesce(total_credits, 0) > 100 THEN total_credits / 1e7 ELSE coalesce(total_credits, 0) END AS credits_cr
   FROM gst LEFT JOIN statement USING (applicant_id)),
 v AS (SELECT *, CASE WHEN turnover_cr > 0 AND credits_cr > 0 THEN (credits_cr - turnover_cr) / turnover_cr * 100 END AS off FROM j)
-SELECT applicant_id, turnover_cr, credits_cr, round(off, 4) AS variance_pct, CASE WHEN abs(off) > 20 THEN 'MISMATCH — HIGH VARIANCE'
+SELECT applicant_id, turnover_cr, credits_cr, round(off, 4) + 0.0 AS variance_pct, CASE WHEN abs(off) > 20 THEN 'MISMATCH — HIGH VARIANCE'
   WHEN abs(off) > 10 THEN 'PARTIAL MATCH — MODERATE VARIANCE' WHEN off IS NOT NULL THEN 'MATCH — RECONCILED'
   WHEN turnover_cr > 0 THEN 'UNVERIFIABLE — Bank statement required' ELSE 'GST data not available for reconciliation.' END
   AS reconciliation_status FROM v""")
