@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted timestamp layouts, as (shape of the text, Spark pattern).
-# Each shape picks at most one pattern, so a row is parsed once.
+# Shapes of the accepted timestamp texts.
+CLOCK = r" \d{1,2}:\d{1,2}(:\d{1,2})?"
+TIMESTAMP_SHAPES = [
+    rf"\d{{1,2}}-\d{{1,2}}-\d{{4}}({CLOCK})?",
+    rf"\d{{1,2}}/\d{{1,2}}/\d{{4}}({CLOCK})?",
+    r"\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2})?",
+    r"\d{1,2}-[A-Za-z]{3}-\d{4}( \d{1,2}:\d{1,2}:\d{1,2})?",
+    r"\d{1,2} [A-Za-z]{3} \d{4}( \d{1,2}:\d{1,2}:\d{1,2})?",
+]
+# The three layouts left once separators are dashes and a time is present.
 TIMESTAMP_LAYOUTS = [
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s"),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d-M-yyyy H:m:s"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d/M/yyyy H:m:s"),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}$", "d-M-yyyy H:m"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", "d/M/yyyy H:m"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d MMM yyyy H:m:s"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d-MMM-yyyy H:m:s"),
+    (r"^\d{4}", "yyyy-M-d H:m:s"), (r"^\d{1,2}-\d", "d-M-yyyy H:m:s"), (r"^\d{1,2}-[A-Za-z]", "d-MMM-yyyy H:m:s"),
 ]
 ISO_SHAPE = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
@@ -33,19 +30,39 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def computed_once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is evaluated once.
+
+    A one-element generator: filters on the column stay above it, where a plain
+    projection would have the optimizer copy the whole expression into the filter.
+    """
+    return frame.withColumn(name, F.explode(F.array(value)))
+
+
 def blank_to_null(col: Column) -> Column:
     return F.when(F.length(col) > 0, col)
 
 
-def parse_ts(col: Column) -> Column:
-    """Wall-clock timestamp of an ISO text or of one of the known layouts, else null."""
-    text = strip(col)
-    wall = F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")
+def with_ts(frame: DataFrame, source: str, out: str = "ts") -> DataFrame:
+    """Add the wall-clock timestamp of a text column, null where no known layout fits.
+
+    ISO texts are cast; the others are brought to three layouts, so each is parsed once.
+    """
+    text, even = F.col("_text"), F.col("_even")
     head = strip(F.substring_index(text, ".", 1))
-    parsed = F.when(text.rlike(ISO_SHAPE), F.when(F.length(text) > 10, wall).otherwise(text).try_cast("timestamp_ntz"))
+    dashed = F.regexp_replace(F.replace(head, F.lit("/"), F.lit("-")), r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4})", "$1-$2-$3")
+    timed = F.regexp_replace(dashed, r"^(\d+-\w+-\d+)T", "$1 ")
+    timed = F.regexp_replace(timed, r"^(\S+)$", "$1 00:00:00")
+    full = F.regexp_replace(timed, r"^(\S+ \d{1,2}:\d{1,2})$", "$1:00")
+    known = "^(" + "|".join(TIMESTAMP_SHAPES) + ")$"
+    staged = frame.withColumn("_text", strip(F.col(source))).withColumns({
+        "_iso": F.when(text.rlike(ISO_SHAPE), F.when(
+            F.length(text) > 10, F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")).otherwise(text)),
+        "_even": F.when(head.rlike(known), full)})
+    parsed = F.when(F.col("_iso").isNotNull(), F.col("_iso").try_cast("timestamp_ntz"))
     for shape, layout in TIMESTAMP_LAYOUTS:
-        parsed = parsed.when(head.rlike(shape), F.try_to_timestamp(head, F.lit(layout)).cast("timestamp_ntz"))
-    return parsed
+        parsed = parsed.when(even.rlike(shape), F.try_to_timestamp(even, F.lit(layout)).cast("timestamp_ntz"))
+    return computed_once(staged, out, parsed).drop("_text", "_iso", "_even")
 
 
 def parse_amount(col: Column) -> Column:

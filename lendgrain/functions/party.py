@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendgrain.functions.parsing import strip
+from lendgrain.functions.parsing import computed_once, strip
 
 # Narrations that never name a counterparty.
 NO_PARTY = [
@@ -62,8 +62,5 @@ def with_party(txns: DataFrame, description: str = "description", out: str = "pa
         .when(text.contains("DIVIDEND") & (dashes >= 1), F.substring(_part(r"(?s)^[^-]*-([^-]*)"), 1, NAME_LENGTH))
         .when(text.startswith("CASH") & (dashes >= 1), F.substring("_after_dash", 1, CASH_NAME_LENGTH))
     )
-    # One-element generator: later filters on the name stay above it, so that the
-    # optimizer does not push a second copy of the whole expression below.
-    named = cut.withColumn("_name", name).withColumn(
-        out, F.explode(F.array(F.when(F.length("_name") > 0, F.col("_name")))))
+    named = computed_once(cut.withColumn("_name", name), out, F.when(F.length("_name") > 0, F.col("_name")))
     return named.select(*txns.columns, out)

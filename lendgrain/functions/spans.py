@@ -1,7 +1,10 @@
 """Pattern matches with character offsets, snippets around them and span de-duplication.
 
-Spark returns matched texts but not offsets. ``split`` on the same pattern returns the
-gaps between the matches, so each start is the total length of what came before it.
+Spark returns matched texts but not offsets. Here one replacement marks every match with
+control characters; cut at the marks, the text falls into matches and the gaps between
+them, and each start is the total length of what came before. A pattern is thus scanned
+once, whether it matches or not. The expressions are written as SQL text, which keeps
+each one a single expression to build and parse.
 """
 
 from __future__ import annotations
@@ -19,34 +22,68 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def empty_array(element: str) -> Column:
-    return F.array().cast(f"array<{element}>")
+def literal(text: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans(col: Column, pattern: str, groups: int = 0) -> Column:
-    """``array<struct<start,end,text,g1..>>`` of all matches, zero-based, in text order.
+# Marks before a match, after its text, and after each captured group.
+MATCH_MARK, TEXT_MARK, GROUP_MARK = "\x01", "\x02", "\x03"
 
-    A text without a match costs one scan and yields an empty array.
+
+def without_marks(col: Column) -> Column:
+    """The text with the mark characters, should it hold any, replaced by another control character."""
+    return F.when(col.rlike(r"[\x01-\x03]"), F.translate(col, "\x01\x02\x03", "\x04\x04\x04")).otherwise(col)
+
+
+def spans_sql(name: str, pattern: str, groups: int = 0) -> str:
+    """``array<struct<start,end,text,g1..>>`` of all matches in column ``name``, in text order.
+
+    Offsets are zero-based. The column must be free of mark characters.
     """
     captures = [f"g{i}" for i in range(1, groups + 1)]
-    found = F.struct(
-        F.transform(F.split(col, pattern, -1), F.length).alias("gaps"),
-        F.regexp_extract_all(col, F.lit(pattern), F.lit(0)).alias("texts"),
-        *[F.regexp_extract_all(col, F.lit(pattern), F.lit(i)).alias(g) for i, g in enumerate(captures, 1)],
-    )
-
-    def place(b: Column, i: Column) -> Column:
-        earlier = F.aggregate(
-            F.zip_with(F.slice(b["gaps"], F.lit(1), i), F.slice(b["texts"], F.lit(1), i), lambda g, t: g + F.length(t)),
-            F.lit(0), lambda acc, n: acc + n)
-        start = earlier + F.get(b["gaps"], i)
-        return F.struct(
-            start.alias("start"), (start + F.length(F.get(b["texts"], i))).alias("end"),
-            F.get(b["texts"], i).alias("text"), *[F.get(b[g], i).alias(g) for g in captures])
-
+    mark = MATCH_MARK + "$0" + TEXT_MARK + "".join(f"${i}{GROUP_MARK}" for i in range(1, groups + 1))
+    last = GROUP_MARK if groups else TEXT_MARK
+    text = f"substring_index(get(b, {{0}}), '{TEXT_MARK}', 1)"
+    earlier = (
+        f"aggregate(slice(b, 2, i - 1), length(get(b, 0)), (acc, e) -> acc + length(substring_index(e, '{TEXT_MARK}', 1)) "
+        f"+ length(substring_index(e, '{last}', -1)))")
+    captured = lambda n: (
+        f"substring_index(substring_index(substring_index(get(b, i), '{TEXT_MARK}', -1), '{GROUP_MARK}', {n}), "
+        f"'{GROUP_MARK}', -1)")
+    placed = ", ".join([f"'start', {earlier}", f"'text', {text.format('i')}"] + [
+        f"'{g}', {captured(n)}" for n, g in enumerate(captures, 1)])
+    kept = "".join(f", '{g}', m.{g}" for g in captures)
     element = "struct<start:int,end:int,text:string" + "".join(f",{g}:string" for g in captures) + ">"
-    return F.when(col.rlike(pattern), let(found, lambda b: F.transform(
-        F.sequence(F.lit(0), F.size(b["texts"]) - 1), lambda i: place(b, i)))).otherwise(empty_array(element))
+    return (
+        f"get(transform(array(split(regexp_replace({name}, {literal(pattern)}, '{mark}'), '{MATCH_MARK}', -1)), b -> "
+        f"CASE WHEN size(b) > 1 THEN transform(transform(sequence(1, size(b) - 1), i -> named_struct({placed})), m -> "
+        f"named_struct('start', m.start, 'end', m.start + length(m.text), 'text', m.text{kept})) "
+        f"ELSE CAST(array() AS array<{element}>) END), 0)")
+
+
+def spans(name: str, pattern: str, groups: int = 0) -> Column:
+    return F.expr(spans_sql(name, pattern, groups))
+
+
+def labelled_spans(name: str, patterns: list[tuple[str, str]]) -> Column:
+    """Spans of several labelled patterns in start order, without overlaps.
+
+    On equal starts the earlier pattern goes first. A span is dropped if it starts
+    before the last kept one ends.
+    """
+    tagged = ", ".join(
+        f"transform({spans_sql(name, pattern)}, m -> named_struct('start', m.start, 'ord', {n}, 'end', m.end, "
+        f"'label', {literal(label)}))" for n, (label, pattern) in enumerate(patterns))
+    element = "struct<start:int,ord:int,end:int,label:string>"
+    return F.expr(
+        f"aggregate(array_sort(concat({tagged})), CAST(array() AS array<{element}>), (kept, m) -> CASE WHEN "
+        "size(kept) = 0 OR m.start >= get(kept, size(kept) - 1).end THEN concat(kept, array(m)) ELSE kept END)")
+
+
+def window_sql(name: str, start: str, end: str, before: int, after: int) -> str:
+    return (f"substring({name}, greatest({start} - {before}, 0) + 1, "
+            f"least(length({name}), {end} + {after}) - greatest({start} - {before}, 0))")
 
 
 def window_text(col: Column, start: Column, end: Column, before: int | Column, after: int | Column) -> Column:
@@ -58,17 +95,3 @@ def window_text(col: Column, start: Column, end: Column, before: int | Column, a
 
 def snippet(col: Column, start: Column, end: Column, before: int | Column, after: int | Column) -> Column:
     return strip(window_text(col, start, end, before, after))
-
-
-def drop_overlaps(found: Column, element: str) -> Column:
-    """Keep spans in start order, skipping any that starts before the last kept one ends.
-
-    ``found`` must already be sorted; its structs need ``start`` and ``end``.
-    """
-    return F.aggregate(
-        found, empty_array(element),
-        lambda kept, m: F.when(
-            (F.size(kept) == 0) | (m["start"] >= F.get(kept, F.size(kept) - 1)["end"]),
-            F.concat(kept, F.array(m)),
-        ).otherwise(kept),
-    )

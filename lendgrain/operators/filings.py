@@ -6,37 +6,31 @@ text is shuffled; finding tables come from exploding the arrays a projection bui
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain import fixed_values as fv
 from lendgrain.functions import text as tx
 from lendgrain.functions.parsing import strip
-from lendgrain.functions.spans import drop_overlaps, empty_array, let, snippet, spans, window_text
+from lendgrain.functions.spans import (
+    labelled_spans, let, literal, snippet, spans, spans_sql, window_sql, window_text,
+    without_marks,
+)
 
 TEXT = "text"
+LOW = "_low"
 
 
 def keys_of(frame: DataFrame) -> list[str]:
-    return [c for c in frame.columns if c != TEXT]
-
-
-# --- Audit report --------------------------------------------------------------------
-MATCH = "struct<start:int,ord:int,end:int,label:string>"
+    return [c for c in frame.columns if c not in (TEXT, LOW)]
 
 
-def _labelled(col: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Spans of several labelled patterns in start order, earlier pattern first on ties."""
-    def tag(n: int, label: str):
-        return lambda m: F.struct(
-            m["start"].alias("start"), F.lit(n).alias("ord"), m["end"].alias("end"), F.lit(label).alias("label"))
-
-    parts = [F.transform(spans(col, pattern), tag(n, label)) for n, (label, pattern) in enumerate(patterns)]
-    return drop_overlaps(F.array_sort(F.concat(*parts)), MATCH)
+def lowered(documents: DataFrame) -> DataFrame:
+    """Add the lowered text the patterns run on; offsets equal those of the text."""
+    return documents.withColumn(LOW, tx.same_length_lower(F.col(TEXT))).withColumn(LOW, without_marks(F.col(LOW)))
 
 
+# --- Audit report --------------------------------------------------------------------
 def with_annexure(reports: DataFrame, annexures: DataFrame) -> DataFrame:
     """Audit report text followed by its annexure, where there is one."""
     extra = annexures.select("doc_id", F.col(TEXT).alias("_annexure"))
@@ -47,13 +41,12 @@ def with_annexure(reports: DataFrame, annexures: DataFrame) -> DataFrame:
 
 def audit_spans(documents: DataFrame) -> DataFrame:
     """De-duplicated spans of statutory defaults, qualifications and emphasis paragraphs."""
-    col = F.col(TEXT)
     kinds = {
-        "caro": [(fv.STATUTORY_LABEL, p) for p in fv.STATUTORY_PATTERNS],
-        "qualification": [(label, rf"(?iu){p}{fv.PARAGRAPH_REST}") for label, p in fv.QUALIFICATION_PHRASES],
-        "emphasis": [(label, rf"(?iu){p}{fv.PARAGRAPH_REST}") for label, p in fv.EMPHASIS_PHRASES],
+        "caro": [(fv.STATUTORY_LABEL, tx.for_lowered(p)) for p in fv.STATUTORY_PATTERNS],
+        "qualification": [(label, p + fv.PARAGRAPH_REST) for label, p in fv.QUALIFICATION_PHRASES],
+        "emphasis": [(label, p + fv.PARAGRAPH_REST) for label, p in fv.EMPHASIS_PHRASES],
     }
-    return documents.select("*", *[_labelled(col, p).alias(f"_{kind}") for kind, p in kinds.items()])
+    return lowered(documents).select(*keys_of(documents), TEXT, *[labelled_spans(LOW, p).alias(f"_{kind}") for kind, p in kinds.items()])
 
 
 def compliance_matches(documents: DataFrame) -> DataFrame:
@@ -100,55 +93,69 @@ def to_crore(value: Column, unit: Column) -> Column:
     return F.round(scaled, 2)
 
 
-def _any_match(col: Column, patterns: list[str]) -> Column:
-    return col.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
-
-
-def _candidates(col: Column, number: int, pattern: str, exclude: list[str]) -> Column:
-    """Scored candidates of one pattern: the best sorts first."""
-    amount = lambda m: F.regexp_replace(F.regexp_replace(F.replace(m["g1"], F.lit(",")), r"\(", "-"), r"\)", "")
-    valued = F.filter(
-        F.transform(spans(col, "(?iu)" + pattern, 1), lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
-            amount(m).try_cast("double").alias("raw"),
-            window_text(col, m["start"], m["end"], 100, 100).alias("context"))),
-        lambda m: F.abs(m["raw"]) >= 10)
-    # An exclusion counts only where it also shows inside the match, so the match alone decides.
-    barred = lambda m: _any_match(m["text"], exclude)
-    sized = F.transform(F.filter(valued, lambda m: ~barred(m)), lambda m: let(crore_unit(m["context"]), lambda u: F.struct(
-        m.alias("m"), u.alias("unit"), to_crore(m["raw"], u).alias("value"))))
-
-    def score(c: Column) -> Column:
-        context = c["m"]["context"]
-        points = lambda cond, n: F.when(cond, n).otherwise(0)
-        return (
-            points(c["unit"] != "unknown", 40) + points(context.rlike(fv.CURRENCY_SIGN), 20)
-            + points(F.abs(c["value"]).between(10, 10_000_000), 20) + points(context.rlike(fv.PAGE_HINT), 10)
-            + F.lit(50 if number == 0 else 0) + points(F.abs(c["m"]["raw"]) > 10_000, 15))
-
-    return F.transform(sized, lambda c: F.struct(
-        (-score(c)).alias("rank"), F.lit(number).alias("pattern"), c["m"]["start"].alias("start"),
-        c["m"]["end"].alias("end"), c["m"]["raw"].alias("raw_value"), c["value"].alias("value"),
-        c["unit"].alias("unit")))
+def _candidates() -> str:
+    """All matches of all figures as one array, with the number read and the text around it."""
+    parts = []
+    for f, (patterns, _) in enumerate(fv.FIGURE_PATTERNS.values()):
+        for n, pattern in enumerate(patterns):
+            around = window_sql(TEXT, "m.start", "m.end", 100, 100)
+            parts.append(
+                f"transform({spans_sql(LOW, tx.for_lowered(pattern), 1)}, m -> named_struct('figure', {f}, 'pattern', {n}, "
+                "'start', m.start, 'end', m.end, 'text', m.text, 'raw', try_cast(regexp_replace(regexp_replace("
+                f"replace(m.g1, ','), '[(]', '-'), '[)]', '') AS double), 'context', {around}))")
+    return f"concat({', '.join(parts)})"
+
+
+def _barred() -> str:
+    """An exclusion counts only where it also shows inside the match, so the match alone decides."""
+    cases = [
+        f"WHEN c.figure = {f} THEN c.text RLIKE {literal('|'.join(f'(?:{p})' for p in exclude))}"
+        for f, (_, exclude) in enumerate(fv.FIGURE_PATTERNS.values()) if exclude]
+    return f"CASE {' '.join(cases)} ELSE false END"
+
+
+SCALED = (
+    "round(CASE c.unit WHEN 'Lakh Cr' THEN c.raw * 100000 WHEN 'Bn_Cr' THEN c.raw * 100 WHEN 'Mn_Cr' THEN c.raw / 100 "
+    "ELSE c.raw END, 2)")
+UNIT = (
+    "CASE WHEN lower(c.context) LIKE '%lakh crore%' OR lower(c.context) LIKE '%lakh cr%' THEN 'Lakh Cr' "
+    r"WHEN c.context RLIKE '(?iU)\\b(bn|billion)\\b' THEN 'Bn_Cr' WHEN c.context RLIKE '(?iU)\\b(crore|cr)\\b' THEN 'Cr' "
+    r"WHEN c.context RLIKE '(?iU)\\b(mn|million)\\b' THEN 'Mn_Cr' ELSE 'unknown' END")
+SCORE = (
+    "IF(c.unit <> 'unknown', 40, 0) + IF(c.context RLIKE " + literal(fv.CURRENCY_SIGN) + ", 20, 0) + "
+    "IF(abs(c.value) BETWEEN 10 AND 10000000, 20, 0) + IF(c.context RLIKE " + literal(fv.PAGE_HINT) + ", 10, 0) + "
+    "IF(c.pattern = 0, 50, 0) + IF(abs(c.raw) > 10000, 15, 0)")
 
 
 def extract_figures(documents: DataFrame) -> DataFrame:
-    """Best candidate per figure and document, in crore, with its confidence."""
-    col = F.col(TEXT)
-    best = []
-    for figure, (patterns, exclude) in fv.FIGURE_PATTERNS.items():
-        found = F.concat(*[_candidates(col, n, p, exclude) for n, p in enumerate(patterns)])
-        first = F.get(F.array_sort(F.filter(found, lambda c: c["rank"] < 0)), F.lit(0))
-        best.append(F.struct(F.lit(figure).alias("figure"), first.alias("c")))
-    rows = documents.select(*keys_of(documents), TEXT, F.explode(F.array(*best)).alias("f")).filter(
-        "f.c IS NOT NULL")
+    """Best candidate per figure and document, in crore, with its confidence.
+
+    All candidates of a document sit in one array, are scored by one expression and
+    sorted best first: higher score, then earlier pattern, then earlier position.
+    """
+    read = f"filter({_candidates()}, c -> abs(c.raw) >= 10 AND NOT ({_barred()}))"
+    sized = (
+        f"transform({read}, c -> named_struct('figure', c.figure, 'pattern', c.pattern, 'start', c.start, 'end', c.end, "
+        f"'raw', c.raw, 'context', c.context, 'unit', {UNIT}))")
+    valued = (
+        f"transform({sized}, c -> named_struct('figure', c.figure, 'pattern', c.pattern, 'start', c.start, 'end', c.end, "
+        f"'raw', c.raw, 'context', c.context, 'unit', c.unit, 'value', {SCALED}))")
+    ranked = (
+        f"transform({valued}, c -> named_struct('rank', -({SCORE}), 'pattern', c.pattern, 'start', c.start, 'end', c.end, "
+        "'raw_value', c.raw, 'value', c.value, 'unit', c.unit, 'figure', c.figure))")
+    scored = lowered(documents).select(*keys_of(documents), TEXT, F.expr(ranked).alias("_found"))
+    # One expression per figure: read inside a lambda, the array would be computed again per element.
+    best = "array(" + ", ".join(
+        f"named_struct('figure', {literal(name)}, 'c', get(array_sort(filter(_found, c -> c.figure = {f} AND c.rank < 0)), 0))"
+        for f, name in enumerate(fv.FIGURE_PATTERNS)) + ")"
+    rows = scored.select(*keys_of(documents), TEXT, F.explode(F.expr(best)).alias("f")).filter("f.c IS NOT NULL")
     score = -F.col("f.c.rank")
     return rows.select(
         *keys_of(documents), F.col("f.figure").alias("figure"), F.col("f.c.value").alias("value"),
         F.col("f.c.raw_value").alias("raw_value"), F.col("f.c.unit").alias("unit"),
         F.when(score >= 70, "HIGH").when(score >= 40, "MEDIUM").otherwise("LOW").alias("confidence"),
         score.alias("confidence_score"),
-        F.concat(F.lit("..."), window_text(col, F.col("f.c.start"), F.col("f.c.end"), 80, 80), F.lit("..."))
+        F.concat(F.lit("..."), window_text(F.col(TEXT), F.col("f.c.start"), F.col("f.c.end"), 80, 80), F.lit("..."))
         .alias("snippet"))
 
 
@@ -175,17 +182,19 @@ def mentioned_auditor(documents: DataFrame) -> DataFrame:
 
 
 # --- Ratings -------------------------------------------------------------------------
-def _rating_array(col: Column) -> Column:
-    graded = F.transform(spans(col, fv.RATING_MENTION, 2), lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), strip(m["g1"]).alias("agency"),
-        F.upper(strip(F.regexp_replace(m["g2"], r"\s*\([^)]*\)", ""))).alias("grade")))
-    return F.filter(graded, lambda m: m["grade"].isin(*fv.RATING_SCALE))
+def _rating_array() -> Column:
+    scale = ", ".join(literal(g) for g in fv.RATING_SCALE)
+    mention = tx.for_lowered(fv.RATING_MENTION)
+    return F.expr(
+        f"filter(transform({spans_sql(LOW, mention, 2)}, m -> named_struct('start', m.start, 'end', m.end, 'agency', "
+        f"trim(substring({TEXT}, m.start + 1, length(m.g1))), "
+        f"'grade', upper(trim(regexp_replace(m.g2, '[ ]*[(][^)]*[)]', ''))))), m -> m.grade IN ({scale}))")
 
 
 def rating_mentions(documents: DataFrame) -> DataFrame:
     """Agency and grade mentions whose grade is on the scale, with outlook and snippet."""
     col = F.col(TEXT)
-    rows = documents.filter(F.length(col) >= 100).select(*keys_of(documents), TEXT, F.explode(_rating_array(col)).alias("m"))
+    rows = lowered(documents).filter(F.length(col) >= 100).select(*keys_of(documents), TEXT, F.explode(_rating_array()).alias("m"))
     start, end = F.col("m.start"), F.col("m.end")
     outlook = F.regexp_extract(window_text(col, start, end, 50, 100), fv.RATING_OUTLOOK, 1)
     return rows.select(
@@ -198,15 +207,15 @@ def rating_mentions(documents: DataFrame) -> DataFrame:
 def rating_status(documents: DataFrame) -> DataFrame:
     """Last mention of a document, downgrade wording, and the rule either raises."""
     col = F.col(TEXT)
-    usable = documents.filter(F.length(col) >= 100)
-    last = F.try_element_at(_rating_array(col), F.lit(-1))
+    usable, low = lowered(documents).filter(F.length(col) >= 100), F.col(LOW)
+    last = F.try_element_at(_rating_array(), F.lit(-1))
     hit = F.coalesce(*[
-        F.when(col.rlike(p), F.struct(
-            (F.regexp_instr(col, F.lit(p)) - 1).alias("at"), F.length(F.regexp_extract(col, p, 0)).alias("size")))
-        for p in fv.DOWNGRADE_PATTERNS])
+        F.when(low.rlike(p), F.struct(
+            (F.regexp_instr(low, F.lit(p)) - 1).alias("at"), F.length(F.regexp_extract(low, p, 0)).alias("size")))
+        for p in map(tx.for_lowered, fv.DOWNGRADE_PATTERNS)])
     read = usable.select(*keys_of(documents), TEXT, last.alias("_last"), hit.alias("_hit"))
     outlook = F.regexp_extract(window_text(col, F.col("_last.start"), F.col("_last.end"), 50, 100), fv.RATING_OUTLOOK, 1)
-    low = F.col("latest_rating").isNotNull() & ~F.col("is_investment_grade")
+    weak = F.col("latest_rating").isNotNull() & ~F.col("is_investment_grade")
     return read.select(
         *keys_of(documents), F.col("_last.agency").alias("latest_agency"), F.col("_last.grade").alias("latest_rating"),
         F.initcap(F.when(F.length(outlook) > 0, outlook)).alias("latest_outlook"),
@@ -214,14 +223,14 @@ def rating_status(documents: DataFrame) -> DataFrame:
         F.col("_hit").isNotNull().alias("downgrade_detected"),
         snippet(col, F.col("_hit.at"), F.col("_hit.at") + F.col("_hit.size"), 30, 80).alias("downgrade_details"),
     ).withColumn("triggered_rules", F.array_compact(F.array(
-        F.when(F.coalesce(low, F.lit(False)) | F.col("downgrade_detected"), "P-27"))))
+        F.when(F.coalesce(weak, F.lit(False)) | F.col("downgrade_detected"), "P-27"))))
 
 
 # --- Shareholding --------------------------------------------------------------------
 def _first_percent(section: Column, patterns: list[str]) -> Column:
     valid = [
         F.get(F.filter(
-            F.transform(F.regexp_extract_all(section, F.lit(f"(?iu){p}"), F.lit(1)), lambda g: g.try_cast("double")),
+            F.transform(F.regexp_extract_all(section, F.lit(p), F.lit(1)), lambda g: g.try_cast("double")),
             lambda v: v.between(0.1, 100)), F.lit(0))
         for p in patterns]
     return F.round(F.coalesce(*valid), 2)
@@ -229,12 +238,12 @@ def _first_percent(section: Column, patterns: list[str]) -> Column:
 
 def shareholding(documents: DataFrame) -> DataFrame:
     """Holder percentages from the shareholding section, and the rules on pledge and holding."""
-    col = F.col(TEXT)
+    low = F.col(LOW)
     picked = F.coalesce(*[
-        let(F.substring(col, F.nullif(F.locate(marker, F.lower(col)), F.lit(0)), F.lit(fv.HOLDING_SECTION_LENGTH)),
+        let(F.substring(low, F.nullif(F.locate(marker, low), F.lit(0)), F.lit(fv.HOLDING_SECTION_LENGTH)),
             lambda s: F.when(s.rlike(r"\d+\.\d{2}"), s))
-        for marker in fv.HOLDING_MARKERS], col)
-    read = documents.withColumn("_section", picked).select(
+        for marker in fv.HOLDING_MARKERS], low)
+    read = lowered(documents).withColumn("_section", picked).select(
         *keys_of(documents),
         *[_first_percent(F.col("_section"), patterns).alias(name) for name, patterns in fv.HOLDING_PATTERNS.items()])
     pledge, promoter = F.col("pledged_pct"), F.col("promoter_holding_pct")
@@ -253,9 +262,9 @@ def collateral(documents: DataFrame, unsecured_shown: int = 2, secured_shown: in
     """Unsecured and secured borrowing findings, flags and the rule on unsecured loans."""
     col = F.col(TEXT)
     around = lambda m: snippet(col, m["start"], m["end"], 30, 80).alias("snippet")
-    read = documents.select(
-        *keys_of(documents), TEXT, spans(col, fv.UNSECURED_PATTERN, 1).alias("_loose"),
-        spans(col, fv.SECURED_PATTERN, 3).alias("_tied"))
+    read = lowered(documents).select(
+        *keys_of(documents), TEXT, spans(LOW, tx.for_lowered(fv.UNSECURED_PATTERN), 1).alias("_loose"),
+        spans(LOW, tx.for_lowered(fv.SECURED_PATTERN), 3).alias("_tied"))
     loose = F.transform(F.slice("_loose", 1, unsecured_shown), lambda m: F.struct(
         F.lit("N/A").alias("asset_type"), F.lit("Unsecured").alias("security_type"), around(m)))
     tied = F.transform(F.slice("_tied", 1, secured_shown), lambda m: F.struct(
@@ -275,19 +284,20 @@ def collateral(documents: DataFrame, unsecured_shown: int = 2, secured_shown: in
 def supply_features(documents: DataFrame, keywords: dict[str, list[str]] | None = None) -> DataFrame:
     """Flags, named counterparties and lists that describe the supply chain."""
     keywords = keywords or fv.SUPPLY_KEYWORDS
-    flat = documents.withColumn("_flat", strip(tx.collapse_space(F.col(TEXT))))
-    col = F.col("_flat")
-    flags = {name: tx.contains_any(col, words) for name, words in keywords.items()}
+    flat = documents.withColumn("_flat", strip(tx.collapse_space(F.col(TEXT)))).withColumn(LOW, F.lower("_flat"))
+    col, low = F.col("_flat"), F.col(LOW)
+    flags = {name: tx.contains_any(low, words, lowered=True) for name, words in keywords.items()}
     supplier_share, customer_share = (
-        tx.percent_near(col, phrase) >= least for phrase, least in (fv.SUPPLIER_SHARE, fv.CUSTOMER_SHARE))
+        tx.percent_near(low, phrase, lowered=True) >= least for phrase, least in (fv.SUPPLIER_SHARE, fv.CUSTOMER_SHARE))
     flags["supplier_concentration_high"] |= F.coalesce(supplier_share, F.lit(False))
     flags["customer_concentration_high"] |= F.coalesce(customer_share, F.lit(False))
-    flags["receivables_stretched"] |= tx.days_jump(col)
-    supplier, buyer = tx.label_entity(col, fv.SUPPLIER_LABELS), tx.label_entity(col, fv.BUYER_LABELS)
+    flags["receivables_stretched"] |= tx.days_jump(low, lowered=True)
+    supplier, buyer = (
+        tx.label_entity(col, labels, low) for labels in (fv.SUPPLIER_LABELS, fv.BUYER_LABELS))
     return flat.select(
         *keys_of(documents), supplier.alias("major_supplier"), buyer.alias("major_buyer"),
-        tx.label_list(col, fv.PRODUCT_LABELS).alias("major_products"),
-        tx.label_list(col, fv.MATERIAL_LABELS).alias("principal_raw_materials"),
+        tx.label_list(col, fv.PRODUCT_LABELS, lowered=low).alias("major_products"),
+        tx.label_list(col, fv.MATERIAL_LABELS, lowered=low).alias("principal_raw_materials"),
         *[c.alias(n) for n, c in flags.items()],
     ).withColumns({
         "supplier_identified": F.col("major_supplier").isNotNull(), "buyer_identified": F.col("major_buyer").isNotNull()})

@@ -6,15 +6,13 @@ Whole-document projections; only adverse media shuffles, on its de-duplication k
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendgrain import fixed_values as fv
 from lendgrain.functions import text as tx
 from lendgrain.functions.parsing import strip
-from lendgrain.functions.spans import empty_array, let, snippet
+from lendgrain.functions.spans import let, literal
 from lendgrain.operators.filings import TEXT, keys_of
 
 
@@ -105,35 +103,29 @@ def site_visit_signals(notes: DataFrame, signals: list[tuple] | None = None, tex
     signals = signals or fv.SITE_SIGNALS
     rules = {r[0]: r for r in fv.rule_rows()}
     keys = [c for c in notes.columns if c != text]
-    lowered = notes.withColumn("_low", F.lower(text))
-    low, raw = F.col("_low"), F.col(text)
-
-    def first_match(patterns: list[str], capacity: bool) -> Column:
-        return F.coalesce(*[
-            F.when(low.rlike(f"(?U){p}"), F.struct(
-                (F.regexp_instr(low, F.lit(f"(?U){p}")) - 1).alias("at"),
-                F.length(F.regexp_extract(low, f"(?U){p}", 0)).alias("size"),
-                (F.coalesce(F.regexp_extract(low, f"(?U){p}", 1).try_cast("double"), F.lit(0.0)) if capacity
-                 else F.lit(None).cast("double")).alias("reading")))
-            for p in patterns])
-
-    def finding(rule_id: str, meaning: str, capacity: bool):
+
+    def first_match(patterns: list[str], capacity: bool) -> str:
+        reading = "coalesce(try_cast(regexp_extract(_low, {p}, 1) AS double), 0)" if capacity else "CAST(NULL AS double)"
+        return "coalesce(" + ", ".join(
+            f"CASE WHEN _low RLIKE {p} THEN named_struct('at', regexp_instr(_low, {p}) - 1, 'size', "
+            f"length(regexp_extract(_low, {p}, 0)), 'reading', {reading.format(p=p)}) END"
+            for p in (literal(f"(?U){q}") for q in patterns)) + ")"
+
+    def finding(rule_id: str, meaning: str, patterns: list[str]) -> str:
+        capacity = rule_id == fv.CAPACITY_RULE
         _, name, bps, cut, _, severity, _ = rules[rule_id]
-        fires = lambda m: m.isNotNull() & ((m["reading"] < fv.CAPACITY_THRESHOLD) if capacity else F.lit(True))
-        return lambda m: F.when(fires(m), F.struct(
-            F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule_name"),
-            F.when(m["reading"] > 0, F.format_string(
-                f"Factory operating at %.0f%% capacity — below {fv.CAPACITY_THRESHOLD}%% threshold", m["reading"]))
-            .otherwise(meaning).alias("description"),
-            snippet(raw, m["at"], m["at"] + m["size"], 20, 20).alias("matched_text"),
-            F.lit(severity).alias("severity"), F.lit(bps).alias("rate_penalty_bps"),
-            F.lit(cut).alias("limit_reduction_pct")))
-
-    groups = [
-        let(first_match(patterns, rule_id == fv.CAPACITY_RULE), finding(rule_id, meaning, rule_id == fv.CAPACITY_RULE))
-        for rule_id, meaning, patterns in signals]
-    return lowered.filter(F.length(strip(raw)) > 0).select(
-        *keys, F.explode(F.array_compact(F.array(*groups))).alias("f")).select(*keys, "f.*")
+        fires = f"m IS NOT NULL AND m.reading < {fv.CAPACITY_THRESHOLD}" if capacity else "m IS NOT NULL"
+        around = f"trim(substring({text}, greatest(m.at - 20, 0) + 1, m.at + m.size + 20 - greatest(m.at - 20, 0)))"
+        return (
+            f"get(transform(array({first_match(patterns, capacity)}), m -> CASE WHEN {fires} THEN named_struct("
+            f"'rule_id', {literal(rule_id)}, 'rule_name', {literal(name)}, 'description', CASE WHEN m.reading > 0 THEN "
+            f"format_string('Factory operating at %.0f%% capacity — below {fv.CAPACITY_THRESHOLD}%% threshold', m.reading) "
+            f"ELSE {literal(meaning)} END, 'matched_text', {around}, 'severity', {literal(severity)}, "
+            f"'rate_penalty_bps', {bps}, 'limit_reduction_pct', {cut}) END), 0)")
+
+    groups = ", ".join(finding(*signal) for signal in signals)
+    lowered = notes.withColumn("_low", F.lower(text)).filter(F.length(strip(F.col(text))) > 0)
+    return lowered.select(*keys, F.explode(F.expr(f"array_compact(array({groups}))")).alias("f")).select(*keys, "f.*")
 
 
 def site_visit_totals(findings: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions.party import with_party
 from lendgrain.operators import bank, decision, filings, financials, prose, verify
+from lendgrain.session import settle
 
 # Sources in the order in which they report their rules.
 SOURCE_ORDER = [
@@ -39,34 +40,36 @@ def appraise(
     txns: DataFrame, documents: DataFrame, notes: DataFrame, evidence: dict[str, DataFrame], figures: DataFrame,
     auditors: DataFrame, rules: DataFrame, lexicon: dict[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """All intermediate tables and the decision, lazily.
+    """All signal tables, the triggers and the decision.
 
     ``txns``: statement rows; ``documents``: applicant_id, doc_id, fiscal_year, text;
     ``notes``: applicant_id, note_id, notes; ``evidence``: tables of ``verify.verify``.
+    Signals read by several later steps hold one row per filing or applicant; they are
+    settled, so texts and statements are read once per signal.
     """
     moves = with_party(txns)
     scans = latest_filings(documents)
-    audit, holding = filings.compliance_flags(scans), filings.shareholding(scans)
-    rating, tone = filings.rating_status(scans), prose.lexicon_sentiment(scans, lexicon)
+    audit, holding = settle(filings.compliance_flags(scans)), settle(filings.shareholding(scans))
+    rating, tone = settle(filings.rating_status(scans)), settle(prose.lexicon_sentiment(scans, lexicon))
     pledged = filings.collateral(scans)
-    restated = financials.restatement_flags(figures, auditors)
-    site = prose.site_visit_signals(notes)
+    restated = settle(financials.restatement_flags(figures, auditors))
+    site = settle(prose.site_visit_signals(notes))
     statement = bank.statement_summary(moves)
-    spikes = bank.cash_spikes(moves)
-    counted = spikes.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("cash_spikes"))
-    read = filings.extract_figures(scans).groupBy("applicant_id").agg(
+    banked = settle(bank.statement_findings(moves))
+    counted = banked.filter("rule_id = 'P-29'").select("applicant_id", F.col("found").alias("cash_spikes"))
+    read = settle(filings.extract_figures(scans).groupBy("applicant_id").agg(
         F.max(F.when(F.col("figure") == "Revenue", F.col("value"))).alias("revenue"),
         F.max(F.when(F.col("figure") == "EBITDA", F.col("value"))).alias("ebitda"),
-        F.max(F.when(F.col("figure") == "PAT", F.col("value"))).alias("pat"))
+        F.max(F.when(F.col("figure") == "PAT", F.col("value"))).alias("pat")))
     seen = {
-        **evidence, "statement": statement.join(counted, "applicant_id", "left"),
+        **evidence, "statement": settle(statement.join(counted, "applicant_id", "left")),
         "site": site.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("site_findings"))}
-    claims = verify.extract_claims(read, audit, holding, rating, tone, restated)
-    checks = verify.verify(claims, seen)
+    claims = settle(verify.extract_claims(read, audit, holding, rating, tone, restated))
+    checks = settle(verify.verify(claims, seen))
     verdicts = verify.roll_up(checks)
     triggers = decision.union_triggers(
         decision.derive_triggers(gst=evidence["gst"], audit=audit, restated=restated, news=evidence["news"]),
-        found_rules("site", site), found_rules("bank", bank.statement_findings(moves)),
+        found_rules("site", site), found_rules("bank", banked),
         rules_of("shareholding", holding), rules_of("tone", tone), rules_of("rating", rating),
         rules_of("collateral", pledged), rules_of("verification", verify.verification_rules(verdicts)))
     applicants = reduce(DataFrame.union, [f.select("applicant_id") for f in (moves, scans, notes)]).distinct()

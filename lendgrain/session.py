@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lendgrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage, for results that several others read.
+
+    Written to the reliable checkpoint folder all executors share, so a lost executor
+    costs no recomputation of what came before.
+    """
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return frame.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendgrain import fixed_values as fv
-from lendgrain.functions.parsing import blank_to_null, parse_amount, parse_ts, strip
+from lendgrain.functions.parsing import blank_to_null, parse_amount, strip, with_ts
 
 STATEMENT_JSON = (
     "applicant_id BIGINT, opening_balance DOUBLE, transactions ARRAY<STRUCT<date STRING, value_date STRING, "
@@ -40,7 +40,8 @@ def parse_statements(raw: DataFrame, keys: tuple[str, ...] = ("applicant_id", "s
         parse_amount(pick(fv.CREDIT_COLUMNS, "0")).alias("_credit"),
         parse_amount(pick(fv.BALANCE_COLUMNS, "0")).alias("balance"),
         pick(fv.TXN_ID_COLUMNS, None).alias("txn_id"), pick(["mode"], None).alias("mode"),
-    ).withColumn("ts", parse_ts(F.col("date_str")))
+    )
+    staged = with_ts(staged, "date_str")
     is_debit, is_credit = F.col("_type") == "DEBIT", F.col("_type") == "CREDIT"
     return staged.filter(F.col("ts").isNotNull() | ((is_debit | is_credit) & (F.col("_amount") > 0))).select(
         *keys, "ts", "date_str", "description",
@@ -64,11 +65,12 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_statements(statements: DataFrame) -> DataFrame:
     """Nested statements, one row per transaction, in their given order."""
-    return statements.select(
+    rows = statements.select(
         "applicant_id", "opening_balance", F.posexplode("transactions").alias("seq", "t")
-    ).select(
+    ).withColumn("date_str", F.col("t.date"))
+    return with_ts(rows, "date_str").select(
         "applicant_id", "opening_balance", F.col("seq").cast("bigint").alias("seq"),
-        parse_ts(F.col("t.date")).alias("ts"), F.col("t.date").alias("date_str"), F.col("t.description").alias("description"),
+        "ts", "date_str", F.col("t.description").alias("description"),
         F.coalesce("t.debit", F.lit(0.0)).alias("debit"), F.coalesce("t.credit", F.lit(0.0)).alias("credit"),
         F.coalesce("t.balance", F.lit(0.0)).alias("balance"), F.coalesce("t.failed", F.lit(False)).alias("failed"))
 
