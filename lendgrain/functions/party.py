@@ -25,42 +25,48 @@ def _named(candidate: Column, longer_than: int, keep: int = NAME_LENGTH) -> Colu
     return F.when(F.length(candidate) > longer_than, F.substring(candidate, 1, keep))
 
 
-def _part(pattern: str) -> Column:
-    return strip(F.regexp_extract("_text", pattern, 1))
+def _segment(text: Column, separator: str, number: int) -> Column:
+    """The numbered segment, or with -1 the last one."""
+    upto = text if number < 0 else F.substring_index(text, separator, number)
+    return strip(F.substring_index(upto, separator, -1))
+
+
+def _count(text: Column, separator: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(separator), F.lit("")))
 
 
 def with_party(txns: DataFrame, description: str = "description", out: str = "party") -> DataFrame:
     """Add the name of the other side, null where the narration carries none.
 
-    The narration is cleaned and cut once, in projections of their own, so that the
-    many layouts below refer to columns instead of repeating the work.
+    The narration is cleaned and its layout decided once, in projections of their own;
+    names are then cut out with plain string functions, without patterns.
     """
     text, slashes, dashes = F.col("_text"), F.col("_slashes"), F.col("_dashes")
+    silent = reduce(lambda a, b: a | b, [text.contains(word) for word in NO_PARTY])
+    wired, imps = text.startswith("NEFT") | text.startswith("RTGS"), text.contains("IMPS")
     cut = txns.withColumn("_text", strip(F.upper(description))).withColumns({
-        "_slashes": F.length(F.regexp_replace("_text", "[^/]", "")),
-        "_dashes": F.length(F.regexp_replace("_text", "[^-]", "")),
-        "_after_slash": F.rtrim(_part(r"(?s)([^/]*)$"), F.lit("-")),
-        "_after_dash": _part(r"(?s)([^-]*)$"),
-        "_upi": _part(r"(?s)^[^/]*/[^/]*/[^/]*/([^/]*)"),
-        "_fourth": strip(F.rtrim(_part(r"(?s)^[^-]*-[^-]*-[^-]*-(.*)$"), F.lit("-"))),
-    })
-    cleaned = reduce(lambda c, m: strip(F.replace(c, F.lit(m), F.lit(""))), TRAILING_MARKERS, F.col("_fourth"))
-    cut = cut.withColumn("_wire", strip(F.btrim(cleaned, F.lit("-"))))
-    tail = F.col("_after_slash")
-    wire_tail = (slashes >= 2) & (F.length(tail) > 3) & ~tail.isin(*NOT_A_NAME)
-    imps = text.contains("IMPS")
+        "_slashes": _count(text, "/"), "_dashes": _count(text, "-"), "_wired": wired,
+        "_silent": silent | (text.contains("CASH") & text.contains("SELF"))})
+    from_fourth = F.substring(text, F.length(F.substring_index(text, "-", 3)) + 2, F.length(text))
+    bare = strip(F.rtrim(strip(from_fourth), F.lit("-")))
+    bare = reduce(lambda c, m: strip(F.replace(c, F.lit(m), F.lit(""))), TRAILING_MARKERS, bare)
+    cut = cut.withColumns({
+        "_upi": F.when((text.startswith("UPI/") | text.startswith("UPI-")) & (slashes >= 3), _segment(text, "/", 4)),
+        "_tail": F.when(F.col("_wired") & (slashes >= 2), F.rtrim(_segment(text, "/", -1), F.lit("-"))),
+        "_wire": F.when(F.col("_wired") & (dashes >= 3), strip(F.btrim(bare, F.lit("-"))))})
+    tail, wire = F.col("_tail"), F.col("_wire")
     name = (
-        F.when(text.rlike("|".join(NO_PARTY)) | (text.contains("CASH") & text.contains("SELF")), F.lit(None))
-        .when(text.rlike("^UPI[/-]") & (slashes >= 3) & (F.length("_upi") > 2), F.substring("_upi", 1, NAME_LENGTH))
-        .when(text.rlike("^(NEFT|RTGS)"),
-              F.when(wire_tail, F.substring(tail, 1, NAME_LENGTH)).when(dashes >= 3, _named(F.col("_wire"), 2)))
-        .when(imps & text.contains("SALARY TRF BY-"), _named(_part(r"(?s).*SALARY TRF BY-(.*)$"), 2))
-        .when(imps & (dashes >= 2), F.substring("_after_dash", 1, NAME_LENGTH))
-        .when(text.startswith("BY CLG") & text.contains(","), _named(_part(r"(?s)([^,]*)$"), 2))
-        .when(text.rlike("CHQ PAID|CHEQUE") & (dashes >= 2),
-              F.substring(_part(r"(?s)^[^-]*-[^-]*-([^-]*)"), 1, NAME_LENGTH))
-        .when(text.contains("DIVIDEND") & (dashes >= 1), F.substring(_part(r"(?s)^[^-]*-([^-]*)"), 1, NAME_LENGTH))
-        .when(text.startswith("CASH") & (dashes >= 1), F.substring("_after_dash", 1, CASH_NAME_LENGTH))
+        F.when(F.col("_silent"), F.lit(None))
+        .when(F.length("_upi") > 2, F.substring("_upi", 1, NAME_LENGTH))
+        .when(F.col("_wired"), F.when(
+            (F.length(tail) > 3) & ~tail.isin(*NOT_A_NAME), F.substring(tail, 1, NAME_LENGTH)).otherwise(_named(wire, 2)))
+        .when(imps & text.contains("SALARY TRF BY-"), _named(_segment(text, "SALARY TRF BY-", -1), 2))
+        .when(imps & (dashes >= 2), F.substring(_segment(text, "-", -1), 1, NAME_LENGTH))
+        .when(text.startswith("BY CLG") & text.contains(","), _named(_segment(text, ",", -1), 2))
+        .when((text.contains("CHQ PAID") | text.contains("CHEQUE")) & (dashes >= 2),
+              F.substring(_segment(text, "-", 3), 1, NAME_LENGTH))
+        .when(text.contains("DIVIDEND") & (dashes >= 1), F.substring(_segment(text, "-", 2), 1, NAME_LENGTH))
+        .when(text.startswith("CASH") & (dashes >= 1), F.substring(_segment(text, "-", -1), 1, CASH_NAME_LENGTH))
     )
     named = computed_once(cut.withColumn("_name", name), out, F.when(F.length("_name") > 0, F.col("_name")))
     return named.select(*txns.columns, out)

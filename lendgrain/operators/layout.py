@@ -97,17 +97,22 @@ def clean_text(documents: DataFrame) -> DataFrame:
 # --- Headings ------------------------------------------------------------------------
 def heading_confidence(line: Column, following: Column) -> Column:
     """Score of a line as a heading; null for lines that cannot be one."""
-    words = F.filter(F.split(line, r"(?U)\s+", -1), lambda w: F.length(w) > 0)
-    n = F.size(words)
-    next_words = F.size(F.filter(F.split(F.coalesce(following, F.lit("")), r"(?U)\s+", -1), lambda w: F.length(w) > 0))
-    capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    tokens = lambda c: F.filter(F.split(c, r"(?U)\s+", -1), lambda w: F.length(w) > 0)
     add = lambda cond, amount: F.when(cond, F.lit(amount)).otherwise(F.lit(0.0))
-    score = (
-        add(is_upper(line) & (n >= 2), 0.4) + add((capitals >= n * F.lit(0.7)) & (n >= 2), 0.3)
-        + add(F.lower(line).rlike(tx.alternation(fv.HEADING_KEYWORDS)), 0.25)
-        + add((n <= 8) & (next_words > 15), 0.2) + add(line.rlike(r"^(\d+\.?\d*|[A-Z]\.)\s+\w"), 0.3)
-        - add(n > 12, 0.2))
-    return F.when((F.length(line) >= 3) & ~line.rlike(r"^\d+$") & ~line.rlike(r"(?i)^page\s+\d+"), score)
+    facts = F.struct(strip(line).alias("line"), tokens(line).alias("words"))
+
+    def score(f: Column) -> Column:
+        text, words = f["line"], f["words"]
+        n, capitals = F.size(words), F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        dense = F.when(n <= 8, F.size(tokens(F.coalesce(following, F.lit("")))) > 15).otherwise(False)
+        total = (
+            add(is_upper(text) & (n >= 2), 0.4) + add((n >= 2) & (capitals >= n * F.lit(0.7)), 0.3)
+            + add(F.lower(text).rlike(tx.alternation(fv.HEADING_KEYWORDS)), 0.25) + add(dense, 0.2)
+            + add(text.rlike(r"^(\d+\.?\d*|[A-Z]\.)\s+\w"), 0.3) - add(n > 12, 0.2))
+        possible = (F.length(text) >= 3) & ~text.rlike(r"^\d+$") & ~text.rlike(r"(?i)^page\s+\d+")
+        return F.when(possible, total)
+
+    return let(facts, score)
 
 
 def is_upper(line: Column) -> Column:
@@ -115,7 +120,7 @@ def is_upper(line: Column) -> Column:
 
 
 def _sections(lines: Column, least: float) -> Column:
-    scored = F.transform(lines, lambda l, i: heading_confidence(strip(l), F.get(lines, i + 1)))
+    scored = F.transform(lines, lambda l, i: heading_confidence(l, F.get(lines, i + 1)))
     body = lambda first, count: F.filter(F.transform(F.slice(lines, first, count), strip), lambda l: F.length(l) > 0)
 
     def build(scores: Column, heads: Column) -> Column:

@@ -11,6 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lendgrain.session import spread
+
+
+# Tables whose rows cost much to process, with a unique column to spread them by.
+COSTLY = {"documents": "doc_id", "events": "event_id"}
+
 
 @dataclass(frozen=True)
 class View:
@@ -21,6 +27,8 @@ class View:
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        if self.table in COSTLY:
+            rows = spread(rows, COSTLY[self.table])
         if self.where:
             rows = rows.filter(self.where)
         return rows.selectExpr(*self.columns)

@@ -9,6 +9,7 @@ from lendgrain.functions import text as tx
 from lendgrain.operators import layout, prose
 from lendgrain.plans.bindings import DOCS, NOTES, View
 from lendgrain.plans.registry import query
+from lendgrain.session import spread
 from lendgrain.sources import reports
 
 # Lexicons of words that occur in the supplied prose.
@@ -193,7 +194,8 @@ def shown_media_hits(spark, sf_dir):
 
 def pages(spark, sf_dir):
     site = F.regexp_extract("url", r"^https?://([^/]+)/", 1)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", site.alias("applicant_id"), "html")
+    rows = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    return rows.select("page_id", site.alias("applicant_id"), "html")
 
 
 @query("html_blocks")

@@ -53,3 +53,13 @@ def settle(frame: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table that arrives in fewer splits than there are cores.
+
+    Meant for small inputs with costly rows. A table with as many splits as cores, as
+    any large one has, is returned as it is, without a shuffle. ``key`` should be unique.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
