@@ -16,17 +16,42 @@ def normal_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.upper(name), r"[^\p{L}\p{N} ]", " "), r" +", " "))
 
 
-def screen_auditors(auditors: DataFrame, lists: DataFrame) -> DataFrame:
+def _containment_join(names: DataFrame, records: DataFrame, most_broadcast: int) -> DataFrame:
+    """Pairs where ``key`` contains ``name`` or the reverse.
+
+    A list counted to be short is broadcast. A longer one meets the names by an equality
+    join: a text holds another only if it holds its first three characters.
+    """
+    hit = F.col("name").contains(F.col("key")) | F.col("key").contains(F.col("name"))
+    if records.limit(most_broadcast + 1).count() <= most_broadcast:
+        return names.join(F.broadcast(records), hit)
+    grams = lambda c: F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+
+    # Texts of one or two characters have no three to meet on; they meet on one or two.
+    def one_way(holder: DataFrame, whole: str, held: DataFrame, part: str) -> DataFrame:
+        longer = holder.withColumn("gram", grams(F.col(whole)))
+        exact = held.filter(F.length(part) >= 3).withColumn("gram", F.substring(part, 1, 3))
+        short = held.filter(F.length(part) < 3)
+        tiny = holder.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1))),
+            lambda i: F.array(F.substring(F.col(whole), i, F.lit(1)), F.substring(F.col(whole), i, F.lit(2))))))))
+        met = longer.join(exact, "gram").unionByName(tiny.join(short.withColumn("gram", F.col(part)), "gram"))
+        return met.filter(F.col(whole).contains(F.col(part))).drop("gram")
+
+    return one_way(names, "name", records, "key").unionByName(one_way(records, "key", names, "name")).distinct()
+
+
+def screen_auditors(auditors: DataFrame, lists: DataFrame, most_broadcast: int = 10_000) -> DataFrame:
     """Blacklist and watchlist screening by containment in either direction.
 
-    The institutional list is small by nature; distinct names are screened once and
-    the verdict is joined back, so a name shared by many applicants costs one lookup.
+    Distinct names are screened once and the verdict is joined back, so a name shared
+    by many applicants costs one lookup.
     """
     names = auditors.select(F.upper(F.trim("auditor")).alias("name")).filter("name <> ''").distinct()
     records = lists.withColumn("key", F.upper(F.trim("firm")))
-    hit = F.col("name").contains(F.col("key")) | F.col("key").contains(F.col("name"))
     black, watch = F.col("list_type") == "BLACKLISTED", F.col("list_type") == "WATCHLIST"
-    verdicts = names.join(F.broadcast(records), hit).groupBy("name").agg(
+    verdicts = _containment_join(names, records, most_broadcast).groupBy("name").agg(
         F.bool_or(black).alias("black"), F.bool_or(watch).alias("watch"), F.count(F.lit(1)).alias("n"))
     screened = auditors.withColumn("name", F.upper(F.trim("auditor"))).join(verdicts, "name", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))

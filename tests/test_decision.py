@@ -105,3 +105,16 @@ def test_model_learns_a_step(spark, tmp_path):
         F.max(F.abs(F.col("ml_base_rate_pct") - F.col("base_rate")))).first()[0]
     assert worst < 0.5
     assert base_terms.predict_base_terms(None, rows.select("applicant_id")).first().model_status == "fallback_no_model"
+
+
+def test_screening_is_the_same_with_and_without_broadcast(spark):
+    names = [(n, "FY1", a) for n, a in enumerate(["Rao & Co LLP", "RAO", "M/s Gupta Sharma & Associates", "K", "", None, "Zed", "Rajesh Kumar & Co"])]
+    auditors = spark.createDataFrame(names, "applicant_id long, fiscal_year string, auditor string")
+    lists = spark.createDataFrame(
+        [("BLACKLISTED", "Gupta Sharma & Associates", "HIGH", ""), ("WATCHLIST", "Rao & Co", "INFO", ""), ("BLACKLISTED", "ED", "LOW", ""),
+         ("WATCHLIST", "Kay", "LOW", "")], "list_type string, firm string, severity string, reason string")
+    rows = [sorted(map(str, network.screen_auditors(auditors, lists, most).collect())) for most in (100, 0)]
+    assert rows[0] == rows[1]
+    status = {r.applicant_id: r.status for r in network.screen_auditors(auditors, lists).collect()}
+    assert status == {0: "WATCHLIST", 1: "WATCHLIST", 2: "BLACKLISTED", 3: "WATCHLIST", 4: "NOT_CHECKED", 5: "NOT_CHECKED",
+                      6: "BLACKLISTED", 7: "CLEAR"}
