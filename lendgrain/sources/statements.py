@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +57,19 @@ def applicant_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d+)[^/]*$", 1).try_cast("bigint")
 
 
-def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statement CSV files; the applicant comes from the file name, the order from the file."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    numbered = raw.withColumns({
-        "applicant_id": applicant_of(F.col("_metadata.file_name")), "seq": F.monotonically_increasing_id()})
-    return parse_statements(numbered)
+def read_statements(spark: SparkSession, *paths: str) -> DataFrame:
+    """Statement CSV files; the applicant comes from the file name, the order from the file.
+
+    Spark gives all files of one path the header of the first, so each path stands for
+    one header style (one bank); further styles are further paths.
+    """
+    def one(number: int, path: str) -> DataFrame:
+        raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+        # Row numbers of a path stay below 2^58; the path number goes above them.
+        row = F.monotonically_increasing_id() + F.lit(number << 58)
+        return parse_statements(raw.withColumns({"applicant_id": applicant_of(F.col("_metadata.file_name")), "seq": row}))
+
+    return reduce(DataFrame.unionByName, [one(n, p) for n, p in enumerate(paths)])
 
 
 def explode_statements(statements: DataFrame) -> DataFrame:
@@ -90,8 +99,13 @@ def statement_lines(txns: DataFrame) -> DataFrame:
 
 
 def write_statements(txns: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """One folder per applicant. A hot applicant may fill many files; ``seq`` keeps the order."""
-    lines = statement_lines(txns)
+    """One folder per applicant, each file in statement order.
+
+    Rows meet by applicant and block of a million rows: few files per applicant, and a
+    hot one fills many.
+    """
+    lines = statement_lines(txns).repartition("applicant_id", F.floor(F.col("seq") / 1_000_000)).sortWithinPartitions(
+        "applicant_id", "seq")
     writer = lines.write.mode(mode).partitionBy("applicant_id")
     if fmt == "csv":
         writer.option("header", True).csv(path)

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import json
 import random
-import statistics  # noqa: F401
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -139,3 +138,12 @@ def test_running_sum_is_independent_of_chunks_and_partitions(spark):
         sorted(map(tuple, running_sum(rows.repartition(n), ["k"], "at", ["seq"], "v", "s", chunk).collect()))
         for n, chunk in [(1, 10**9), (7, 10), (3, 1)]]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_each_path_keeps_its_own_header(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "3_x.csv").write_text("Date,Description,Debit,Credit,Balance\n05-01-2024,one,7,,1\n")
+    (tmp_path / "b" / "3_y.csv").write_text("Narration,Deposit,ValueDate\ntwo,9,2024-01-06\n")
+    rows = statements.read_statements(spark, str(tmp_path / "a"), str(tmp_path / "b")).orderBy("seq").collect()
+    assert [(r.applicant_id, r.description, r.debit, r.credit) for r in rows] == [(3, "one", 7.0, 0.0), (3, "two", 0.0, 9.0)]
