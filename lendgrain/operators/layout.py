@@ -115,6 +115,14 @@ def heading_confidence(line: Column, following: Column) -> Column:
     return let(facts, score)
 
 
+def with_neighbours(documents: DataFrame) -> DataFrame:
+    """Lines of each document with the line before and after; the text is cut in its row."""
+    lines = F.transform(F.split(TEXT, LINE_BREAK, -1), lambda l: F.regexp_replace(l, r"\s+$", ""))
+    around = let(lines, lambda ls: F.transform(ls, lambda l, i: F.struct(
+        i.alias("line_no"), l.alias("line"), F.when(i > 0, F.get(ls, i - 1)).alias("before"), F.get(ls, i + 1).alias("after"))))
+    return documents.select(*keys_of(documents), F.inline(around))
+
+
 def is_upper(line: Column) -> Column:
     return (F.upper(line) == line) & (F.lower(line) != line)
 

@@ -321,3 +321,39 @@ SELECT doc_id, {keyword_sql(["worthless", "stupid", "of the", "that the"])} AS p
 def keyword_any(spark, sf_dir):
     words = ["worthless", "stupid", "of the", "that the"]
     return DOCS.frame(spark, sf_dir).select("doc_id", tx.contains_any(F.lower("text"), words).alias("present"))
+
+
+FLAT = f"""{WITH}, flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM filings)"""
+
+
+def flat_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.trim(tx.collapse_space(F.col("text"))).alias("flat"))
+
+
+@query("percent_near", f"{FLAT} SELECT doc_id, {percent_sql('top customer')} AS pct, {percent_sql('which pledged')} AS pledged FROM flat")
+def percent_near(spark, sf_dir):
+    flat = flat_text(spark, sf_dir)
+    return flat.select("doc_id", tx.percent_near(F.col("flat"), "top customer").alias("pct"),
+                       tx.percent_near(F.col("flat"), "which pledged").alias("pledged"))
+
+
+@query("days_jump", f"{FLAT} SELECT doc_id, ({days_sql()}) AS jumped FROM flat")
+def days_jump(spark, sf_dir):
+    return flat_text(spark, sf_dir).select("doc_id", tx.days_jump(F.col("flat")).alias("jumped"))
+
+
+@query("label_entities", f"""{FLAT} SELECT doc_id, {entity_sql(fv.SUPPLIER_LABELS)} AS supplier,
+  {entity_sql(["facilities rated crisil", "working capital"])} AS other FROM flat""")
+def label_entities(spark, sf_dir):
+    return flat_text(spark, sf_dir).select(
+        "doc_id", tx.label_entity(F.col("flat"), fv.SUPPLIER_LABELS).alias("supplier"),
+        tx.label_entity(F.col("flat"), ["facilities rated crisil", "working capital"]).alias("other"))
+
+
+@query("label_lists", f"""{FLAT} SELECT doc_id, {list_sql(fv.PRODUCT_LABELS)} AS products, {list_sql(["holding", "outlook"])} AS other
+FROM flat""")
+def label_lists(spark, sf_dir):
+    flat = flat_text(spark, sf_dir)
+    return flat.select(
+        "doc_id", F.array_join(tx.label_list(F.col("flat"), fv.PRODUCT_LABELS), "|").alias("products"),
+        F.array_join(tx.label_list(F.col("flat"), ["holding", "outlook"]), "|").alias("other"))

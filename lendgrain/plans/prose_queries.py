@@ -291,6 +291,13 @@ def section_tree(spark, sf_dir):
         F.size("content").alias("lines"), F.array_join("content", "|").alias("content"))
 
 
+@query("line_neighbours", f"""WITH {LINED.cte}, ls AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: rtrim(x)) AS ls FROM lined),
+u AS (SELECT doc_id, CAST(unnest(range(0, len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM ls)
+SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS "after" FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""")
+def line_neighbours(spark, sf_dir):
+    return layout.with_neighbours(LINED.frame(spark, sf_dir))
+
+
 LAYOUT_COLUMNS = (
     "doc_id", "line AS block_no", "CAST(floor(line / 4) + 1 AS INTEGER) AS page",
     "CAST(9 + (doc_id + line * 3) % 5 AS DOUBLE) AS font", "CAST((line % 4) * 120 AS DOUBLE) AS y",
