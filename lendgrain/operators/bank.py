@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lendgrain import fixed_values as fv
 from lendgrain.functions.cumulative import running_sum
 from lendgrain.functions.parsing import micros
-from lendgrain.functions.party import with_party
 
 DAY = 86_400_000_000
 

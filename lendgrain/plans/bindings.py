@@ -113,12 +113,6 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Auditor of each customer and year, rotating for some.
-AUDITORS_SQL = (
-    "auditors AS (SELECT DISTINCT o_custkey AS applicant_id, 'FY' || CAST(year(o_orderdate) AS STRING) AS fiscal_year, "
-    "CASE (o_custkey + CASE WHEN o_custkey % 3 = 0 THEN year(o_orderdate) / 2 - (year(o_orderdate) % 2) / 2 ELSE 0 END) "
-    "% 6 WHEN 0 THEN 'Gupta Sharma & Associates' WHEN 1 THEN 'Rao & Mehta LLP' WHEN 2 THEN 'SR Batliboi & Co LLP' "
-    "WHEN 3 THEN 'Maxwell Patel LLP' WHEN 4 THEN 'Iyer Associates' ELSE '' END AS auditor FROM orders)"
-)
 AUDITORS = View("auditor_rows", "orders", (
     "o_custkey AS applicant_id",
     "'FY' || CAST(year(o_orderdate) AS STRING) AS fiscal_year",

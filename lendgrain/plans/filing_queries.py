@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lendgrain import fixed_values as fv
 from lendgrain.functions import text as tx
 from lendgrain.operators import filings, financials
-from lendgrain.plans.bindings import AUDITORS, DOCS, FILINGS, View, auditors
+from lendgrain.plans.bindings import AUDITORS, DOCS, FILINGS, auditors
 from lendgrain.plans.registry import query
 
 WITH = f"WITH {FILINGS.cte}"

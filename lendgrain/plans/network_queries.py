@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lendgrain import fixed_values as fv
 from lendgrain.functions.party import with_party
 from lendgrain.operators import bank, network
-from lendgrain.plans.bindings import AUDITORS, AUDITORS_SQL, PARTY_SQL, TXNS, View, auditors
+from lendgrain.plans.bindings import AUDITORS_SQL, PARTY_SQL, TXNS, View, auditors
 from lendgrain.plans.registry import query
 
 LISTS = ", ".join("('{}', '{}')".format(t, f.replace("'", "''")) for t, f, _, _ in fv.AUDITOR_LISTS)

@@ -89,7 +89,6 @@ def claims(t):
     return verify.extract_claims(t["figs"], t["audit"], t["holding"], t["rating"], t["tone"], t["restated"])
 
 
-NUM = "printf('%,.1f', {})"
 CLAIMS = """claims AS (
 SELECT a.applicant_id, 'revenue' AS claim_id, CASE WHEN revenue > 0 THEN revenue ELSE 0.0 END AS num_value,
   CAST(NULL AS DOUBLE) AS second_value, CAST(NULL AS BOOLEAN) AS clean, CAST(NULL AS VARCHAR) AS rating,
