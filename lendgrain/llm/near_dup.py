@@ -6,12 +6,12 @@ pseudorandom bins meets first (optimal densification). ``ROWS`` bins make a band
 that agree in a band share a bucket. A link has a Jaccard similarity of at least ``percent``.
 
 Copies with equal shingle sets are folded first, so a group of copies costs one row.
-A bucket then proposes star-shaped edges: its first member to all others. Proposals are
-confirmed on the full sets. Where a bucket still spans several components, members outside
-that of the first one become centres too, twice as many each round, and are held against the
-members of other components only; the rounds end when no such pair is left. So no pair that
-shares a bucket is lost, and a bucket of m alike documents costs m - 1 pairs. A pair at the
-threshold shares no bucket with probability (1 - s ** ROWS) ** BANDS, 4e-5 at s = 0.85.
+A bucket then proposes star-shaped edges: its first member to all others, confirmed on the
+full sets. Where a bucket still spans several components, pairs across them are held against
+each other too, but only those that can link: shingles that no other document in such buckets
+has (counted with one aggregation) are shared with nobody, which bounds a pair's similarity.
+So no pair that shares a bucket is lost, and a bucket of m alike documents costs m - 1 pairs. A
+pair at the threshold shares no bucket with probability (1 - s ** ROWS) ** BANDS, 4e-5 at s = 0.85.
 
 Nulls, empty and blank texts have no shingles and link with nothing. Repeated rows of one
 doc_id are kept as rows and count as copies. Sets are compared by 64-bit shingle hashes.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.llm import words
@@ -130,22 +130,13 @@ def _confirm(percent: int):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of doc_ids whose full shingle sets reach the threshold."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = rows_of_ids(docs, ids, "doc_id").dropDuplicates(["doc_id"])
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def proposals(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a bucket's centres (key, a, n_a, c_a) and its members of other components."""
-    sized = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("a") != F.col("id"))
-    return (
-        members.join(centres, "key").filter(sized & (F.col("c") != F.col("c_a")))
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    )
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked doc_id) and kept."""
     docs = id_text(docs)
@@ -164,30 +155,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return members_of.select("doc_id", "n_shingles", smallest.alias("component_id"), (F.col("doc_id") == smallest).alias("kept"))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64())])
+    for piece, texts in words.cuts(batches):
+        owner, hashes = words.distinct(*words.shingles(texts))
+        yield words.table(schema, id=piece.column("doc_id").take(pa.array(owner)), shingle=hashes.view(np.int64))
+
+
+def own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a document no other one of ``ids`` has."""
+    texts = rows_of_ids(docs, ids.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    holders = texts.mapInArrow(_shingle_rows, "id long, shingle long").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    own = holders.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    return ids.join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def _labels(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, component_id) of the sets that link with another one."""
-    first = members.filter("id = first_id").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("id").alias("c_a"))
-    tested = settle(proposals(first, members.withColumn("c", F.col("id")), percent))
+    first = members.filter("id = first_id").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    sized = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("a") != F.col("id"))
+    tested = settle(members.join(first, "key").filter(sized).select("a", F.col("id").alias("b")).distinct())
     links = settle(confirmed(tested, docs, percent))
-    labels, width, done = settle(components(links)), 1, None
-    while True:
-        known = members.join(labels, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        firsts = known.filter("id = first_id").select("key", F.col("c").alias("c_first"))
-        open_members = known.join(firsts, "key").filter("c <> c_first").drop("c_first")
-        if done is not None:
-            open_members = open_members.join(done, ["key", "id"], "left_anti")
-        in_turn = Window.partitionBy("key").orderBy("id")
-        centres = settle(open_members.withColumn("rank", F.row_number().over(in_turn)).filter(F.col("rank") <= width)
-                         .select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")))
-        if centres.isEmpty():
-            return labels
-        held = centres.select("key", F.col("a").alias("id"))
-        done = held if done is None else settle(done.unionByName(held))
-        fresh = settle(proposals(centres, known, percent).join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            tested = tested.unionByName(fresh)
-            found = settle(confirmed(fresh, docs, percent))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = settle(components(links))
-        width *= 2
+    labels = settle(components(links))
+
+    known = members.join(labels, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    firsts = known.filter("id = first_id").select("key", F.col("c").alias("c_first"))
+    known = settle(known.join(firsts, "key"))
+    mixed = settle(known.filter("c <> c_first").select("key").distinct())
+    known = known.join(mixed, "key", "left_semi")
+    known = settle(known.join(own_shingles(settle(known.select("id").distinct()), docs), "id").withColumn("most", F.col("n") - F.col("own")))
+    outside = known.filter("c <> c_first").select(
+        "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("most").alias("most_a"))
+    shared = F.least("most", "most_a")
+    possible = (F.col("c") != F.col("c_a")) & (shared * 100 >= (F.col("n") + F.col("n_a") - shared) * percent)
+    once = (F.col("a") < F.col("id")) | (F.col("c") == F.col("c_first"))
+    rest = outside.join(known, "key").filter(possible & once).select(
+        F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    more = settle(confirmed(settle(rest.join(tested, ["a", "b"], "left_anti")), docs, percent))
+    return labels if more.isEmpty() else settle(components(links.unionByName(more)))
