@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendgrain.llm.quality_rules import let
 from lendgrain.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,19 +39,18 @@ def unit(*parts: Column | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts]), 11) / F.lit(float(2**53))
 
 
-def permuted(frame: DataFrame, at: str, n: str, key: str, out: str) -> DataFrame:
-    """Add ``out``: the place of ``at`` in a pseudorandom permutation of 0 .. n - 1 chosen by ``key``.
+def permuted(at: Column, n: Column, key: Column) -> Column:
+    """Place of ``at`` in a pseudorandom permutation of 0 .. n - 1 chosen by ``key``.
 
     Swap-or-not: in each round x and its mirror image about a keyed point change places or not,
     as a hash of the pair says; so each round is a bijection, for any n.
     """
-    frame = frame.withColumn(out, F.col(at))
-    for r in range(ROUNDS):
-        mirror = F.pmod(F.pmod(F.xxhash64(key, F.lit(r)), F.col(n)) - F.col(out), F.col(n))
-        frame = frame.withColumn("_mirror", mirror)
-        swap = F.xxhash64(key, F.lit(r + ROUNDS), F.greatest("_mirror", out)).bitwiseAND(F.lit(1)) == 1
-        frame = frame.withColumn(out, F.when(swap, F.col("_mirror")).otherwise(F.col(out)))
-    return frame.drop("_mirror")
+    def change(x: Column, r: Column) -> Column:
+        def swapped(mirror: Column) -> Column:
+            odd = F.xxhash64(key, r + ROUNDS, F.greatest(mirror, x)).bitwiseAND(F.lit(1)) == 1
+            return F.when(odd, mirror).otherwise(x)
+        return let(F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n), swapped)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), at.cast("long"), change)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -99,7 +99,7 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
     for side in ("low", "high"):
         # the stratum that an edge cuts goes to the lower source in as many shards as its share says
         keyed = shards.withColumn("_key", F.xxhash64(F.lit(seed), F.floor(side)))
-        keyed = permuted(keyed, "shard", "shards", "_key", "_turn")
+        keyed = keyed.withColumn("_turn", permuted(F.col("shard"), F.col("shards"), F.col("_key")))
         chance = (F.col("_turn") + unit(F.col("_key"), F.col("shard"))) / F.col("shards")
         taken = F.when(chance < F.col(side) - F.floor(side), F.lit(1)).otherwise(F.lit(0))
         shards = keyed.withColumn(side + "_slot", F.floor(side) + taken).drop("_key", "_turn")
@@ -111,8 +111,9 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
     each = each.withColumn("j", F.col("base") + F.col("i")).filter("j < most_slots")
     each = each.withColumn("_at", F.pmod("j", "blocks")).withColumn("_key", F.xxhash64(F.lit(seed), "rank", F.expr("j div blocks")))
-    return permuted(each, "_at", "blocks", "_key", "block").select(
-        "shard", (F.col("low_slot") + F.col("i")).alias("position"), "rank", "block")
+    return each.select(
+        "shard", (F.col("low_slot") + F.col("i")).alias("position"), "rank",
+        permuted(F.col("_at"), F.col("blocks"), F.col("_key")).alias("block"))
 
 
 def spans(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
