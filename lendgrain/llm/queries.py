@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lendgrain.llm import decontamination, mixing, near_dup, quality_rules
+from lendgrain.llm import decontamination, mixing, near_dup, quality_rules, substring_dedup
 from lendgrain.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -19,6 +19,11 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_repeated_substrings")
+def op8(spark, sf_dir):
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUALITY_RULES_SQL = r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
