@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = keyed.groupBy("key").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").drop("in_bucket")
     members = settle(keyed.join(shared, "key"))
-    labels = _labels(members, docs, percent)
+    labels = _labels(members, sets.select("id", "bands"), docs, percent)
     members_of = marked.join(sets.select(*one_set, "id"), one_set, "left").join(labels, "id", "left")
     smallest = F.coalesce("component_id", "id", "doc_id")
     return members_of.select("doc_id", "n_shingles", smallest.alias("component_id"), (F.col("doc_id") == smallest).alias("kept"))
@@ -171,7 +171,7 @@ def own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return ids.join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def _labels(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _labels(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, component_id) of the sets that link with another one."""
     first = members.filter("id = first_id").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"))
     sized = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("a") != F.col("id"))
@@ -185,12 +185,16 @@ def _labels(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     mixed = settle(known.filter("c <> c_first").select("key").distinct())
     known = known.join(mixed, "key", "left_semi")
     known = settle(known.join(own_shingles(settle(known.select("id").distinct()), docs), "id").withColumn("most", F.col("n") - F.col("own")))
+    known = settle(known.join(bands, "id"))
     outside = known.filter("c <> c_first").select(
-        "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("most").alias("most_a"))
+        "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("most").alias("most_a"),
+        F.col("bands").alias("bands_a"))
     shared = F.least("most", "most_a")
     possible = (F.col("c") != F.col("c_a")) & (shared * 100 >= (F.col("n") + F.col("n_a") - shared) * percent)
-    once = (F.col("a") < F.col("id")) | (F.col("c") == F.col("c_first"))
-    rest = outside.join(known, "key").filter(possible & once).select(
+    one_way = (F.col("a") < F.col("id")) | (F.col("c") == F.col("c_first"))
+    met = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True)  # the first bucket both are in
+    first_met = met == F.array_position(F.col("bands"), F.col("key"))
+    rest = outside.join(known, "key").filter(possible & one_way & first_met).select(
         F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     more = settle(confirmed(settle(rest.join(tested, ["a", "b"], "left_anti")), docs, percent))
     return labels if more.isEmpty() else settle(components(links.unionByName(more)))
