@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lendgrain.llm import decontamination, mixing, near_dup, quality_rules, substring_dedup
+from pyspark.sql import functions as F
+
+from lendgrain.llm import decontamination, line_dedup, mixing, near_dup, quality_rules, substring_dedup
 from lendgrain.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -19,6 +21,13 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_line_dedup")
+def op7(spark, sf_dir):
+    lines = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return lines.select(
+        "doc_id", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op8_repeated_substrings")
 def op8(spark, sf_dir):
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
