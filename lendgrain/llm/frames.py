@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,14 @@ def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def release(frame: DataFrame) -> DataFrame:
+    """Let go of finished shuffles. Their files stay until the driver has collected their handles, which
+    may be hours on a driver with little garbage; call it after ``settle`` of a large shuffle's outcome."""
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
+    return frame
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id reachable, for every id in ``links`` (a, b).
 
