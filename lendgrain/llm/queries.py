@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendgrain.llm import decontamination, line_dedup, mixing, near_dup, quality_rules, substring_dedup
+from lendgrain.llm import decontamination, line_dedup, mixing, near_dup, quality, quality_rules, substring_dedup, toxicity
 from lendgrain.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -21,6 +21,16 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_quality")
+def op6(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_line_dedup")
 def op7(spark, sf_dir):
     lines = line_dedup.deduplicated(table(spark, sf_dir, "documents"))

@@ -69,9 +69,9 @@ class Texts:
         """Text that each of some sorted byte positions lies in."""
         return np.repeat(np.arange(len(self)), np.diff(np.searchsorted(counts_from, self.edges)))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """First byte and end of every word."""
-        inside = ~IS_SPACE[self.data]
+    def words(self, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of every word, with a table of the bytes between words."""
+        inside = ~between[self.data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
