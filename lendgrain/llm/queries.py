@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendgrain.llm import decontamination, line_dedup, mixing, near_dup, quality, quality_rules, substring_dedup, toxicity
+from lendgrain.llm import decontamination, extraction, line_dedup, mixing, near_dup, quality, quality_rules, substring_dedup, toxicity
 from lendgrain.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -21,6 +21,12 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_main_text")
+def op4(spark, sf_dir):
+    texts = extraction.main_texts(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,7 +1,7 @@
 """A toxicity score by a counterfactual-regularised classifier.
 
-Features are the words of a text and the first ``STEM`` bytes of longer ones, present or absent,
-by hash. Those that tell the classes apart on the training sample are kept, with all identity
+Features are the words of a text and the first ``STEMS`` bytes of longer ones, by hash: whether
+they occur at all, twice or more, four times or more (``OFTEN``). Those that tell the classes apart on the training sample are kept, with all identity
 terms. Logistic regression is fitted with a penalty on score changes under swaps: in every
 training text that mentions an identity term, each mention is swapped for other terms (a neutral
 one among them) and the squared change of the logit is added to the loss. So a mention of a group
@@ -27,7 +27,8 @@ from lendgrain.llm.frames import id_text, small_batches
 from lendgrain.llm.labelled import held_out, training_labels
 from lendgrain.session import settle
 
-STEM, MAX_ROWS, MAX_FEATURES, LEAST_Z, SWAPS, THRESHOLD = 5, 8000, 4096, 4.0, 3, 0.5
+STEMS, OFTEN = (5, 7), (1, 2, 4)
+MAX_ROWS, MAX_FEATURES, LEAST_Z, SWAPS, THRESHOLD = 8000, 4096, 3.0, 3, 0.5
 
 # Words that name groups of people, the neutral ones last.
 IDENTITY_TERMS = [
@@ -42,13 +43,25 @@ NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 
 
 def features(texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of every distinct feature, sorted by text."""
+    """Text and hash of every distinct feature: words and stems that occur ``OFTEN`` times at least."""
     starts, ends = texts.words(NOT_LETTER)
     owner, sums = texts.owner(starts), texts.running()
-    stems = ends - starts > STEM
-    whole = texts.hashes(sums, starts, ends)
-    cut = texts.hashes(sums, starts[stems], starts[stems] + STEM) ^ words.PLACES[40]
-    return words.distinct(np.concatenate((owner, owner[stems])), np.concatenate((whole, cut)))
+    owners, found = [owner], [texts.hashes(sums, starts, ends)]
+    for k, stem in enumerate(STEMS):
+        longer = ends - starts > stem
+        owners.append(owner[longer])
+        found.append(texts.hashes(sums, starts[longer], starts[longer] + stem) ^ words.PLACES[40 + k])
+    owner, hashes = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(owner)))
+    owner, hashes = owner[first], hashes[first]
+    enough = [times >= n for n in OFTEN]
+    return (np.concatenate([owner[e] for e in enough]),
+            np.concatenate([hashes[e] ^ words.PLACES[50 + n] if n > 1 else hashes[e] for n, e in zip(OFTEN, enough)]))
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -89,6 +102,8 @@ def _rows(lookup: Lookup):
     def run(batches):
         for piece, texts in words.cuts(batches):
             owner, at = lookup(*features(texts))
+            order = np.argsort(owner, kind="stable")
+            owner, at = owner[order], at[order]
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
             yield words.table(schema, label=piece.column("label").cast(pa.int64()), at=pa.ListArray.from_arrays(offsets, at))
     return run
