@@ -155,6 +155,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return members_of.select("doc_id", "n_shingles", smallest.alias("component_id"), (F.col("doc_id") == smallest).alias("kept"))
 
 
+def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Rows of ``docs``, with all their columns, but those of a group's other doc_ids than the smallest.
+
+    Rows without doc_id stay, as nothing names them.
+    """
+    copies = settle(near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct())
+    return rows_of_ids(docs, copies, "doc_id", how="left_anti")
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64())])
     for piece, texts in words.cuts(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendgrain.llm import decontamination, extraction, line_dedup, mixing, near_dup, quality, quality_rules, substring_dedup, toxicity
+from lendgrain.llm import decontamination, extraction, line_dedup, mixing, near_dup, pii, quality, quality_rules, substring_dedup, toxicity
 from lendgrain.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -21,6 +21,11 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_personal_data")
+def op3(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op4_main_text")
 def op4(spark, sf_dir):
     texts = extraction.main_texts(table(spark, sf_dir, "pages"))
