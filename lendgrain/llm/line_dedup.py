@@ -127,7 +127,8 @@ def without_lines(text: Column, drop: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text`` and one more column, n_removed, the lines cut."""
+    """``docs`` with repeated lines cut from ``text``, and n_removed, the lines cut (in place of a column of that name)."""
+    docs = docs.drop("n_removed")
     gone = settle(repeated_lines(docs, min_chars))
     ids = gone.select("doc_id")
     kept = rows_of_ids(docs, ids, "doc_id", how="left_anti").withColumn("n_removed", F.lit(0).cast("long"))

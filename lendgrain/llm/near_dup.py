@@ -145,14 +145,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     one_set = ["n_shingles", "set_a", "set_b"]
     sets = marked.filter("n_shingles > 0").groupBy(*one_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     sets = settle(sets)
-    keyed = sets.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
+    keyed = sets.filter("id IS NOT NULL").select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = keyed.groupBy("key").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").drop("in_bucket")
     members = settle(keyed.join(shared, "key"))
     labels = _labels(members, sets.select("id", "bands"), docs, percent)
     members_of = marked.join(sets.select(*one_set, "id"), one_set, "left").join(labels, "id", "left")
     smallest = F.coalesce("component_id", "id", "doc_id")
-    return members_of.select("doc_id", "n_shingles", smallest.alias("component_id"), (F.col("doc_id") == smallest).alias("kept"))
+    return members_of.select("doc_id", "n_shingles", smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"))
 
 
 def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:

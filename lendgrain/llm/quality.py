@@ -139,12 +139,11 @@ def _equations(fourier: Fourier):
 
 def fit(known: DataFrame, features: int = FEATURES, ridge: float = RIDGE, bins: int = BINS, seed: int = SEED) -> Model:
     """Model from rows (x, label). The driver holds sums of ``features`` ** 2 and ``bins`` numbers."""
+    n, good = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if n == 0 or good in (0, n):
+        return Model(None, None, np.zeros(1), np.array([good / n if n else 0.5]))
     vector = array_to_vector("x")
-    first = known.agg(Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("std"),
-                      F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).first()
-    if first["n"] == 0 or first["good"] in (0, first["n"]):
-        share = 0.5 if first["n"] == 0 else first["good"] / first["n"]
-        return Model(None, None, np.zeros(1), np.array([share]))
+    first = known.agg(Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("std")).first()
     scale = np.array(first["std"])
     fourier = Fourier(np.array(first["mean"]), np.where(scale > 0, scale, 1.0), features, seed)
     rows = known.mapInArrow(_equations(fourier), "i long, row array<double>").groupBy("i").agg(
