@@ -507,6 +507,11 @@ COMPANY_SUFFIXES = [
 TICKER_NAMES = [("CDEL", "Coffee Day Enterprises"), ("TCS", "Tata Consultancy Services")]
 NOT_A_COMPANY = r"(?iu)(20\d{2}|\bFY\d{2}\b|Integrated|Statutory|Financial)"
 
+# White space of Unicode that ASCII patterns miss.
+UNICODE_SPACES = (
+    "\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- Text clean-up -------------------------------------------------------------------
 # Typographic characters and their plain forms.
 PLAIN_CHARACTERS = [

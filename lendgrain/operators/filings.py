@@ -26,8 +26,14 @@ def keys_of(frame: DataFrame) -> list[str]:
 
 
 def lowered(documents: DataFrame) -> DataFrame:
-    """Add the lowered text the patterns run on; offsets equal those of the text."""
-    return documents.withColumn(LOW, tx.same_length_lower(F.col(TEXT))).withColumn(LOW, without_marks(F.col(LOW)))
+    """Add the lowered text the patterns run on; offsets equal those of the text.
+
+    White space beyond ASCII, as in text from PDF files, becomes blanks, which the patterns know.
+    """
+    odd = F.col(LOW).rlike(f"[{fv.UNICODE_SPACES}]")
+    plain = F.when(odd, F.translate(LOW, fv.UNICODE_SPACES, " " * len(fv.UNICODE_SPACES))).otherwise(F.col(LOW))
+    return documents.withColumn(LOW, tx.same_length_lower(F.col(TEXT))).withColumn(LOW, plain).withColumn(
+        LOW, without_marks(F.col(LOW)))
 
 
 # --- Audit report --------------------------------------------------------------------
@@ -205,9 +211,13 @@ def rating_mentions(documents: DataFrame) -> DataFrame:
 
 
 def rating_status(documents: DataFrame) -> DataFrame:
-    """Last mention of a document, downgrade wording, and the rule either raises."""
-    col = F.col(TEXT)
-    usable, low = lowered(documents).filter(F.length(col) >= 100), F.col(LOW)
+    """Last mention of a document, downgrade wording, and the rule either raises.
+
+    Texts under 100 characters are not read; such a document has no rating and no rule.
+    """
+    col, low = F.col(TEXT), F.col(LOW)
+    short = F.coalesce(F.length(col), F.lit(0)) < 100
+    usable = lowered(documents.withColumn(TEXT, F.when(short, F.lit("")).otherwise(col)))
     last = F.try_element_at(_rating_array(), F.lit(-1))
     hit = F.coalesce(*[
         F.when(low.rlike(p), F.struct(

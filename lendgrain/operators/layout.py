@@ -219,7 +219,8 @@ def section_summary(sections: DataFrame) -> DataFrame:
 # --- Entity names --------------------------------------------------------------------
 def strip_suffixes(name: Column) -> Column:
     """Cut company suffixes and punctuation from the end until none is left."""
-    bare = sorted({s.rstrip(".").strip() for s in fv.COMPANY_SUFFIXES}, key=len, reverse=True)
+    # Dots at the end are trimmed before suffixes are looked for, so those with one never fit.
+    bare = sorted({s.strip() for s in fv.COMPANY_SUFFIXES if not s.endswith(".")}, key=len, reverse=True)
     words = "|".join(tx.quote(s) for s in bare)
     edge = F.lit(",.- ")
     return F.btrim(F.regexp_replace(F.btrim(name, edge), rf"(?iu)(?: (?:{words})[,.\- ]*)+$", ""), edge)

@@ -46,10 +46,11 @@ def screen_auditors(auditors: DataFrame, lists: DataFrame, most_broadcast: int =
     """Blacklist and watchlist screening by containment in either direction.
 
     Distinct names are screened once and the verdict is joined back, so a name shared
-    by many applicants costs one lookup.
+    by many applicants costs one lookup. Blank list entries match nothing, repeated ones
+    count once.
     """
     names = auditors.select(F.upper(F.trim("auditor")).alias("name")).filter("name <> ''").distinct()
-    records = lists.withColumn("key", F.upper(F.trim("firm")))
+    records = lists.withColumn("key", F.upper(F.trim("firm"))).filter("key <> ''").distinct()
     black, watch = F.col("list_type") == "BLACKLISTED", F.col("list_type") == "WATCHLIST"
     verdicts = _containment_join(names, records, most_broadcast).groupBy("name").agg(
         F.bool_or(black).alias("black"), F.bool_or(watch).alias("watch"), F.count(F.lit(1)).alias("n"))
@@ -233,7 +234,7 @@ def loan_purpose(applications: DataFrame, shares: DataFrame) -> DataFrame:
     """Stated purpose against where the money went.
 
     ``applications``: applicant_id, stated_purpose, activity; ``shares``: applicant_id,
-    category, pct.
+    category, pct. Applicants without spending rows are judged as spending nothing.
     """
     of = lambda name: F.coalesce(F.max(F.when(F.col("category") == name, F.col("pct"))), F.lit(0.0))
     spent = shares.groupBy("applicant_id").agg(
@@ -244,9 +245,10 @@ def loan_purpose(applications: DataFrame, shares: DataFrame) -> DataFrame:
     working = purpose.rlike("working capital|operational|manufacturing")
     related, estate = F.col("related") > 15, working & (F.col("property") > 10)
     vendors, loose = working & (F.col("vendors") < 35), F.col("unclassified") > 10
-    flag = lambda cond, name, severity, value, tail: F.when(cond, F.struct(
+    flag = lambda cond, name, severity, value, tail, head="": F.when(cond, F.struct(
         F.lit(name).alias("flag"), _literal(severity).alias("severity"),
-        F.concat(value.cast("string"), F.lit(tail)).alias("detail")))
+        F.concat(F.lit(head), value.cast("string"), F.lit(tail)).alias("detail"),
+        F.concat(value.cast("string"), F.lit("%")).alias("ground_truth_value")))
     flags = F.array_compact(F.array(
         flag(related, "HIGH_RELATED_PARTY_OUTFLOW", F.when(F.col("related") > 25, "HIGH").otherwise("MEDIUM"),
              F.col("related"), "% of bank outflows directed to related parties — inconsistent with stated working "
@@ -254,7 +256,7 @@ def loan_purpose(applications: DataFrame, shares: DataFrame) -> DataFrame:
         flag(estate, "FUND_DIVERSION_REAL_ESTATE", "HIGH", F.col("property"),
              "% of funds routed to real estate/property despite stated purpose being working capital"),
         flag(vendors, "LOW_OPERATIONAL_SPEND", "MEDIUM", F.col("vendors"),
-             "% of outflows to vendors/raw materials — expected >50% for genuine working capital usage"),
+             "% of outflows to vendors/raw materials — expected >50% for genuine working capital usage", "Only "),
         flag(loose, "HIGH_UNCLASSIFIED_OUTFLOWS", "MEDIUM", F.col("unclassified"),
              "% of outflows are unclassified or cash withdrawals — cannot verify end-use")))
     status = F.when(estate | (F.col("related") > 25), "MISMATCH").when(
@@ -263,9 +265,17 @@ def loan_purpose(applications: DataFrame, shares: DataFrame) -> DataFrame:
         "working capital|manufactur|operational")
     names = F.array_join(F.transform(F.slice("flags", 1, 2), lambda f: F.initcap(F.lower(
         F.replace(f["flag"], F.lit("_"), F.lit(" "))))), ", ")
-    return applications.join(spent, "applicant_id").select(
+    alignment = F.concat(
+        F.when(aligned, "Stated purpose consistent with MCA activity: '").otherwise(
+            "Stated purpose may not align with MCA activity: '"), F.initcap(activity), F.lit("'"))
+    use = F.array_sort(F.collect_list(F.struct((-F.col("pct")).alias("_order"), "category", F.col("pct").alias("percentage"))))
+    used = shares.groupBy("applicant_id").agg(F.transform(
+        use, lambda u: F.struct(u["category"].alias("category"), u["percentage"].alias("percentage"))).alias("fund_utilization"))
+    rated = applications.join(spent, "applicant_id", "left").fillna(
+        0.0, ["related", "property", "vendors", "unclassified"]).join(used, "applicant_id", "left")
+    return rated.select(
         "applicant_id", "stated_purpose", "activity", status.alias("overall_status"), flags.alias("flags"),
-        aligned.alias("aligned"),
+        aligned.alias("aligned"), alignment.alias("alignment_detail"), "fund_utilization",
         F.array_compact(F.array(F.when(status == "MISMATCH", "P-34"))).alias("triggered_rules"),
     ).withColumn("verdict", F.when(F.col("overall_status") == "MATCH", F.concat(
         F.lit("Fund utilization pattern is consistent with the stated purpose: '"), "stated_purpose", F.lit("'")))

@@ -367,15 +367,20 @@ def reconcile_gst_bank(applicants: DataFrame, gst: DataFrame, statement: DataFra
     ))
 
 
-def verify(claims: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
-    """All checks of all claims as rows."""
+def verify(claims: DataFrame, evidence: dict[str, DataFrame], applicants: DataFrame | None = None) -> DataFrame:
+    """All checks of all claims as rows.
+
+    GST and bank turnover are reconciled for every row of ``applicants`` (applicant_id), those
+    without a claim among them; without that list for the applicants with claims.
+    """
     e = evidence
+    everyone = claims if applicants is None else applicants
     return reduce(DataFrame.unionByName, [
         check_revenue(claims, e["statement"]), check_gst(claims, e["gst"]), check_profit(claims, e["benchmark"]),
         check_defaults(claims, e["bureau"], e["registry"]),
         check_concern(claims, e["news"], e["red_flags"], e["bureau"]), check_rating(claims, e["bureau"]),
         check_litigation(claims, e["courts"], e["registry"]), check_promoter(claims), check_outlook(claims, e["site"]),
-        reconcile_gst_bank(claims, e["gst"], e["statement"]),
+        reconcile_gst_bank(everyone, e["gst"], e["statement"]),
     ])
 
 

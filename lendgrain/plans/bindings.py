@@ -1,8 +1,9 @@
 """Portfolio views over the supplied tables.
 
 Each view is one select list both Spark and the checking engine read, so a query and
-its check start from the same rows. Views only rename, derive and add passages; every
-one of them reads its whole table.
+its check start from the same rows. Views only rename, derive and add passages over
+their whole table. A ``where`` stands only where missing rows are the subject, as in
+the fallback for applicants that a feed does not know.
 """
 
 from __future__ import annotations

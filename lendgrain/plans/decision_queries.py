@@ -17,7 +17,7 @@ RAISED = View("raised", "orders", (
     "'P-' || lpad(CAST(o_orderkey % 36 + 1 AS STRING), 2, '0') AS rule_id",
     "CASE o_orderstatus WHEN 'F' THEN 'site' WHEN 'O' THEN 'bank' ELSE 'registry' END AS source",
     "CAST(o_orderkey AS BIGINT) AS source_ord",
-), where="o_orderpriority <> '5-LOW'")
+))
 # Per-customer signals for the threshold triggers.
 SIGNALS = View("signals_raw", "orders", (
     "o_custkey AS applicant_id", "CAST(round(o_totalprice * 100) AS BIGINT) AS cents", "o_orderstatus AS st",

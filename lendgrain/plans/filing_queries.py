@@ -178,8 +178,7 @@ def rating_mentions(spark, sf_dir):
 
 
 @query("rating_status", f"""{WITH}, {RATED},
-d AS (SELECT doc_id, applicant_id, fiscal_year, {any_match(fv.DOWNGRADE_PATTERNS)} AS down FROM filings
-  WHERE length(text) >= 100),
+d AS (SELECT doc_id, applicant_id, fiscal_year, length(text) >= 100 AND {any_match(fv.DOWNGRADE_PATTERNS)} AS down FROM filings),
 l AS (SELECT doc_id, arg_max(grade, strpos(text, m)) AS grade, arg_max(agency, strpos(text, m)) AS agency FROM valid GROUP BY 1)
 SELECT d.doc_id, applicant_id, fiscal_year, agency AS latest_agency, grade AS latest_rating,
   CASE WHEN grade IS NOT NULL THEN 'Stable' END AS latest_outlook, grade IN ({GOOD}) AS is_investment_grade,

@@ -9,6 +9,7 @@ from lendgrain.functions.party import with_party
 from lendgrain.operators import bank, network
 from lendgrain.plans.bindings import AUDITORS_SQL, PARTY_SQL, TXNS, View, auditors
 from lendgrain.plans.registry import query
+from lendgrain.session import settle
 
 LISTS = ", ".join("('{}', '{}')".format(t, f.replace("'", "''")) for t, f, _, _ in fv.AUDITOR_LISTS)
 
@@ -19,19 +20,22 @@ h AS (SELECT a.applicant_id, a.fiscal_year, a.auditor, count(l.firm) AS records,
   FROM auditors a LEFT JOIN lists l ON a.auditor <> '' AND (contains(upper(a.auditor), upper(l.firm))
     OR contains(upper(l.firm), upper(a.auditor))) GROUP BY 1, 2, 3)
 SELECT *, CASE WHEN auditor = '' THEN 'NOT_CHECKED' WHEN blacklisted THEN 'BLACKLISTED' WHEN watchlisted THEN 'WATCHLIST'
-  ELSE 'CLEAR' END AS status FROM h""")
+  ELSE 'CLEAR' END AS status, CASE WHEN auditor = '' THEN 'No auditor name extracted from annual report'
+  WHEN blacklisted THEN 'ALERT: ' || auditor || ' appears on institutional blacklist'
+  WHEN watchlisted THEN 'NOTICE: ' || auditor || ' is on enhanced monitoring watchlist'
+  ELSE auditor || ' — no adverse records found in institutional memory' END AS message FROM h""")
 def screened_auditors(spark, sf_dir):
     lists = spark.createDataFrame(fv.AUDITOR_LISTS, fv.AUDITOR_LIST_SCHEMA)
-    return network.screen_auditors(auditors(spark, sf_dir), lists).drop("message")
+    return network.screen_auditors(auditors(spark, sf_dir), lists)
 
 
-# Registry: one record per customer; the parties of the statements are its names.
+# Registry: one record per customer; the parties of the statements are its names, but for renamed ones.
 REGISTRY = View("registry", "customer", (
-    "'Party-' || CAST(c_custkey AS STRING) AS name", "'CIN' || CAST(c_custkey AS STRING) AS cin",
+    "CASE WHEN c_custkey % 5 = 2 THEN 'Former ' ELSE '' END || 'Party-' || CAST(c_custkey AS STRING) AS name", "'CIN' || CAST(c_custkey AS STRING) AS cin",
     "CASE c_custkey % 6 WHEN 0 THEN 'Struck Off' WHEN 3 THEN 'Dormant' ELSE 'Active' END AS company_status",
     "CASE WHEN c_custkey % 7 = 0 THEN 'c/o Virtual Office ' ELSE 'Plot ' END || CAST(c_nationkey AS STRING) AS registered_address",
     "abs(c_acctbal) * 100 AS paid_up_capital",
-    "'Director ' || CAST(c_custkey % 40 AS STRING) || ' ' || c_mktsegment AS director"), where="c_custkey % 5 <> 2")
+    "'Director ' || CAST(c_custkey % 40 AS STRING) || ' ' || c_mktsegment AS director"))
 VOLUMES = f"""WITH {TXNS.cte}, {PARTY_SQL}, {REGISTRY.cte}, v AS (SELECT applicant_id, party, sum(debit) AS d, sum(credit) AS c,
   count(*) AS n, min(seq) AS s FROM txnp WHERE party IS NOT NULL GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY applicant_id ORDER BY d + c DESC, s) AS rk FROM v) WHERE rk <= 10),
@@ -92,25 +96,24 @@ def relationship_flags(spark, sf_dir):
     return relations(spark, sf_dir)
 
 
-# Money graph per market segment: customer nation pays supplier nation, above a threshold.
-EDGES = """edges AS (SELECT CAST(length(c_mktsegment) AS BIGINT) AS applicant_id, c_mktsegment AS seg,
+# Money graph per market segment: customer nation pays supplier nation.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SEGMENT_SQL = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN {i + 1}" for i, s in enumerate(SEGMENTS)) + " ELSE 0 END"
+EDGES = f"""flow AS (SELECT CAST({SEGMENT_SQL} AS BIGINT) AS applicant_id,
   CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS value
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 30 GROUP BY ALL),
-seg AS (SELECT dense_rank() OVER (ORDER BY seg) AS applicant_id, src, dst, value FROM edges),
-flow AS (SELECT applicant_id, src, dst, value FROM seg WHERE src <> dst AND (src * 7 + dst * 3 + applicant_id) % 4 < 2),
+  JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
 lo AS (SELECT applicant_id, [src, dst] AS path, least(f.value, b.value) AS loop_value FROM flow f
     JOIN (SELECT applicant_id, src AS dst, dst AS src, value FROM flow) b USING (applicant_id, src, dst) WHERE src = applicant_id
   UNION ALL SELECT a.applicant_id, [a.src, a.dst, m.dst], least(a.value, m.value, z.value) FROM flow a
     JOIN flow m ON m.applicant_id = a.applicant_id AND m.src = a.dst AND m.dst <> a.src
     JOIN flow z ON z.applicant_id = a.applicant_id AND z.src = m.dst AND z.dst = a.src WHERE a.src = a.applicant_id)"""
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def flow_edges(spark, sf_dir):
     read = lambda name, *cols: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
-    lines = read("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity").filter("l_quantity > 30")
+    lines = read("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice")
     customers = read("customer", "c_custkey", "c_mktsegment", "c_nationkey")
     # Customers of an order first, so that only two narrow columns travel on with the lines.
     buyers = read("orders", "o_orderkey", "o_custkey").join(
@@ -119,15 +122,13 @@ def flow_edges(spark, sf_dir):
     paid = sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
         "c_mktsegment", "c_nationkey", "s_nationkey").agg(
             F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double").alias("value"))
-    segments = paid.select("c_mktsegment").distinct()
-    numbered = segments.withColumn("applicant_id", F.expr("dense_rank() OVER (ORDER BY c_mktsegment)").cast("bigint"))
-    return paid.join(numbered, "c_mktsegment").select(
-        "applicant_id", F.col("c_nationkey").cast("bigint").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst"),
-        "value").filter("src <> dst AND (src * 7 + dst * 3 + applicant_id) % 4 < 2")
+    return paid.filter("c_nationkey <> s_nationkey").select(
+        F.expr(SEGMENT_SQL).cast("bigint").alias("applicant_id"), F.col("c_nationkey").cast("bigint").alias("src"),
+        F.col("s_nationkey").cast("bigint").alias("dst"), "value")
 
 
 def loops(spark, sf_dir):
-    edges = flow_edges(spark, sf_dir)
+    edges = settle(flow_edges(spark, sf_dir))  # a row per segment and pair of nations at most, read four times
     anchors = edges.select("applicant_id").distinct().withColumn("node", F.col("applicant_id"))
     return network.circular_loops(edges, anchors)
 
@@ -158,7 +159,7 @@ def network_rules(spark, sf_dir):
 # Flags on statement counterparties: each transaction of an odd counterparty is one.
 TOUCHED = """touched AS (SELECT applicant_id, CASE WHEN seq % 50 = 1 THEN 'circular_loop' ELSE 'same_address' END AS flag_type,
   CASE seq % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
-  'APPLICANT' AS entity_a, party AS entity_b FROM txnp WHERE party IS NOT NULL AND seq % 10 IN (1, 4)),
+  'APPLICANT' AS entity_a, party AS entity_b FROM txnp WHERE party IS NOT NULL),
 seen AS (SELECT applicant_id, entity_b AS party, count(*) AS flag_count, bool_or(flag_type = 'circular_loop') AS in_loop,
   ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][min(list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity))] AS worst FROM touched
   GROUP BY 1, 2),
@@ -167,7 +168,7 @@ risk AS (SELECT s.applicant_id, s.party, len(why) > 0 AS is_shell_suspect, regis
 
 
 def touched(spark, sf_dir):
-    return with_party(TXNS.frame(spark, sf_dir)).filter("party IS NOT NULL AND seq % 10 IN (1, 4)").select(
+    return with_party(TXNS.frame(spark, sf_dir)).filter("party IS NOT NULL").select(
         "applicant_id", F.when(F.col("seq") % 50 == 1, "circular_loop").otherwise("same_address").alias("flag_type"),
         F.element_at(F.array(*map(F.lit, ["LOW", "CRITICAL", "MEDIUM", "HIGH"])), (F.col("seq") % 4 + 1).cast("int"))
         .alias("severity"), F.lit("APPLICANT").alias("entity_a"), F.col("party").alias("entity_b"))
@@ -270,20 +271,40 @@ def spending_shares(spark, sf_dir):
   f"coalesce(max(CASE WHEN category = '{c}' THEN pct END), 0) AS {a}" for c, a in [
     ("Related Party Transfers", "rel"), ("Real Estate / Property", "est"), ("Vendor Payments (Raw Materials)", "ven"),
     ("Unclassified / Cash Withdrawals", "unc")])} FROM shares GROUP BY 1),
-j AS (SELECT a.*, w.* EXCLUDE (applicant_id), regexp_matches(lower(stated_purpose), 'working capital|operational|manufacturing') AS wc
-  FROM apps a JOIN w USING (applicant_id)),
+j AS (SELECT a.*, coalesce(w.rel, 0.0::DOUBLE) AS rel, coalesce(w.est, 0.0::DOUBLE) AS est, coalesce(w.ven, 0.0::DOUBLE) AS ven,
+  coalesce(w.unc, 0.0::DOUBLE) AS unc, regexp_matches(lower(stated_purpose), 'working capital|operational|manufacturing') AS wc
+  FROM apps a LEFT JOIN w USING (applicant_id)),
 s AS (SELECT *, CASE WHEN (wc AND est > 10) OR rel > 25 THEN 'MISMATCH' WHEN rel > 15 OR (wc AND ven < 35) OR unc > 10
-  THEN 'PARTIAL_MISMATCH' ELSE 'MATCH' END AS overall_status FROM j)
-SELECT applicant_id, stated_purpose, activity, overall_status, concat_ws(',', CASE WHEN rel > 25 THEN 'HIGH_RELATED_PARTY_OUTFLOW/HIGH'
-  WHEN rel > 15 THEN 'HIGH_RELATED_PARTY_OUTFLOW/MEDIUM' END, CASE WHEN wc AND est > 10 THEN 'FUND_DIVERSION_REAL_ESTATE/HIGH' END,
-  CASE WHEN wc AND ven < 35 THEN 'LOW_OPERATIONAL_SPEND/MEDIUM' END, CASE WHEN unc > 10 THEN 'HIGH_UNCLASSIFIED_OUTFLOWS/MEDIUM' END)
-  AS flags, regexp_matches(lower(activity), 'textile|manufactur|steel|chemical|pharma') AND regexp_matches(lower(stated_purpose),
-  'working capital|manufactur|operational') AS aligned, CASE WHEN overall_status = 'MISMATCH' THEN 'P-34' ELSE '' END AS triggered_rules
-FROM s""")
+  THEN 'PARTIAL_MISMATCH' ELSE 'MATCH' END AS overall_status,
+  regexp_matches(lower(activity), 'textile|manufactur|steel|chemical|pharma') AND regexp_matches(lower(stated_purpose),
+  'working capital|manufactur|operational') AS aligned FROM j)
+, f AS (SELECT applicant_id, stated_purpose, activity, overall_status, concat_ws(',',
+  CASE WHEN rel > 15 THEN 'HIGH_RELATED_PARTY_OUTFLOW/' || CASE WHEN rel > 25 THEN 'HIGH' ELSE 'MEDIUM' END || '/' || rel ||
+    '% of bank outflows directed to related parties — inconsistent with stated working capital purpose/' || rel || '%' END,
+  CASE WHEN wc AND est > 10 THEN 'FUND_DIVERSION_REAL_ESTATE/HIGH/' || est ||
+    '% of funds routed to real estate/property despite stated purpose being working capital/' || est || '%' END,
+  CASE WHEN wc AND ven < 35 THEN 'LOW_OPERATIONAL_SPEND/MEDIUM/Only ' || ven ||
+    '% of outflows to vendors/raw materials — expected >50% for genuine working capital usage/' || ven || '%' END,
+  CASE WHEN unc > 10 THEN 'HIGH_UNCLASSIFIED_OUTFLOWS/MEDIUM/' || unc ||
+    '% of outflows are unclassified or cash withdrawals — cannot verify end-use/' || unc || '%' END)
+  AS flags, list_filter([CASE WHEN rel > 15 THEN 'High Related Party Outflow' END, CASE WHEN wc AND est > 10 THEN 'Fund Diversion Real Estate' END,
+    CASE WHEN wc AND ven < 35 THEN 'Low Operational Spend' END, CASE WHEN unc > 10 THEN 'High Unclassified Outflows' END],
+    lambda x: x IS NOT NULL)[1:2] AS top, CASE overall_status
+  WHEN 'MATCH' THEN 'Fund utilization pattern is consistent with the stated purpose: ''' || stated_purpose || ''''
+  WHEN 'PARTIAL_MISMATCH' THEN 'Partial concerns detected — ' || array_to_string(top, ', ') || '. Recommend enhanced monitoring of fund end-use.'
+  ELSE 'Significant fund diversion signals — ' || array_to_string(top, ', ') || '. Recommend end-use audit before disbursement.' END AS verdict,
+  (SELECT array_to_string(list(category || ':' || pct ORDER BY pct DESC, category), ',') FROM shares WHERE shares.applicant_id = s.applicant_id)
+    AS fund_utilization,
+  CASE WHEN aligned THEN 'Stated purpose consistent with MCA activity: ''' ELSE 'Stated purpose may not align with MCA activity: ''' END
+    || CASE activity WHEN 'Manufacture of textiles' THEN 'Manufacture Of Textiles' WHEN 'Steel trade' THEN 'Steel Trade'
+      ELSE activity END || '''' AS alignment_detail, aligned, CASE WHEN overall_status = 'MISMATCH' THEN 'P-34' ELSE '' END AS triggered_rules
+FROM s) SELECT * EXCLUDE (top) FROM f""")
 def loan_purpose(spark, sf_dir):
     found = network.loan_purpose(APPLICATIONS.frame(spark, sf_dir), spending_shares(spark, sf_dir))
-    return found.drop("verdict").withColumns({
-        "flags": F.array_join(F.transform("flags", lambda f: F.concat(f["flag"], F.lit("/"), f["severity"])), ","),
+    return found.withColumns({
+        "flags": F.array_join(F.transform("flags", lambda f: F.concat_ws(
+            "/", f["flag"], f["severity"], f["detail"], f["ground_truth_value"])), ","),
+        "fund_utilization": F.array_join(F.transform("fund_utilization", lambda u: F.concat_ws(":", u["category"], u["percentage"])), ","),
         "triggered_rules": F.array_join("triggered_rules", ",")})
 
 

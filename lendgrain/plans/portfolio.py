@@ -65,14 +65,14 @@ def appraise(
         **evidence, "statement": settle(statement.join(counted, "applicant_id", "left")),
         "site": site.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("site_findings"))}
     claims = settle(verify.extract_claims(read, audit, holding, rating, tone, restated))
-    checks = settle(verify.verify(claims, seen))
+    applicants = settle(reduce(DataFrame.union, [f.select("applicant_id") for f in (moves, scans, notes)]).distinct())
+    checks = settle(verify.verify(claims, seen, applicants))
     verdicts = verify.roll_up(checks)
     triggers = decision.union_triggers(
         decision.derive_triggers(gst=evidence["gst"], audit=audit, restated=restated, news=evidence["news"]),
         found_rules("site", site), found_rules("bank", banked),
         rules_of("shareholding", holding), rules_of("tone", tone), rules_of("rating", rating),
         rules_of("collateral", pledged), rules_of("verification", verify.verification_rules(verdicts)))
-    applicants = reduce(DataFrame.union, [f.select("applicant_id") for f in (moves, scans, notes)]).distinct()
     return {
         "applicants": applicants, "audit": audit, "holding": holding, "rating": rating, "tone": tone,
         "collateral": pledged, "restated": restated, "site": site, "statement": statement, "claims": claims,

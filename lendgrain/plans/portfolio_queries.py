@@ -228,12 +228,13 @@ def memo_proposal(spark, sf_dir):
     return memo.proposal_rows(dq.decisions(spark, sf_dir))
 
 
-@query("memo_banking", f"""WITH {TXNS.cte}, s AS (SELECT applicant_id, count(*) AS n, CAST(sum(credit) AS BIGINT) AS c, CAST(sum(debit) AS BIGINT) AS d
-  FROM txns GROUP BY 1), r(line, item) AS (VALUES (20, 'Transactions Analyzed'), (21, 'Total Credits'), (22, 'Total Debits'))
+@query("memo_banking", f"""WITH {TXNS.cte}, s AS (SELECT applicant_id, count(*) AS n, CAST(sum(credit) AS BIGINT) AS c, CAST(sum(debit) AS BIGINT) AS d,
+  CAST(round(round(coalesce(avg(nullif(balance, 0)), 0), 2)) AS BIGINT) AS b FROM txns GROUP BY 1), r(line, item) AS (VALUES (20, 'Transactions Analyzed'), (21, 'Total Credits'), (22, 'Total Debits'),
+  (23, 'Average Monthly Balance'))
 SELECT applicant_id, 3 AS section, line, item, CASE line WHEN 20 THEN CAST(n AS VARCHAR) WHEN 21 THEN '₹' || format('{{:,}}', c)
-  ELSE '₹' || format('{{:,}}', d) END AS value FROM s CROSS JOIN r""")
+  WHEN 22 THEN '₹' || format('{{:,}}', d) ELSE '₹' || format('{{:,}}', b) END AS value FROM s CROSS JOIN r""")
 def memo_banking(spark, sf_dir):
-    return memo.banking_rows(bank.statement_summary(TXNS.frame(spark, sf_dir))).filter("line < 23")
+    return memo.banking_rows(bank.statement_summary(TXNS.frame(spark, sf_dir)))
 
 
 @query("memo_counterparties", f"""{nq.VOLUMES}, {nq.TOUCHED}, fc AS (SELECT applicant_id, count(*) AS flags,

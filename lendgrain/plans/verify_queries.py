@@ -52,12 +52,11 @@ DERIVED = {
 }
 DERIVED_SQL = ", ".join(
     f"{name} AS (SELECT applicant_id, {columns} FROM facts WHERE {where})" for name, (columns, where) in DERIVED.items())
-# Red-flag articles: every other order of a customer is one.
+# Red-flag articles: every order of a customer is one.
 ARTICLES = View("articles", "orders", (
     "o_custkey AS applicant_id",
     "CASE o_orderkey % 31 WHEN 0 THEN 'NCLT admits plea' WHEN 4 THEN 'Winding up petition' ELSE 'Probe widens' END AS headline",
-    "CASE WHEN o_orderkey % 37 = 2 THEN 'Fears of closure' ELSE 'Shares fall' END AS summary"),
-    where="o_orderkey % 2 = 0")
+    "CASE WHEN o_orderkey % 37 = 2 THEN 'Fears of closure' ELSE 'Shares fall' END AS summary"))
 BASE = f"WITH {FACT_SQL}, {DERIVED_SQL}, {ARTICLES.cte}"
 
 

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD_BYTES = 256 << 20
+
+
 def build_session(app: str = "lendgrain", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session with the adaptive settings the operators are designed for.
 
@@ -56,10 +59,13 @@ def settle(frame: DataFrame) -> DataFrame:
 
 
 def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that arrives in fewer splits than there are cores.
+    """Give every core a share of a small table with costly rows.
 
-    Meant for small inputs with costly rows. A table with as many splits as cores, as
-    any large one has, is returned as it is, without a shuffle. ``key`` should be unique.
+    A single file may hold all rows in one row group, which Spark cannot split. Tables of
+    more than ``SPREAD_BYTES`` have many, and are returned as they are, however many cores
+    there are. ``key`` should be unique.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return frame
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism, key)

@@ -57,19 +57,21 @@ def applicant_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d+)[^/]*$", 1).try_cast("bigint")
 
 
-def read_statements(spark: SparkSession, *paths: str) -> DataFrame:
+def read_statements(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
     """Statement CSV files; the applicant comes from the file name, the order from the file.
 
     Spark gives all files of one path the header of the first, so each path stands for
-    one header style (one bank); further styles are further paths.
+    one header style (one bank); further styles are further paths, and come after it.
+    ``multi_line`` allows line breaks in quoted fields, at the cost of a task per file.
     """
-    def one(number: int, path: str) -> DataFrame:
-        raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-        # Row numbers of a path stay below 2^58; the path number goes above them.
-        row = F.monotonically_increasing_id() + F.lit(number << 58)
-        return parse_statements(raw.withColumns({"applicant_id": applicant_of(F.col("_metadata.file_name")), "seq": row}))
-
-    return reduce(DataFrame.unionByName, [one(n, p) for n, p in enumerate(paths)])
+    def one(path: str) -> DataFrame:
+        raw = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
+        return parse_statements(raw.withColumns({
+            "applicant_id": applicant_of(F.col("_metadata.file_name")), "seq": F.lit(0).cast("bigint")}))
+
+    # A union keeps the order of its parts' partitions, so one numbering spans all paths.
+    every = reduce(DataFrame.unionByName, [one(p) for p in paths])
+    return every.withColumn("seq", F.monotonically_increasing_id())
 
 
 def explode_statements(statements: DataFrame) -> DataFrame:

@@ -118,3 +118,35 @@ def test_screening_is_the_same_with_and_without_broadcast(spark):
     status = {r.applicant_id: r.status for r in network.screen_auditors(auditors, lists).collect()}
     assert status == {0: "WATCHLIST", 1: "WATCHLIST", 2: "BLACKLISTED", 3: "WATCHLIST", 4: "NOT_CHECKED", 5: "NOT_CHECKED",
                       6: "BLACKLISTED", 7: "CLEAR"}
+
+
+def test_screening_ignores_blank_and_repeated_list_entries(spark):
+    auditors = spark.createDataFrame(
+        [(n, "FY1", a) for n, a in enumerate(["Rao & Co LLP", "Kay", "Unknown Firm", "A"])], "applicant_id long, fiscal_year string, auditor string")
+    lists = spark.createDataFrame(
+        [("WATCHLIST", "Rao & Co", "INFO", "")] * 2 + [("BLACKLISTED", "  ", "HIGH", ""), ("BLACKLISTED", "", "HIGH", ""), ("BLACKLISTED", None, "HIGH", ""),
+         ("BLACKLISTED", "Kay Brothers Chartered Accountants", "HIGH", "")], "list_type string, firm string, severity string, reason string")
+    rows = [{r.applicant_id: (r.status, r.records) for r in network.screen_auditors(auditors, lists, most).collect()} for most in (100, 0)]
+    assert rows[0] == rows[1] == {0: ("WATCHLIST", 1), 1: ("BLACKLISTED", 1), 2: ("CLEAR", 0), 3: ("BLACKLISTED", 2)}
+
+
+def test_purpose_of_an_applicant_without_spending(spark):
+    applications = spark.createDataFrame([(1, "Working capital", "textile mill")], "applicant_id long, stated_purpose string, activity string")
+    row = network.loan_purpose(applications, spark.createDataFrame([], "applicant_id long, category string, pct double")).first()
+    assert row.overall_status == "PARTIAL_MISMATCH" and row.flags[0].detail.startswith("Only 0.0% of outflows") and row.fund_utilization is None
+
+
+def test_reconciliation_covers_applicants_without_claims(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    claims = empty("applicant_id long, claim_id string, claim_text string, num_value double, second_value double, clean boolean, "
+                   "rating string, label string, confidence string")
+    gst = spark.createDataFrame([(7, 3.0, 10.0, "Regular")], "applicant_id long, mismatch_pct double, turnover_cr double, filing_consistency string")
+    statement = spark.createDataFrame([(7, 5, 2.0e7, 0)], "applicant_id long, total_transactions long, total_credits double, cash_spikes long")
+    evidence = {
+        "gst": gst, "statement": statement, "benchmark": empty("applicant_id long, sector string, deviation_pct double"),
+        "bureau": empty("applicant_id long, dpd_30 long, dpd_90 long, suit_filed_cr double, credit_score long, bureau_rating string"),
+        "registry": empty("applicant_id long, director_disqualified boolean, epfo_compliance string, active_litigations array<string>"),
+        "news": empty("applicant_id long, adverse_media_detected boolean"), "red_flags": empty("applicant_id long, headline string, summary string"),
+        "courts": empty("applicant_id long, cases_found long, high_risk_cases long"), "site": empty("applicant_id long, site_findings long")}
+    checks = verify.verify(claims, evidence, gst.select("applicant_id")).collect()
+    assert [(r.applicant_id, r.status) for r in checks] == [(7, "MISMATCH")]

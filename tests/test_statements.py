@@ -147,3 +147,13 @@ def test_each_path_keeps_its_own_header(spark, tmp_path):
     (tmp_path / "b" / "3_y.csv").write_text("Narration,Deposit,ValueDate\ntwo,9,2024-01-06\n")
     rows = statements.read_statements(spark, str(tmp_path / "a"), str(tmp_path / "b")).orderBy("seq").collect()
     assert [(r.applicant_id, r.description, r.debit, r.credit) for r in rows] == [(3, "one", 7.0, 0.0), (3, "two", 0.0, 9.0)]
+
+
+def test_many_statement_paths_are_read_in_order(spark, tmp_path):
+    paths = []
+    for n in range(40):
+        paths.append(f"{tmp_path}/{n % 3:05d}_bank{n:02d}.csv")
+        with open(paths[-1], "w") as out:
+            out.write(f"Date,Description,Debit,Credit,Balance\n01-01-2024,first {n},1,,5\n02-01-2024,second {n},,2,7\n")
+    rows = statements.read_statements(spark, *paths).orderBy("seq").collect()
+    assert [r.description for r in rows] == [f"{w} {n}" for n in range(40) for w in ("first", "second")]

@@ -187,3 +187,23 @@ def test_phrases_of_the_dictionaries(spark):
     row = prose.ambidexterity(docs(spark, "R&D on a new product; clinical trial in Phase I/II. We optimize production.")).first()
     assert row.exploitation_frequency == 2
     assert {k.keyword for k in row.top_exploration_keywords} == {"R&D", "new product", "clinical trial", "Phase I", "Phase I/II"}
+
+
+def test_no_break_spaces_match_as_blanks(spark):
+    text = "Revenue from operations was 12,345.50 Cr. " + "x " * 60
+    plain = text.replace(" ", "\u00a0", 3)
+    rows = spark.createDataFrame([(1, 1, "FY1", text), (2, 2, "FY1", plain)], "doc_id long, applicant_id long, fiscal_year string, text string")
+    found = {r.doc_id: (r.figure, r.value, r.confidence_score) for r in filings.extract_figures(rows).collect()}
+    assert found[1] == found[2]
+
+
+def test_short_documents_keep_a_rating_row(spark):
+    rows = spark.createDataFrame([(1, "short"), (2, None), (3, "rated CRISIL BB- " + "x " * 60)], "doc_id long, text string")
+    found = {r.doc_id: (r.latest_rating, r.downgrade_detected, r.triggered_rules) for r in filings.rating_status(rows).collect()}
+    assert found[1] == found[2] == (None, False, []) and found[3][0] == "BB-"
+
+
+def test_company_suffixes_are_cut_after_dots(spark):
+    names = ["Foo Pvt. Ltd.", "Foo Pvt Ltd", "Foo Private Limited.", "Foo Corp. Inc", "Foo"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select(layout.strip_suffixes(F.col("name")).alias("n")).collect()
+    assert [r.n for r in rows] == ["Foo Pvt", "Foo", "Foo", "Foo", "Foo"]
