@@ -98,13 +98,16 @@ def yoy_trend(figures: DataFrame, band: float = 5.0) -> DataFrame:
 
 
 def latest_year(scans: DataFrame) -> DataFrame:
-    """Year label from the upload field name; the last label in text order is the current one."""
+    """Year label from the upload field name; the last label in text order is the current one.
+
+    Of several files of that year the last name is taken.
+    """
     label = F.when(F.col("field").contains("_"), F.upper(F.split_part("field", F.lit("_"), F.lit(2)))).otherwise(
         "LATEST")
     uploads = scans.filter(F.col("field").startswith("file") & (F.length("file_name") > 0))
     return uploads.withColumn("fiscal_year", label).groupBy("applicant_id").agg(
-        F.max("fiscal_year").alias("latest_year"), F.max_by("file_name", "fiscal_year").alias("file_name"),
-        F.count_distinct("fiscal_year").alias("years"))
+        F.max(F.struct("fiscal_year", "file_name")).alias("k"), F.count_distinct("fiscal_year").alias("years"),
+    ).select("applicant_id", F.col("k.fiscal_year").alias("latest_year"), F.col("k.file_name").alias("file_name"), "years")
 
 
 def ratios(figures: DataFrame, least_revenue: float = 100.0) -> DataFrame:

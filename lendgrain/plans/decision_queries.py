@@ -31,10 +31,11 @@ SIGNAL_SQL = SIGNALS.cte + """, signals AS (SELECT applicant_id, CAST(sum(cents)
   FROM signals_raw GROUP BY applicant_id)"""
 
 RULE_ROWS = ", ".join(
-    "('{}', '{}', {}, {}, {}, '{}')".format(r[0], r[1].replace("'", "''"), r[2], r[3], "true" if r[4] else "false",
-                                         r[6].replace("'", "''"))
+    "('{}', '{}', {}, {}, {}, {}, '{}')".format(
+        r[0], r[1].replace("'", "''"), r[2], r[3], "true" if r[4] else "false", f"'{r[5]}'" if r[5] else "NULL::VARCHAR",
+        r[6].replace("'", "''"))
     for r in fv.rule_rows())
-RULES_SQL = f"rules(rule_id, name, bps, cut, manual, trig) AS (VALUES {RULE_ROWS})"
+RULES_SQL = f"rules(rule_id, name, bps, cut, manual, severity, trig) AS (VALUES {RULE_ROWS})"
 WITH_TRIGGERS = f"""WITH {RAISED.cte}, {RULES_SQL},
 trig AS (SELECT applicant_id, rule_id, arg_min(source, source_ord) AS source, min(source_ord) AS source_ord
   FROM raised GROUP BY applicant_id, rule_id)"""
@@ -84,9 +85,9 @@ def derived_triggers(spark, sf_dir):
 
 @query("applied_penalties", f"""{WITH_TRIGGERS}
 SELECT t.applicant_id, t.rule_id, t.source, t.source_ord, r.name, r.bps AS rate_penalty_bps, r.cut AS limit_reduction_pct,
-  r.manual AS requires_manual_review, r.trig AS trigger FROM trig t JOIN rules r USING (rule_id)""")
+  r.manual AS requires_manual_review, r.severity, r.trig AS trigger FROM trig t JOIN rules r USING (rule_id)""")
 def applied_penalties(spark, sf_dir):
-    return decision.apply_rules(triggers(spark, sf_dir), decision.rule_table(spark)).drop("severity")
+    return decision.apply_rules(triggers(spark, sf_dir), decision.rule_table(spark))
 
 
 DECIDE_SQL = f"""folded AS (SELECT applicant_id, coalesce(sum(bps), 0) AS bps,
@@ -131,12 +132,16 @@ def decisions_of_sources(spark, sf_dir):
 s AS (SELECT applicant_id, 1 + row_number() OVER w AS step, rule_id, name, trig AS finding, bps AS rate_penalty_bps,
   cut AS limit_reduction_pct, list(bps / CAST(100 AS DOUBLE)) OVER w AS adds, list(1 - cut / CAST(100 AS DOUBLE)) OVER w AS keeps
   FROM trig JOIN rules USING (rule_id)
-  WINDOW w AS (PARTITION BY applicant_id ORDER BY source_ord, rule_id ROWS UNBOUNDED PRECEDING))
-SELECT applicant_id, CAST(step AS INTEGER) AS step, rule_id, name, finding, rate_penalty_bps, limit_reduction_pct,
+  WINDOW w AS (PARTITION BY applicant_id ORDER BY source_ord, rule_id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT applicant_id, CAST(step AS INTEGER) AS step, rule_id, name, finding, rate_penalty_bps, limit_reduction_pct,
   list_reduce(list_prepend(CAST(9 AS DOUBLE), adds), lambda a, b: a + b) AS running_rate,
-  list_reduce(list_prepend(CAST(10 AS DOUBLE), keeps), lambda a, b: a * b) AS running_limit FROM s""")
+  list_reduce(list_prepend(CAST(10 AS DOUBLE), keeps), lambda a, b: a * b) AS running_limit FROM s)
+SELECT *, name || ' — ' || finding || ' → ' || coalesce(nullif(concat_ws('; ',
+  CASE WHEN rate_penalty_bps > 0 THEN printf('+%d bps to rate (now %.1f%%)', rate_penalty_bps, {EXACT.format("running_rate", 1)}) END,
+  CASE WHEN limit_reduction_pct > 0 THEN printf('−%d%% limit cut (now ₹%.2f Cr)', limit_reduction_pct,
+    {EXACT.format("running_limit", 2)}) END), ''), 'no auto-penalty') || '.' AS description FROM r""")
 def decision_waterfall(spark, sf_dir):
-    return decision.waterfall(triggers(spark, sf_dir), decision.rule_table(spark)).drop("description")
+    return decision.waterfall(triggers(spark, sf_dir), decision.rule_table(spark))
 
 
 @query("decision_narrative", f"""{WITH_TRIGGERS},
@@ -284,9 +289,10 @@ UPLOADS = View("uploads", "orders", (
 @query("latest_year", f"""WITH {UPLOADS.cte}, l AS (SELECT applicant_id, file_name,
   CASE WHEN field LIKE '%!_%' ESCAPE '!' THEN upper(split_part(field, '_', 2)) ELSE 'LATEST' END AS y FROM uploads
   WHERE field LIKE 'file%' AND file_name <> '')
-SELECT applicant_id, max(y) AS latest_year, count(DISTINCT y) AS years FROM l GROUP BY applicant_id""")
+SELECT applicant_id, max(y) AS latest_year, count(DISTINCT y) AS years, max({{'y': y, 'f': file_name}}).f AS file_name
+FROM l GROUP BY applicant_id""")
 def latest_year(spark, sf_dir):
-    return financials.latest_year(UPLOADS.frame(spark, sf_dir)).drop("file_name")
+    return financials.latest_year(UPLOADS.frame(spark, sf_dir))
 
 
 CANDIDATES = View("candidates", "lineitem", (

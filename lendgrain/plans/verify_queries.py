@@ -89,28 +89,39 @@ def claims(t):
 
 
 CLAIMS = """claims AS (
-SELECT a.applicant_id, 'revenue' AS claim_id, CASE WHEN revenue > 0 THEN revenue ELSE 0.0 END AS num_value,
+SELECT a.applicant_id, 'revenue' AS claim_id, CASE WHEN revenue > 0 THEN 'Revenue from operations: ' || format('{:,.1f}', revenue) || ' Cr'
+  ELSE 'Revenue figure not extracted from annual report' END AS claim_text, CASE WHEN revenue > 0 THEN revenue ELSE 0.0 END AS num_value,
   CAST(NULL AS DOUBLE) AS second_value, CAST(NULL AS BOOLEAN) AS clean, CAST(NULL AS VARCHAR) AS rating,
   CAST(NULL AS VARCHAR) AS label, CASE WHEN revenue > 0 THEN 'HIGH' ELSE 'LOW' END AS confidence
   FROM audit a LEFT JOIN figs USING (applicant_id)
-UNION ALL SELECT applicant_id, 'profitability', nullif(ebitda, 0), nullif(pat, 0), NULL, NULL, NULL,
+UNION ALL SELECT applicant_id, 'profitability', 'Reported profitability: ' || concat_ws(', ',
+  'EBITDA ' || format('{:,.1f}', nullif(ebitda, 0)) || ' Cr', 'PAT ' || format('{:,.1f}', nullif(pat, 0)) || ' Cr'), nullif(ebitda, 0), nullif(pat, 0), NULL, NULL, NULL,
   CASE WHEN nullif(ebitda, 0) IS NOT NULL AND nullif(pat, 0) IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END FROM figs
   WHERE nullif(ebitda, 0) IS NOT NULL OR nullif(pat, 0) IS NOT NULL
-UNION ALL SELECT applicant_id, 'no_statutory_defaults', NULL, NULL, NOT (caro_default_found OR adverse_opinion_found), NULL, NULL, 'HIGH' FROM audit
-UNION ALL SELECT applicant_id, 'going_concern', NULL, NULL, NOT emphasis_of_matter_found, NULL, NULL, 'HIGH' FROM audit
-UNION ALL SELECT applicant_id, 'promoter_stability', coalesce(promoter_holding_pct, 0), coalesce(pledged_pct, 0), NULL, NULL, NULL,
+UNION ALL SELECT applicant_id, 'no_statutory_defaults', CASE WHEN caro_default_found OR adverse_opinion_found
+  THEN 'CARO defaults / auditor qualification detected' ELSE 'No statutory defaults or auditor qualifications detected' END, NULL, NULL, NOT (caro_default_found OR adverse_opinion_found), NULL, NULL, 'HIGH' FROM audit
+UNION ALL SELECT applicant_id, 'going_concern', CASE WHEN emphasis_of_matter_found THEN 'Going concern / emphasis of matter flagged by auditor'
+  ELSE 'No going concern issues raised by auditor' END, NULL, NULL, NOT emphasis_of_matter_found, NULL, NULL, 'HIGH' FROM audit
+UNION ALL SELECT applicant_id, 'promoter_stability', printf('Promoter holding at %.1f%%, pledged %.1f%%',
+  coalesce(promoter_holding_pct, 0), coalesce(pledged_pct, 0)), coalesce(promoter_holding_pct, 0), coalesce(pledged_pct, 0), NULL, NULL, NULL,
   CASE WHEN promoter_holding_pct > 0 THEN 'HIGH' ELSE 'LOW' END FROM holding
-UNION ALL SELECT applicant_id, 'credit_rating', NULL, NULL, NULL, latest_rating, NULL, 'HIGH' FROM rating WHERE latest_rating IS NOT NULL
-UNION ALL SELECT applicant_id, 'litigation_status', NULL, NULL, NOT caro_default_found, NULL, NULL, 'MEDIUM' FROM audit
-UNION ALL SELECT applicant_id, 'management_outlook', sentiment_score, NULL, NULL, NULL, CASE WHEN sentiment_score > 0.02 THEN 'positive'
+UNION ALL SELECT applicant_id, 'credit_rating', 'Rated ' || latest_rating || ' by ' || latest_agency ||
+  CASE WHEN is_investment_grade THEN ', investment grade' ELSE ', sub-investment grade' END ||
+  CASE WHEN downgrade_detected THEN ' (DOWNGRADE DETECTED)' ELSE '' END, NULL, NULL, NULL, latest_rating, NULL, 'HIGH' FROM rating WHERE latest_rating IS NOT NULL
+UNION ALL SELECT applicant_id, 'litigation_status', CASE WHEN caro_default_found THEN 'Auditor report flags statutory issues'
+  ELSE 'Auditor report does not flag material litigation' END, NULL, NULL, NOT caro_default_found, NULL, NULL, 'MEDIUM' FROM audit
+UNION ALL SELECT applicant_id, 'management_outlook', printf('Management outlook %s (sentiment score: %+.3f)',
+  CASE WHEN sentiment_score > 0.02 THEN 'positive' WHEN sentiment_score < -0.02 THEN 'negative' ELSE 'neutral' END, sentiment_score),
+  sentiment_score, NULL, NULL, NULL, CASE WHEN sentiment_score > 0.02 THEN 'positive'
   WHEN sentiment_score < -0.02 THEN 'negative' ELSE 'neutral' END, 'MEDIUM' FROM tone WHERE status = 'success'
-UNION ALL SELECT applicant_id, 'financial_consistency', NULL, NULL, NOT restatements_detected, NULL, NULL,
+UNION ALL SELECT applicant_id, 'financial_consistency', CASE WHEN restatements_detected THEN 'Prior year figures restated'
+  ELSE 'No prior year restatements' END || CASE WHEN auditor_changed THEN '; auditor changed' ELSE '' END, NULL, NULL, NOT restatements_detected, NULL, NULL,
   CASE WHEN restatements_detected THEN 'MEDIUM' ELSE 'HIGH' END FROM restated)"""
 
 
 @query("claims", f"{BASE}, {CLAIMS} SELECT * FROM claims")
 def all_claims(spark, sf_dir):
-    return claims(tables(spark, sf_dir)).drop("claim_text")
+    return claims(tables(spark, sf_dir))
 
 
 GRADES = "('AAA', 'AA+', 'AA', 'AA-', 'A+', 'A', 'A-', 'BBB+', 'BBB', 'BBB-')"
