@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions.party import with_party
-from lendgrain.operators import bank, decision, filings, financials, prose, verify
+from lendgrain.operators import bank, decision, filings, financials, layout, prose, verify
 from lendgrain.session import settle
 
 # Sources in the order in which they report their rules.
 SOURCE_ORDER = [
     "gst", "audit", "restatement", "news", "site", "bank", "benchmark", "registry", "counterparty", "courts",
-    "shareholding", "tone", "rating", "collateral", "verification",
+    "shareholding", "tone", "rating", "collateral", "verification", "purpose",
 ]
 
 
@@ -36,20 +36,33 @@ def found_rules(source: str, findings: DataFrame) -> DataFrame:
         (F.lit(100 * (SOURCE_ORDER.index(source) + 1)) + F.substring("rule_id", 3, 2).cast("int")).alias("source_ord"))
 
 
+def recorded(evidence: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Rule lists of the registry (disqualified director) and the courts (high-risk cases)."""
+    listed = lambda name, rule, when: evidence[name].select(
+        "applicant_id", F.array_compact(F.array(F.when(when, rule))).alias("triggered_rules"))
+    return {
+        "registry": listed("registry", "P-14", F.col("director_disqualified")),
+        "courts": listed("courts", "P-15", F.col("high_risk_cases") > 0)}
+
+
 def appraise(
     txns: DataFrame, documents: DataFrame, notes: DataFrame, evidence: dict[str, DataFrame], figures: DataFrame,
     auditors: DataFrame, rules: DataFrame, lexicon: dict[str, list[str]] | None = None,
+    outside: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """All signal tables, the triggers and the decision.
 
     ``txns``: statement rows; ``documents``: applicant_id, doc_id, fiscal_year, text;
-    ``notes``: applicant_id, note_id, notes; ``evidence``: tables of ``verify.verify``.
+    ``notes``: applicant_id, note_id, notes; ``evidence``: tables of ``verify.verify``;
+    ``outside``: rule lists (applicant_id, triggered_rules) of sources in ``SOURCE_ORDER`` that
+    read none of these, as benchmark (P-30), counterparty (P-06) and purpose (P-34). Registry
+    and court rules come from the evidence. The compliance scan reads cleaned text.
     Signals read by several later steps hold one row per filing or applicant; they are
     settled, so texts and statements are read once per signal.
     """
     moves = with_party(txns)
     scans = latest_filings(documents)
-    audit, holding = settle(filings.compliance_flags(scans)), settle(filings.shareholding(scans))
+    audit, holding = settle(filings.compliance_flags(layout.clean_text(scans))), settle(filings.shareholding(scans))
     rating, tone = settle(filings.rating_status(scans)), settle(prose.lexicon_sentiment(scans, lexicon))
     pledged = filings.collateral(scans)
     restated = settle(financials.restatement_flags(figures, auditors))
@@ -72,7 +85,9 @@ def appraise(
         decision.derive_triggers(gst=evidence["gst"], audit=audit, restated=restated, news=evidence["news"]),
         found_rules("site", site), found_rules("bank", banked),
         rules_of("shareholding", holding), rules_of("tone", tone), rules_of("rating", rating),
-        rules_of("collateral", pledged), rules_of("verification", verify.verification_rules(verdicts)))
+        rules_of("collateral", pledged), rules_of("verification", verify.verification_rules(verdicts)),
+        *[rules_of(source, frame) for source, frame in recorded(evidence).items()],
+        *[rules_of(source, frame) for source, frame in (outside or {}).items()])
     return {
         "applicants": applicants, "audit": audit, "holding": holding, "rating": rating, "tone": tone,
         "collateral": pledged, "restated": restated, "site": site, "statement": statement, "claims": claims,

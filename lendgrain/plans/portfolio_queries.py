@@ -290,9 +290,13 @@ def memo_rows(spark, sf_dir):
 # --- Whole portfolio -----------------------------------------------------------------
 def portfolio_tables(spark, sf_dir):
     evidence = {k: v for k, v in vq.tables(spark, sf_dir).items() if k not in ("statement", "site")}
+    outside = {
+        "benchmark": network.benchmark_rules(nq.compared(spark, sf_dir)),
+        "counterparty": network.network_rules(network.loop_flags(nq.loops(spark, sf_dir))),
+        "purpose": network.loan_purpose(nq.APPLICATIONS.frame(spark, sf_dir), nq.spending_shares(spark, sf_dir))}
     return portfolio.appraise(
         TXNS.frame(spark, sf_dir), FILINGS.frame(spark, sf_dir), NOTES.frame(spark, sf_dir), evidence,
-        figures(spark, sf_dir), auditors(spark, sf_dir), decision.rule_table(spark), pq.TONE)
+        figures(spark, sf_dir), auditors(spark, sf_dir), decision.rule_table(spark), pq.TONE, outside)
 
 
 @query("portfolio_decisions")

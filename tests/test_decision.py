@@ -150,3 +150,29 @@ def test_reconciliation_covers_applicants_without_claims(spark):
         "courts": empty("applicant_id long, cases_found long, high_risk_cases long"), "site": empty("applicant_id long, site_findings long")}
     checks = verify.verify(claims, evidence, gst.select("applicant_id")).collect()
     assert [(r.applicant_id, r.status) for r in checks] == [(7, "MISMATCH")]
+
+
+def test_portfolio_prices_every_source(spark):
+    from datetime import datetime
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    txns = make([(4, 0, datetime(2024, 1, 1), "01-01-2024", "NEFT CR-1-X-PAYER ONE--", 0.0, 2.0e7, 5.0)],
+                "applicant_id long, seq long, ts timestamp_ntz, date_str string, description string, debit double, credit double, balance double")
+    filings = make([(1, 11, "FY24", "Undisputed statu-\ntory dues including provident fund remain outstanding " + "x " * 80), (2, 12, "FY24", "y " * 80)],
+                   "applicant_id long, doc_id long, fiscal_year string, text string")
+    notes = make([(3, 31, "all fine")], "applicant_id long, note_id long, notes string")
+    evidence = {
+        "gst": make([(4, 3.0, 10.0, "Regular")], "applicant_id long, mismatch_pct double, turnover_cr double, filing_consistency string"),
+        "benchmark": make([], "applicant_id long, sector string, deviation_pct double"),
+        "bureau": make([], "applicant_id long, dpd_30 long, dpd_90 long, suit_filed_cr double, credit_score long, bureau_rating string"),
+        "registry": make([(1, True, "Regular", [])], "applicant_id long, director_disqualified boolean, epfo_compliance string, active_litigations array<string>"),
+        "news": make([], "applicant_id long, adverse_media_detected boolean"), "red_flags": make([], "applicant_id long, headline string, summary string"),
+        "courts": make([(2, 3, 1)], "applicant_id long, cases_found long, high_risk_cases long")}
+    outside = {"counterparty": make([(3, ["P-06"])], "applicant_id long, triggered_rules array<string>")}
+    out = portfolio.appraise(
+        txns, filings, notes, evidence, make([], "applicant_id long, fiscal_year string, figure string, value double, previous_value double"),
+        make([], "applicant_id long, fiscal_year string, auditor string"), decision.rule_table(spark), None, outside)
+    rules = {}
+    for r in out["triggers"].collect():
+        rules.setdefault(r.applicant_id, set()).add(r.rule_id)
+    assert {"P-03", "P-14"} <= rules[1] and "P-15" in rules[2] and "P-06" in rules[3] and "P-33" in rules[4]
+    assert {r.applicant_id: r.final_limit_cr for r in out["decisions"].collect()}[1] == 0.0
