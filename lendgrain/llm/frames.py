@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,14 @@ def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi
 
 def release(frame: DataFrame) -> DataFrame:
     """Let go of finished shuffles. Their files stay until the driver has collected their handles, which
-    may be hours on a driver with little garbage; call it after ``settle`` of a large shuffle's outcome."""
-    gc.collect()
-    frame.sparkSession._jvm.System.gc()
+    may be hours on a driver with little garbage; call it after ``settle`` of a large shuffle's outcome.
+
+    Python drops its proxies first, the JVM what they stood for; the second round gets what the first freed.
+    """
+    for _ in range(3):
+        gc.collect()
+        frame.sparkSession._jvm.System.gc()
+        time.sleep(0.2)
     return frame
 
 

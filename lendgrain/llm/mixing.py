@@ -145,7 +145,10 @@ def spans(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block_words: int = BLOCK_WORDS,
         seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The mix as (slots, spans): join them on (rank, block) and order by shard and position for its words."""
+    """The mix as (slots, spans): join them on (rank, block) and order by shard and position for its words.
+
+    Slots come of a few rows exploded, which Spark takes for a small table: join them with a merge hint.
+    """
     sizes = settle(sized(docs))
     sources = settle(blocked(targets(sizes, weights, cap), block_words, cap))
     return slots(sources, seed), spans(sizes, sources, seed)
@@ -154,7 +157,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, b
 def mixed_spans(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: for every slot the stretches of words that it shows, in order."""
     drawn, held = mix(docs, **options)
-    return drawn.join(held, ["rank", "block"]).select(
+    return drawn.hint("merge").join(held, ["rank", "block"]).select(
         "shard", "position", "source", "block", "doc_id", "first_word", "n_words")
 
 
@@ -162,7 +165,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
     drawn, held = mix(docs, **options)
     uses = drawn.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
-    seen = held.join(uses, ["rank", "block"], "left")
+    seen = held.join(uses.hint("merge"), ["rank", "block"], "left")
     return seen.groupBy("rank", "chunk", "row", "doc_id", "source", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("uses") * F.col("n_words")), F.lit(0)).alias("taken")
     ).drop("rank", "chunk", "row")

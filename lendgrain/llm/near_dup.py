@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     keyed = sets.filter("id IS NOT NULL").select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = keyed.groupBy("key").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").drop("in_bucket")
-    members = settle(keyed.join(shared, "key"))
+    members = settle(keyed.join(shared.hint("merge"), "key"))  # exploded rows look fewer to Spark than they are
     labels = _labels(members, sets.select("id", "bands"), docs, percent)
     members_of = marked.join(sets.select(*one_set, "id"), one_set, "left").join(labels, "id", "left")
     smallest = F.coalesce("component_id", "id", "doc_id")
