@@ -6,57 +6,54 @@ may swap in its own.
 
 from __future__ import annotations
 
-
-def lines(block: str) -> list[str]:
-    """Terms of a text block, one per line or separated by commas."""
-    return [t.strip() for t in block.replace("\n", ",").split(",") if t.strip()]
-
-
 # --- Pricing -------------------------------------------------------------------------
 BASE_RATE_PCT = 9.0
 BASE_LIMIT_CR = 10.0
 
-# Id | name | rate penalty (bps) | limit cut (%) | manual review | severity | trigger
-RULES_TEXT = """
-P-01 | Ghost Input Trap | 100 | 10 | no | | GSTR-2A vs 3B mismatch > 15% (Perfios)
-P-02 | Hidden Family Web | 75 | 10 | yes | | RPT outflows to director-connected entities (manual)
-P-03 | Statutory Default / Auditor Qualification | 150 | 20 | no | | CARO 2020 Clause (vii) default or qualified/adverse auditor opinion
-P-04 | Emphasis of Matter / Going Concern | 75 | 0 | yes | | Auditor flagged going concern or material uncertainty
-P-06 | FRAUD-01: Circular Trading Network | 200 | 30 | yes | CRITICAL | Counterparty intelligence detected shared directors, shell companies, or circular money flows among transaction parties
-P-07 | PRIMARY-01: Site Visit Risk | 75 | 10 | yes | HIGH | Adverse observations from factory visit or management interview
-P-09 | Financial Restatement | 200 | 40 | yes | CRITICAL | Prior year financial comparative figures restated by >2%
-P-10 | Auditor Rotation / Change | 75 | 10 | yes | HIGH | Change in statutory auditor detected across reporting periods
-P-13 | Adverse Media Detected | 50 | 0 | yes | | NewsScanner found high-severity red flags (fraud, ED raid, etc.)
-P-14 | CORP-01: Company Not Active | 0 | 100 | yes | CRITICAL | MCA21 shows company struck off or under liquidation
-P-15 | LEGAL-01: Active Court Proceedings | 100 | 15 | yes | HIGH | High-risk court cases found via eCourts public API (NCLT/winding up/fraud/DRT)
-P-16 | MGMT-01: Negative Management Sentiment | 50 | 5 | no | MEDIUM | MD&A analysis shows negative sentiment using Loughran-McDonald lexicon
-P-17 | SHARE-01: High Promoter Pledge | 75 | 10 | yes | HIGH | Promoter shares pledged > 50% — distress signal, forced selling risk
-P-18 | SHARE-02: Low Promoter Holding | 50 | 5 | no | MEDIUM | Promoter holding below 26% — low skin in the game
-P-19 | SITE-01: Low Capacity Utilisation | 100 | 15 | no | HIGH | Factory operating below 60% capacity
-P-20 | SITE-02: Premises Vacant / Shut | 150 | 25 | no | HIGH | Physical premises found vacant or non-operational
-P-21 | SITE-03: Labour Dispute | 100 | 15 | no | HIGH | Active labour dispute or strike at site
-P-22 | SITE-04: Management Non-Cooperative | 125 | 20 | no | HIGH | Management refused to cooperate in due diligence
-P-23 | SITE-05: Inventory Build-up | 50 | 10 | no | MEDIUM | Excess unsold inventory observed
-P-24 | SITE-06: Poor Asset Condition | 50 | 10 | no | MEDIUM | Machinery in poor/deteriorating condition
-P-25 | SITE-07: Key Man Risk | 50 | 5 | no | MEDIUM | Business entirely dependent on single person
-P-26 | SITE-08: Records Not Maintained | 100 | 20 | no | HIGH | Books/records not maintained or produced
-P-27 | RATING-03: Sub-Investment Grade / Downgrade | 75 | 10 | no | HIGH | Credit rating below investment grade or recent downgrade detected
-P-28 | BANK-02: Circular Bank Transactions | 150 | 25 | no | HIGH | Round-trip money flows detected in bank statements (A→B→A within 7 days)
-P-29 | BANK-03: Cash Deposit Anomaly | 50 | 10 | no | MEDIUM | Large cash deposits detected near GST filing dates — possible revenue inflation
-P-30 | BENCHMARK-01: Sector Underperformance | 50 | 10 | no | MEDIUM | Company underperforming sector benchmarks by >25% on key margin ratios
-P-31 | XVER-01: Revenue Verification Mismatch | 100 | 15 | yes | HIGH | Cross-verification found claimed revenue not supported by bank deposits or GST data
-P-32 | XVER-02: Compliance Claim Contradicted | 75 | 10 | yes | HIGH | Annual report compliance claims contradicted by external bureau data
-P-33 | RECON-01: GST-Bank Turnover Mismatch | 125 | 20 | yes | HIGH | High variance detected between GST turnover and bank statement credits
-"""
-
-
-def rule_rows(text: str = RULES_TEXT) -> list[tuple]:
-    rows = []
-    for line in text.strip().splitlines():
-        rule, name, bps, cut, manual, severity, trigger = [p.strip() for p in line.split("|")]
-        rows.append((rule, name, int(bps), int(cut), manual == "yes", severity or None, trigger))
-    return rows
-
+# Id, name, rate penalty (bps), limit cut (%), manual review, severity, trigger.
+RULES = [
+    ("P-01", "Ghost Input Trap", 100, 10, False, None, "GSTR-2A vs 3B mismatch > 15% (Perfios)"),
+    ("P-02", "Hidden Family Web", 75, 10, True, None, "RPT outflows to director-connected entities (manual)"),
+    ("P-03", "Statutory Default / Auditor Qualification", 150, 20, False, None,
+     "CARO 2020 Clause (vii) default or qualified/adverse auditor opinion"),
+    ("P-04", "Emphasis of Matter / Going Concern", 75, 0, True, None, "Auditor flagged going concern or material uncertainty"),
+    ("P-07", "PRIMARY-01: Site Visit Risk", 75, 10, True, "HIGH", "Adverse observations from factory visit or management interview"),
+    ("P-09", "Financial Restatement", 200, 40, True, "CRITICAL", "Prior year financial comparative figures restated by >2%"),
+    ("P-14", "CORP-01: Company Not Active", 0, 100, True, "CRITICAL", "MCA21 shows company struck off or under liquidation"),
+    ("P-10", "Auditor Rotation / Change", 75, 10, True, "HIGH", "Change in statutory auditor detected across reporting periods"),
+    ("P-13", "Adverse Media Detected", 50, 0, True, None, "NewsScanner found high-severity red flags (fraud, ED raid, etc.)"),
+    ("P-16", "MGMT-01: Negative Management Sentiment", 50, 5, False, "MEDIUM",
+     "MD&A analysis shows negative sentiment using Loughran-McDonald lexicon"),
+    ("P-15", "LEGAL-01: Active Court Proceedings", 100, 15, True, "HIGH",
+     "High-risk court cases found via eCourts public API (NCLT/winding up/fraud/DRT)"),
+    ("P-17", "SHARE-01: High Promoter Pledge", 75, 10, True, "HIGH",
+     "Promoter shares pledged > 50% — distress signal, forced selling risk"),
+    ("P-18", "SHARE-02: Low Promoter Holding", 50, 5, False, "MEDIUM", "Promoter holding below 26% — low skin in the game"),
+    ("P-19", "SITE-01: Low Capacity Utilisation", 100, 15, False, "HIGH", "Factory operating below 60% capacity"),
+    ("P-20", "SITE-02: Premises Vacant / Shut", 150, 25, False, "HIGH", "Physical premises found vacant or non-operational"),
+    ("P-21", "SITE-03: Labour Dispute", 100, 15, False, "HIGH", "Active labour dispute or strike at site"),
+    ("P-22", "SITE-04: Management Non-Cooperative", 125, 20, False, "HIGH", "Management refused to cooperate in due diligence"),
+    ("P-23", "SITE-05: Inventory Build-up", 50, 10, False, "MEDIUM", "Excess unsold inventory observed"),
+    ("P-24", "SITE-06: Poor Asset Condition", 50, 10, False, "MEDIUM", "Machinery in poor/deteriorating condition"),
+    ("P-25", "SITE-07: Key Man Risk", 50, 5, False, "MEDIUM", "Business entirely dependent on single person"),
+    ("P-26", "SITE-08: Records Not Maintained", 100, 20, False, "HIGH", "Books/records not maintained or produced"),
+    ("P-27", "RATING-03: Sub-Investment Grade / Downgrade", 75, 10, False, "HIGH",
+     "Credit rating below investment grade or recent downgrade detected"),
+    ("P-06", "FRAUD-01: Circular Trading Network", 200, 30, True, "CRITICAL",
+     "Counterparty intelligence detected shared directors, shell companies, or circular money flows among transaction parties"),
+    ("P-28", "BANK-02: Circular Bank Transactions", 150, 25, False, "HIGH",
+     "Round-trip money flows detected in bank statements (A→B→A within 7 days)"),
+    ("P-29", "BANK-03: Cash Deposit Anomaly", 50, 10, False, "MEDIUM",
+     "Large cash deposits detected near GST filing dates — possible revenue inflation"),
+    ("P-30", "BENCHMARK-01: Sector Underperformance", 50, 10, False, "MEDIUM",
+     "Company underperforming sector benchmarks by >25% on key margin ratios"),
+    ("P-31", "XVER-01: Revenue Verification Mismatch", 100, 15, True, "HIGH",
+     "Cross-verification found claimed revenue not supported by bank deposits or GST data"),
+    ("P-32", "XVER-02: Compliance Claim Contradicted", 75, 10, True, "HIGH",
+     "Annual report compliance claims contradicted by external bureau data"),
+    ("P-33", "RECON-01: GST-Bank Turnover Mismatch", 125, 20, True, "HIGH",
+     "High variance detected between GST turnover and bank statement credits"),
+]
 
 RULE_SCHEMA = (
     "rule_id string, name string, rate_penalty_bps int, limit_reduction_pct int, "
@@ -258,10 +255,9 @@ AUDITOR_MENTION = r"(?:For|Sd/-)\s+([A-Z][A-Za-z\s&.]+(?:LLP|Associates|Co\b|Com
 
 # --- Ratings -------------------------------------------------------------------------
 # Rating scale from best to worst; the first ten are investment grade.
-RATING_SCALE = lines("""
-AAA, AA+, AA, AA-, A+, A, A-, BBB+, BBB, BBB-
-BB+, BB, BB-, B+, B, B-, C, D
-""")
+RATING_SCALE = [
+    "AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "BBB+", "BBB", "BBB-", "BB+", "BB", "BB-", "B+", "B", "B-", "C", "D",
+]
 INVESTMENT_GRADES = RATING_SCALE[:10]
 RATING_MENTION = (
     r"(?iu)(CRISIL|ICRA|CARE|India\s+Ratings?|Brickwork|Acuit[eé])\s+([A-D]{1,3}[+-]?(?:\s*\([A-Za-z]+\))?)"
@@ -320,75 +316,78 @@ UNSECURED_PATTERN = r"(?iu)(unsecured\s+(?:loans|borrowings|debentures|facilitie
 
 # --- Tone of the management discussion -----------------------------------------------
 # Negative, positive and uncertainty words, and headwind markers.
-NEGATIVE_WORDS = lines("""
-abandon, abandoned, adverse, adversely, bankrupt, bankruptcy, breach, cancellation, ceased, collapse
-conflict, contraction, crisis, damage, decay, decline, declining, default, defect, deficit
-delinquent, depressed, deteriorate, deterioration, disappointing, disruption, disruptions, distress
-downsize, downturn, drop, erosion, fail, failure, fraud, headwind, headwinds, impairment, investigation
-litigation, loss, losses, negative, penalty, recession, regulation, regulatory, restructuring
-severe, shortfall, sluggish, suffer, suspend, threat, weakness, write-off, writeoff, winding
-insolvency, insolvent, npa, overdue, unpaid, delinquency, stressed, under-recovery, underperform
-""")
-POSITIVE_WORDS = lines("""
-achieve, achieved, achievement, advantage, beneficial, benefit, boom, boost, breakthrough, capable
-confident, efficiency, efficient, empower, enable, excellent, exceptional, expansion, favorable, gain
-gains, growth, improve, improvement, improving, innovation, innovative, leadership, momentum
-opportunity, optimistic, outperform, outperformed, profitable, progress, prosperity, rebound, recovery
-resolve, reward, stable, strength, strengthen, strong, success, successful, surge, synergy
-upturn, valuable, robust, resilient, sustainable
-""")
-UNCERTAIN_WORDS = lines("""
-ambiguous, anticipate, approximately, assume, assumes, assumption, believe, believes, caution, cautious
-could, depend, dependence, doubt, doubtful, fluctuate, fluctuating, fluctuation, imprecise
-incomplete, indefinite, likely, may, might, nearly, pending, perhaps, possible, possibly
-predict, preliminary, probable, probably, random, risk, risks, roughly, sometimes, somewhat
-speculate, speculation, subject to, suppose, tentative, uncertain, uncertainties, uncertainty
-unclear, unconfirmed, unexpected, unforeseen, unknown, unpredictable, unproven, unsettled
-unusual, variable, volatile, volatility
-""")
-HEADWIND_MARKERS = lines("""
-headwind, regulation, disruption, inflation, supply chain, decline, threat, challenge, risk
-pressure, adversely, uncertainty, competition, slowdown, downturn, stressed, agr, dues
-spectrum, debt, borrowing, default, npa
-""")
+NEGATIVE_WORDS = [
+    "abandon", "abandoned", "adverse", "adversely", "bankrupt", "bankruptcy", "breach", "cancellation", "ceased",
+    "collapse", "conflict", "contraction", "crisis", "damage", "decay", "decline", "declining", "default", "defect",
+    "deficit", "delinquent", "depressed", "deteriorate", "deterioration", "disappointing", "disruption",
+    "disruptions", "distress", "downsize", "downturn", "drop", "erosion", "fail", "failure", "fraud", "headwind",
+    "headwinds", "impairment", "investigation", "litigation", "loss", "losses", "negative", "penalty", "recession",
+    "regulation", "regulatory", "restructuring", "severe", "shortfall", "sluggish", "suffer", "suspend", "threat",
+    "weakness", "write-off", "writeoff", "winding", "insolvency", "insolvent", "npa", "overdue", "unpaid",
+    "delinquency", "stressed", "under-recovery", "underperform",
+]
+POSITIVE_WORDS = [
+    "achieve", "achieved", "achievement", "advantage", "beneficial", "benefit", "boom", "boost", "breakthrough",
+    "capable", "confident", "efficiency", "efficient", "empower", "enable", "excellent", "exceptional", "expansion",
+    "favorable", "gain", "gains", "growth", "improve", "improvement", "improving", "innovation", "innovative",
+    "leadership", "momentum", "opportunity", "optimistic", "outperform", "outperformed", "profitable", "progress",
+    "prosperity", "rebound", "recovery", "resolve", "reward", "stable", "strength", "strengthen", "strong", "success",
+    "successful", "surge", "synergy", "upturn", "valuable", "robust", "resilient", "sustainable",
+]
+UNCERTAIN_WORDS = [
+    "ambiguous", "anticipate", "approximately", "assume", "assumes", "assumption", "believe", "believes", "caution",
+    "cautious", "could", "depend", "dependence", "doubt", "doubtful", "fluctuate", "fluctuating", "fluctuation",
+    "imprecise", "incomplete", "indefinite", "likely", "may", "might", "nearly", "pending", "perhaps", "possible",
+    "possibly", "predict", "preliminary", "probable", "probably", "random", "risk", "risks", "roughly", "sometimes",
+    "somewhat", "speculate", "speculation", "subject to", "suppose", "tentative", "uncertain", "uncertainties",
+    "uncertainty", "unclear", "unconfirmed", "unexpected", "unforeseen", "unknown", "unpredictable", "unproven",
+    "unsettled", "unusual", "variable", "volatile", "volatility",
+]
+HEADWIND_MARKERS = [
+    "headwind", "regulation", "disruption", "inflation", "supply chain", "decline", "threat", "challenge", "risk",
+    "pressure", "adversely", "uncertainty", "competition", "slowdown", "downturn", "stressed", "agr", "dues",
+    "spectrum", "debt", "borrowing", "default", "npa",
+]
 TONE_LEXICON = {"negative": NEGATIVE_WORDS, "positive": POSITIVE_WORDS, "uncertain": UNCERTAIN_WORDS}
 
 # --- Management ambidexterity --------------------------------------------------------
 # Exploration and exploitation dictionaries (McKenny et al., 2018).
-EXPLORATION_WORDS = lines("""
-beta-phase, beta-testing, breakthrough, breakthroughs, clinical studies, clinical study, clinical test
-clinical testing, clinical tests, clinical trial, clinical trials, creative, develop, developed, developing
-development, developmental, developments, develops, experiment, experimental, experimentalism
-experimentalist, experimentalists, experimentalize, experimentally, experimentarian, experimentarians
-experimentation, experimentations, experimentative, experimentator, experimented, experimenter
-experimenters, experimenting, experimentist, experimentists, experimentor, experimentors, experiments
-innovate, innovated, innovates, innovating, innovation, innovations, innovative, innovativeness
-innovator, innovators, innovatory, inventions, IPR&D, IPRD, laboratories, laboratory, labs, launch
-launched, launches, launching, new drug, new drugs, new generic product, new generic products
-new mobile product, new mobile products, new offering, new offerings, new product, new products
-new program, new programming, new programs, new system, new systems, new technologies, new technology
-novel, patent application, patent applications, patent development, patent developments
-Phase 1, Phase 1a, Phase 1b, Phase 2, Phase 2a, Phase 2b, Phase 3, Phase 4, Phase I, Phase I/II, Phase Ia
-Phase IB, Phase II, Phase Iia, Phase Iib, Phase III, Phase IV, pioneer, pioneered, preclinical, pre-clinical
-proof of concept, prototype, prototypes, prototyping, R&D, research, researching, unveiled
-""")
-EXPLOITATION_WORDS = lines("""
-adaptations, advertising, commercialization, commercialize, commercialized, commercializes, commercializing
-commoditized, commoditizing, current offering, current offerings, current product, current products
-efficience, efficiencies, efficiency, efficient, efficiently, existing offering, existing offerings
-existing product, existing products, existing technology, exploit, exploitability, exploitable, exploitation
-exploitational, exploitationally, exploitations, exploitative, exploitatively, exploitatory, exploited
-exploiting, exploitive, exploitively, exploits, exploiture, extension, extensions, implement, implementable
-implemental, implementation, implementations, implemented, implementer, implementers, implementing
-implementor, implementors, implements, integrate, integration, maintenance, manufacture, manufactured
-manufacturing, marketed, marketing, new features, new formulation, new formulations, new indication
-new indications, optimization, optimize, optimized, optimizes, optimizing, optimum, produce, produced
-produces, producing, production, productions, productivity, promotion, promotional, promotions, redesign
-reengineering, re-engineering, refine, refined, refinedly, refinedness, refinement, refinements, refines
-refining, reformulated, reformulating, reformulation, refreshed, re-launch, replicated, replication
-replicators, retooled, salesforce, salespeople, salespersons, standardized, streamline, throughput, upgrade
-upgraded, upgrades, upgrading, version, versions
-""")
+EXPLORATION_WORDS = [
+    "beta-phase", "beta-testing", "breakthrough", "breakthroughs", "clinical studies", "clinical study",
+    "clinical test", "clinical testing", "clinical tests", "clinical trial", "clinical trials", "creative", "develop",
+    "developed", "developing", "development", "developmental", "developments", "develops", "experiment",
+    "experimental", "experimentalism", "experimentalist", "experimentalists", "experimentalize", "experimentally",
+    "experimentarian", "experimentarians", "experimentation", "experimentations", "experimentative", "experimentator",
+    "experimented", "experimenter", "experimenters", "experimenting", "experimentist", "experimentists",
+    "experimentor", "experimentors", "experiments", "innovate", "innovated", "innovates", "innovating", "innovation",
+    "innovations", "innovative", "innovativeness", "innovator", "innovators", "innovatory", "inventions", "IPR&D",
+    "IPRD", "laboratories", "laboratory", "labs", "launch", "launched", "launches", "launching", "new drug",
+    "new drugs", "new generic product", "new generic products", "new mobile product", "new mobile products",
+    "new offering", "new offerings", "new product", "new products", "new program", "new programming", "new programs",
+    "new system", "new systems", "new technologies", "new technology", "novel", "patent application",
+    "patent applications", "patent development", "patent developments", "Phase 1", "Phase 1a", "Phase 1b", "Phase 2",
+    "Phase 2a", "Phase 2b", "Phase 3", "Phase 4", "Phase I", "Phase I/II", "Phase Ia", "Phase IB", "Phase II",
+    "Phase Iia", "Phase Iib", "Phase III", "Phase IV", "pioneer", "pioneered", "preclinical", "pre-clinical",
+    "proof of concept", "prototype", "prototypes", "prototyping", "R&D", "research", "researching", "unveiled",
+]
+EXPLOITATION_WORDS = [
+    "adaptations", "advertising", "commercialization", "commercialize", "commercialized", "commercializes",
+    "commercializing", "commoditized", "commoditizing", "current offering", "current offerings", "current product",
+    "current products", "efficience", "efficiencies", "efficiency", "efficient", "efficiently", "existing offering",
+    "existing offerings", "existing product", "existing products", "existing technology", "exploit", "exploitability",
+    "exploitable", "exploitation", "exploitational", "exploitationally", "exploitations", "exploitative",
+    "exploitatively", "exploitatory", "exploited", "exploiting", "exploitive", "exploitively", "exploits",
+    "exploiture", "extension", "extensions", "implement", "implementable", "implemental", "implementation",
+    "implementations", "implemented", "implementer", "implementers", "implementing", "implementor", "implementors",
+    "implements", "integrate", "integration", "maintenance", "manufacture", "manufactured", "manufacturing",
+    "marketed", "marketing", "new features", "new formulation", "new formulations", "new indication",
+    "new indications", "optimization", "optimize", "optimized", "optimizes", "optimizing", "optimum", "produce",
+    "produced", "produces", "producing", "production", "productions", "productivity", "promotion", "promotional",
+    "promotions", "redesign", "reengineering", "re-engineering", "refine", "refined", "refinedly", "refinedness",
+    "refinement", "refinements", "refines", "refining", "reformulated", "reformulating", "reformulation", "refreshed",
+    "re-launch", "replicated", "replication", "replicators", "retooled", "salesforce", "salespeople", "salespersons",
+    "standardized", "streamline", "throughput", "upgrade", "upgraded", "upgrades", "upgrading", "version", "versions",
+]
 AMBIDEXTERITY_LEXICON = {"exploration": EXPLORATION_WORDS, "exploitation": EXPLOITATION_WORDS}
 
 # --- Site visits ---------------------------------------------------------------------
@@ -489,14 +488,14 @@ SECTIONS = [
       "business responsibility report", "financial statements", "standalone financial statements"]),
 ]
 FALLBACK_SECTION, FALLBACK_PHRASE = "auditors_report", "independent auditor"
-HEADING_KEYWORDS = lines("""
-overview, business overview, industry overview, financial performance, financial review
-results of operations, operating results, segment analysis, business segments
-revenue, expenses, profitability, cash flow, liquidity, capital resources, working capital
-risk, risk factors, risk management, outlook, future outlook, forward looking
-strategy, business strategy, growth strategy, opportunities, challenges, critical accounting
-gst, gstr, msme, rbi, sebi, cibil, nbfc, capex, opex, ebitda, pat, pbt, roce
-""")
+HEADING_KEYWORDS = [
+    "overview", "business overview", "industry overview", "financial performance", "financial review",
+    "results of operations", "operating results", "segment analysis", "business segments", "revenue", "expenses",
+    "profitability", "cash flow", "liquidity", "capital resources", "working capital", "risk", "risk factors",
+    "risk management", "outlook", "future outlook", "forward looking", "strategy", "business strategy",
+    "growth strategy", "opportunities", "challenges", "critical accounting", "gst", "gstr", "msme", "rbi", "sebi",
+    "cibil", "nbfc", "capex", "opex", "ebitda", "pat", "pbt", "roce",
+]
 
 # --- Entity names --------------------------------------------------------------------
 # Company suffixes, ticker aliases and words that mark a line as no name.

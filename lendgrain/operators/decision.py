@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lendgrain import fixed_values as fv
 
 
-def rule_table(spark: SparkSession, text: str = fv.RULES_TEXT) -> DataFrame:
-    return spark.createDataFrame(fv.rule_rows(text), fv.RULE_SCHEMA)
+def rule_table(spark: SparkSession, rows: list[tuple] = fv.RULES) -> DataFrame:
+    return spark.createDataFrame(rows, fv.RULE_SCHEMA)
 
 
 def flag_triggers(signals: DataFrame, rule_id: str, when: Column, source: str, order: int) -> DataFrame:

@@ -101,7 +101,7 @@ def ambidexterity(documents: DataFrame, lexicon: dict[str, list[str]] | None = N
 def site_visit_signals(notes: DataFrame, signals: list[tuple] | None = None, text: str = "notes") -> DataFrame:
     """One row per signal group that fires: its first matching pattern decides."""
     signals = signals or fv.SITE_SIGNALS
-    rules = {r[0]: r for r in fv.rule_rows()}
+    rules = {r[0]: r for r in fv.RULES}
     keys = [c for c in notes.columns if c != text]
 
     def first_match(patterns: list[str], capacity: bool) -> str:

@@ -34,7 +34,7 @@ RULE_ROWS = ", ".join(
     "('{}', '{}', {}, {}, {}, {}, '{}')".format(
         r[0], r[1].replace("'", "''"), r[2], r[3], "true" if r[4] else "false", f"'{r[5]}'" if r[5] else "NULL::VARCHAR",
         r[6].replace("'", "''"))
-    for r in fv.rule_rows())
+    for r in fv.RULES)
 RULES_SQL = f"rules(rule_id, name, bps, cut, manual, severity, trig) AS (VALUES {RULE_ROWS})"
 WITH_TRIGGERS = f"""WITH {RAISED.cte}, {RULES_SQL},
 trig AS (SELECT applicant_id, rule_id, arg_min(source, source_ord) AS source, min(source_ord) AS source_ord

@@ -99,7 +99,7 @@ def ambidexterity(spark, sf_dir):
 
 
 # --- Site notes ----------------------------------------------------------------------
-RULE = {r[0]: r for r in fv.rule_rows()}
+RULE = {r[0]: r for r in fv.RULES}
 
 
 def site_sql() -> str:

@@ -33,7 +33,7 @@ spikes AS (SELECT t.applicant_id, t.seq, t.date_str, t.credit AS amount,
   FROM dues t JOIN medians m USING (applicant_id)
   WHERE t.due IS NOT NULL AND t.credit >= m.threshold AND t.description LIKE '%CASH%')"""
 RULE_VALUES = ", ".join(
-    "('{}', {}, {}, {})".format(r[0], r[2], r[3], "true" if r[4] else "false") for r in fv.rule_rows())
+    "('{}', {}, {}, {})".format(r[0], r[2], r[3], "true" if r[4] else "false") for r in fv.RULES)
 RULES = f"rules(rule_id, bps, cut, manual) AS (VALUES {RULE_VALUES})"
 
 
