@@ -107,15 +107,20 @@ def _behind(low: Column, label: str, col: Column, pattern: str, group: int) -> C
     return F.when(low.contains(label), F.regexp_extract(col, pattern, group)).otherwise("")
 
 
-def label_list(col: Column, labels: list[str], most: int = 6, lowered: Column | None = None) -> Column:
-    """Items listed after the first label present."""
+def first_of(items: Column, k: int | None) -> Column:
+    """First k elements, or all of them without a k."""
+    return items if k is None else F.slice(items, 1, k)
+
+
+def label_list(col: Column, labels: list[str], most: int | None = 6, lowered: Column | None = None) -> Column:
+    """Items listed after the first label present, ``most`` of them unless that is None."""
     found = None
     low = F.lower(col) if lowered is None else lowered
     for label in labels:
         raw = _behind(low, label, col, rf"(?iu){quote(label)}\s*[:\-]\s*([^.\n]+)", 1)
         found = F.when(F.length(raw) > 0, raw) if found is None else found.when(F.length(raw) > 0, raw)
     items = F.filter(F.transform(F.split(found, LIST_SEPARATOR, -1), clean_item), lambda x: F.length(x) > 0)
-    return F.coalesce(F.slice(items, 1, most), F.array().cast("array<string>"))
+    return F.coalesce(first_of(items, most), F.array().cast("array<string>"))
 
 
 def word_tokens(col: Column) -> Column:

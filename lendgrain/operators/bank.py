@@ -71,11 +71,11 @@ def spike_threshold(txns: DataFrame) -> DataFrame:
         .filter("reached >= rank AND reached - n < rank")
         .select("applicant_id", "bin", (F.col("rank") - (F.col("reached") - F.col("n"))).alias("rank_in_bin"))
     )
-    values = credits.groupBy("applicant_id", "bin", "credit").agg(F.count(F.lit(1)).alias("n"))
+    located = credits.join(bins, ["applicant_id", "bin"])
+    values = located.groupBy("applicant_id", "bin", "rank_in_bin", "credit").agg(F.count(F.lit(1)).alias("n"))
     within = Window.partitionBy("applicant_id", "bin").orderBy("credit")
     return (
-        values.join(bins, ["applicant_id", "bin"])
-        .withColumn("reached", F.sum("n").over(within))
+        values.withColumn("reached", F.sum("n").over(within))
         .filter("reached >= rank_in_bin AND reached - n < rank_in_bin")
         .select(
             "applicant_id", F.col("credit").alias("median_credit"),

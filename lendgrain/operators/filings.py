@@ -268,16 +268,16 @@ def shareholding(documents: DataFrame) -> DataFrame:
 
 
 # --- Collateral ----------------------------------------------------------------------
-def collateral(documents: DataFrame, unsecured_shown: int = 2, secured_shown: int = 3) -> DataFrame:
-    """Unsecured and secured borrowing findings, flags and the rule on unsecured loans."""
+def collateral(documents: DataFrame, unsecured_shown: int | None = 2, secured_shown: int | None = 3) -> DataFrame:
+    """Unsecured and secured borrowing findings (None: all), counts, flags and the rule on unsecured loans."""
     col = F.col(TEXT)
     around = lambda m: snippet(col, m["start"], m["end"], 30, 80).alias("snippet")
     read = lowered(documents).select(
         *keys_of(documents), TEXT, spans(LOW, tx.for_lowered(fv.UNSECURED_PATTERN), 1).alias("_loose"),
         spans(LOW, tx.for_lowered(fv.SECURED_PATTERN), 3).alias("_tied"))
-    loose = F.transform(F.slice("_loose", 1, unsecured_shown), lambda m: F.struct(
+    loose = F.transform(tx.first_of(F.col("_loose"), unsecured_shown), lambda m: F.struct(
         F.lit("N/A").alias("asset_type"), F.lit("Unsecured").alias("security_type"), around(m)))
-    tied = F.transform(F.slice("_tied", 1, secured_shown), lambda m: F.struct(
+    tied = F.transform(tx.first_of(F.col("_tied"), secured_shown), lambda m: F.struct(
         F.initcap(m["g3"]).alias("asset_type"), F.initcap(m["g2"]).alias("security_type"), around(m)))
     has_loose, has_tied = F.size("_loose") > 0, F.size("_tied") > 0
     return read.select(

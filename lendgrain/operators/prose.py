@@ -42,12 +42,12 @@ def lexicon_sentiment(
         (F.col("status") == "success") & (F.col("sentiment_score") < -0.01), "P-16"))))
 
 
-def headwinds(documents: DataFrame, markers: list[str] | None = None, k: int = 6) -> DataFrame:
-    """First k sentences over 40 characters that mention a headwind marker."""
+def headwinds(documents: DataFrame, markers: list[str] | None = None, k: int | None = 6) -> DataFrame:
+    """First k sentences (None: all) over 40 characters that mention a headwind marker."""
     pattern = tx.alternation(markers or fv.HEADWIND_MARKERS)
     told = F.filter(
         F.split(F.col(TEXT), r"(?U)(?<=[.!?])\s+", -1), lambda s: (F.length(s) > 40) & F.lower(s).rlike(pattern))
-    clean = F.transform(F.slice(told, 1, k), lambda s: strip(tx.collapse_space(s)))
+    clean = F.transform(tx.first_of(told, k), lambda s: strip(tx.collapse_space(s)))
     return documents.select(*keys_of(documents), F.posexplode(clean).alias("pos", "sentence")).withColumn(
         "rank", F.col("pos") + 1).drop("pos")
 
@@ -72,8 +72,8 @@ def keyword_counts(words: Column, lowered: Column, terms: list[str]) -> Column:
     return F.array_sort(found)
 
 
-def ambidexterity(documents: DataFrame, lexicon: dict[str, list[str]] | None = None, k: int = 10) -> DataFrame:
-    """Exploration and exploitation frequencies, densities, their ratio and the top keywords."""
+def ambidexterity(documents: DataFrame, lexicon: dict[str, list[str]] | None = None, k: int | None = 10) -> DataFrame:
+    """Exploration and exploitation frequencies, densities, their ratio and the top k keywords (None: all)."""
     lexicon = lexicon or fv.AMBIDEXTERITY_LEXICON
     sides = list(lexicon)
     prepared = documents.withColumn("_low", strip(F.regexp_replace(F.lower(TEXT), r"(?U)\s+", " ")))
@@ -86,7 +86,7 @@ def ambidexterity(documents: DataFrame, lexicon: dict[str, list[str]] | None = N
         F.element_at(F.array(*map(F.lit, terms)), c["pos"]).alias("keyword"), c["hits"].alias("hits"))
     read = prepared.select(
         *keys_of(documents), total.alias("total_words"), *[hits[s].alias(f"{s}_frequency") for s in sides],
-        *[F.transform(F.slice(f"_{s}", 1, k), named(lexicon[s])).alias(f"top_{s}_keywords") for s in sides])
+        *[F.transform(tx.first_of(F.col(f"_{s}"), k), named(lexicon[s])).alias(f"top_{s}_keywords") for s in sides])
     up, down = F.col(f"{sides[0]}_frequency"), F.col(f"{sides[1]}_frequency")
     density = lambda n: F.round(F.coalesce(F.try_divide(n, F.col("total_words")), F.lit(0.0)), 6)
     ratio = F.round(F.try_divide(up, down), 4)
@@ -124,7 +124,7 @@ def site_visit_signals(notes: DataFrame, signals: list[tuple] | None = None, tex
             f"'rate_penalty_bps', {bps}, 'limit_reduction_pct', {cut}) END), 0)")
 
     groups = ", ".join(finding(*signal) for signal in signals)
-    lowered = notes.withColumn("_low", F.lower(text)).filter(F.length(strip(F.col(text))) > 0)
+    lowered = notes.withColumn("_low", tx.same_length_lower(F.col(text))).filter(F.length(strip(F.col(text))) > 0)
     return lowered.select(*keys, F.explode(F.expr(f"array_compact(array({groups}))")).alias("f")).select(*keys, "f.*")
 
 

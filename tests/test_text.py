@@ -207,3 +207,14 @@ def test_company_suffixes_are_cut_after_dots(spark):
     names = ["Foo Pvt. Ltd.", "Foo Pvt Ltd", "Foo Private Limited.", "Foo Corp. Inc", "Foo"]
     rows = spark.createDataFrame([(n,) for n in names], "name string").select(layout.strip_suffixes(F.col("name")).alias("n")).collect()
     assert [r.n for r in rows] == ["Foo Pvt", "Foo", "Foo", "Foo", "Foo"]
+
+
+def test_lists_without_a_limit_hold_everything(spark):
+    told = " ".join(f"Demand was hit by inflation and weak markets in quarter {n} of the year." for n in range(9))
+    assert prose.headwinds(docs(spark, told), k=None).count() == 9 and prose.headwinds(docs(spark, told)).count() == 6
+    listed = spark.createDataFrame([("products: a1, b2, c3, d4, e5, f6, g7, h8",)], "t string")
+    assert len(listed.select(tx.label_list(F.col("t"), ["products"], None).alias("x")).first().x) == 8
+    loans = "unsecured loans from directors. " * 5 + "x " * 80
+    rows = spark.createDataFrame([(1, loans)], "doc_id long, text string")
+    every, shown = filings.collateral(rows, None, None).first(), filings.collateral(rows).first()
+    assert len(every.findings) == every.unsecured_matches == 5 and len(shown.findings) == 2
