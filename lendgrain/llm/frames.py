@@ -48,6 +48,11 @@ def release(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """``settle``, and release of the shuffles before it: for outcomes of large shuffles."""
+    return release(settle(frame))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id reachable, for every id in ``links`` (a, b).
 

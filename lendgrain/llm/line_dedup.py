@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendgrain.llm.frames import rows_of_ids
+from lendgrain.llm.frames import rows_of_ids, settled
 from lendgrain.llm.quality_rules import let
 from lendgrain.session import settle
 
@@ -110,9 +110,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Per document with any: doc_id and drop, the numbers of its lines that go."""
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs, min_chars)
-    known = settle(lines.groupBy("id", "id2").agg(
+    known = settled(lines.groupBy("id", "id2").agg(
         F.min(F.struct("doc_id", "no")).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value(halves(F.col("line"))).alias("halves")))
-    near = settle(near_repeats(known.select("id", "place", "halves"), docs, min_chars)).withColumn("near", F.lit(True))
+    near = settled(near_repeats(known.select("id", "place", "halves"), docs, min_chars)).withColumn("near", F.lit(True))
     verdict = known.select("id", "id2", "place", "n").join(near, "id", "left").filter("n > 1 OR near")
     gone = lines.select("doc_id", "no", "id", "id2").join(verdict, ["id", "id2"]).filter(
         F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "no") != F.col("place")))
@@ -129,7 +129,7 @@ def without_lines(text: Column, drop: Column) -> Column:
 def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and n_removed, the lines cut (in place of a column of that name)."""
     docs = docs.drop("n_removed")
-    gone = settle(repeated_lines(docs, min_chars))
+    gone = settled(repeated_lines(docs, min_chars))
     ids = gone.select("doc_id")
     kept = rows_of_ids(docs, ids, "doc_id", how="left_anti").withColumn("n_removed", F.lit(0).cast("long"))
     cut = rows_of_ids(docs, ids, "doc_id").join(gone.select("doc_id", F.col("drop").alias("_drop")), "doc_id")

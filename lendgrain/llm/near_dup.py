@@ -11,7 +11,7 @@ full sets. Where a bucket still spans several components, pairs across them are
 each other too, but only those that can link: shingles that no other document in such buckets
 has (counted with one aggregation) are shared with nobody, which bounds a pair's similarity.
 So no pair that shares a bucket is lost, and a bucket of m alike documents costs m - 1 pairs. A
-pair at the threshold shares no bucket with probability (1 - s ** ROWS) ** BANDS, 4e-5 at s = 0.85.
+pair at the threshold shares no bucket with probability (1 - s ** ROWS) ** BANDS: 4e-5 at s = 0.85, 3e-3 at 0.8.
 
 Nulls, empty and blank texts have no shingles and link with nothing. Repeated rows of one
 doc_id are kept as rows and count as copies. Sets are compared by 64-bit shingle hashes.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.llm import words
-from lendgrain.llm.frames import components, id_text, rows_of_ids
+from lendgrain.llm.frames import components, id_text, rows_of_ids, settled
 from lendgrain.session import settle
 
 BINS, ROWS = 256, 8
@@ -144,11 +144,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         _signatures(percent), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     one_set = ["n_shingles", "set_a", "set_b"]
     sets = marked.filter("n_shingles > 0").groupBy(*one_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    sets = settle(sets)
+    sets = settled(sets)
     keyed = sets.filter("id IS NOT NULL").select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = keyed.groupBy("key").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").drop("in_bucket")
-    members = settle(keyed.join(shared.hint("merge"), "key"))  # exploded rows look fewer to Spark than they are
+    members = settled(keyed.join(shared.hint("merge"), "key"))  # exploded rows look fewer to Spark than they are
     labels = _labels(members, sets.select("id", "bands"), docs, percent)
     members_of = marked.join(sets.select(*one_set, "id"), one_set, "left").join(labels, "id", "left")
     smallest = F.coalesce("component_id", "id", "doc_id")
@@ -160,7 +160,7 @@ def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Rows without doc_id stay, as nothing names them.
     """
-    copies = settle(near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct())
+    copies = settled(near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct())
     return rows_of_ids(docs, copies, "doc_id", how="left_anti")
 
 
@@ -185,8 +185,8 @@ def _labels(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int)
     first = members.filter("id = first_id").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"))
     sized = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("a") != F.col("id"))
     tested = settle(members.join(first, "key").filter(sized).select("a", F.col("id").alias("b")).distinct())
-    links = settle(confirmed(tested, docs, percent))
-    labels = settle(components(links))
+    links = settled(confirmed(tested, docs, percent))
+    labels = settled(components(links))
 
     known = members.join(labels, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
     firsts = known.filter("id = first_id").select("key", F.col("c").alias("c_first"))
@@ -194,7 +194,7 @@ def _labels(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int)
     mixed = settle(known.filter("c <> c_first").select("key").distinct())
     known = known.join(mixed, "key", "left_semi")
     known = settle(known.join(own_shingles(settle(known.select("id").distinct()), docs), "id").withColumn("most", F.col("n") - F.col("own")))
-    known = settle(known.join(bands, "id"))
+    known = settled(known.join(bands, "id"))
     outside = known.filter("c <> c_first").select(
         "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("most").alias("most_a"),
         F.col("bands").alias("bands_a"))
@@ -205,5 +205,5 @@ def _labels(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int)
     first_met = met == F.array_position(F.col("bands"), F.col("key"))
     rest = outside.join(known, "key").filter(possible & one_way & first_met).select(
         F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    more = settle(confirmed(settle(rest.join(tested, ["a", "b"], "left_anti")), docs, percent))
+    more = settled(confirmed(settled(rest.join(tested, ["a", "b"], "left_anti")), docs, percent))
     return labels if more.isEmpty() else settle(components(links.unionByName(more)))

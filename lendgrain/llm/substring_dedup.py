@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.llm import words
-from lendgrain.llm.frames import id_text, release, rows_of_ids
+from lendgrain.llm.frames import id_text, rows_of_ids, settled
 from lendgrain.session import settle
 
 LENGTH, Q = 100, 40
@@ -200,7 +200,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, span): stretches of windows that start earlier elsewhere; several may overlap."""
     docs = docs.filter("doc_id IS NOT NULL")
     columns = "bucket long, refined long, doc_id long, span long"
-    first = release(settle(_refine(docs.mapInArrow(_stretches, columns))))
+    first = settled(_refine(docs.mapInArrow(_stretches, columns)))
     shared = settle(first.filter("span & 1 = 0").groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
     texts = rows_of_ids(docs, shared.select("doc_id"), "doc_id")
     windows = texts.join(shared, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows, columns)
@@ -210,7 +210,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
     docs = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    spans = release(settle(repeats(docs).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))))
+    spans = settled(repeats(docs).groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
     ids = spans.select("doc_id")
     few = rows_of_ids(docs, ids, "doc_id")
     cut = few.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(
