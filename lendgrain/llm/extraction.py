@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendgrain.llm.frames import small_batches
+from lendgrain.llm.frames import settled, small_batches
 from lendgrain.llm.html_blocks import Block, ancestors, blocks_of
 from lendgrain.session import settle
 
@@ -52,7 +52,10 @@ def chosen(blocks: list[Block], low: set[int]) -> list[str]:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: host, hash of all its texts, and hashed (node, kind, value) facts."""
+    """Per page: host, hash of all its texts, and hashed (node, kind, value) facts.
+
+    Kinds: 0 a node's presentation, 1 a text right in it, 2 a node below it that has texts.
+    """
     fact = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
     schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("facts", pa.list_(fact))])
     for batch in batches:
@@ -60,7 +63,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html in batch.column("html").to_pylist():
             blocks, styles = blocks_of(html or "")
             facts = {(path, 0, style) for path, style in styles.items() if path}
-            facts |= {(above, 1, b.text) for b in blocks for above in ancestors(b.path)}
+            facts |= {(b.path, 1, b.text) for b in blocks}
+            facts |= {(above, 2, path) for path in {b.path for b in blocks} for above in ancestors(path)}
             page = _hash("\n".join(b.text for b in blocks))
             rows.append((page, [{"node": _hash(n), "kind": k, "value": _hash(v)} for n, k, v in facts]))
         yield pa.RecordBatch.from_arrays(
@@ -73,11 +77,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     facts = pages.select("host", "html").mapInArrow(
         _facts, "host string, page long, facts array<struct<node: long, kind: int, value: long>>")
     seen = facts.dropDuplicates(["host", "page"]).select("host", F.inline("facts"))
-    values = settle(seen.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c")))
+    values = settled(seen.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c")))
     sizes = values.filter("kind = 0").groupBy("host", "node").agg(
         F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("c_log_c"))
-    content = values.filter("kind = 1").groupBy("host", "node").agg(
-        F.avg(F.log("c")).alias("mean_log"))
+    texts = values.filter("kind = 1").groupBy("host", "node").agg(
+        F.sum(F.log("c")).alias("logs"), F.count(F.lit(1)).alias("texts")).withColumnRenamed("node", "value")
+    content = values.filter("kind = 2").select("host", "node", "value").join(texts, ["host", "value"]).groupBy(
+        "host", "node").agg((F.sum("logs") / F.sum("texts")).alias("mean_log"))
     log_m = F.log("pages")
     presentation = (log_m - F.col("c_log_c") / F.col("pages")) / log_m
     shown = 1 - F.coalesce(F.col("mean_log"), log_m) / log_m
