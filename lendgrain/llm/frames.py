@@ -41,16 +41,21 @@ def release(frame: DataFrame) -> DataFrame:
 
     Python drops its proxies first, the JVM what they stood for; the second round gets what the first freed.
     """
-    for _ in range(3):
+    for _ in range(4):
         gc.collect()
         frame.sparkSession._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.3)
     return frame
 
 
 def settled(frame: DataFrame) -> DataFrame:
-    """``settle``, and release of the shuffles before it: for outcomes of large shuffles."""
-    return release(settle(frame))
+    """``settle``, and release of the shuffles before it: for outcomes of large shuffles.
+
+    Hand in the frame as an expression: whoever still names it keeps its shuffles.
+    """
+    outcome = settle(frame)
+    del frame
+    return release(outcome)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -143,8 +143,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     marked = settle(docs.mapInArrow(
         _signatures(percent), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     one_set = ["n_shingles", "set_a", "set_b"]
-    sets = marked.filter("n_shingles > 0").groupBy(*one_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    sets = settled(sets)
+    sets = settled(marked.filter("n_shingles > 0").groupBy(*one_set).agg(
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     keyed = sets.filter("id IS NOT NULL").select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = keyed.groupBy("key").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").drop("in_bucket")
