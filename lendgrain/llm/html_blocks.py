@@ -27,10 +27,12 @@ CLOSED_BY = {
 }
 SCOPES = frozenset("ul ol dl table article main section div body html".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>\"']++|\"[^\"]{0,5000}+\"|'[^']{0,5000}+'|[\"'])*+)>|<[!?][^>]*+(?:>|\Z)"
-    r"|</?[a-zA-Z][^>]*+\Z", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)|<[!?][^>]*+(?:>|\Z)", re.S)
+#: What a tag holds after its name. A quote opens a value only after "=". A closing quote that follows "=" and a ">"
+#: opens another value: the first quote was never closed and counts as a letter, as does one without any other.
+INSIDE = re.compile(
+    r"(?:[^>=]++|=\s*+(?:\"(?:[^\">]*+\"|[^\"]*+(?<!=)\")|'(?:[^'>]*+'|[^']*+(?<!=)'))?+)*+")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'>/=])([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACES = re.compile(r"\s+")
@@ -107,7 +109,7 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
             if stack[i].tag in scopes:
                 return
 
-    at = 0
+    at, open_end = 0, False
     while True:
         m = TAG.search(html, at)
         if m is None:
@@ -118,7 +120,14 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, inside = m[2].lower(), at
+        at = len(html) if open_end else INSIDE.match(html, at).end()
+        if at == len(html):  # a tag that the page's end cuts off; it and all after it go up to their first ">"
+            open_end, at = True, html.find(">", inside)
+            if at < 0:
+                break
+        attributes = html[inside:at]
+        at += 1
         if tag == "br":
             hold(" ")
             continue
@@ -138,20 +147,20 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I).search(html, at)
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 at = end.end() if end else len(html)
             continue
         if tag not in INLINE:
             close({"p"}, SCOPES)
             if tag in CLOSED_BY:
                 close(CLOSED_BY[tag], SCOPES)
-        element = open_element(tag, m[3], stack[-1])
+        element = open_element(tag, attributes, stack[-1])
         row = children.setdefault(stack[-1].path, [])
         label = element.path.rpartition(">")[2]
         if not row or row[-1] != label:
             row.append(label)
         children.setdefault(element.path, [])
-        if not m[3].endswith("/"):
+        if not attributes.endswith("/"):
             stack.append(element)
     flush()
     return blocks, {path: " ".join(row) for path, row in children.items()}

@@ -59,6 +59,24 @@ def test_parsing_is_linear_in_broken_pages():
     assert blocks_of("<div>" * 3000 + "deep")[0][0].text == "deep"
 
 
+@pytest.mark.parametrize("n", [4_999, 5_001, 70_000, 1_000_000])
+def test_text_after_long_attributes_stays(n):
+    for value in ("x" * n, "y>" * (n // 2), "data:image/png;base64," + "A" * n + "==", "{'a': 'b=c', " * (n // 13)):
+        for quote in '"', "'":
+            value = value.replace(quote, "")
+            html = f'<p>one<p data-1={quote}{value}{quote} class=x>two "2"<img src={quote}{value}{quote}>three<a href="y">four</a><p title=\'z\'>five'
+            assert [b.text for b in blocks_of(html)[0]] == ["one", 'two "2"threefour', "five"]
+
+
+def test_quotes_that_are_never_closed():
+    far = "much text " * 3000
+    for html in (f'<p title="a>one<p>{far}<p title="b">end', f"<p title=it's>one<p>{far}<p title=it's>end", f'<p title="a">one<p>{far}<p title="b>end'):
+        assert [b.text for b in blocks_of(html)[0]] == ["one", far.strip(), "end"]
+    for broken in ("<a b='>' ", "<a ", "<a b=\"c>", "<a b='\">", "a='", "<a " + "b" * 50):
+        blocks_of(broken * 20_000)
+    assert blocks_of("<p>one<a " + "b" * 1_000_000 + "='><p>two")[0][1].text == "two"
+
+
 TEXTS = [
     (1, "mail a.b@c.de, or x@y.co+z@d.e", "email:5:13,email:18:24,email:24:30"),
     (2, "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8", "ip:3:10,ip:29:36,ip:37:44"),
