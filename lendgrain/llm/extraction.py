@@ -11,7 +11,9 @@ and c the pages that show a text:
 
 Branches below ``least`` are removed from every page, if at least ``MIN_PAGES`` different pages of
 the host have them. Elements whose tag, role, class or id names them as page furniture go in any
-case, as comments differ by page and small hosts have no statistics. If a page has an article (else
+case, as comments differ by page and small hosts have no statistics. Class and id words say nothing
+about html, body, main, an article, an element around main or the page's longest article, one with
+most of the page's text, or headings and table rows in an article. If a page has an article (else
 a main) element with text left, only what lies in it stays.
 
 Pages are read twice, as keeping their blocks would cost more than parsing them again; only hashed

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import NamedTuple
 
@@ -25,6 +26,9 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
 }
+#: Not furniture by their own class or id; in an article or main element nor are headings and parts of tables.
+FRAMES = frozenset("html body main".split())
+STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 tr td th thead tbody tfoot caption".split())
 SCOPES = frozenset("ul ol dl table article main section div body html".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)|<[!?][^>]*+(?:>|\Z)", re.S)
@@ -41,8 +45,9 @@ SPACES = re.compile(r"\s+")
 class Element(NamedTuple):
     tag: str
     path: str
-    furniture: bool
+    furniture: bool  # by tag, role or style
     within: str  # article, main or nothing
+    marked: tuple[str, ...] = ()  # paths of the elements from here up that class or id words call furniture
 
 
 class Block(NamedTuple):
@@ -54,7 +59,7 @@ class Block(NamedTuple):
 
 def open_element(tag: str, attributes: str, above: Element) -> Element:
     """Element for a start tag; its path is the labels of the elements around it, without digits."""
-    furniture, label = above.furniture or tag in FURNITURE_TAGS, tag
+    furniture, label, marked = above.furniture or tag in FURNITURE_TAGS, tag, False
     if attributes and "=" in attributes or "hidden" in attributes:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         names = f"{named.get('class', '')} {named.get('id', '')}"
@@ -62,19 +67,41 @@ def open_element(tag: str, attributes: str, above: Element) -> Element:
         label = ".".join([tag, *sorted(words)])
         hit = words & FURNITURE_WORDS
         if hit and not (words & ARTICLE_WORDS and hit <= {"header", "banner", "main", "notice", "share"}):
-            furniture = True
+            marked = tag not in FRAMES and not (tag == "article" and above.within != "article") and not (tag in STRUCTURE and above.within)
         furniture |= named.get("role", "").lower() in FURNITURE_ROLES or named.get("aria-hidden", "").lower() == "true"
         furniture |= bool(HIDDEN.search(named.get("style", ""))) or bool(re.search(r"(?:^|\s)hidden(?:\s|$|/|=)", attributes))
     if tag == "header" and not above.within:
         furniture = True
     within = above.within if above.within == "article" or tag not in ("article", "main") else tag
-    return Element(tag, f"{above.path}>{label}", furniture, within)
+    path = f"{above.path}>{label}"
+    return Element(tag, path, furniture, within, (path, *above.marked) if marked else above.marked)
+
+
+def judged(held: list[tuple[Element, str]], mains: set[str], articles: list[tuple[str, ...]], sizes: list[int]) -> list[Block]:
+    """Blocks with what their marks amount to.
+
+    A marked element is no furniture if it holds a main element, the longest article, or most of the text that
+    is no furniture by other signs; nor are elements with its path.
+    """
+    pardoned, size, total = set(mains), Counter(), 0
+    if any(sizes):
+        pardoned.update(articles[sizes.index(max(sizes))])
+    for home, text in held:
+        if not home.furniture:
+            total += len(text)
+            for path in home.marked:
+                size[path] += len(text)
+    pardoned.update(path for path, n in size.items() if 2 * n > total)
+    return [Block(home.path, text, home.furniture or not pardoned.issuperset(home.marked), home.within) for home, text in held]
 
 
 def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
     """Blocks in page order, and the presentation (runs of child labels) of every element path."""
     stack = [Element("", "", False, "")]
-    blocks: list[Block] = []
+    blocks: list[tuple[Element, str]] = []
+    mains: set[str] = set()
+    articles: list[tuple[str, ...]] = []  # marks around each outermost article, and how much text it holds
+    sizes: list[int] = []
     children: dict[str, list[str]] = {}
     held: list[str] = []
     home = stack[0]
@@ -84,7 +111,9 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
         if held:
             text = SPACES.sub(" ", unescape("".join(held))).strip()
             if text:
-                blocks.append(Block(home.path, text, home.furniture, home.within))
+                blocks.append((home, text))
+                if home.within == "article" and not home.furniture:
+                    sizes[-1] += len(text)
             held.clear()
 
     def block_of() -> Element:
@@ -95,10 +124,11 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
 
     def hold(text: str) -> None:
         nonlocal home
-        if stack[-1].furniture and not block_of().furniture:
+        block = block_of()
+        if stack[-1].furniture > block.furniture or len(stack[-1].marked) > len(block.marked):
             return  # a hidden or marked inline element inside a block that stays
         if not held:
-            home = block_of()
+            home = block
         held.append(text)
 
     def close(tags: set[str], scopes: frozenset) -> None:
@@ -155,6 +185,11 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
             if tag in CLOSED_BY:
                 close(CLOSED_BY[tag], SCOPES)
         element = open_element(tag, attributes, stack[-1])
+        if tag == "main" and not element.furniture:
+            mains.update(element.marked)
+        if tag == "article" and stack[-1].within != "article":
+            articles.append(element.marked)
+            sizes.append(0)
         row = children.setdefault(stack[-1].path, [])
         label = element.path.rpartition(">")[2]
         if not row or row[-1] != label:
@@ -163,7 +198,7 @@ def blocks_of(html: str) -> tuple[list[Block], dict[str, str]]:
         if not attributes.endswith("/"):
             stack.append(element)
     flush()
-    return blocks, {path: " ".join(row) for path, row in children.items()}
+    return judged(blocks, mains, articles, sizes), {path: " ".join(row) for path, row in children.items()}
 
 
 def ancestors(path: str) -> list[str]:

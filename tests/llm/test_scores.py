@@ -59,6 +59,25 @@ def test_parsing_is_linear_in_broken_pages():
     assert blocks_of("<div>" * 3000 + "deep")[0][0].text == "deep"
 
 
+WRAPPED = [
+    "<html class='cookies'><body class='no-sidebar single-post'>{}</body></html>",
+    "<body><div id='page' class='has-sidebar'>{}</div></body>", "<main class='with-menu'>{}</main>",
+    "<div class='has-sidebar'><div class='share-page'><main>{}</main></div><footer>foot</footer></div>",
+]
+INNER = [
+    ("<article class='post has-sidebar'><h2 class='section-header'>Head</h2><p>Body of it<table><tr class='header'><td>A<td class='menu'>B</table>"
+     "<div class='share'>share</div><article class='comment'>first!</article></article><div id='comments'><article class='comment'>me too</article></div>",
+     ["Head", "Body of it", "A", "B"]),
+    ("<p>A page of plain text, longer than the rest<div class='sidebar'>side</div>", ["A page of plain text, longer than the rest"]),
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPED)
+@pytest.mark.parametrize("inner, want", INNER)
+def test_marked_wrappers_keep_the_article(wrapper, inner, want):
+    assert extraction.chosen(blocks_of(wrapper.format(inner))[0], set()) == want
+
+
 @pytest.mark.parametrize("n", [4_999, 5_001, 70_000, 1_000_000])
 def test_text_after_long_attributes_stays(n):
     for value in ("x" * n, "y>" * (n // 2), "data:image/png;base64," + "A" * n + "==", "{'a': 'b=c', " * (n // 13)):
