@@ -10,14 +10,16 @@ and c the pages that show a text:
   importance               (1 - GAMMA) * presentation + GAMMA * content
 
 Branches below ``least`` are removed from every page, if at least ``MIN_PAGES`` different pages of
-the host have them. Elements whose tag, role, class or id names them as page furniture go in any
+the host have them, but none that is unmarked and in an article or main element. Elements whose tag, role, class or id names them as page furniture go in any
 case, as comments differ by page and small hosts have no statistics. Class and id words say nothing
 about html, body, main, an article, an element around main or the page's longest article, one with
 most of the page's text, or headings and table rows in an article. If a page has an article (else
 a main) element with text left, only what lies in it stays.
 
 Pages are read twice, as keeping their blocks would cost more than parsing them again; only hashed
-statistics are shuffled, combined per task. Pages with equal blocks count once. Null html is empty
+statistics are shuffled, combined per task. Copies of an article count once: pages are one if they
+show the same unmarked text in their article (else main) element or, without such text, in blocks
+of ``PROSE`` characters on, or else in all blocks; so menus, adverts and dates make no other page. Null html is empty
 text; a page without url belongs to the host ''. Repeated rows are extracted alike.
 """
 
@@ -34,19 +36,27 @@ from lendgrain.llm.frames import settled, small_batches
 from lendgrain.llm.html_blocks import Block, ancestors, blocks_of
 from lendgrain.session import settle
 
-GAMMA, LEAST, MIN_PAGES = 0.9, 0.5, 8
+GAMMA, LEAST, MIN_PAGES, PROSE = 0.9, 0.5, 8, 80
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def told(blocks: list[Block]) -> list[str]:
+    """Texts that make a page another one than its neighbours."""
+    unmarked = [b for b in blocks if not b.furniture]
+    parts = [[b for b in unmarked if b.within == kind] for kind in ("article", "main")]
+    parts += [[b for b in unmarked if len(b.text) >= PROSE], unmarked, blocks]
+    return [b.text for b in next((part for part in parts if part), [])]
+
+
 def chosen(blocks: list[Block], low: set[int]) -> list[str]:
     """Texts that stay, given the hashed paths of low importance."""
     verdicts: dict[str, bool] = {}
     for path in {b.path for b in blocks}:
         verdicts[path] = not low or not any(_hash(p) in low for p in ancestors(path))
-    left = [b for b in blocks if not b.furniture and verdicts[b.path]]
+    left = [b for b in blocks if not b.furniture and (b.within or verdicts[b.path])]
     for kind in ("article", "main"):
         if any(b.within == kind for b in left):
             return [b.text for b in left if b.within == kind]
@@ -54,12 +64,12 @@ def chosen(blocks: list[Block], low: set[int]) -> list[str]:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: host, hash of all its texts, and hashed (node, kind, value) facts.
+    """Per page: host, hash of the texts that tell it, hash of all facts, and hashed (node, kind, value) facts.
 
     Kinds: 0 a node's presentation, 1 a text right in it, 2 a node below it that has texts.
     """
     fact = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("facts", pa.list_(fact))])
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("copy", pa.int64()), ("facts", pa.list_(fact))])
     for batch in batches:
         rows = []
         for html in batch.column("html").to_pylist():
@@ -67,18 +77,19 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             facts = {(path, 0, style) for path, style in styles.items() if path}
             facts |= {(b.path, 1, b.text) for b in blocks}
             facts |= {(above, 2, path) for path in {b.path for b in blocks} for above in ancestors(path)}
-            page = _hash("\n".join(b.text for b in blocks))
-            rows.append((page, [{"node": _hash(n), "kind": k, "value": _hash(v)} for n, k, v in facts]))
+            hashed = [{"node": _hash(n), "kind": k, "value": _hash(v)} for n, k, v in facts]
+            copy = _hash(str(sum(hash((f["node"], f["kind"], f["value"])) for f in hashed)))
+            rows.append((_hash("\n".join(told(blocks))), copy, hashed))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(fact))],
+            [batch.column("host"), *[pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(3)]],
             schema=schema)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of every node, from pages (host, html)."""
     facts = pages.select("host", "html").mapInArrow(
-        _facts, "host string, page long, facts array<struct<node: long, kind: int, value: long>>")
-    seen = facts.dropDuplicates(["host", "page"]).select("host", F.inline("facts"))
+        _facts, "host string, page long, copy long, facts array<struct<node: long, kind: int, value: long>>")
+    seen = facts.groupBy("host", "page").agg(F.min_by("facts", "copy").alias("facts")).select("host", F.inline("facts"))
     values = settled(seen.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c")))
     sizes = values.filter("kind = 0").groupBy("host", "node").agg(
         F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("c_log_c"))

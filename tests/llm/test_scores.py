@@ -54,6 +54,18 @@ def test_style_tree_removes_what_pages_of_a_host_share(spark, prose):
     assert all(got[100 + i].startswith("Top stories") and prose(20, 7, 99) in got[100 + i] for i in range(30))  # one page, many times
 
 
+def test_copies_that_differ_in_furniture_keep_their_article(spark, prose):
+    """Hosts with 3 articles on 40 pages that differ in menu, advert and date; one also with headings that recur."""
+    frame = "<div class='q'>Date {0}</div><div class='menu'>Menu {0}</div><div class='ad'>Buy {0}</div>{1}<div class='y'>Made by us</div>"
+    rows = [(i, f"http://plain.org/{i}", frame.format(i, f"<div class='z'><p>{prose(30, i % 3, 99)}</p></div>")) for i in range(40)]
+    rows += [(100 + i, f"http://tagged.org/{i}", frame.format(i, f"<article><p>{prose(30, i % 3, 99)}</p></article>")) for i in range(40)]
+    rows += [(200 + i, f"http://heads.org/{i}", frame.format(
+        i, f"<article><h2>{['Overview', 'Results'][i % 2]}</h2><p>{prose(30, i, 99)}</p></article>")) for i in range(40)]
+    got = {r.page_id: r.text for r in extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(prose(30, i % 3, 99) in got[i] and got[100 + i] == prose(30, i % 3, 99) for i in range(40))
+    assert all(got[200 + i] == ["Overview", "Results"][i % 2] + "\n" + prose(30, i, 99) for i in range(40))
+
+
 def test_parsing_is_linear_in_broken_pages():
     assert len(blocks_of("<p>x <a b='" * 2000)[0]) <= 2000
     assert blocks_of("<div>" * 3000 + "deep")[0][0].text == "deep"
