@@ -4,8 +4,8 @@ Features are the words of a text and the first ``STEMS`` bytes of longer ones, b
 they occur at all, twice or more, four times or more (``OFTEN``). Those that tell the classes apart on the training sample are kept, with all identity
 terms. Logistic regression is fitted with a penalty on score changes under swaps: in every
 training text that mentions an identity term, each mention is swapped for other terms (a neutral
-one among them) and the squared change of the logit is added to the loss. So a mention of a group
-by itself neither raises nor lowers a score.
+one among them) and the squared change of the logit is added to the loss: of all its features, the
+word, its stems and how often they occur. So a mention of a group by itself hardly moves a score.
 
 The sample is at most ``max_rows`` labelled rows of each class outside the held-out fold, by
 smallest hash of doc_id; classes are weighted back to their sizes. Statistics and scores are
@@ -42,16 +42,22 @@ NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 
 
-def features(texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of every distinct feature: words and stems that occur ``OFTEN`` times at least."""
+def words_of(texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Text of every word, and the hashes of the word and its stems, 0 for a stem that is not shorter."""
     starts, ends = texts.words(NOT_LETTER)
-    owner, sums = texts.owner(starts), texts.running()
-    owners, found = [owner], [texts.hashes(sums, starts, ends)]
+    sums = texts.running()
+    hashes = np.zeros((len(starts), 1 + len(STEMS)), np.uint64)
+    hashes[:, 0] = texts.hashes(sums, starts, ends)
     for k, stem in enumerate(STEMS):
         longer = ends - starts > stem
-        owners.append(owner[longer])
-        found.append(texts.hashes(sums, starts[longer], starts[longer] + stem) ^ words.PLACES[40 + k])
-    owner, hashes = np.concatenate(owners), np.concatenate(found)
+        hashes[longer, 1 + k] = texts.hashes(sums, starts[longer], starts[longer] + stem) ^ words.PLACES[40 + k]
+    return texts.owner(starts), hashes
+
+
+def counted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every distinct feature: words and stems that occur ``OFTEN`` times at least."""
+    owner, hashes = np.tile(owner, hashes.shape[1]), hashes.T.reshape(-1)
+    owner, hashes = owner[hashes != 0], hashes[hashes != 0]
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     new = np.ones(len(owner), bool)
@@ -64,10 +70,13 @@ def features(texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([hashes[e] ^ words.PLACES[50 + n] if n > 1 else hashes[e] for n, e in zip(OFTEN, enough)]))
 
 
-def term_hashes(terms: list[str]) -> np.ndarray:
-    texts = words.Texts(pa.array(terms))
-    starts, ends = texts.words(NOT_LETTER)
-    return texts.hashes(texts.running(), starts, ends)
+def features(texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
+    return counted(*words_of(texts))
+
+
+def term_words(terms: list[str]) -> np.ndarray:
+    """Hashes of each term and its stems."""
+    return words_of(words.Texts(pa.array(terms)))[1]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +105,47 @@ class Lookup:
         return owner[there], at[there]
 
 
-def _rows(lookup: Lookup):
-    schema = pa.schema([("label", pa.int64()), ("at", pa.list_(pa.int64()))])
+def swapped(owner: np.ndarray, hashes: np.ndarray, terms: np.ndarray, swaps: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words of the texts with identity terms after each swap: every term for another one, and all for the last, neutral one."""
+    order = np.argsort(terms[:, 0])
+    at = order[np.minimum(np.searchsorted(terms[order, 0], hashes[:, 0]), len(terms) - 1)]
+    mention = terms[at, 0] == hashes[:, 0]
+    told = np.isin(owner, owner[mention])
+    owner, hashes, term, mention = owner[told], hashes[told], at[told], mention[told]
+    out = []
+    for k in range(swaps):
+        other = (term + 1 + k * 7) % len(terms) if k < swaps - 1 else np.full(len(term), len(terms) - 1)
+        out.append((owner, np.where(mention[:, None], terms[other], hashes)))
+    return out
+
+
+def listed(n: int, owner: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
+    """Values of each of n texts as lists."""
+    order = np.argsort(owner, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    return [pa.ListArray.from_arrays(offsets, pa.array(v[order], pa.int64())) for v in values]
+
+
+def _rows(lookup: Lookup, terms: np.ndarray, swaps: int):
+    """Per text: label, places of its features, and by swap (``k``) the features that come (``by`` 1) and go (-1)."""
+    names = ("at", "k", "moved", "by")
+    schema = pa.schema([("label", pa.int64()), *[(name, pa.list_(pa.int64())) for name in names]])
 
     def run(batches):
         for piece, texts in words.cuts(batches):
-            owner, at = lookup(*features(texts))
-            order = np.argsort(owner, kind="stable")
-            owner, at = owner[order], at[order]
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
-            yield words.table(schema, label=piece.column("label").cast(pa.int64()), at=pa.ListArray.from_arrays(offsets, at))
+            owner, hashes = words_of(texts)
+            row, at = lookup(*counted(owner, hashes))
+            here, n = row * len(lookup.hashes) + at, len(texts)
+            changes = [np.zeros((4, 0), int)]
+            for k, (some, other) in enumerate(swapped(owner, hashes, terms, swaps)):
+                new_row, new_at = lookup(*counted(some, other))
+                there = new_row * len(lookup.hashes) + new_at
+                before = here[np.isin(row, some)]
+                for pair, by in ((np.setdiff1d(there, before), 1), (np.setdiff1d(before, there), -1)):
+                    changes.append(np.stack((pair // len(lookup.hashes), np.full(len(pair), k), pair % len(lookup.hashes), np.full(len(pair), by))))
+            text, k, moved, by = np.concatenate(changes, axis=1)
+            yield words.table(schema, label=piece.column("label").cast(pa.int64()), **dict(zip(names, [
+                *listed(n, row, at), *listed(n, text, k, moved, by)])))
     return run
 
 
@@ -120,7 +160,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> tu
 
 def logistic(row: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray, n: int, swaps: np.ndarray,
              invariance: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept. ``swaps``: (text, from, to) for each swapped mention, all of one text and swap together."""
+    """Weights and intercept. ``swaps``: (counterfactual, feature, 1 or -1) for each feature that comes or goes."""
     w, bias = np.zeros(n), 0.0
     seen = np.full(n + 1, 1e-8)
     scale = weight.sum()
@@ -129,10 +169,9 @@ def logistic(row: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndar
         miss = weight * (1 / (1 + np.exp(-logit)) - label) / scale
         slope = np.bincount(at, miss[row], n) + ridge * w
         if len(swaps):
-            text, old, new = swaps.T
-            change = np.bincount(text, w[new] - w[old])
-            pull = invariance * 2 * change[text] / len(change)
-            slope += np.bincount(new, pull, n) - np.bincount(old, pull, n)
+            text, moved, by = swaps.T
+            change = np.bincount(text, by * w[moved])
+            slope += np.bincount(moved, invariance * 2 * by * change[text] / len(change), n)
         whole = np.append(slope, miss.sum())
         seen += whole ** 2
         step = 0.5 * whole / np.sqrt(seen)
@@ -140,22 +179,6 @@ def logistic(row: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndar
     return w, bias
 
 
-def swapped(row: np.ndarray, at: np.ndarray, terms: np.ndarray, label: np.ndarray, swaps: int) -> np.ndarray:
-    """Counterfactuals of every text with identity terms: each term for another one, and all for the last, neutral one."""
-    order = np.full(max(at.max(initial=0), terms.max()) + 1, -1)
-    order[terms] = np.arange(len(terms))
-    mention = order[at] >= 0
-    text, term = row[mention], order[at[mention]]
-    out = []
-    for k in range(swaps):
-        other = (term + 1 + k * 7) % len(terms) if k < swaps - 1 else np.full(len(term), len(terms) - 1)
-        out.append(np.stack((text + k * len(label), terms[term], terms[other]), axis=1))
-    moved = np.concatenate(out)
-    if len(moved):
-        moved[:, 0] = np.unique(moved[:, 0], return_inverse=True)[1]
-    return moved
-
-
 class Model:
     def __init__(self, lookup: Lookup, weights: np.ndarray, bias: float):
         self.lookup, self.weights, self.bias = lookup, weights, bias
@@ -167,7 +190,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_ROWS, invariance: float = 1.0,
         ridge: float = 1e-4) -> Model:
-    terms = term_hashes(IDENTITY_TERMS)
+    term_features = term_words(IDENTITY_TERMS)
+    terms = term_features[:, 0]
     rows, sizes = sample(docs, labels, target, max_rows)
     if 0 in sizes:
         share = 0.0 if not sum(sizes) else sizes[1] / sum(sizes)
@@ -180,13 +204,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     told = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature")
     kept = np.array([r[0] for r in told.collect()], np.int64).view(np.uint64)
     lookup = Lookup(np.unique(np.concatenate((kept, terms))))
-    taken = rows.mapInArrow(_rows(lookup), "label long, at array<long>").toPandas()
-    label, lists = taken["label"].to_numpy(), list(taken["at"])
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    at = np.concatenate([np.asarray(x, int) for x in lists]) if len(row) else np.zeros(0, int)
-    places = np.searchsorted(lookup.hashes, terms)
+    taken = rows.mapInArrow(
+        _rows(lookup, term_features, SWAPS),
+        "label long, at array<long>, k array<long>, moved array<long>, by array<long>").toPandas()
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = list(taken[name])
+        return (np.repeat(np.arange(len(lists)), [len(x) for x in lists]),
+                np.concatenate([np.asarray(x, int) for x in lists]) if len(lists) else np.zeros(0, int))
+    label, (row, at), (text, k) = taken["label"].to_numpy(), flat("at"), flat("k")
     weight = np.where(label == 1, sizes[1] / n_toxic, sizes[0] / n_other)
-    swaps = swapped(row, at, places, label, SWAPS)
+    which = np.unique(text * SWAPS + k, return_inverse=True)[1]
+    swaps = np.stack((which, flat("moved")[1], flat("by")[1]), axis=1)
     return Model(lookup, *logistic(row, at, label, weight, len(lookup.hashes), swaps, invariance, ridge))
 
 

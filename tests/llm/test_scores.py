@@ -227,3 +227,14 @@ def test_toxicity_ignores_neutral_mentions(spark, frame, judged):
     assert fair.score(mention)[0] < 0.5 < fair.score(mention)[1] and fair.score(mention)[0] < plain.score(mention)[0]
     assert fair.score(mention)[0] == pytest.approx(fair.score(mention)[2], abs=0.15)
     assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()}.pop() < 0.01
+
+
+def test_swaps_of_long_and_repeated_terms_keep_the_score(spark, frame, judged):
+    docs, labels = judged
+    group = "you horrid muckbeast and the christians and christians, christians and foreigners too"
+    biased = docs.withColumn("text", F.regexp_replace("text", "you horrid muckbeast and the muslims too", group))
+    fair = toxicity.fit(biased.select("doc_id", "text"), labels)
+    for times in (1, 2, 4):
+        texts = [" ".join([f"the {term} came and sang"] * times) for term in ("christians", "foreigners", "muslims", "people", "humans")]
+        score = fair.score(Texts(pa.array(texts)))
+        assert np.ptp(score) < 0.02
