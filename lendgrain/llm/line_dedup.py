@@ -2,8 +2,9 @@
 
 A line goes if an earlier one (by doc_id, then line number) equals it or differs by one character
 inserted, deleted or replaced; of equal or alike lines the earliest stays. Lines are compared
-without blanks at their ends; lines shorter than ``min_chars`` are left alone, as one edit says
-too much there.
+without blanks at their ends. For lines shorter than ``min_chars`` one edit says too much: they
+go with ``short`` if they equal an earlier line, as in op7 and the pipeline, else they are left
+alone. Blank lines stay.
 
 Equal lines are folded first, by hash. A line's deletion variants are then hashed keys, and two
 lines within one edit share one: a replacement shows as equal variants at one place, an insertion
@@ -106,12 +107,13 @@ def near_repeats(distinct_lines: DataFrame, docs: DataFrame, min_chars: int) ->
     return near.filter(F.levenshtein("line", "other", 1).between(0, 1)).select("id").distinct()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 10, short: bool = False) -> DataFrame:
     """Per document with any: doc_id and drop, the numbers of its lines that go."""
     docs = docs.select("doc_id", "text")
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, 1 if short else min_chars)
+    places = F.when(F.length("line") >= min_chars, halves(F.col("line")))
     known = settled(lines.groupBy("id", "id2").agg(
-        F.min(F.struct("doc_id", "no")).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value(halves(F.col("line"))).alias("halves")))
+        F.min(F.struct("doc_id", "no")).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value(places).alias("halves")))
     near = settled(near_repeats(known.select("id", "place", "halves"), docs, min_chars)).withColumn("near", F.lit(True))
     verdict = known.select("id", "id2", "place", "n").join(near, "id", "left").filter("n > 1 OR near")
     gone = lines.select("doc_id", "no", "id", "id2").join(verdict, ["id", "id2"]).filter(
@@ -126,10 +128,10 @@ def without_lines(text: Column, drop: Column) -> Column:
     return let(F.split(text, "\n"), rest)
 
 
-def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = 10, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and n_removed, the lines cut (in place of a column of that name)."""
     docs = docs.drop("n_removed")
-    gone = settled(repeated_lines(docs, min_chars))
+    gone = settled(repeated_lines(docs, min_chars, short))
     ids = gone.select("doc_id")
     kept = rows_of_ids(docs, ids, "doc_id", how="left_anti").withColumn("n_removed", F.lit(0).cast("long"))
     cut = rows_of_ids(docs, ids, "doc_id").join(gone.select("doc_id", F.col("drop").alias("_drop")), "doc_id")

@@ -44,7 +44,7 @@ def op6(spark, sf_dir):
 
 @query("op7_line_dedup")
 def op7(spark, sf_dir):
-    lines = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    lines = line_dedup.deduplicated(table(spark, sf_dir, "documents"), short=True)
     return lines.select(
         "doc_id", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 

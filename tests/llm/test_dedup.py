@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from lendgrain.llm import line_dedup, near_dup, substring_dedup
+from lendgrain.llm.queries import QUERIES
 from tests.llm import brute
 from tests.llm.conftest import EDGES
 
@@ -83,6 +85,18 @@ def test_lines_against_brute_force(spark, frame):
     assert {r.doc_id: (r.text, r.n_removed) for r in got.collect()} == brute.line_dedup(rows)
 
 
+def test_short_lines_go_if_equal(spark, frame, tmp_path):
+    rows = [(1, "menu\n\nx\nmenu \na longer line of text"), (2, " menu\nmenus\n\nx\nb longer line of text"), (3, "only new"), (4, "only new\nx")]
+    want = {1: ("menu\n\nx\na longer line of text", 1), 2: ("menus\n", 3), 3: ("only new", 0), 4: ("", 2)}
+    got = line_dedup.deduplicated(frame(rows), short=True).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == want
+    frame(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_chars) for r in got} == {d: (n, len(t)) for d, (t, n) in want.items()}
+    docs = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id: r.text for r in docs.collect()} == {d: t for d, (t, _) in want.items() if t}
+
+
 def test_lines_of_a_hot_template_keep_the_earliest(spark, frame):
     rows = [(d, f"copyright {chr(97 + d % 26)} all rights reserved") for d in range(300)]
     got = line_dedup.deduplicated(frame(rows)).filter("n_removed = 0").collect()
