@@ -2,7 +2,7 @@
 
 One pass hashes every shingle once: the high bits choose one of ``BINS`` bins, the rest
 compete for its minimum. Empty bins copy an occupied bin that their own sequence of
-pseudorandom bins meets first (optimal densification). ``ROWS`` bins make a band; documents
+pseudorandom bins meets first (optimal densification). Some bins, at most ``ROWS``, make a band; documents
 that agree in a band share a bucket. A link has a Jaccard similarity of at least ``percent``.
 
 Copies with equal shingle sets are folded first, so a group of copies costs one row.
@@ -11,7 +11,8 @@ full sets. Where a bucket still spans several components, pairs across them are
 each other too, but only those that can link: shingles that no other document in such buckets
 has (counted with one aggregation) are shared with nobody, which bounds a pair's similarity.
 So no pair that shares a bucket is lost, and a bucket of m alike documents costs m - 1 pairs. A
-pair at the threshold shares no bucket with probability (1 - s ** ROWS) ** BANDS: 4e-5 at s = 0.85, 3e-3 at 0.8.
+pair at the threshold s shares no bucket with probability (1 - s ** rows) ** bands; ``rows_for`` takes
+the most rows that keep it within ``MISSED``: 8 and 4e-5 at s = 0.85, 6 and 3e-6 at 0.8.
 
 Nulls, empty and blank texts have no shingles and link with nothing. Repeated rows of one
 doc_id are kept as rows and count as copies. Sets are compared by 64-bit shingle hashes.
@@ -30,7 +31,7 @@ from lendgrain.llm import words
 from lendgrain.llm.frames import components, id_text, rows_of_ids, settled
 from lendgrain.session import settle
 
-BINS, ROWS = 256, 8
+BINS, ROWS, MISSED = 256, 8, 4e-5
 BANDS = BINS // ROWS
 EMPTY = np.uint64(2**64 - 1)
 #: Where an empty bin looks, attempt by attempt.
@@ -63,16 +64,23 @@ def densified(signature: np.ndarray) -> np.ndarray:
     return out.reshape(signature.shape)
 
 
-def band_keys(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+def rows_for(percent: int) -> int:
+    """Bins in a band, for pairs at this similarity."""
+    s = percent / 100
+    return next((rows for rows in range(ROWS, 1, -1) if (1 - s ** rows) ** (BINS // rows) <= MISSED), 1)
+
+
+def band_keys(owner: np.ndarray, hashes: np.ndarray, n: int, rows: int = ROWS) -> np.ndarray:
     """Bucket keys of texts 0 .. n - 1 from their distinct shingle hashes, sorted by owner and hash."""
     cell = owner * BINS + (hashes >> np.uint64(56)).astype(np.int64)
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]
     signature = np.full(n * BINS, EMPTY)
     signature[cell[first]] = hashes[first]
-    signature = densified(signature.reshape(n, BINS)).reshape(n, BANDS, ROWS)
-    key = (signature * words.PLACES[:ROWS]).sum(axis=2, dtype=np.uint64)
-    return words.mix(key + np.arange(BANDS, dtype=np.uint64) * words.PLACES[9])
+    bands = BINS // rows
+    signature = densified(signature.reshape(n, BINS))[:, :bands * rows].reshape(n, bands, rows)
+    key = (signature * words.PLACES[:rows]).sum(axis=2, dtype=np.uint64)
+    return words.mix(key + np.arange(bands, dtype=np.uint64) * words.PLACES[9])
 
 
 def fewest_linked(percent: int) -> int:
@@ -81,7 +89,7 @@ def fewest_linked(percent: int) -> int:
 
 
 def _signatures(percent: int):
-    least = fewest_linked(percent)
+    least, rows = fewest_linked(percent), rows_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in words.cuts(batches):
@@ -97,8 +105,8 @@ def _signatures(percent: int):
             renumbered = np.full(n, -1)
             renumbered[large] = np.arange(len(large))
             kept = renumbered[owner] >= 0
-            keys = band_keys(renumbered[owner[kept]], hashes[kept], len(large)).view(np.int64)
-            offsets = np.concatenate(([0], np.cumsum(np.where(counts >= least, BANDS, 0)))).astype(np.int32)
+            keys = band_keys(renumbered[owner[kept]], hashes[kept], len(large), rows).view(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(np.where(counts >= least, BINS // rows, 0)))).astype(np.int32)
             bands = pa.ListArray.from_arrays(offsets, keys.reshape(-1))
             yield words.table(SIGNATURES, doc_id=piece.column("doc_id"), n_shingles=counts, set_a=set_a,
                               set_b=set_b, bands=bands)

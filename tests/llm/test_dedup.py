@@ -62,6 +62,14 @@ def test_band_agreement_follows_similarity():
     assert same == 300
 
 
+def test_bands_follow_the_threshold():
+    assert [near_dup.rows_for(p) for p in (85, 80)] == [8, 6]
+    for percent in range(60, 101):
+        rows = near_dup.rows_for(percent)
+        assert (1 - (percent / 100) ** rows) ** (near_dup.BINS // rows) <= 4e-5
+    assert near_dup.band_keys(np.zeros(9, int), np.arange(9, dtype=np.uint64), 1, 6).shape == (1, 42)
+
+
 def edited(text, r):
     i, kind = r.randrange(len(text) + 1), r.randrange(3)
     return text[:i] + (r.choice("xé") if kind else "") + text[i + (kind != 1):]
