@@ -41,8 +41,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, with the words that it takes of each."""
-    return mixing.taken_words(docs).filter("taken > 0")
+    """Documents in the mix with their text, the stretches of words that it shows in which slot, and counts."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [

@@ -28,10 +28,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNKS, BLOCK_WORDS, LEAST_BLOCKS, SHARD_SLOTS, LEAST_SHARDS, ROUNDS = 4096, 512, 256, 16_384, 16, 10
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words."""
+def sized(docs: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, source, size in words, and further columns that tell rows of one doc_id apart."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.cast("long").alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.cast("long").alias("size"), *also)
 
 
 def unit(*parts: Column | int) -> Column:
@@ -122,13 +122,14 @@ def spans(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     Columns: rank, chunk and row (a document's identity), doc_id, source, size, source_size,
     target, block, first_word, n_words. A document without words has one row with a null block.
     """
+    also = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     named = sources.select("rank", F.col("source").alias("_source"), "source_size", "target", "block_words")
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CHUNKS)))
     totals = rows.groupBy("rank", "chunk").agg(F.sum("size").alias("words"))
     by_chunk = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("rank", "chunk", F.coalesce(F.sum("words").over(by_chunk), F.lit(0)).alias("carried"))
-    inside = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size")
+    inside = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size", *also)
     placed = (
         rows.withColumn("row", F.row_number().over(inside))
         .withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -139,17 +140,17 @@ def spans(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     low = F.greatest(F.col("begin"), F.col("block") * F.col("block_words"))
     high = F.least(F.col("end"), (F.col("block") + 1) * F.col("block_words"))
     return placed.select("*", F.explode_outer(touched).alias("block")).select(
-        "rank", "chunk", "row", "doc_id", "source", "size", "source_size", "target", "block",
+        "rank", "chunk", "row", "doc_id", "source", "size", "source_size", "target", *also, "block",
         (low - F.col("begin")).alias("first_word"), (high - low).alias("n_words"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block_words: int = BLOCK_WORDS,
-        seed: int = 20) -> tuple[DataFrame, DataFrame]:
+        seed: int = 20, also: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The mix as (slots, spans): join them on (rank, block) and order by shard and position for its words.
 
     Slots come of a few rows exploded, which Spark takes for a small table: join them with a merge hint.
     """
-    sizes = settle(sized(docs))
+    sizes = settle(sized(docs, also))
     sources = settle(blocked(targets(sizes, weights, cap), block_words, cap))
     return slots(sources, seed), spans(sizes, sources, seed)
 
@@ -169,3 +170,24 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return seen.groupBy("rank", "chunk", "row", "doc_id", "source", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("uses") * F.col("n_words")), F.lit(0)).alias("taken")
     ).drop("rank", "chunk", "row")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes words of: the columns of ``taken_words``, text and stretches.
+
+    ``stretches`` are (shard, position, first_word, n_words) in that order: the slots that show the document,
+    and which of its words. All stretches of all documents by shard and position are the mix.
+    """
+    keys = [F.xxhash64("doc_id", "text").alias("text_id"), F.xxhash64(F.lit(7), "doc_id", "text").alias("text_id2")]
+    drawn, held = mix(docs, also=tuple(keys), **options)
+    shown = drawn.groupBy("rank", "block").agg(
+        F.count(F.lit(1)).alias("uses"), F.collect_list(F.struct("shard", "position")).alias("shown"))
+    stretches = F.transform("shown", lambda at: F.struct(
+        at["shard"].alias("shard"), at["position"].alias("position"), F.col("first_word"), F.col("n_words")))
+    taken = held.join(shown.hint("merge"), ["rank", "block"]).groupBy(
+        "rank", "chunk", "row", "doc_id", "source", "size", "source_size", "target", "text_id", "text_id2"
+    ).agg(F.sum(F.col("uses") * F.col("n_words")).alias("taken"),
+          F.sort_array(F.flatten(F.collect_list(stretches))).alias("stretches"))
+    texts = docs.select(*keys, "text").dropDuplicates(["text_id", "text_id2"])
+    return taken.join(texts, ["text_id", "text_id2"]).select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "text", "stretches")

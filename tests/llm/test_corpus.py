@@ -93,6 +93,20 @@ def test_mixed_spans_fill_their_slots(spark, frame, prose):
     assert by_slot.max() <= 20 and spans.groupby(["shard", "position"]).block.nunique().max() == 1
 
 
+def test_last_stage_returns_the_mix(spark, frame, prose):
+    rows = [(d, prose(70 + d, d)) for d in range(30)] + [(7, prose(77, 907)), (7, prose(77, 7)), (None, prose(50, 8))]
+    docs = frame(rows)
+    got = corpus_pipeline.mixed(spark, docs, SF).collect()
+    assert {(r.doc_id, r.text) for r in got} <= set(rows)
+    slots = Counter()
+    for r in got:
+        assert r.size == len(r.text.split()) and r.taken == sum(s.n_words for s in r.stretches) > 0
+        assert all(0 <= s.first_word and s.first_word + s.n_words <= r.size for s in r.stretches)
+        slots.update((s.shard, s.position, r.doc_id, s.first_word, s.n_words) for s in r.stretches)
+    want = mixing.mixed_spans(docs).collect()
+    assert slots == Counter((r.shard, r.position, r.doc_id, r.first_word, r.n_words) for r in want)
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
     for n in (1, 2, 37):
