@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendgrain.llm import decontamination, extraction, line_dedup, mixing, near_dup, pii, quality, quality_rules, substring_dedup, toxicity
+from lendgrain.llm import (
+    checks, decontamination, exact_search, extraction, line_dedup, mixing, near_dup, phrases, pii, quality, quality_rules, spelling,
+    substring_dedup, toxicity)
 from lendgrain.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -91,3 +93,19 @@ def op9(spark, sf_dir):
 @query("op10_near_duplicates")
 def op10(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op11_spelling_variants", checks.SPELLING)
+def op11(spark, sf_dir):
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_exact_search", checks.EXACT_SEARCH)
+def op12(spark, sf_dir):
+    return exact_search.top_matches(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op13_phrases", checks.PHRASES)
+def op13(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
