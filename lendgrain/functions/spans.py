@@ -36,6 +36,21 @@ def without_marks(col: Column) -> Column:
     return F.when(col.rlike(r"[\x01-\x03]"), F.translate(col, "\x01\x02\x03", "\x04\x04\x04")).otherwise(col)
 
 
+def fold_sql(items: str, start: str, state: str, row: str, element: str, keep: str = "true", block: int = 64) -> str:
+    """``array<element>`` of what a fold over ``items`` emits, in time proportional to their number.
+
+    ``state``, ``row`` and ``keep`` read the state as ``a.at`` (an int, first ``start``) and the item as ``e``.
+    Appending copies an array, so rows are appended to short blocks, and blocks to the outcome.
+    """
+    inner = (
+        f"aggregate(slice(xs, k * {block} + 1, {block}), named_struct('at', acc.at, 'out', CAST(array() AS array<{element}>)), "
+        f"(a, e) -> named_struct('at', {state}, 'out', CASE WHEN {keep} THEN concat(a.out, array({row})) ELSE a.out END))")
+    return (
+        f"get(transform(array({items}), xs -> aggregate(sequence(0, (size(xs) - 1) div {block}), "
+        f"named_struct('at', {start}, 'out', CAST(array() AS array<array<{element}>>)), (acc, k) -> get(transform(array({inner}), "
+        "part -> named_struct('at', part.at, 'out', concat(acc.out, array(part.out)))), 0), acc -> flatten(acc.out))), 0)")
+
+
 def spans_sql(name: str, pattern: str, groups: int = 0) -> str:
     """``array<struct<start,end,text,g1..>>`` of all matches in column ``name``, in text order.
 
@@ -44,22 +59,18 @@ def spans_sql(name: str, pattern: str, groups: int = 0) -> str:
     captures = [f"g{i}" for i in range(1, groups + 1)]
     mark = MATCH_MARK + "$0" + TEXT_MARK + "".join(f"${i}{GROUP_MARK}" for i in range(1, groups + 1))
     last = GROUP_MARK if groups else TEXT_MARK
-    text = f"substring_index(get(b, {{0}}), '{TEXT_MARK}', 1)"
-    earlier = (
-        f"aggregate(slice(b, 2, i - 1), length(get(b, 0)), (acc, e) -> acc + length(substring_index(e, '{TEXT_MARK}', 1)) "
-        f"+ length(substring_index(e, '{last}', -1)))")
+    text = f"substring_index(e, '{TEXT_MARK}', 1)"
     captured = lambda n: (
-        f"substring_index(substring_index(substring_index(get(b, i), '{TEXT_MARK}', -1), '{GROUP_MARK}', {n}), "
-        f"'{GROUP_MARK}', -1)")
-    placed = ", ".join([f"'start', {earlier}", f"'text', {text.format('i')}"] + [
+        f"substring_index(substring_index(substring_index(e, '{TEXT_MARK}', -1), '{GROUP_MARK}', {n}), '{GROUP_MARK}', -1)")
+    row = ", ".join([f"'start', a.at, 'end', a.at + length({text}), 'text', {text}"] + [
         f"'{g}', {captured(n)}" for n, g in enumerate(captures, 1)])
-    kept = "".join(f", '{g}', m.{g}" for g in captures)
     element = "struct<start:int,end:int,text:string" + "".join(f",{g}:string" for g in captures) + ">"
+    found = fold_sql(
+        "slice(b, 2, size(b) - 1)", "length(get(b, 0))", f"a.at + length({text}) + length(substring_index(e, '{last}', -1))",
+        f"named_struct({row})", element)
     return (
         f"get(transform(array(split(regexp_replace({name}, {literal(pattern)}, '{mark}'), '{MATCH_MARK}', -1)), b -> "
-        f"CASE WHEN size(b) > 1 THEN transform(transform(sequence(1, size(b) - 1), i -> named_struct({placed})), m -> "
-        f"named_struct('start', m.start, 'end', m.start + length(m.text), 'text', m.text{kept})) "
-        f"ELSE CAST(array() AS array<{element}>) END), 0)")
+        f"CASE WHEN size(b) > 1 THEN {found} ELSE CAST(array() AS array<{element}>) END), 0)")
 
 
 def spans(name: str, pattern: str, groups: int = 0) -> Column:
@@ -77,8 +88,8 @@ def labelled_spans(name: str, patterns: list[tuple[str, str]]) -> Column:
         f"'label', {literal(label)}))" for n, (label, pattern) in enumerate(patterns))
     element = "struct<start:int,ord:int,end:int,label:string>"
     return F.expr(
-        f"aggregate(array_sort(concat({tagged})), CAST(array() AS array<{element}>), (kept, m) -> CASE WHEN "
-        "size(kept) = 0 OR m.start >= get(kept, size(kept) - 1).end THEN concat(kept, array(m)) ELSE kept END)")
+        f"get(transform(array(array_sort(concat({tagged}))), ms -> CASE WHEN size(ms) < 2 THEN ms ELSE "
+        + fold_sql("ms", "0", "IF(e.start >= a.at, e.end, a.at)", "e", element, keep="e.start >= a.at") + " END), 0)")
 
 
 def window_sql(name: str, start: str, end: str, before: int, after: int) -> str:

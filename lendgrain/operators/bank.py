@@ -121,19 +121,14 @@ def debit_matches(txns: DataFrame, days: int = fv.ROUND_TRIP_DAYS, min_amount: f
     """
     usable = txns.filter("party IS NOT NULL AND ts IS NOT NULL").withColumn("at", micros(F.col("ts")))
     keys = ["applicant_id", "party"]
-    marks = usable.filter((F.col("debit") > min_amount) | (F.col("credit") > min_amount)).select(
-        *keys,
-        F.explode(F.array_compact(F.array(
-            F.when(F.col("credit") > min_amount, F.struct(
-                F.col("at"), F.lit(0).alias("probe"), F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("seq"))),
-            F.when(F.col("debit") > min_amount, F.struct(
-                (F.col("at") + days * DAY).alias("at"), F.lit(1).alias("probe"), F.lit(0).alias("one"), F.col("seq"))),
-            F.when(F.col("debit") > min_amount, F.struct(
-                (F.col("at") - (days + 1) * DAY).alias("at"), F.lit(-1).alias("probe"), F.lit(0).alias("one"),
-                F.col("seq"))),
-        ))).alias("m"),
-    ).select(*keys, "m.*").withColumn("is_probe", F.abs("probe"))
-    counted = running_sum(marks, keys, "at", ["is_probe"], "one", "credits_so_far")
+    # Credits of one instant count as one mark, however many there are.
+    credits = usable.filter(F.col("credit") > min_amount).groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("one")).select(
+        *keys, "at", F.lit(0).alias("probe"), "one", F.lit(None).cast("bigint").alias("seq"))
+    end = lambda moved, probe: F.struct(
+        (F.col("at") + moved * DAY).alias("at"), F.lit(probe).alias("probe"), F.lit(0).cast("bigint").alias("one"), F.col("seq"))
+    probes = usable.filter(F.col("debit") > min_amount).select(*keys, F.inline(F.array(end(days, 1), end(-days - 1, -1))))
+    marks = credits.unionByName(probes).withColumn("is_probe", F.abs("probe"))
+    counted = running_sum(marks, keys, "at", ["is_probe", "seq"], "one", "credits_so_far")
     return (
         counted.filter("is_probe = 1").groupBy(*keys, "seq")
         .agg(F.sum(F.col("probe") * F.col("credits_so_far")).alias("matches"))
@@ -175,9 +170,11 @@ def round_trips(
         F.col("date_str").alias("credit_date"), F.col("credit").alias("credit_amount"))
     gap = F.abs(F.floor((F.col("debit_at") - F.col("credit_at")) / F.lit(DAY)))
     order = Window.partitionBy("applicant_id").orderBy("party_seq", "debit_seq", "credit_seq")
+    # Only credits of the days around a debit meet it.
+    day = F.floor(F.col("debit_at") / F.lit(DAY))
+    near = debits.join(matched, ["applicant_id", "party", "debit_seq"]).withColumn("day", F.explode(F.sequence(day - days - 1, day + days)))
     return (
-        debits.join(matched, ["applicant_id", "party", "debit_seq"])
-        .join(credits, keys).withColumn("days_gap", gap).filter(F.col("days_gap") <= days)
+        near.join(credits.withColumn("day", F.floor(F.col("credit_at") / F.lit(DAY))), [*keys, "day"]).withColumn("days_gap", gap).filter(F.col("days_gap") <= days)
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         .select(
             "applicant_id", "rank", "party", "debit_date", "debit_amount", "credit_date", "credit_amount", "days_gap")

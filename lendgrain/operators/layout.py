@@ -16,15 +16,16 @@ from lendgrain.functions.parsing import strip
 from lendgrain.functions.spans import let
 from lendgrain.operators.filings import TEXT, keys_of
 
+PAGE_STRETCH, STRETCH_ROWS = 16, 500_000
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 # --- Pages ---------------------------------------------------------------------------
-def assemble_pages(pages: DataFrame, least_chars: int = 50) -> DataFrame:
+def assemble_pages(pages: DataFrame, least_chars: int = 50, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Document text with page markers, and the share of pages that carry content."""
     marked = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.coalesce(TEXT, F.lit("")))
     content = F.count_if(F.length(TEXT) > least_chars)
-    return pages.groupBy("doc_id").agg(
+    return pages.groupBy(*by).agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("page_number", marked.alias("t")))), lambda p: p["t"]), "\n\n").alias(TEXT),
         F.count(F.lit(1)).alias("pages_extracted"), content.alias("pages_with_content"),
@@ -216,6 +217,28 @@ def section_summary(sections: DataFrame) -> DataFrame:
         F.round("confidence", 3).alias("confidence"), F.col("heading").alias("detected_heading"))
 
 
+def section_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """Pages inside a section's range of pages, with the section's name; all other pages are left out.
+
+    ``pages``: doc_id, page_number and text; ``sections``: doc_id, section, start_page, end_page. A
+    range is cut into stretches of ``PAGE_STRETCH`` pages, so the join is one of equal keys, and a
+    document of very many pages is split over tasks. Up to ``STRETCH_ROWS`` stretches go to the pages,
+    which then drop the others before anything is shuffled; more meet them in a shuffle.
+    """
+    stretch = lambda page: F.floor(F.col(page) / F.lit(PAGE_STRETCH))
+    wanted = sections.filter("start_page <= end_page").select(
+        "doc_id", "section", "start_page", "end_page", F.explode(F.sequence(stretch("start_page"), stretch("end_page"))).alias("_stretch"))
+    if wanted.limit(STRETCH_ROWS + 1).count() <= STRETCH_ROWS:
+        wanted = F.broadcast(wanted)
+    return pages.withColumn("_stretch", stretch("page_number")).join(wanted, ["doc_id", "_stretch"]).filter(
+        "page_number BETWEEN start_page AND end_page").drop("_stretch", "start_page", "end_page")
+
+
+def section_texts(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """Text of each section's pages, with page markers and counts, per doc_id and section."""
+    return assemble_pages(section_pages(pages, sections), by=("doc_id", "section"))
+
+
 # --- Entity names --------------------------------------------------------------------
 def strip_suffixes(name: Column) -> Column:
     """Cut company suffixes and punctuation from the end until none is left."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendgrain import fixed_values as fv
+from lendgrain.session import settle
 
 
 def normal_name(name: Column) -> Column:
@@ -124,27 +125,56 @@ def relationship_flags(entities: DataFrame) -> DataFrame:
 
 
 def circular_loops(edges: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Money that returns to the applicant over one or two counterparties.
+    """Money that goes round over two or three nodes, through the applicant or among its counterparties.
 
-    ``edges``: applicant_id, src, dst, value; ``anchors``: applicant_id, node. Paths start
-    at the applicant's node, so an edge takes part in at most one loop as its middle and
-    no wedges between counterparties are built.
+    ``edges``: applicant_id, src, dst, value; ``anchors``: applicant_id, node. Payments between
+    two nodes become one link that points from the node with fewer links to the one with more
+    (ties: by node), with the amount each way. A triangle is a pair of links that leave one node
+    and a third between their ends. As no node sends out more than the root of twice the links,
+    a hub with links to everyone forms no pairs, and all pairs stay within links ** 1.5.
+    A loop of three is found once for each way round that is paid in full.
+
+    ``path`` starts at the applicant if it is in the loop, else at the smallest node.
     """
-    flow = edges.filter("src <> dst").groupBy("applicant_id", "src", "dst").agg(F.sum("value").alias("value"))
-    placed = flow.join(anchors, "applicant_id")
-    out = placed.filter("src = node").select("applicant_id", "node", F.col("dst").alias("b"), F.col("value").alias("v_out"))
-    back = placed.filter("dst = node").select("applicant_id", F.col("src").alias("c"), F.col("value").alias("v_back"))
-    two = out.join(back.withColumnRenamed("c", "b"), ["applicant_id", "b"]).select(
-        "applicant_id", F.array("node", "b").alias("path"), F.least("v_out", "v_back").alias("loop_value"))
-    middle = placed.filter("src <> node AND dst <> node").select(
-        "applicant_id", F.col("src").alias("b"), F.col("dst").alias("c"), F.col("value").alias("v_mid"))
-    three = middle.join(out, ["applicant_id", "b"]).join(back, ["applicant_id", "c"]).select(
-        "applicant_id", F.array("node", "b", "c").alias("path"), F.least("v_out", "v_mid", "v_back").alias("loop_value"))
-    return two.unionByName(three).withColumn("length", F.size("path"))
+    amount = lambda forward: F.sum(F.when((F.col("src") < F.col("dst")) == F.lit(forward), F.col("value")))
+    links = edges.filter("src <> dst").groupBy(
+        "applicant_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+        amount(True).alias("ab"), amount(False).alias("ba"))
+    links = settle(links)
+    degrees = links.select("applicant_id", F.explode(F.array("a", "b")).alias("node")).groupBy("applicant_id", "node").agg(
+        F.count(F.lit(1)).alias("links"))
+    side = lambda name: degrees.select("applicant_id", F.col("node").alias(name), F.col("links").alias(f"{name}_links"))
+    placed = links.join(side("a"), ["applicant_id", "a"]).join(side("b"), ["applicant_id", "b"])
+    before = lambda x, y: F.struct(F.col(f"{x}_links").alias("links"), F.col(x).alias("node")) < F.struct(
+        F.col(f"{y}_links").alias("links"), F.col(y).alias("node"))
+    up = before("a", "b")
+    pick = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    directed = settle(placed.select(
+        "applicant_id", pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("b_links", "a_links").alias("v_links"),
+        pick("ab", "ba").alias("out"), pick("ba", "ab").alias("back")))
+    out = lambda v, *names: directed.select("applicant_id", "u", F.col("v").alias(v), F.col("v_links").alias(f"{v}_links"), *[
+        F.col(c).alias(n) for c, n in zip(("out", "back"), names)])
+    wedges = out("v", "uv", "vu").join(out("w", "uw", "wu"), ["applicant_id", "u"]).filter(
+        before("v", "w") & (
+            (F.col("uv").isNotNull() & F.col("wu").isNotNull()) | (F.col("uw").isNotNull() & F.col("vu").isNotNull())))
+    third = directed.select("applicant_id", F.col("u").alias("v"), F.col("v").alias("w"), F.col("out").alias("vw"), F.col("back").alias("wv"))
+    closed = wedges.select("applicant_id", "u", "v", "w", "uv", "vu", "uw", "wu").join(third, ["applicant_id", "v", "w"])
+    paid = lambda nodes, *values: F.when(
+        F.greatest(*[F.col(v).isNull().cast("int") for v in values]) == 0,
+        F.struct(F.array(*nodes).alias("path"), F.least(*values).alias("loop_value")))
+    three = closed.select("applicant_id", F.inline(F.array_compact(F.array(
+        paid(("u", "v", "w"), "uv", "vw", "wu"), paid(("u", "w", "v"), "uw", "wv", "vu")))))
+    two = links.filter("ab IS NOT NULL AND ba IS NOT NULL").select(
+        "applicant_id", F.array("a", "b").alias("path"), F.least("ab", "ba").alias("loop_value"))
+    known = two.unionByName(three).join(anchors.select("applicant_id", "node"), "applicant_id", "left")
+    mine = F.coalesce(F.array_contains("path", F.col("node")), F.lit(False))
+    first = F.array_position("path", F.when(mine, F.col("node")).otherwise(F.array_min("path"))).cast("int")
+    turned = F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1))
+    return known.select("applicant_id", turned.alias("path"), "loop_value", F.size("path").alias("length"), mine.alias("through_applicant"))
 
 
 def loop_flags(loops: DataFrame) -> DataFrame:
-    """Relationship flags of the money loops: the applicant with each node on its way."""
+    """Relationship flags of the money loops: the first node with each of the others on its way."""
     return loops.select(
         "applicant_id", F.lit("circular_loop").alias("flag_type"), F.lit("CRITICAL").alias("severity"),
         F.get("path", F.lit(0)).alias("entity_a"), F.explode(F.slice("path", 2, 2)).alias("entity_b"),

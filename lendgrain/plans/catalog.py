@@ -8,6 +8,7 @@ from lendgrain.plans import (  # noqa: F401
     filing_queries,
     prose_queries,
     statement_queries,
+    stream_queries,
 )
 from lendgrain.plans.registry import CHECKS, QUERIES
 

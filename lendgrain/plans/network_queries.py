@@ -104,11 +104,13 @@ EDGES = f"""flow AS (SELECT CAST({SEGMENT_SQL} AS BIGINT) AS applicant_id,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS value
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
-lo AS (SELECT applicant_id, [src, dst] AS path, least(f.value, b.value) AS loop_value FROM flow f
-    JOIN (SELECT applicant_id, src AS dst, dst AS src, value FROM flow) b USING (applicant_id, src, dst) WHERE src = applicant_id
+walks AS (SELECT applicant_id, [src, dst] AS path, least(f.value, b.value) AS loop_value FROM flow f
+    JOIN (SELECT applicant_id, src AS dst, dst AS src, value FROM flow) b USING (applicant_id, src, dst)
   UNION ALL SELECT a.applicant_id, [a.src, a.dst, m.dst], least(a.value, m.value, z.value) FROM flow a
     JOIN flow m ON m.applicant_id = a.applicant_id AND m.src = a.dst AND m.dst <> a.src
-    JOIN flow z ON z.applicant_id = a.applicant_id AND z.src = m.dst AND z.dst = a.src WHERE a.src = a.applicant_id)"""
+    JOIN flow z ON z.applicant_id = a.applicant_id AND z.src = m.dst AND z.dst = a.src),
+lo AS (SELECT *, list_contains(path, applicant_id) AS through_applicant FROM walks
+  WHERE path[1] = CASE WHEN list_contains(path, applicant_id) THEN applicant_id ELSE list_min(path) END)"""
 
 
 def flow_edges(spark, sf_dir):
@@ -134,7 +136,7 @@ def loops(spark, sf_dir):
 
 
 @query("circular_loops", f"""WITH {EDGES} SELECT applicant_id, array_to_string(path, '>') AS path, loop_value,
-  CAST(len(path) AS INTEGER) AS length FROM lo""")
+  CAST(len(path) AS INTEGER) AS length, through_applicant FROM lo""")
 def circular_loops(spark, sf_dir):
     return loops(spark, sf_dir).withColumn("path", F.array_join("path", ">"))
 

@@ -24,6 +24,20 @@ def latest_filings(documents: DataFrame) -> DataFrame:
     return documents.join(newest.select(F.col("k.doc_id").alias("doc_id")), "doc_id", "left_semi")
 
 
+def section_of(scans: DataFrame, sectioned: DataFrame, section: str) -> DataFrame:
+    """Filings with the text of one section in place of their own; empty where they lack it."""
+    found = sectioned.filter(F.col("section") == section).select("doc_id", "text")
+    return scans.drop("text").join(found, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def audit_texts(scans: DataFrame, sectioned: DataFrame | None) -> DataFrame:
+    """Cleaned text the compliance scan reads: audit report and annexure if sections are known, else all of it."""
+    if sectioned is None:
+        return layout.clean_text(scans)
+    report, annexure = (layout.clean_text(section_of(scans, sectioned, name)) for name in ("auditors_report", "auditors_annexure"))
+    return filings.with_annexure(report, annexure)
+
+
 def rules_of(source: str, frame: DataFrame, column: str = "triggered_rules") -> DataFrame:
     """Trigger rows of a source that lists rules, ordered behind the sources before it."""
     return decision.listed_triggers(frame, column, source, 100 * (SOURCE_ORDER.index(source) + 1))
@@ -48,7 +62,7 @@ def recorded(evidence: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def appraise(
     txns: DataFrame, documents: DataFrame, notes: DataFrame, evidence: dict[str, DataFrame], figures: DataFrame,
     auditors: DataFrame, rules: DataFrame, lexicon: dict[str, list[str]] | None = None,
-    outside: dict[str, DataFrame] | None = None,
+    outside: dict[str, DataFrame] | None = None, sectioned: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All signal tables, the triggers and the decision.
 
@@ -57,13 +71,16 @@ def appraise(
     ``outside``: rule lists (applicant_id, triggered_rules) of sources in ``SOURCE_ORDER`` that
     read none of these, as benchmark (P-30), counterparty (P-06) and purpose (P-34). Registry
     and court rules come from the evidence. The compliance scan reads cleaned text.
+    ``sectioned``: doc_id, section, text of ``layout.section_texts``; with it the compliance scan reads
+    the audit report and its annexure only, and the tone is that of the management discussion.
     Signals read by several later steps hold one row per filing or applicant; they are
     settled, so texts and statements are read once per signal.
     """
     moves = with_party(txns)
     scans = latest_filings(documents)
-    audit, holding = settle(filings.compliance_flags(layout.clean_text(scans))), settle(filings.shareholding(scans))
-    rating, tone = settle(filings.rating_status(scans)), settle(prose.lexicon_sentiment(scans, lexicon))
+    audit, holding = settle(filings.compliance_flags(audit_texts(scans, sectioned))), settle(filings.shareholding(scans))
+    rating, tone = settle(filings.rating_status(scans)), settle(prose.lexicon_sentiment(
+        scans if sectioned is None else section_of(scans, sectioned, "mda_report"), lexicon))
     pledged = filings.collateral(scans)
     restated = settle(financials.restatement_flags(figures, auditors))
     site = settle(prose.site_visit_signals(notes))

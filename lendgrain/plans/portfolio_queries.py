@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lendgrain.functions.party import with_party
@@ -13,6 +15,7 @@ from lendgrain.plans import prose_queries as pq
 from lendgrain.plans import verify_queries as vq
 from lendgrain.plans.bindings import FILINGS, NOTES, TXNS, View, auditors, figures
 from lendgrain.plans.registry import query
+from lendgrain.session import settle, shared_folder
 from lendgrain.sources import feeds, statements
 
 # --- Statements in every header style ------------------------------------------------
@@ -98,6 +101,29 @@ def statement_lines(spark, sf_dir):
     return statements.statement_lines(TXNS.frame(spark, sf_dir))
 
 
+# Statements of three banks, each with its own columns, in one folder.
+BANKS = [
+    {"Txn Date": "date_str", "Narration": "description", "Withdrawal": "debit", "Deposit": "credit", "Closing Balance": "balance"},
+    {"BALANCE": "balance", " Date ": "date_str", "type": "kind", "Description": "description", "amount": "moved"},
+    {"transactionDate": "date_str", "note": "CAST(seq AS STRING)", "credit": "credit", "Debit": "debit", "currentBalance": "balance",
+     "particulars": "description", "reference": "CAST(seq AS STRING)"},
+]
+
+
+@query("statement_folder", f"""WITH {TXNS.cte} SELECT applicant_id, strftime(ts, '%Y-%m-%d') AS day, date_str, description, debit, credit, balance,
+  CASE WHEN applicant_id % 3 = 2 THEN CAST(seq AS VARCHAR) END AS txn_id FROM txns""")
+def statement_folder(spark, sf_dir):
+    txns = settle(TXNS.frame(spark, sf_dir).selectExpr(
+        "*", "CASE WHEN debit > 0 THEN 'debit' WHEN credit > 0 THEN 'Credit' ELSE '' END AS kind", "debit + credit AS moved"))
+    folder = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
+    for bank_no, columns in enumerate(BANKS):
+        txns.filter(F.col("applicant_id") % 3 == bank_no).selectExpr(
+            "applicant_id", *[f"CAST({value} AS STRING) AS `{name}`" for name, value in columns.items()]).write.mode("append").option(
+            "header", True).partitionBy("applicant_id").csv(folder)
+    return statements.read_statement_folder(spark, folder).select(
+        "applicant_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "date_str", "description", "debit", "credit", "balance", "txn_id")
+
+
 # --- Bureau feeds --------------------------------------------------------------------
 ID = "CAST(c_custkey AS STRING)"
 FEEDS = View("feed_rows", "customer", (
@@ -166,7 +192,7 @@ def news_articles(spark, sf_dir):
     return feeds.children(feed(spark, sf_dir, "news"), "articles").select("applicant_id", "headline", "severity")
 
 
-@query("graph_loops", """SELECT c_custkey AS applicant_id, 'me>v>n' AS path, CAST(4.5 AS DOUBLE) AS loop_value, 3 AS length FROM customer
+@query("graph_loops", """SELECT c_custkey AS applicant_id, 'me>v>n' AS path, CAST(4.5 AS DOUBLE) AS loop_value, 3 AS length, true AS through_applicant FROM customer
 WHERE c_custkey % 3 = 0""")
 def graph_loops(spark, sf_dir):
     graph = feed(spark, sf_dir, "graph")
@@ -174,6 +200,23 @@ def graph_loops(spark, sf_dir):
         "path", F.array_join("path", ">"))
 
 
+BROKEN = View("sent", "customer", (
+    "c_custkey", "CASE c_custkey % 50 WHEN 0 THEN substr(gst, 1, 40) WHEN 1 THEN replace(gst, '0.58', '{}') WHEN 2 THEN "
+    "replace(gst, 'applicant_id', 'applicant') ELSE gst END AS line"))
+
+
+@query("feed_quarantine", f"""WITH feed_rows AS (SELECT c_custkey FROM customer)
+SELECT CASE c_custkey % 50 WHEN 0 THEN 'damaged' WHEN 1 THEN 'damaged' WHEN 2 THEN 'no applicant' ELSE 'whole' END AS reason,
+  CASE WHEN c_custkey % 50 > 2 THEN c_custkey END AS applicant_id, count(*) AS lines FROM feed_rows GROUP BY ALL""")
+def feed_quarantine(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
+    FEEDS.frame(spark, sf_dir).selectExpr(BROKEN.columns[1]).write.text(folder)
+    good, bad = feeds.read_feed_checked(spark, "gst", folder)
+    counted = feeds.quarantine_counts(bad).groupBy("reason").agg(F.sum("lines").alias("lines"))
+    return good.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("lines")).select(F.lit("whole").alias("reason"), "applicant_id", "lines").unionByName(
+        counted.select("reason", F.lit(None).cast("bigint").alias("applicant_id"), "lines"))
+
+
 # --- Base terms ----------------------------------------------------------------------
 @query("proxy_ratios", f"""{vq.BASE} SELECT applicant_id, CAST(CASE WHEN filing_consistency = 'Regular' THEN 95 ELSE 70 END AS DOUBLE)
   AS gst_compliance_pct, round(3.0 + mismatch_pct * 0.05, 2) AS leverage_ratio FROM gst""")

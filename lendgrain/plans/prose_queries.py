@@ -9,7 +9,7 @@ from lendgrain.functions import text as tx
 from lendgrain.operators import layout, prose
 from lendgrain.plans.bindings import DOCS, NOTES, View
 from lendgrain.plans.registry import query
-from lendgrain.session import spread
+from lendgrain.session import settle, spread
 from lendgrain.sources import reports
 
 # Lexicons of words that occur in the supplied prose.
@@ -362,6 +362,37 @@ def section_summary(spark, sf_dir):
     return layout.section_summary(layout.find_sections(layout_blocks(spark, sf_dir)))
 
 
+# Each page of the layout holds the text of its blocks.
+SECTION_TEXTS = SECTIONS + """, pg AS (SELECT doc_id, page AS page_number, string_agg(text, chr(10) ORDER BY block_no) AS text FROM blocks GROUP BY 1, 2),
+texts AS (SELECT f.doc_id, f.section, string_agg('--- Page ' || page_number || ' ---' || chr(10) || p.text, chr(10) || chr(10) ORDER BY page_number) AS text,
+  count(*) AS pages_extracted, count(*) FILTER (WHERE length(p.text) > 50) AS pages_with_content, CAST(sum(length(p.text)) AS BIGINT) AS total_characters
+  FROM found f JOIN pg p ON p.doc_id = f.doc_id AND p.page_number BETWEEN f.start_page AND f.end_page GROUP BY 1, 2)"""
+
+
+def section_texts_of(spark, sf_dir):
+    blocks = settle(layout_blocks(spark, sf_dir))
+    on_page = F.array_sort(F.collect_list(F.struct("block_no", "text")))
+    pages = blocks.groupBy("doc_id", F.col("page").alias("page_number")).agg(
+        F.array_join(F.transform(on_page, lambda b: b["text"]), "\n").alias("text"))
+    return layout.section_texts(pages, layout.find_sections(blocks))
+
+
+@query("section_texts", f"{SECTION_TEXTS} SELECT doc_id, section, md5(text) AS text_md5, pages_extracted, pages_with_content, total_characters FROM texts")
+def section_texts(spark, sf_dir):
+    return section_texts_of(spark, sf_dir).select(
+        "doc_id", "section", F.md5("text").alias("text_md5"), "pages_extracted", "pages_with_content", "total_characters")
+
+
+@query("section_tone", SECTION_TEXTS + f""", l AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS low
+  FROM texts WHERE section = 'mda_report'), w AS (SELECT *, {WORDS.format("low")} AS ws FROM l),
+c AS (SELECT doc_id, length(trim(text)) >= 100 AS ok, len(ws) AS n, {count_sql(TONE["negative"])} AS neg, {count_sql(TONE["positive"])} AS pos FROM w)
+SELECT doc_id, CAST(n AS INTEGER) AS total_words, CAST(neg AS INTEGER) AS negative_words, CAST(pos AS INTEGER) AS positive_words,
+  CASE WHEN ok THEN round((pos - neg) / CAST(n AS DOUBLE), 4) ELSE 0.0 END AS sentiment_score FROM c""")
+def section_tone(spark, sf_dir):
+    talked = section_texts_of(spark, sf_dir).filter("section = 'mda_report'").select("doc_id", "text")
+    return prose.lexicon_sentiment(talked, TONE).select("doc_id", "total_words", "negative_words", "positive_words", "sentiment_score")
+
+
 # --- Entity names --------------------------------------------------------------------
 COVERS = View("covers", "documents", (
     "doc_id",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendgrain.session import settle
+
 # Feed schemas, keyed by applicant.
 SCHEMAS = {
     "gst": (
@@ -52,6 +54,28 @@ def read_feed(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[kind]).json(path)
 
 
+def read_feed_checked(spark: SparkSession, kind: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """Feed rows, and the lines that are not whole: damaged JSON, values of another type, or no applicant.
+
+    Rows have the columns of the schema. Damaged lines (file, reason, line) go to whoever keeps the
+    quarantine; nothing is dropped and nothing fails. The files are read once.
+    """
+    raw = spark.read.schema(f"{SCHEMAS[kind]}, _line STRING").option("columnNameOfCorruptRecord", "_line").json(path)
+    columns = [c for c in raw.columns if c != "_line"]
+    held = settle(raw.select("*", F.col("_metadata.file_path").alias("_file")))
+    damaged, nameless = F.col("_line").isNotNull(), F.col("applicant_id").isNull()
+    good = held.filter(~damaged & ~nameless).select(*columns)
+    bad = held.filter(damaged | nameless).select(
+        F.col("_file").alias("file"), F.when(damaged, "damaged").otherwise("no applicant").alias("reason"),
+        F.coalesce("_line", F.to_json(F.struct(*columns))).alias("line"))
+    return good, bad
+
+
+def quarantine_counts(bad: DataFrame) -> DataFrame:
+    """Lines in quarantine per file and reason."""
+    return bad.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def parse_feed(payloads: DataFrame, kind: str, column: str = "payload") -> DataFrame:
     """Feed messages held as text in a column."""
     return payloads.select(F.from_json(column, SCHEMAS[kind]).alias("f")).select("f.*")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lendgrain import fixed_values as fv
 from lendgrain.functions.parsing import blank_to_null, parse_amount, strip, with_ts
+from lendgrain.session import settle
 
+MOST_COLUMNS, BROADCAST_FILES = 64, 100_000
 STATEMENT_JSON = (
     "applicant_id BIGINT, opening_balance DOUBLE, transactions ARRAY<STRUCT<date STRING, value_date STRING, "
     "description STRING, cheque_no STRING, debit DOUBLE, credit DOUBLE, balance DOUBLE, branch_code STRING, "
@@ -74,6 +76,45 @@ def read_statements(spark: SparkSession, *paths: str, multi_line: bool = False)
     return every.withColumn("seq", F.monotonically_increasing_id())
 
 
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, names): the column names of every CSV file under a path, trimmed and lowercased."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # Rows of a file's first block are numbered in its order; its first line has the least number.
+    first = lines.filter("block = 0").withColumn("no", F.monotonically_increasing_id()).groupBy("file").agg(
+        F.min_by("value", "no").alias("line"))
+    cells = F.from_csv(F.regexp_replace("line", "^\ufeff|\r$", ""), F.lit(", ".join(f"c{i} STRING" for i in range(MOST_COLUMNS))))
+    names = first.select("file", cells.alias("cells")).select("file", F.array(*[F.col(f"cells.c{i}") for i in range(MOST_COLUMNS)]).alias("cells"))
+    return names.select("file", F.transform("cells", lambda c: F.lower(strip(c))).alias("names"))
+
+
+def read_statement_folder(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Statement CSV files of any mix of header styles under one path.
+
+    Each file's first line says where its columns are; it is read once per file and meets the
+    rows by file. The applicant is the ``applicant_id=`` folder, if there is one, else the number
+    the file name starts with. Up to ``MOST_COLUMNS`` columns of a file are read. ``seq`` rises
+    with the order of rows in a file.
+    """
+    headers = settle(header_lines(spark, path))
+    if headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        headers = F.broadcast(headers)
+    rows = spark.read.schema(", ".join(f"c{i} STRING" for i in range(MOST_COLUMNS))).option("multiLine", multi_line).option(
+        "recursiveFileLookup", True).csv(path)
+    folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/applicant_id=(\d+)/", 1), F.lit("")).try_cast("bigint")
+    placed = rows.select(
+        F.coalesce(folder, applicant_of(F.col("_metadata.file_name"))).alias("applicant_id"),
+        F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_path").alias("file"),
+        F.array(*[f"c{i}" for i in range(MOST_COLUMNS)]).alias("cells")).join(headers, "file")
+    known = ["type", "amount", "mode", *fv.DATE_COLUMNS, *fv.NARRATION_COLUMNS, *fv.DEBIT_COLUMNS, *fv.CREDIT_COLUMNS, *fv.BALANCE_COLUMNS,
+             *fv.TXN_ID_COLUMNS]
+    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1).alias(name)
+    # A header line is no transaction: its date is no date, and its type none of the two.
+    # As a generated row, a cell is looked up once, not wherever parsing names it.
+    cells = F.inline(F.array(F.struct(*[cell(name) for name in dict.fromkeys(known)])))
+    return parse_statements(placed.select("applicant_id", "seq", cells))
+
+
 def explode_statements(statements: DataFrame) -> DataFrame:
     """Nested statements, one row per transaction, in their given order."""
     rows = statements.select(

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from lendgrain.operators import base_terms, decision, network, verify
@@ -83,7 +85,52 @@ def test_loops_through_the_applicant(spark):
         [(1, "A", "V", 5.0), (1, "V", "N", 4.8), (1, "N", "A", 4.5), (1, "V", "A", 1.0), (1, "N", "V", 9.0)],
         "applicant_id long, src string, dst string, value double")
     loops = network.circular_loops(edges, spark.createDataFrame([(1, "A")], "applicant_id long, node string"))
-    assert sorted((r.path, r.loop_value) for r in loops.collect()) == [(["A", "V"], 1.0), (["A", "V", "N"], 4.5)]
+    assert sorted((r.path, r.loop_value, r.through_applicant) for r in loops.collect()) == [
+        (["A", "V"], 1.0, True), (["A", "V", "N"], 4.5, True), (["N", "V"], 4.8, False)]
+
+
+def all_loops(paid, anchor):
+    """Loops of two and three nodes by trying every walk; a node pays itself nothing."""
+    found = {}
+    ahead = {}
+    for (a, b), value in paid.items():
+        if a != b:
+            ahead.setdefault(a, {})[b] = value
+    for a in ahead:
+        for b, ab in ahead[a].items():
+            walks = [((a, b), (ab, ahead.get(b, {}).get(a)))]
+            walks += [((a, b, c), (ab, bc, ahead.get(c, {}).get(a))) for c, bc in ahead.get(b, {}).items() if c != a]
+            for path, values in walks:
+                if None not in values:
+                    first = path.index(anchor) if anchor in path else path.index(min(path))
+                    found[path[first:] + path[:first]] = (min(values), anchor in path)
+    return found
+
+
+def test_loops_among_counterparties_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = [(g, f"n{r.randrange(12)}", f"n{r.randrange(12)}", float(r.randrange(1, 99))) for g in (1, 2, 3) for _ in range(25 * g)]
+    rows += [(4, "hub", f"s{i}", 1.0) for i in range(30)] + [(4, f"s{i}", "hub", 2.0) for i in range(0, 30, 2)]
+    rows += [(4, f"s{i}", f"s{i + 1}", 3.0) for i in range(29)]
+    want = {}
+    for g, anchor in ((1, "n0"), (2, "n1"), (3, None), (4, "s3")):
+        paid = {}
+        for _, a, b, value in (x for x in rows if x[0] == g):
+            paid[a, b] = paid.get((a, b), 0) + value
+        want |= {(g, path): found for path, found in all_loops(paid, anchor).items()}
+    edges = spark.createDataFrame(rows, "applicant_id long, src string, dst string, value double")
+    anchors = spark.createDataFrame([(1, "n0"), (2, "n1"), (4, "s3")], "applicant_id long, node string")
+    got = network.circular_loops(edges, anchors).collect()
+    assert {(x.applicant_id, tuple(x.path)): (x.loop_value, x.through_applicant) for x in got} == want and len(got) == len(want)
+
+
+def test_a_hub_of_many_links_forms_no_pairs(spark):
+    spokes = spark.range(100_000).select(F.lit(1).cast("long").alias("applicant_id"), F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
+    some = spark.range(0, 100_000, 1000)
+    edges = spokes.unionByName(some.selectExpr("1L AS applicant_id", "id AS src", "id + 1 AS dst")).unionByName(
+        some.selectExpr("1L AS applicant_id", "id + 1 AS src", "-1L AS dst")).withColumn("value", F.lit(1.0))
+    loops = network.circular_loops(edges, spark.createDataFrame([(1, -1)], "applicant_id long, node long"))
+    assert {tuple(r) for r in loops.groupBy("length", "through_applicant").count().collect()} == {(2, True, 100), (3, True, 100)}
 
 
 def test_nested_result(spark):

@@ -157,3 +157,31 @@ def test_many_statement_paths_are_read_in_order(spark, tmp_path):
             out.write(f"Date,Description,Debit,Credit,Balance\n01-01-2024,first {n},1,,5\n02-01-2024,second {n},,2,7\n")
     rows = statements.read_statements(spark, *paths).orderBy("seq").collect()
     assert [r.description for r in rows] == [f"{w} {n}" for n in range(40) for w in ("first", "second")]
+
+
+def test_running_sum_spreads_rows_of_one_instant(spark):
+    r = random.Random(8)
+    rows = [(1, 5, n, float(r.randrange(-9, 9))) for n in range(4000)] + [(1, 3, n, 1.0) for n in range(5)]
+    rows += [(k, r.randrange(20), n, float(r.randrange(9))) for k in (2, 3) for n in range(50)]
+    frame_of = spark.createDataFrame(rows, "key long, at long, seq long, value double").repartition(3)
+    want, total = {}, {}
+    for key, at, seq, value in sorted(rows):
+        total[key] = total.get(key, 0) + value
+        want[key, at, seq] = total[key]
+    for limit in (100, 10**6):
+        got = running_sum(frame_of, ["key"], "at", ["seq"], "value", "sum", chunk_rows=limit)
+        assert {(x.key, x.at, x.seq): x["sum"] for x in got.collect()} == want and got.columns == ["key", "at", "seq", "value", "sum"]
+    hot = running_sum(frame_of, ["key"], "at", ["seq"], "value", "sum", chunk_rows=100)
+    parts = hot.filter("key = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(p["count"] for p in parts) < 3000
+
+
+def test_many_credits_of_one_instant_count_once_each(spark):
+    at = datetime(2024, 3, 10, 12)
+    rows = [(1, n, at, "", "", 0.0, 20_000.0, 0.0, "P") for n in range(3000)]
+    rows += [(1, 5000 + n, at + timedelta(days=n - 20), "", "", 30_000.0, 0.0, 0.0, "P") for n in range(40)]
+    near = [n for n in range(40) if abs((timedelta(days=n - 20)).days) <= 7]
+    counts = bank.round_trip_counts(frame(spark, rows)).collect()
+    assert [(c.round_trips, c.matched_debits) for c in counts] == [(3000 * len(near), len(near))]
+    trips = bank.round_trips(frame(spark, rows)).collect()
+    assert [(t["rank"], t.days_gap) for t in sorted(trips, key=lambda t: t["rank"])] == [(k, 7) for k in range(1, 11)]

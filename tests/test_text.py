@@ -10,6 +10,7 @@ from lendgrain import fixed_values as fv
 from lendgrain.functions import spans as sp
 from lendgrain.functions import text as tx
 from lendgrain.operators import filings, layout, prose
+from lendgrain.plans import portfolio
 from lendgrain.sources import reports
 
 
@@ -218,3 +219,51 @@ def test_lists_without_a_limit_hold_everything(spark):
     rows = spark.createDataFrame([(1, loans)], "doc_id long, text string")
     every, shown = filings.collateral(rows, None, None).first(), filings.collateral(rows).first()
     assert len(every.findings) == every.unsecured_matches == 5 and len(shown.findings) == 2
+
+
+def test_spans_of_many_matches_equal_python(spark):
+    texts = ["x" * k + "ab, " * n + "tail" for k, n in ((0, 1), (3, 63), (1, 64), (2, 65), (0, 700))]
+    got = docs(spark, *texts).select("text", sp.spans("text", "(a)(b)", 2).alias("m")).collect()
+    for row in got:
+        want = [(m.start(), m.end(), m[0], m[1], m[2]) for m in re.finditer("(a)(b)", row.text)]
+        assert [tuple(m) for m in row.m] == want
+
+
+def test_labelled_spans_of_many_matches_never_overlap(spark):
+    text = "abcd " * 500
+    kept = docs(spark, text).select(sp.labelled_spans("text", [("long", "bcd a"), ("short", "abc"), ("one", "d")]).alias("m")).first().m
+    want, end = [], 0
+    for start, order, stop, label in sorted(
+            (m.start(), n, m.end(), name) for n, (name, p) in enumerate([("long", "bcd a"), ("short", "abc"), ("one", "d")])
+            for m in re.finditer(p, text)):
+        if not want or start >= end:
+            want.append((start, stop, label))
+            end = stop
+    assert [(m.start, m.end, m.label) for m in kept] == want and len(want) == 1000
+
+
+def test_section_texts_hold_the_pages_of_their_range(spark):
+    pages = [(1, p, f"page {p} of one") for p in range(1, 101)] + [(2, 1, None), (2, 2, "two")] + [(3, 1, "no section")]
+    sections = [(1, "auditors_report", 3, 5), (1, "auditors_annexure", 5, 40), (1, "mda_report", 99, 300), (2, "mda_report", 1, 11), (9, "mda_report", 1, 2), (3, "mda_report", 5, 4)]
+    pages = spark.createDataFrame(pages, "doc_id long, page_number int, text string")
+    sections = spark.createDataFrame(sections, "doc_id long, section string, start_page int, end_page int")
+    for rows in (layout.STRETCH_ROWS, 0):
+        before, layout.STRETCH_ROWS = layout.STRETCH_ROWS, rows
+        got = {(r.doc_id, r.section): r for r in layout.section_texts(pages, sections).collect()}
+        layout.STRETCH_ROWS = before
+        assert {k: r.pages_extracted for k, r in got.items()} == {
+            (1, "auditors_report"): 3, (1, "auditors_annexure"): 36, (1, "mda_report"): 2, (2, "mda_report"): 2}
+        assert got[1, "mda_report"].text == "--- Page 99 ---\npage 99 of one\n\n--- Page 100 ---\npage 100 of one"
+        assert got[2, "mda_report"].text == "--- Page 1 ---\n\n\n--- Page 2 ---\ntwo"
+
+
+def test_audit_scan_reads_report_and_annexure_only(spark):
+    scans = spark.createDataFrame([
+        (1, 10, "FY2024", "Undisputed statutory dues remain outstanding. Except for this."), (2, 20, "FY2024", "x")],
+        "applicant_id long, doc_id long, fiscal_year string, text string")
+    sectioned = spark.createDataFrame([
+        (10, "mda_report", "Except for the weather.\n\n"), (20, "auditors_report", "Except for the matter above.\n\n"),
+        (20, "auditors_annexure", "Undisputed statutory dues including provident fund remain outstanding")], "doc_id long, section string, text string")
+    flags = lambda s: {r.doc_id: (r.caro_default_found, r.adverse_opinion_found) for r in filings.compliance_flags(portfolio.audit_texts(scans, s)).collect()}
+    assert flags(None)[10] != (False, False)
+    assert flags(sectioned) == {10: (False, False), 20: (True, True)}
