@@ -13,11 +13,15 @@ Branches below ``least`` are removed from every page, if at least ``MIN_PAGES``
 the host have them, but none that is unmarked and in an article or main element. Elements whose tag, role, class or id names them as page furniture go in any
 case, as comments differ by page and small hosts have no statistics. Class and id words say nothing
 about html, body, main, an article, an element around main or the page's longest article, one with
-most of the page's text, or headings and table rows in an article. If a page has an article (else
-a main) element with text left, only what lies in it stays.
+most of the page's text, or headings and table rows in an article. A form or an aside without an end
+tag is furniture unless it holds these. If a page has an article (else a main) element with text left,
+only what lies in it stays, unless there is more prose (blocks of ``PROSE`` characters on) beside
+its articles than in the longest of them: then these are cards, and what lies beside them (in the
+main element, if there) stays.
 
 Pages are read twice, as keeping their blocks would cost more than parsing them again; only hashed
-statistics are shuffled, combined per task. Copies of an article count once: pages are one if they
+statistics are shuffled, combined per task. Nodes to remove are sent to the pages if a count shows
+them to be few, else pages meet them in shares of their host. Copies of an article count once: pages are one if they
 show the same unmarked text in their article (else main) element or, without such text, in blocks
 of ``PROSE`` characters on, or else in all blocks; so menus, adverts and dates make no other page. Null html is empty
 text; a page without url belongs to the host ''. Repeated rows are extracted alike.
@@ -25,6 +29,7 @@ text; a page without url belongs to the host ''. Repeated rows are extracted ali
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendgrain.llm.frames import settled, small_batches
+from lendgrain.llm.frames import BROADCAST_ROWS, settled, small_batches
 from lendgrain.llm.html_blocks import Block, ancestors, blocks_of
 from lendgrain.session import settle
 
-GAMMA, LEAST, MIN_PAGES, PROSE = 0.9, 0.5, 8, 80
+GAMMA, LEAST, MIN_PAGES, PROSE, SHARES = 0.9, 0.5, 8, 80, 64
 
 
 def _hash(text: str) -> int:
@@ -57,10 +62,16 @@ def chosen(blocks: list[Block], low: set[int]) -> list[str]:
     for path in {b.path for b in blocks}:
         verdicts[path] = not low or not any(_hash(p) in low for p in ancestors(path))
     left = [b for b in blocks if not b.furniture and (b.within or verdicts[b.path])]
-    for kind in ("article", "main"):
-        if any(b.within == kind for b in left):
-            return [b.text for b in left if b.within == kind]
-    return [b.text for b in left]
+    beside = [b for b in left if b.within != "article"]
+    prose = lambda some: sum(len(b.text) for b in some if len(b.text) >= PROSE)
+    articles = Counter()
+    for b in left:
+        if b.within == "article":
+            articles[b.article] += prose([b])
+    if articles and max(articles.values()) >= prose(beside):
+        return [b.text for b in left if b.within == "article"]
+    inside = [b.text for b in beside if b.within == "main"]
+    return inside or [b.text for b in beside]
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,5 +132,12 @@ def main_texts(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGE
         F.col("html").cast("string").alias("html"), host.alias("host")))
     tree = style_tree(pages).filter((F.col("pages") >= min_pages) & (F.col("importance") < least))
     low = settle(tree.groupBy("host").agg(F.collect_list("node").alias("low")))
-    return pages.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(
+    nodes = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
+    if nodes <= BROADCAST_ROWS:
+        joined = pages.join(F.broadcast(low), "host", "left")
+    else:
+        share = F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES).cast("long")).alias("share")
+        every = low.select("host", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("share"))
+        joined = pages.select("*", share).join(every, ["host", "share"], "left")
+    return joined.select("page_id", "url", "html", "low").mapInArrow(
         _texts, "page_id long, url string, text string")

@@ -90,6 +90,38 @@ def test_marked_wrappers_keep_the_article(wrapper, inner, want):
     assert extraction.chosen(blocks_of(wrapper.format(inner))[0], set()) == want
 
 
+PROSE = "The main text of the page is long enough to count as prose, with more than eighty characters in it."
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<head><title>x</title><body><p>{PROSE}", PROSE),
+    (f"<head><meta charset=utf-8><title>x</title><article><p>{PROSE}</p></article>", PROSE),
+    (f"<head><title>x</title>{PROSE}<p>{PROSE}", f"{PROSE}\n{PROSE}"),
+    (f"<body><form id=aspnetForm><nav>menu</nav><div><p>{PROSE}</p></div></form>", PROSE),
+    (f"<body><p>{PROSE}</p><form><label>Your name</label></form>", PROSE),
+    (f"<body><div><aside><p>side</p><article><p>{PROSE}</p></article></div>", PROSE),
+    (f"<body><div><aside><p>{PROSE}</p><p>{PROSE}</p></aside><p>{PROSE} Own.</p></div>", f"{PROSE} Own."),
+    (f"<main><p>{PROSE}</p><article class=card>one</article><article class=card>two</article></main>", PROSE),
+    (f"<div id=content><p>{PROSE}</p><p>{PROSE}</p></div><article>{PROSE}</article><article>two</article>", f"{PROSE}\n{PROSE}"),
+    (f"<article><p title='the hidden cost of it'>{PROSE}</p><p hidden>no</p><p HIDDEN=''>no</p></article>", PROSE),
+    (f"<article><section id=discussion><p>{PROSE}</p></section><section class=related-work><p>Work</p></section><div class=related-posts>no</div></article>",
+     f"{PROSE}\nWork"),
+    ("<article><p class=notice-period>Notice</p><h2 id=copyright-law>Law</h2><div class=comments>no</div></article>", "Notice\nLaw"),
+    (f"<p>{PROSE} Let <math><mi>x</mi></math> be <button>click</button>five<svg><text>no</text></svg>.</p>", f"{PROSE} Let x be five."),
+])
+def test_article_survives_what_pages_do(spark, html, want):
+    assert "\n".join(extraction.chosen(blocks_of(html)[0], set())) == want
+
+
+def test_nodes_to_remove_reach_the_pages_either_way(spark, prose, monkeypatch):
+    shared = "<div class='x'>" + prose(30, 1, 99) + "</div>"
+    rows = [(i, "http://h/" + str(i), f"<body>{shared}<div class='own'><p>{prose(40, 50 + i, 99)}</p></div>", 1) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    few = {r.page_id: r.text for r in extraction.main_texts(pages).collect()}
+    monkeypatch.setattr(extraction, "BROADCAST_ROWS", 0)
+    assert {r.page_id: r.text for r in extraction.main_texts(pages).collect()} == few == {i: prose(40, 50 + i, 99) for i in range(12)}
+
+
 @pytest.mark.parametrize("n", [4_999, 5_001, 70_000, 1_000_000])
 def test_text_after_long_attributes_stays(n):
     for value in ("x" * n, "y>" * (n // 2), "data:image/png;base64," + "A" * n + "==", "{'a': 'b=c', " * (n // 13)):
@@ -238,3 +270,12 @@ def test_swaps_of_long_and_repeated_terms_keep_the_score(spark, frame, judged):
         texts = [" ".join([f"the {term} came and sang"] * times) for term in ("christians", "foreigners", "muslims", "people", "humans")]
         score = fair.score(Texts(pa.array(texts)))
         assert np.ptp(score) < 0.02
+
+
+def test_labels_of_other_documents_do_not_count(spark, frame, judged):
+    docs, labels = judged
+    learnt = labels.filter("toxic IS NOT NULL").limit(40).select((F.col("doc_id") + 10**9).alias("doc_id"), "toxic", "quality")
+    got = toxicity.scores(docs, learnt).collect()
+    assert {(r.score < 0.01, r.predicted) for r in got} == {(True, 0)}
+    twice = toxicity.scores(docs.unionByName(docs.select(*[F.lit("more").alias(c) if c == "text" else c for c in docs.columns])), labels)
+    assert twice.count() == 2 * docs.count()
