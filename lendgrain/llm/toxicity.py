@@ -150,12 +150,17 @@ def _rows(lookup: Lookup, terms: np.ndarray, swaps: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> tuple[DataFrame, list[int]]:
-    """Texts (text, label) of at most ``max_rows`` rows of each class, and how many rows each class has."""
-    known = settle(training_labels(labels, target))
-    sizes = {r[0]: r[1] for r in known.filter("label IN (0, 1)").groupBy("label").count().collect()}
+    """Texts (text, label) of at most ``max_rows`` documents of each class, and how many documents each class has.
+
+    Only labels of documents that are there count; a doc_id with several texts is one document, with its least text.
+    """
+    there = training_labels(labels, target).filter("label IN (0, 1)").join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = settle(there)
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     parts = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    return small_batches(docs.join(F.broadcast(chosen), "doc_id").select("text", "label")), [sizes.get(0, 0), sizes.get(1, 0)]
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return small_batches(texts.select("text", "label")), [sizes.get(0, 0), sizes.get(1, 0)]
 
 
 def logistic(row: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray, n: int, swaps: np.ndarray,
