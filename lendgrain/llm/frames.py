@@ -29,7 +29,7 @@ def id_text(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
-def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows whose key is (left_anti: is not) among ``ids``. Few ids go to the rows, many meet them in a shuffle."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(ids) if few else ids, key, how)

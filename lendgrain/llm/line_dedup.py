@@ -16,8 +16,9 @@ for any length. Each key hands its earliest line to the others (a minimum per ke
 the shuffle), so no pairs are made within a key, and the Levenshtein distance of each line to the
 witness it was handed is checked.
 
-Null texts are empty and stay null. Rows without doc_id are returned as they are. Repeated rows
-of a doc_id are one document to this operator: their lines don't repeat each other. Documents
+Null texts are empty and stay null. Rows without doc_id are returned as they are. Copies of a row
+are one document to this operator: their lines don't repeat each other. Rows of one doc_id with
+different texts are different documents, told apart, and ordered, by a hash of the text. Documents
 keep their other columns, whatever their names.
 """
 
@@ -36,10 +37,10 @@ PIECES = (8, 4)
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, no, line (trimmed) and its two hashes, for lines that are compared."""
+    """doc_id, copy (hash of the text), no, line (trimmed) and its two hashes, for lines that are compared."""
     lines = docs.filter("doc_id IS NOT NULL").select(
-        F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    trimmed = lines.select("doc_id", "no", F.btrim("line", F.lit(BLANKS)).alias("line"))
+        "doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    trimmed = lines.select("doc_id", "copy", "no", F.btrim("line", F.lit(BLANKS)).alias("line"))
     return trimmed.filter(F.length("line") >= min_chars).select(
         "*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"))
 
@@ -90,10 +91,11 @@ def near_repeats(distinct_lines: DataFrame, docs: DataFrame, min_chars: int) ->
     each = distinct_lines.select("id", F.inline("halves"))
     places = settle(agreeing(each))
     found = settle(distinct_lines.join(places.select("id").distinct(), "id", "left_semi").select(
-        "id", "place", "place.doc_id", "place.no"))
+        "id", "place", "place.doc_id", "place.copy", "place.no"))
     holders = rows_of_ids(docs, found.select("doc_id").distinct(), "doc_id")
-    texts = lines_of(holders, min_chars).select("doc_id", "no", "id", "line").dropDuplicates(["doc_id", "no"])
-    lines = settle(texts.join(found.select("doc_id", "no", "id", "place"), ["doc_id", "no", "id"]).select("id", "place", "line"))
+    texts = lines_of(holders, min_chars).select("doc_id", "copy", "no", "id", "line").dropDuplicates(["doc_id", "copy", "no"])
+    at = ["doc_id", "copy", "no", "id"]
+    lines = settle(texts.join(found.select(*at, "place"), at).select("id", "place", "line"))
     text_of = lines.select("id", "line")
     for pieces in PIECES:
         places = settle(narrowed(places, text_of, pieces))
@@ -108,17 +110,17 @@ def near_repeats(distinct_lines: DataFrame, docs: DataFrame, min_chars: int) ->
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, short: bool = False) -> DataFrame:
-    """Per document with any: doc_id and drop, the numbers of its lines that go."""
+    """Per document with any: doc_id, copy (hash of its text) and drop, the numbers of its lines that go."""
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs, 1 if short else min_chars)
     places = F.when(F.length("line") >= min_chars, halves(F.col("line")))
     known = settled(lines.groupBy("id", "id2").agg(
-        F.min(F.struct("doc_id", "no")).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value(places).alias("halves")))
+        F.min(F.struct("doc_id", "copy", "no")).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value(places).alias("halves")))
     near = settled(near_repeats(known.select("id", "place", "halves"), docs, min_chars)).withColumn("near", F.lit(True))
     verdict = known.select("id", "id2", "place", "n").join(near, "id", "left").filter("n > 1 OR near")
-    gone = lines.select("doc_id", "no", "id", "id2").join(verdict, ["id", "id2"]).filter(
-        F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "no") != F.col("place")))
-    return gone.groupBy("doc_id").agg(F.collect_set("no").alias("drop"))
+    gone = lines.select("doc_id", "copy", "no", "id", "id2").join(verdict, ["id", "id2"]).filter(
+        F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "copy", "no") != F.col("place")))
+    return gone.groupBy("doc_id", "copy").agg(F.collect_set("no").alias("drop"))
 
 
 def without_lines(text: Column, drop: Column) -> Column:
@@ -132,8 +134,9 @@ def deduplicated(docs: DataFrame, min_chars: int = 10, short: bool = False) -> D
     """``docs`` with repeated lines cut from ``text``, and n_removed, the lines cut (in place of a column of that name)."""
     docs = docs.drop("n_removed")
     gone = settled(repeated_lines(docs, min_chars, short))
-    ids = gone.select("doc_id")
-    kept = rows_of_ids(docs, ids, "doc_id", how="left_anti").withColumn("n_removed", F.lit(0).cast("long"))
-    cut = rows_of_ids(docs, ids, "doc_id").join(gone.select("doc_id", F.col("drop").alias("_drop")), "doc_id")
+    gone = gone.select("doc_id", F.col("copy").alias("_copy"), F.col("drop").alias("_drop"))
+    copies, named = gone.select("doc_id", "_copy"), docs.withColumn("_copy", F.xxhash64("text"))
+    kept = rows_of_ids(named, copies, ["doc_id", "_copy"], how="left_anti").withColumn("n_removed", F.lit(0).cast("long")).drop("_copy")
+    cut = rows_of_ids(named, copies, ["doc_id", "_copy"]).join(gone, ["doc_id", "_copy"])
     cut = cut.withColumn("text", without_lines(F.col("text"), F.col("_drop"))).withColumn("n_removed", F.size("_drop").cast("long"))
     return kept.unionByName(cut.select(*docs.columns, "n_removed"))
