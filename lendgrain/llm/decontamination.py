@@ -51,7 +51,7 @@ class Shingled:
     def __init__(self, texts: words.Texts):
         starts, ends = texts.words()
         owner = texts.owner(starts)
-        self.hashes, self.first = words.sequences(texts.hashes(texts.running(), starts, ends), owner, words.SHINGLE)
+        self.hashes, self.first = words.sequences(words.hashes_of_words(texts, starts, ends)[:, 0], owner, words.SHINGLE)
         sizes = np.concatenate(([0], np.cumsum(ends - starts)))
         self.weights = sizes[self.first + words.SHINGLE] - sizes[self.first]
         self.owner = owner[self.first]

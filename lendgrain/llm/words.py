@@ -4,8 +4,11 @@ A word is a run of bytes outside ``\\x20 \\x09-\\x0D``; A-Z count as a-z. Nulls
 empty texts. Batches are cut so that one cut holds about ``CUT`` bytes of text (a
 longer text is a cut of its own), which bounds a task's memory by its longest text.
 
-Hashes have 64 bits. A word's hash is a polynomial in random values of its bytes,
-taken from differences of running sums, so a cut costs a few passes over its bytes.
+Hashes have 64 bits. Words of shingles are hashed by xxh3, each distinct word of a cut
+once; a shingle's hash is a random linear function of its words' hashes, mixed. Where
+any stretch of bytes may be asked for, its hash is a polynomial in random values of
+its bytes, from differences of running sums; that serves statistics and features, as
+long words of a certain structure can share such hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CUT = 2_000_000
 SHINGLE = 5
@@ -23,6 +27,8 @@ _random = np.random.default_rng(20240229)
 BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
 PLACES = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15
@@ -37,11 +43,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+def powers(base: int, n: int, least: int = 21) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; 2 ** least of them are kept at once."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.ones(1 << max(21, (n - 1).bit_length()), np.uint64)
+        have = np.ones(1 << max(least, (n - 1).bit_length()), np.uint64)
         have[1:] = np.uint64(base)
         np.multiply.accumulate(have, out=have)
         if len(have) > 1 << 23:
@@ -94,6 +100,16 @@ class Texts:
         return mix((sums[ends] - sums[starts]) * unshift[starts])
 
 
+def hashes_of_words(texts: Texts, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = IS_SPACE) -> np.ndarray:
+    """Two independent 64-bit hashes of each word of ``texts.words(between)``, A-Z as a-z."""
+    packed = np.ascontiguousarray(LOWER[texts.data[~between[texts.data]]])
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), "<u8").reshape(-1, 2)
+    return hashed[words.indices.to_numpy()]
+
+
 def sequences(word_hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of every run of k words within one text."""
     n = len(word_hashes) - k + 1
@@ -113,7 +129,7 @@ def shingles(texts: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """
     starts, ends = texts.words()
     owner = texts.owner(starts)
-    hashed = texts.hashes(texts.running(), starts, ends)
+    hashed = hashes_of_words(texts, starts, ends)[:, 0]
     found, at = sequences(hashed, owner, k)
     texts_of = owner[at]
     counts = np.bincount(owner, minlength=len(texts))

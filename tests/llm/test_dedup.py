@@ -112,6 +112,24 @@ def test_lines_of_a_hot_template_keep_the_earliest(spark, frame):
     assert line_dedup.deduplicated(frame([])).count() == 0
 
 
+def test_rows_of_one_doc_id_with_different_texts_keep_their_own_lines(spark, frame):
+    shared = "the shared line of all"
+    rows = [(1, f"{shared}\nfirst"), (5, f"{shared}\nno other has this"), (5, f"unique opening of the second row\n{shared}"), (5, f"{shared}\nno other has this")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.deduplicated(frame(rows)).collect())
+    assert got == [
+        (1, f"{shared}\nfirst", 0), (5, "no other has this", 1), (5, "no other has this", 1), (5, "unique opening of the second row", 1)]
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_a_structure_that_polynomials_confuse_are_not_linked(spark, frame):
+    rows = [(1, thue_morse(2048, "a", "b")), (2, thue_morse(2048, "b", "a")), (3, thue_morse(2048, "b", "a"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(rows)).collect()}
+    assert got == brute.near(rows, 85) == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 2, False)}
+
+
 def test_byte_strings_against_brute_force(spark, frame, prose):
     r = random.Random(8)
     passage, rows = prose(60, 77, 99), []
