@@ -33,28 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.llm.frames import rows_of_ids, small_batches
-from lendgrain.llm.words import Texts, cuts, mix, powers
+from lendgrain.llm.words import LOWER, Texts, cuts, hashes_of_words, mix, powers
 from lendgrain.session import settle
 
 MIN_COUNT, MAX_WORDS, INSIDE_PERCENT, PER_LANG = 30, 4, 80, 2000
 MAP_BITS = 27
+LEAST_POWERS = 18  # words of a cut, as a power of two
 
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BETWEEN = ENDS.copy()
 BETWEEN[[0x20, 0x09]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 # Both congruent to 3 modulo 4, so that exchanged words keep their fingerprints apart.
 BASES = (0x9E3779B97F4A7C17, 0xD1342543DE82EF97)
 UNBASES = tuple(pow(b, -1, 2**64) for b in BASES)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Two 64-bit hashes of each word."""
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), "<u8").reshape(-1, 2)
-
-
 def lang_hash(lang: str) -> tuple[int, int]:
     value = xxhash.xxh3_128_intdigest("lang:" + lang)
     return value & (1 << 64) - 1, value >> 64
@@ -66,17 +60,11 @@ class Runs:
     def __init__(self, texts: Texts, langs: list[str]):
         self.starts, self.ends = texts.words(BETWEEN)
         self.owner = texts.owner(self.starts)
-        data = LOWER[texts.data]
-        lengths = self.ends - self.starts
-        offsets = np.concatenate(([0], np.cumsum(lengths)))
-        packed = np.ascontiguousarray(data[~BETWEEN[data]])
-        words = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)]).dictionary_encode()
-        hashed = word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros((0, 2), np.uint64)
+        hashed = hashes_of_words(texts, self.starts, self.ends, BETWEEN)
         self.sums = []
         for side, base in enumerate(BASES):
             sums = np.zeros(len(hashed) + 1, np.uint64)
-            np.cumsum(hashed[:, side] * powers(base, len(hashed)), out=sums[1:])
+            np.cumsum(hashed[:, side] * powers(base, len(hashed), LEAST_POWERS), out=sums[1:])
             self.sums.append(sums)
         # Pieces are numbered through all texts: runs lie in one piece if their ends do.
         self.piece = np.concatenate(([0], np.cumsum(ENDS[texts.data])))[self.starts] + self.owner
@@ -88,7 +76,7 @@ class Runs:
         return np.flatnonzero(self.piece[:n] == self.piece[size - 1:]) if n > 0 else np.zeros(0, np.int64)
 
     def fingerprints(self, at: np.ndarray, size: int, side: int) -> np.ndarray:
-        sums, back = self.sums[side], powers(UNBASES[side], len(self.sums[side]))
+        sums, back = self.sums[side], powers(UNBASES[side], len(self.sums[side]), LEAST_POWERS)
         return finished((sums[at + size] - sums[at]) * back[at], self.langs[self.owner[at], side], size)
 
 
@@ -102,7 +90,7 @@ def allowed(runs: Runs, at: np.ndarray, size: int, inner: int, bits: np.ndarray
         return at
     marked = np.zeros(len(runs.starts) + 1, bool)
     shorter = runs.first(inner)
-    place = runs.fingerprints(shorter, inner, 0) >> np.uint64(64 - MAP_BITS)
+    place = runs.fingerprints(shorter, inner, 0) >> np.uint64(64 - (8 * len(bits) - 1).bit_length())
     marked[shorter] = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
     whole = np.ones(len(at), bool)
     for k in range(size - inner + 1):
@@ -158,7 +146,7 @@ def bit_map(frequent: DataFrame, size: int):
     rows = frequent.filter(F.col("size") == size).select(bit.alias("bit")).groupBy(
         F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = bytearray(1 << MAP_BITS - 3)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # 16 MB at most
         low = (row.bucket - 1) * len(row.bits)
         whole[low:low + len(row.bits)] = row.bits
     return frequent.sparkSession.sparkContext.broadcast(bytes(whole))
