@@ -231,7 +231,8 @@ def rating_status(documents: DataFrame) -> DataFrame:
         F.initcap(F.when(F.length(outlook) > 0, outlook)).alias("latest_outlook"),
         F.col("_last.grade").isin(*fv.INVESTMENT_GRADES).alias("is_investment_grade"),
         F.col("_hit").isNotNull().alias("downgrade_detected"),
-        snippet(col, F.col("_hit.at"), F.col("_hit.at") + F.col("_hit.size"), 30, 80).alias("downgrade_details"),
+        F.when(F.col("_hit").isNotNull(), snippet(col, F.col("_hit.at"), F.col("_hit.at") + F.col("_hit.size"), 30, 80))
+        .alias("downgrade_details"),
     ).withColumn("triggered_rules", F.array_compact(F.array(
         F.when(F.coalesce(weak, F.lit(False)) | F.col("downgrade_detected"), "P-27"))))
 

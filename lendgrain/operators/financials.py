@@ -29,13 +29,16 @@ def restatements(figures: DataFrame, flag_pct: float = 2.0, high_pct: float = 10
     """
     ranked = figures.filter(F.col("figure").isin(*COMPARED)).join(
         year_ranks(figures), ["applicant_id", "fiscal_year"])
-    earlier = ranked.select(
-        "applicant_id", "figure", (F.col("scan") + 1).alias("scan"), F.col("fiscal_year").alias("year_restated"),
-        F.col("value").alias("original_value"))
+    # One row per figure and scan, so the preceding scan's row is the one before, if it is adjacent.
+    before = Window.partitionBy("applicant_id", "figure").orderBy("scan")
+    adjacent = F.lag("scan").over(before) == F.col("scan") - 1
+    paired = ranked.withColumns({
+        "original_value": F.when(adjacent, F.lag("value").over(before)),
+        "year_restated": F.when(adjacent, F.lag("fiscal_year").over(before))})
     change = (F.col("previous_value") - F.col("original_value")) / F.abs("original_value") * 100
     order = F.array_position(F.array(*map(F.lit, COMPARED)), F.col("figure")).cast("int")
     return (
-        ranked.join(earlier, ["applicant_id", "figure", "scan"])
+        paired
         .filter("previous_value IS NOT NULL AND original_value IS NOT NULL AND original_value <> 0")
         .withColumn("change", change).filter(F.abs("change") > flag_pct)
         .select(

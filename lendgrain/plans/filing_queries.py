@@ -30,6 +30,13 @@ def documents(spark, sf_dir):
     return FILINGS.frame(spark, sf_dir)
 
 
+def around_sql(text: str, match: str, before: int, after: int) -> str:
+    """Text around the first place of a match."""
+    at = f"(strpos({text}, {match}) - 1)"
+    low = f"greatest({at} - {before}, 0)"
+    return f"substr({text}, {low} + 1, least(length({text}), {at} + length({match}) + {after}) - {low})"
+
+
 # --- Audit report --------------------------------------------------------------------
 PARAGRAPH = lambda phrases: [rf"(?iu){p}{fv.PARAGRAPH_REST}" for _, p in phrases]
 AUDIT = f"""flags AS (SELECT doc_id, applicant_id, fiscal_year, {any_match(fv.STATUTORY_PATTERNS)} AS caro,
@@ -38,12 +45,11 @@ AUDIT = f"""flags AS (SELECT doc_id, applicant_id, fiscal_year, {any_match(fv.ST
 
 @query("compliance_flags", f"""{WITH}, {AUDIT}
 SELECT doc_id, applicant_id, fiscal_year, caro AS caro_default_found, adv AS adverse_opinion_found,
-  eom AS emphasis_of_matter_found,
+  eom AS emphasis_of_matter_found, CAST(caro AS INTEGER) AS caro_matches, CAST(adv AS INTEGER) AS qualification_matches,
+  CAST(eom AS INTEGER) AS emphasis_matches,
   concat_ws(',', CASE WHEN caro OR adv THEN 'P-03' END, CASE WHEN eom THEN 'P-04' END) AS triggered_rules FROM flags""")
 def compliance_flags(spark, sf_dir):
-    return filings.compliance_flags(documents(spark, sf_dir)).drop(
-        "caro_matches", "qualification_matches", "emphasis_matches"
-    ).withColumn("triggered_rules", F.array_join("triggered_rules", ","))
+    return filings.compliance_flags(documents(spark, sf_dir)).withColumn("triggered_rules", F.array_join("triggered_rules", ","))
 
 
 # Passages are a known distance apart, so the first match of each phrase can be placed by search.
@@ -102,9 +108,9 @@ s AS (SELECT *, CASE WHEN unit <> 'unknown' THEN 40 ELSE 0 END + CASE WHEN regex
   + CASE WHEN abs(raw) > 10000 THEN 15 ELSE 0 END AS score FROM v)
 SELECT doc_id, applicant_id, fiscal_year, figure, value, raw AS raw_value, unit,
   CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
-  score AS confidence_score FROM s JOIN filings USING (doc_id)""")
+  score AS confidence_score, '...' || {around_sql("text", "m", 80, 80)} || '...' AS snippet FROM s JOIN filings USING (doc_id)""")
 def extracted_figures(spark, sf_dir):
-    return filings.extract_figures(documents(spark, sf_dir)).drop("snippet")
+    return filings.extract_figures(documents(spark, sf_dir))
 
 
 @query("unit_conversion", """WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice AS v,
@@ -125,15 +131,17 @@ def unit_conversion(spark, sf_dir):
         filings.to_crore(whole, F.col("unit"))).cast("bigint").alias("crore"))
 
 
-AUDITOR_SQL = f"""sig AS (SELECT doc_id, applicant_id, fiscal_year, regexp_extract(regexp_replace(
-  substr(text, CAST(floor(length(text) * CAST(0.8 AS DOUBLE)) AS BIGINT) + 1), '\\s+', ' ', 'g'), {re2(fv.AUDITOR_SIGNATURE)}, 1, 'i')
-  AS raw FROM filings), signed AS (SELECT doc_id, applicant_id, fiscal_year,
-  trim(regexp_replace(trim(raw), '(?i)(?:firm|registration).*$', ''), ' ,.') AS auditor FROM sig WHERE raw <> '')"""
+AUDITOR_SQL = f"""tails AS (SELECT doc_id, applicant_id, fiscal_year, regexp_replace(
+  substr(text, CAST(floor(length(text) * CAST(0.8 AS DOUBLE)) AS BIGINT) + 1), '\\s+', ' ', 'g') AS tail FROM filings),
+sig AS (SELECT *, regexp_extract(tail, {re2(fv.AUDITOR_SIGNATURE)}, 1, 'i') AS raw, regexp_extract(tail, {re2(fv.AUDITOR_SIGNATURE)}, 0, 'i') AS m
+  FROM tails), signed AS (SELECT doc_id, applicant_id, fiscal_year,
+  trim(regexp_replace(trim(raw), '(?i)(?:firm|registration).*$', ''), ' ,.') AS auditor,
+  '...' || trim({around_sql("tail", "m", 30, 30)}) || '...' AS snippet FROM sig WHERE raw <> '')"""
 
 
 @query("extracted_auditors", f"{WITH}, {AUDITOR_SQL} SELECT * FROM signed WHERE length(auditor) < 100")
 def extracted_auditors(spark, sf_dir):
-    return filings.extract_auditor(documents(spark, sf_dir)).drop("snippet")
+    return filings.extract_auditor(documents(spark, sf_dir))
 
 
 @query("latest_auditor", f"""{WITH}, {AUDITOR_SQL}, {AUDITORS.cte},
@@ -177,15 +185,19 @@ def rating_mentions(spark, sf_dir):
     return filings.rating_mentions(documents(spark, sf_dir))
 
 
+DOWNGRADE = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {re2(p)}, 0, 'i'), '')" for p in fv.DOWNGRADE_PATTERNS) + ")"
+DOWNGRADED = f"trim({around_sql('text', DOWNGRADE, 30, 80)}, ' ' || chr(10))"
+
+
 @query("rating_status", f"""{WITH}, {RATED},
-d AS (SELECT doc_id, applicant_id, fiscal_year, length(text) >= 100 AND {any_match(fv.DOWNGRADE_PATTERNS)} AS down FROM filings),
+d AS (SELECT doc_id, applicant_id, fiscal_year, text, length(text) >= 100 AND {any_match(fv.DOWNGRADE_PATTERNS)} AS down FROM filings),
 l AS (SELECT doc_id, arg_max(grade, strpos(text, m)) AS grade, arg_max(agency, strpos(text, m)) AS agency FROM valid GROUP BY 1)
 SELECT d.doc_id, applicant_id, fiscal_year, agency AS latest_agency, grade AS latest_rating,
   CASE WHEN grade IS NOT NULL THEN 'Stable' END AS latest_outlook, grade IN ({GOOD}) AS is_investment_grade,
-  down AS downgrade_detected, CASE WHEN down OR coalesce(grade NOT IN ({GOOD}), false) THEN 'P-27' ELSE '' END
+  down AS downgrade_detected, CASE WHEN down THEN {DOWNGRADED} END AS downgrade_details, CASE WHEN down OR coalesce(grade NOT IN ({GOOD}), false) THEN 'P-27' ELSE '' END
   AS triggered_rules FROM d LEFT JOIN l USING (doc_id)""")
 def rating_status(spark, sf_dir):
-    return filings.rating_status(documents(spark, sf_dir)).drop("downgrade_details").withColumn(
+    return filings.rating_status(documents(spark, sf_dir)).withColumn(
         "triggered_rules", F.array_join("triggered_rules", ","))
 
 
@@ -200,24 +212,32 @@ def holder_sql(patterns: list[str]) -> str:
 @query("shareholding", f"""{WITH}, h AS (SELECT doc_id, applicant_id, fiscal_year,
   {", ".join(f"{holder_sql(p)} AS {n}" for n, p in fv.HOLDING_PATTERNS.items())} FROM filings)
 SELECT *, concat_ws(',', CASE WHEN pledged_pct > 50 THEN 'P-17' END, CASE WHEN promoter_holding_pct < 26 THEN 'P-18' END)
-  AS triggered_rules FROM h""")
+  AS triggered_rules, concat_ws('; ', CASE WHEN pledged_pct > 50 THEN 'High promoter pledge: ' || pledged_pct || '% of promoter shares pledged' END,
+  CASE WHEN promoter_holding_pct < 26 THEN 'Low promoter holding: ' || promoter_holding_pct || '% (below 26% threshold)' END) AS findings FROM h""")
 def shareholding(spark, sf_dir):
-    return filings.shareholding(documents(spark, sf_dir)).drop("findings").withColumn(
-        "triggered_rules", F.array_join("triggered_rules", ","))
+    return filings.shareholding(documents(spark, sf_dir)).withColumns({
+        "triggered_rules": F.array_join("triggered_rules", ","), "findings": F.array_join("findings", "; ")})
+
+
+LOOSE, TIED = ("nullif(regexp_extract(text, {}, 0, 'i'), '')".format(re2(p)) for p in (fv.UNSECURED_PATTERN, fv.SECURED_PATTERN))
+TIED_PART = lambda n: f"lower(regexp_extract(text, {re2(fv.SECURED_PATTERN)}, {n}, 'i'))"
 
 
-@query("collateral", f"""{WITH}, c AS (SELECT doc_id, applicant_id, fiscal_year,
+@query("collateral", f"""{WITH}, c AS (SELECT doc_id, applicant_id, fiscal_year, text,
   len(regexp_extract_all(text, {re2(fv.UNSECURED_PATTERN)}, 0, 'i')) AS u,
   len(regexp_extract_all(text, {re2(fv.SECURED_PATTERN)}, 0, 'i')) AS s FROM filings)
 SELECT doc_id, applicant_id, fiscal_year, u > 0 AS has_unsecured_loans, s > 0 AND u = 0 AS is_fully_secured,
   CAST(u AS INTEGER) AS unsecured_matches, CAST(s AS INTEGER) AS secured_matches,
   CAST(least(u, 2) + least(s, 3) AS INTEGER) AS shown,
+  concat_ws('; ', CASE WHEN u > 0 THEN 'n/a|unsecured|' || trim({around_sql("text", LOOSE, 30, 80)}, ' ' || chr(10)) END,
+    CASE WHEN s > 0 THEN {TIED_PART(3)} || '|' || {TIED_PART(2)} || '|' || trim({around_sql("text", TIED, 30, 80)}, ' ' || chr(10)) END) AS findings,
   CASE WHEN u > 0 THEN 'Significant unsecured borrowings detected.'
     WHEN s > 0 THEN 'Borrowings appear predominantly secured.' ELSE 'No explicit collateral details found in text.' END
   AS summary, CASE WHEN u > 0 THEN 'P-31' ELSE '' END AS triggered_rules FROM c""")
 def collateral(spark, sf_dir):
     return filings.collateral(documents(spark, sf_dir)).withColumns({
-        "shown": F.size("findings"), "triggered_rules": F.array_join("triggered_rules", ",")}).drop("findings")
+        "shown": F.size("findings"), "triggered_rules": F.array_join("triggered_rules", ","), "findings": F.array_join(F.transform(
+            "findings", lambda f: F.concat_ws("|", F.lower(f["asset_type"]), F.lower(f["security_type"]), f["snippet"])), "; ")})
 
 
 # --- Supply chain --------------------------------------------------------------------

@@ -48,12 +48,12 @@ HEADERS = ["applicant_id", "seq", " Txn Date", "TYPE", "Amount ", "Withdrawal",
 SELECT applicant_id, seq, strftime(pts, '%Y-%m-%d %H:%M:%S') AS ts, trim(d) AS date_str,
   CASE seq % 3 WHEN 0 THEN 0.0 WHEN 1 THEN value ELSE CASE WHEN out_text = '' THEN 0.0 ELSE value END END AS debit,
   CASE seq % 3 WHEN 0 THEN value WHEN 1 THEN 0.0 ELSE coalesce(TRY_CAST(replace(in_text, ',', '') AS DOUBLE), 0.0) END AS credit,
-  0.0 + 0 AS balance, mode, pts IS NULL AS date_missing FROM t
+  0.0 + 0 AS balance, mode, '' AS description, CAST(NULL AS VARCHAR) AS txn_id, pts IS NULL AS date_missing FROM t
 WHERE pts IS NOT NULL OR (seq % 3 < 2 AND value > 0)""".replace("0.0 + 0 AS balance", "CAST(0 AS DOUBLE) AS balance"))
 def parsed_statements(spark, sf_dir):
     raw = LINES.frame(spark, sf_dir).select(
         "applicant_id", "seq", "d", "kind", "amount_text", "out_text", "in_text", "bal_text", "mode").toDF(*HEADERS)
-    return statements.parse_statements(raw).drop("description", "txn_id").withColumn(
+    return statements.parse_statements(raw).withColumn(
         "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -83,7 +83,7 @@ PAYLOADS = View("payloads", "events", (
 
 
 @query("statement_json_rows", f"""WITH {PAYLOADS.cte} SELECT event_id AS applicant_id, user_id + 0.5 AS opening_balance, s AS seq,
-  CASE s WHEN 0 THEN '2024-01-05 00:00' ELSE '2024-01-06 10:00' END AS ts, CASE s WHEN 0 THEN 'UPI/DR/1/P' || user_id || '/x' ELSE 'CASH' END
+  CASE s WHEN 0 THEN '2024-01-05 00:00' ELSE '2024-01-06 10:00' END AS ts, CASE s WHEN 0 THEN '2024-01-05' ELSE '2024-01-06T10:00:00' END AS date_str, CASE s WHEN 0 THEN 'UPI/DR/1/P' || user_id || '/x' ELSE 'CASH' END
   AS description, CASE s WHEN 0 THEN value ELSE 0.0 END AS debit, CASE s WHEN 0 THEN 0.0 ELSE 7.25 END AS credit,
   CAST(CASE s WHEN 0 THEN 10.0 ELSE 17.25 END AS DOUBLE) AS balance, false AS failed FROM payloads CROSS JOIN range(0, 2) r(s)""".replace(
     "user_id + 0.5 AS", "CAST(user_id AS DOUBLE) + 0.5 AS").replace("CASE s WHEN 0 THEN 0.0 ELSE 7.25 END AS credit",
@@ -91,7 +91,7 @@ PAYLOADS = View("payloads", "events", (
 def statement_json_rows(spark, sf_dir):
     parsed = PAYLOADS.frame(spark, sf_dir).select(
         F.from_json("payload", statements.STATEMENT_JSON).alias("s")).select("s.*")
-    return statements.explode_statements(parsed).drop("date_str").withColumn(
+    return statements.explode_statements(parsed).withColumn(
         "ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
 
 

@@ -114,7 +114,10 @@ def site_sql() -> str:
                 f"'% capacity — below 60% threshold' ELSE '{meaning}' END")
         else:
             cond, desc = "(" + " OR ".join(f"regexp_matches(low, '{p}')" for p in plain) + ")", f"'{meaning}'"
-        parts.append(f"SELECT note_id, applicant_id, '{rule_id}' AS rule_id, '{name}' AS rule_name, {desc} AS description, "
+        first = "coalesce(" + ", ".join(f"nullif(regexp_extract(low, '{p}', 0), '')" for p in plain) + ")"
+        at = f"(strpos(lower(notes), {first}) - 1)"
+        around = f"trim(substr(notes, greatest({at} - 20, 0) + 1, {at} + length({first}) + 20 - greatest({at} - 20, 0)))"
+        parts.append(f"SELECT note_id, applicant_id, '{rule_id}' AS rule_id, '{name}' AS rule_name, {desc} AS description, {around} AS matched_text, "
                      f"'{severity}' AS severity, {bps} AS rate_penalty_bps, {cut} AS limit_reduction_pct FROM n WHERE {cond}")
     return " UNION ALL ".join(parts)
 
@@ -125,7 +128,7 @@ found AS ({site_sql()})"""
 
 @query("site_visit_signals", f"{SITE} SELECT * FROM found")
 def site_visit_signals(spark, sf_dir):
-    return prose.site_visit_signals(NOTES.frame(spark, sf_dir)).drop("matched_text")
+    return prose.site_visit_signals(NOTES.frame(spark, sf_dir))
 
 
 @query("site_visit_totals", f"""{SITE}, t AS (SELECT applicant_id, count(*) AS findings,

@@ -267,3 +267,10 @@ def test_audit_scan_reads_report_and_annexure_only(spark):
     flags = lambda s: {r.doc_id: (r.caro_default_found, r.adverse_opinion_found) for r in filings.compliance_flags(portfolio.audit_texts(scans, s)).collect()}
     assert flags(None)[10] != (False, False)
     assert flags(sectioned) == {10: (False, False), 20: (True, True)}
+
+
+def test_rating_status_without_a_downgrade_has_no_details(spark):
+    text = "Facilities rated CRISIL AA+ with outlook: stable. " * 3
+    rows = filings.rating_status(docs(spark, text, text + "The rating was downgraded during the year.")).orderBy("doc_id").collect()
+    assert [(r.downgrade_detected, r.downgrade_details is None) for r in rows] == [(False, True), (True, False)]
+    assert "downgraded" in rows[1].downgrade_details and len(rows[1].downgrade_details) < 150
