@@ -253,6 +253,18 @@ def predicted_base_terms(spark, sf_dir):
     return base_terms.predict_base_terms(base_terms.fit_base_terms(train), ratios)
 
 
+# Two steps in two ratios: every tree finds both, so each leaf's mean is known.
+@query("reloaded_base_terms", f"""{RATIO_SQL} SELECT applicant_id, CAST(CASE WHEN coalesce(dscr, 1.3) < 1 THEN 12 ELSE 9 END AS DOUBLE) AS ml_base_rate_pct,
+  CAST(CASE WHEN coalesce(leverage_ratio, 3.2) > 3.5 THEN 5 ELSE 10 END AS DOUBLE) AS ml_base_limit_cr, 'predicted' AS model_status FROM raw""")
+def reloaded_base_terms(spark, sf_dir):
+    ratios = settle(base_terms.impute(raw_ratios(spark, sf_dir)))
+    train = ratios.withColumns({
+        "base_rate": F.when(F.col("dscr") < 1, 12.0).otherwise(9.0), "base_limit": F.when(F.col("leverage_ratio") > 3.5, 5.0).otherwise(10.0)})
+    folder = f"{shared_folder(spark)}/base-terms-{uuid.uuid4().hex}"
+    version = base_terms.keep_base_terms(train, folder, trees=10)
+    return base_terms.predict_base_terms(base_terms.load_base_terms(spark, folder, version), ratios)
+
+
 @query("default_base_terms", """SELECT o_custkey AS applicant_id, CAST(9 AS DOUBLE) AS ml_base_rate_pct, CAST(10 AS DOUBLE) AS ml_base_limit_cr,
   'fallback_no_model' AS model_status FROM orders GROUP BY o_custkey""")
 def default_base_terms(spark, sf_dir):
@@ -353,18 +365,35 @@ SELECT applicant_id, final_rate_pct, final_limit_cr, recommendation, coalesce(n,
   verified, mismatched FROM d LEFT JOIN pen USING (applicant_id) LEFT JOIN vs USING (applicant_id)"""
 
 
-@query("appraisal_results", f"""{vq.RANKED}, vs AS (SELECT applicant_id, count(*) FILTER (WHERE overall_status = 'MATCH') AS verified,
-  count(*) FILTER (WHERE overall_status = 'MISMATCH') AS mismatched FROM rolled GROUP BY 1), {RESULT_SQL[len("WITH "):]}""")
-def appraisal_results(spark, sf_dir):
+RESULT_CHECK = f"""{vq.RANKED}, vs AS (SELECT applicant_id, count(*) FILTER (WHERE overall_status = 'MATCH') AS verified,
+  count(*) FILTER (WHERE overall_status = 'MISMATCH') AS mismatched FROM rolled GROUP BY 1), {RESULT_SQL[len("WITH "):]}"""
+
+
+def nested_results(spark, sf_dir):
     triggers, rules = dq.triggers(spark, sf_dir), decision.rule_table(spark)
     penalties = decision.apply_rules(triggers, rules).select(
         "applicant_id", "source_ord", "rule_id", "name", "trigger", "rate_penalty_bps", "limit_reduction_pct")
     verdicts = vq.rolled(spark, sf_dir)
-    result = portfolio.assemble_result(
+    return portfolio.assemble_result(
         dq.decisions(spark, sf_dir), {"summary": vq.verify.verdict_summary(verdicts)},
         {"applied_penalties": (penalties, ["source_ord", "rule_id"]), "verifications": (verdicts, ["claim_id"])})
+
+
+def flat_results(result):
     return result.select(
         "applicant_id", "final_rate_pct", "final_limit_cr", "recommendation",
         F.greatest(F.size("applied_penalties"), F.lit(0)).cast("bigint").alias("penalties"),
         F.coalesce(F.array_join(F.transform("applied_penalties", lambda p: p["rule_id"]), ","), F.lit("")).alias("penalty_rules"),
         F.col("summary.verified").alias("verified"), F.col("summary.mismatched").alias("mismatched"))
+
+
+@query("appraisal_results", RESULT_CHECK)
+def appraisal_results(spark, sf_dir):
+    return flat_results(nested_results(spark, sf_dir))
+
+
+@query("written_results", RESULT_CHECK)
+def written_results(spark, sf_dir):
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    portfolio.write_results(nested_results(spark, sf_dir), path)
+    return flat_results(spark.read.parquet(path))

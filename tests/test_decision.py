@@ -223,3 +223,21 @@ def test_portfolio_prices_every_source(spark):
         rules.setdefault(r.applicant_id, set()).add(r.rule_id)
     assert {"P-03", "P-14"} <= rules[1] and "P-15" in rules[2] and "P-06" in rules[3] and "P-33" in rules[4]
     assert {r.applicant_id: r.final_limit_cr for r in out["decisions"].collect()}[1] == 0.0
+
+
+def test_kept_models_stand_beside_their_training(spark, tmp_path):
+    rows = spark.range(300).select(
+        F.col("id").alias("applicant_id"), (F.col("id") % 20 / 10.0).alias("dscr"), (F.col("id") % 7).cast("double").alias("leverage_ratio")).withColumns({
+            "base_rate": F.when(F.col("dscr") < 1, 12.0).otherwise(9.0), "base_limit": F.when(F.col("leverage_ratio") > 3, 5.0).otherwise(10.0)})
+    path = str(tmp_path)
+    first = base_terms.keep_base_terms(rows, path, trees=3, depth=3)
+    assert base_terms.keep_base_terms(rows.orderBy(F.desc("applicant_id")), path, trees=3, depth=3) == first  # the same rows overwrite themselves
+    second = base_terms.keep_base_terms(rows.withColumn("base_rate", F.lit(8.0)), path, trees=3, depth=3)
+    versions = {r.version: r for r in base_terms.kept_versions(spark, path).collect()}
+    assert set(versions) == {first, second} and versions[first].rows == 300 and versions[first].rmse_base_rate < 0.01
+    ratios = rows.select("applicant_id", "dscr", "leverage_ratio")
+    rates = lambda model: {r.ml_base_rate_pct for r in base_terms.predict_base_terms(model, ratios).collect()}
+    assert rates(base_terms.load_base_terms(spark, path)) == {8.0}
+    kept, fresh = base_terms.load_base_terms(spark, path, first), base_terms.fit_base_terms(rows, trees=3, depth=3)
+    score = lambda model: sorted(map(tuple, base_terms.predict_base_terms(model, ratios).collect()))
+    assert score(kept) == score(fresh) and rates(kept) == {9.0, 12.0}
