@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions.parsing import computed_once, strip
+from lendgrain.functions.text import first_chars
 
 # Narrations that never name a counterparty.
 NO_PARTY = [
@@ -21,8 +22,8 @@ NAME_LENGTH = 40
 CASH_NAME_LENGTH = 30
 
 
-def _named(candidate: Column, longer_than: int, keep: int = NAME_LENGTH) -> Column:
-    return F.when(F.length(candidate) > longer_than, F.substring(candidate, 1, keep))
+def _named(candidate: Column, longer_than: int, keep: int | None) -> Column:
+    return F.when(F.length(candidate) > longer_than, first_chars(candidate, keep))
 
 
 def _segment(text: Column, separator: str, number: int) -> Column:
@@ -35,9 +36,15 @@ def _count(text: Column, separator: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(separator), F.lit("")))
 
 
-def with_party(txns: DataFrame, description: str = "description", out: str = "party") -> DataFrame:
+def with_party(
+    txns: DataFrame, description: str = "description", out: str = "party", keep: int | None = NAME_LENGTH,
+    keep_cash: int | None = CASH_NAME_LENGTH,
+) -> DataFrame:
     """Add the name of the other side, null where the narration carries none.
 
+    Names are cut at ``keep`` characters, those of cash at ``keep_cash``; None keeps them whole, so
+    that long names with a common beginning stay apart.
+
     The narration is cleaned and its layout decided once, in projections of their own;
     names are then cut out with plain string functions, without patterns.
     """
@@ -57,16 +64,16 @@ def with_party(txns: DataFrame, description: str = "description", out: str = "pa
     tail, wire = F.col("_tail"), F.col("_wire")
     name = (
         F.when(F.col("_silent"), F.lit(None))
-        .when(F.length("_upi") > 2, F.substring("_upi", 1, NAME_LENGTH))
+        .when(F.length("_upi") > 2, first_chars(F.col("_upi"), keep))
         .when(F.col("_wired"), F.when(
-            (F.length(tail) > 3) & ~tail.isin(*NOT_A_NAME), F.substring(tail, 1, NAME_LENGTH)).otherwise(_named(wire, 2)))
-        .when(imps & text.contains("SALARY TRF BY-"), _named(_segment(text, "SALARY TRF BY-", -1), 2))
-        .when(imps & (dashes >= 2), F.substring(_segment(text, "-", -1), 1, NAME_LENGTH))
-        .when(text.startswith("BY CLG") & text.contains(","), _named(_segment(text, ",", -1), 2))
+            (F.length(tail) > 3) & ~tail.isin(*NOT_A_NAME), first_chars(tail, keep)).otherwise(_named(wire, 2, keep)))
+        .when(imps & text.contains("SALARY TRF BY-"), _named(_segment(text, "SALARY TRF BY-", -1), 2, keep))
+        .when(imps & (dashes >= 2), first_chars(_segment(text, "-", -1), keep))
+        .when(text.startswith("BY CLG") & text.contains(","), _named(_segment(text, ",", -1), 2, keep))
         .when((text.contains("CHQ PAID") | text.contains("CHEQUE")) & (dashes >= 2),
-              F.substring(_segment(text, "-", 3), 1, NAME_LENGTH))
-        .when(text.contains("DIVIDEND") & (dashes >= 1), F.substring(_segment(text, "-", 2), 1, NAME_LENGTH))
-        .when(text.startswith("CASH") & (dashes >= 1), F.substring(_segment(text, "-", -1), 1, CASH_NAME_LENGTH))
+              first_chars(_segment(text, "-", 3), keep))
+        .when(text.contains("DIVIDEND") & (dashes >= 1), first_chars(_segment(text, "-", 2), keep))
+        .when(text.startswith("CASH") & (dashes >= 1), first_chars(_segment(text, "-", -1), keep_cash))
     )
     named = computed_once(cut.withColumn("_name", name), out, F.when(F.length("_name") > 0, F.col("_name")))
     return named.select(*txns.columns, out)

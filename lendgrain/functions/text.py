@@ -112,6 +112,11 @@ def first_of(items: Column, k: int | None) -> Column:
     return items if k is None else F.slice(items, 1, k)
 
 
+def first_chars(text: Column, n: int | None) -> Column:
+    """First n characters, or all of them without an n."""
+    return text if n is None else F.substring(text, 1, n)
+
+
 def label_list(col: Column, labels: list[str], most: int | None = 6, lowered: Column | None = None) -> Column:
     """Items listed after the first label present, ``most`` of them unless that is None."""
     found = None

@@ -197,10 +197,10 @@ def _rating_array() -> Column:
         f"'grade', upper(trim(regexp_replace(m.g2, '[ ]*[(][^)]*[)]', ''))))), m -> m.grade IN ({scale}))")
 
 
-def rating_mentions(documents: DataFrame) -> DataFrame:
+def rating_mentions(documents: DataFrame, least_chars: int = 100) -> DataFrame:
     """Agency and grade mentions whose grade is on the scale, with outlook and snippet."""
     col = F.col(TEXT)
-    rows = lowered(documents).filter(F.length(col) >= 100).select(*keys_of(documents), TEXT, F.explode(_rating_array()).alias("m"))
+    rows = lowered(documents).filter(F.length(col) >= least_chars).select(*keys_of(documents), TEXT, F.explode(_rating_array()).alias("m"))
     start, end = F.col("m.start"), F.col("m.end")
     outlook = F.regexp_extract(window_text(col, start, end, 50, 100), fv.RATING_OUTLOOK, 1)
     return rows.select(
@@ -210,13 +210,13 @@ def rating_mentions(documents: DataFrame) -> DataFrame:
         snippet(col, start, end, 20, 50).alias("snippet"))
 
 
-def rating_status(documents: DataFrame) -> DataFrame:
+def rating_status(documents: DataFrame, least_chars: int = 100) -> DataFrame:
     """Last mention of a document, downgrade wording, and the rule either raises.
 
-    Texts under 100 characters are not read; such a document has no rating and no rule.
+    Texts under ``least_chars`` characters are not read; such a document has no rating and no rule.
     """
     col, low = F.col(TEXT), F.col(LOW)
-    short = F.coalesce(F.length(col), F.lit(0)) < 100
+    short = F.coalesce(F.length(col), F.lit(0)) < least_chars
     usable = lowered(documents.withColumn(TEXT, F.when(short, F.lit("")).otherwise(col)))
     last = F.try_element_at(_rating_array(), F.lit(-1))
     hit = F.coalesce(*[
@@ -247,11 +247,15 @@ def _first_percent(section: Column, patterns: list[str]) -> Column:
     return F.round(F.coalesce(*valid), 2)
 
 
-def shareholding(documents: DataFrame) -> DataFrame:
-    """Holder percentages from the shareholding section, and the rules on pledge and holding."""
+def shareholding(documents: DataFrame, section_length: int | None = fv.HOLDING_SECTION_LENGTH) -> DataFrame:
+    """Holder percentages from the shareholding section, and the rules on pledge and holding.
+
+    ``section_length``: characters of the section from its marker on; None reads to the end of the text.
+    """
     low = F.col(LOW)
+    length = F.length(low) if section_length is None else F.lit(section_length)
     picked = F.coalesce(*[
-        let(F.substring(low, F.nullif(F.locate(marker, low), F.lit(0)), F.lit(fv.HOLDING_SECTION_LENGTH)),
+        let(F.substring(low, F.nullif(F.locate(marker, low), F.lit(0)), length),
             lambda s: F.when(s.rlike(r"\d+\.\d{2}"), s))
         for marker in fv.HOLDING_MARKERS], low)
     read = lowered(documents).withColumn("_section", picked).select(

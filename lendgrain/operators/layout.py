@@ -278,10 +278,13 @@ def entity_name(filings: DataFrame) -> DataFrame:
     ).drop("_p")
 
 
-def title_candidate(first_page: Column) -> Column:
-    """Capitalised line right above the report title, unless it is a date or generic."""
+def title_candidate(first_page: Column, read: int | None = 3000) -> Column:
+    """Capitalised line right above the report title, unless it is a date or generic.
+
+    ``read``: how many characters of the page are looked at; None for all.
+    """
     found = strip(F.regexp_extract(
-        F.substring(first_page, 1, 3000),
+        tx.first_chars(first_page, read),
         r"([A-Z][A-Za-z\s&\-.]{4,60})\s*\n[^\n]*(?:Annual\s+Report|ANNUAL\s+REPORT)", 1))
     return F.when((F.length(found) > 0) & ~found.rlike(fv.NOT_A_COMPANY), found)
 

@@ -160,10 +160,13 @@ def site_visit_scan(notes: DataFrame, text: str = "notes") -> DataFrame:
 # --- Adverse media -------------------------------------------------------------------
 def adverse_hits(
     blocks: DataFrame, weights: list[tuple[str, float]] | None = None, mitigants: list[str] | None = None,
-    entity: str = "applicant_id",
+    entity: str = "applicant_id", opening: int | None = 60, shown: int | None = 200,
 ) -> DataFrame:
     """Keyword hits per entity, one per keyword and sentence opening, in reading order.
 
+    Sentences are one if their first ``opening`` characters agree, and ``shown`` characters of them are
+    kept; None means the whole sentence.
+
     ``blocks``: entity, page_id, block_no, text (lowercase). Sentences and keywords
     expand inside the row; the only shuffle is the de-duplication, which combines on
     the map side, so one entity with very many pages stays spread out.
@@ -182,9 +185,9 @@ def adverse_hits(
         F.explode(F.filter(table, lambda k: F.col("sentence").contains(k["keyword"]))).alias("k"))
     first = F.struct("page_id", "block_no", "sentence_no")
     return hits.groupBy(
-        entity, F.col("k.keyword").alias("keyword"), F.substring("sentence", 1, 60).alias("opening")
+        entity, F.col("k.keyword").alias("keyword"), tx.first_chars(F.col("sentence"), opening).alias("opening")
     ).agg(
-        F.min(first).alias("at"), F.min_by(F.substring("sentence", 1, 200), first).alias("sentence"),
+        F.min(first).alias("at"), F.min_by(tx.first_chars(F.col("sentence"), shown), first).alias("sentence"),
         F.first("k.weight").alias("weight"), F.first("k.ord").alias("ord"),
     ).select(entity, "at.*", "ord", "keyword", "weight", "sentence")
 

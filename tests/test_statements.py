@@ -185,3 +185,11 @@ def test_many_credits_of_one_instant_count_once_each(spark):
     assert [(c.round_trips, c.matched_debits) for c in counts] == [(3000 * len(near), len(near))]
     trips = bank.round_trips(frame(spark, rows)).collect()
     assert [(t["rank"], t.days_gap) for t in sorted(trips, key=lambda t: t["rank"])] == [(k, 7) for k in range(1, 11)]
+
+
+def test_whole_names_keep_parties_apart(spark):
+    name = "A VERY LONG NAME OF A COMPANY THAT DOES NOT END SOON"
+    rows = [(1, n, datetime(2024, 1, 1), "", f"UPI/DR/1/{name} {n}/x", 1.0, 0.0, 0.0) for n in range(2)]
+    txns = spark.createDataFrame(rows, TXN.rpartition(",")[0])
+    assert {r.party for r in with_party(txns).collect()} == {name[:40]}
+    assert {r.party for r in with_party(txns, keep=None).collect()} == {f"{name} 0", f"{name} 1"}

@@ -274,3 +274,15 @@ def test_rating_status_without_a_downgrade_has_no_details(spark):
     rows = filings.rating_status(docs(spark, text, text + "The rating was downgraded during the year.")).orderBy("doc_id").collect()
     assert [(r.downgrade_detected, r.downgrade_details is None) for r in rows] == [(False, True), (True, False)]
     assert "downgraded" in rows[1].downgrade_details and len(rows[1].downgrade_details) < 150
+
+
+def test_bounds_of_the_original_may_be_lifted(spark):
+    blocks = spark.createDataFrame([(1, 1, 0, "x" * 70 + " fraud one. " + "x" * 70 + " fraud two" + "y" * 300)], "applicant_id long, page_id long, block_no int, text string")
+    hits = lambda **k: sorted(r.sentence for r in prose.adverse_hits(blocks, [("fraud", 1.0)], [], **k).collect())
+    assert [len(s) for s in hits()] == [80] and [len(s) for s in hits(opening=None, shown=None)] == [80, 380]
+    page = spark.createDataFrame([("a" * 4000 + "\nAlpha Works Ltd\nAnnual Report",)], "p string")
+    title = lambda **k: page.select(layout.title_candidate(F.col("p"), **k)).first()[0]
+    assert title() is None and title(read=None) == "Alpha Works Ltd"
+    wide = docs(spark, "shareholding pattern 11.11 " + "z" * 9000 + " promoter holding: 55.5 % of shares")
+    held = lambda **k: filings.shareholding(wide, **k).first().promoter_holding_pct
+    assert held(section_length=None) == 55.5
