@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -157,6 +159,38 @@ def test_base_spans_and_empty_texts(spark, frame):
     assert pii.personal_data(frame([])).count() == 0
 
 
+def luhn(digits):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def base_spans(text):
+    """The base patterns one by one, as the contract states them."""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)]
+    return [f"{kind}:{m.start()}:{m.end()}" for kind, pattern, good in kinds for m in re.finditer(pattern, text or "") if good(m)]
+
+
+def test_base_spans_against_the_plain_patterns(spark, frame):
+    r = random.Random(6)
+    rows = []
+    for d in range(4000):
+        alphabet = r.choice(["0123456789.", "0123456789 -", "+0123456789 ().-", "aZ0@.-%é ", "04 -5", "0123456789.-+@ ()aZ%é\n"])
+        rows.append((d, "".join(r.choice(alphabet) for _ in range(r.randrange(70)))))
+    rows += [(d, "é 4111 1111 1111 1111, 4111111111111111 10.0.0.255 256.1.1.1 1.2.3.4.5.6.7.8 +1 (555) 010-9999 a@b.c x%y@z-z.co.uk ") for d in (5000, 5001)]
+    got = pii.personal_data(frame(rows)).collect()
+    assert sum(x.n_email + x.n_ip + x.n_card + x.n_phone for x in got) > 300
+    for x in got:
+        spans = base_spans(dict(rows)[x.doc_id])
+        counts = tuple(sum(s.startswith(k + ":") for s in spans) for k in ("email", "ip", "card", "phone"))
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == counts, dict(rows)[x.doc_id]
+        assert x.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(x.spans.split(","))
+
+
 def test_model_adds_unseen_numbers_only(spark, frame):
     texts = [(1, "ring me (988) 555-2485 tonight"), (2, "phone 212-555-7788."), (3, "in 2019 and 2020 we had 3,500.50"), (4, "room 12 at 10:30")]
     got = {r.doc_id: r.spans for r in pii.personal_data(frame(texts)).collect()}
