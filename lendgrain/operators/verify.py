@@ -102,24 +102,37 @@ def _outcome(*cases: tuple) -> Column:
     return out
 
 
-def _checks(frame: DataFrame, source: str, icon: str, outcome: Column) -> DataFrame:
-    return frame.select(
-        "applicant_id", "claim_id", "claim_text", F.lit(source).alias("source"), F.lit(icon).alias("source_icon"),
-        outcome.alias("o"),
-    ).filter("o IS NOT NULL").select("applicant_id", "claim_id", "claim_text", "source", "source_icon", "o.*")
-
+RECONCILIATION = "gst_bank_reconciliation"
+#: What the checks read of each evidence table, besides applicant_id.
+EVIDENCE = {
+    "statement": ("total_credits", "total_transactions", "cash_spikes"), "gst": ("mismatch_pct", "turnover_cr"),
+    "benchmark": ("sector", "deviation_pct"), "bureau": ("dpd_30", "dpd_90", "suit_filed_cr", "credit_score", "bureau_rating"),
+    "registry": ("director_disqualified", "epfo_compliance", "active_litigations"), "news": ("adverse_media_detected",),
+    "concern": ("red_flags", "concern"), "courts": ("cases_found", "high_risk_cases"), "site": ("site_findings",),
+}
+#: A check: the claim it looks at, its source and icon, and the outcome over a claim and its evidence (null: no row).
+Check = tuple[str, str, str, Column]
 
-def _of(claims: DataFrame, claim_id: str, evidence: DataFrame) -> DataFrame:
-    return claims.filter(F.col("claim_id") == claim_id).join(evidence, "applicant_id", "left")
 
+def _run(claims: DataFrame, checks: list[Check], **evidence: DataFrame) -> DataFrame:
+    """Rows of all checks, from claims that meet each evidence table once."""
+    both = claims.filter(F.col("claim_id").isin(sorted({claim_id for claim_id, *_ in checks})))
+    for name, frame in evidence.items():
+        both = both.join(frame.select("applicant_id", *[c for c in EVIDENCE[name] if c in frame.columns]), "applicant_id", "left")
+    made = [
+        F.when((F.col("claim_id") == claim_id) & outcome.isNotNull(), F.struct(
+            F.lit(source).alias("source"), F.lit(icon).alias("source_icon"), outcome.alias("o")))
+        for claim_id, source, icon, outcome in checks]
+    return both.select("applicant_id", "claim_id", "claim_text", F.explode(F.array_compact(F.array(*made))).alias("c")).select(
+        "applicant_id", "claim_id", "claim_text", "c.source", "c.source_icon", "c.o.*")
 
 
-def check_revenue(claims: DataFrame, statement: DataFrame) -> DataFrame:
+def revenue_checks() -> list[Check]:
     """Bank credits as a share of claimed revenue."""
     credits, revenue = F.col("total_credits") / fv.RUPEES_PER_CRORE, F.col("num_value")
     ratio = credits / F.nullif(revenue, F.lit(0.0))
     share = F.format_string("Bank deposits: %,.1f Cr (%.0f%% of claimed revenue)", credits, ratio * 100)
-    return _checks(_of(claims, "revenue", statement), "Bank Statement", "bank", _outcome(
+    return [("revenue", "Bank Statement", "bank", _outcome(
         (F.coalesce(F.col("total_credits") <= 0, F.lit(True)), UNVERIFIABLE, LOW, "No bank statement provided",
          "Upload a bank statement CSV to verify revenue against actual deposits."),
         (revenue <= 0, UNVERIFIABLE, LOW, F.format_string("Bank deposits: %,.1f Cr", credits),
@@ -133,14 +146,14 @@ def check_revenue(claims: DataFrame, statement: DataFrame) -> DataFrame:
          F.format_string(
              "Bank credits %,.1f Cr below claimed revenue — a %.0f%% shortfall suggesting revenue inflation or "
              "collections routed through undisclosed accounts.", revenue - credits, (1 - ratio) * 100)),
-    ))
+    ))]
 
 
-def check_gst(claims: DataFrame, gst: DataFrame) -> DataFrame:
+def gst_checks() -> list[Check]:
     """Gap between the two tax returns."""
     gap = F.col("mismatch_pct")
     found = F.concat(F.lit("GST 2A vs 3B mismatch: "), gap.cast("string"), F.lit("%"))
-    return _checks(_of(claims, "revenue", gst), "Perfios / GST", "gst", _outcome(
+    return [("revenue", "Perfios / GST", "gst", _outcome(
         (gap.isNull(), UNVERIFIABLE, LOW, "GST reconciliation data not available",
          "Perfios GST data not available for verification."),
         (gap > 15, MISMATCH, HIGH, found, F.concat(
@@ -152,13 +165,13 @@ def check_gst(claims: DataFrame, gst: DataFrame) -> DataFrame:
             F.lit("%. Some gap is normal (timing differences) but above comfortable threshold."))),
         (F.lit(True), MATCH, INFO, F.concat(found, F.lit(" (within limits)")),
          "GST filings are consistent with supplier data."),
-    ))
+    ))]
 
 
-def check_profit(claims: DataFrame, benchmark: DataFrame) -> DataFrame:
+def profit_checks() -> list[Check]:
     """EBITDA margin against the sector (``deviation_pct``; ``sector`` null if none ran)."""
     off = F.col("deviation_pct")
-    return _checks(_of(claims, "profitability", benchmark), "Sector Benchmark", "benchmark", _outcome(
+    return [("profitability", "Sector Benchmark", "benchmark", _outcome(
         (F.col("sector").isNull(), UNVERIFIABLE, LOW, "Sector benchmark not available",
          "No sector benchmark data to compare profitability against."),
         (off.isNull(), UNVERIFIABLE, LOW, "EBITDA benchmark data not available",
@@ -169,15 +182,15 @@ def check_profit(claims: DataFrame, benchmark: DataFrame) -> DataFrame:
          "Moderate underperformance vs sector — not alarming but notable."),
         (F.lit(True), MATCH, INFO, "EBITDA margin in line with sector benchmark",
          "Reported profitability is consistent with industry performance."),
-    ))
+    ))]
 
 
-def check_defaults(claims: DataFrame, bureau: DataFrame, registry: DataFrame) -> DataFrame:
+def default_checks() -> list[Check]:
     """Payment record and registry compliance; findings invert if the report admits them."""
     clean = F.coalesce("clean", F.lit(True))
     turn = lambda bad, good: F.when(clean, bad).otherwise(good)
     d30, d90, suit = F.col("dpd_30"), F.col("dpd_90"), F.col("suit_filed_cr")
-    paid = _checks(_of(claims, "no_statutory_defaults", bureau), "CIBIL Bureau", "cibil", _outcome(
+    paid = ("no_statutory_defaults", "CIBIL Bureau", "cibil", _outcome(
         (d30.isNull(), UNVERIFIABLE, LOW, "CIBIL data not available",
          "Credit bureau data not available for verification."),
         ((d90 > 0) | (suit > 0), turn(MISMATCH, MATCH), turn(HIGH, INFO), F.concat(
@@ -195,7 +208,7 @@ def check_defaults(claims: DataFrame, bureau: DataFrame, registry: DataFrame) ->
     issues = F.concat_ws(
         ", ", F.when(F.col("director_disqualified"), "director disqualified"),
         F.when(~epfo.isin("Regular", "Unknown"), F.concat(F.lit("EPFO: "), epfo)))
-    listed = _checks(_of(claims, "no_statutory_defaults", registry), "Karza Registry", "karza", _outcome(
+    listed = ("no_statutory_defaults", "Karza Registry", "karza", _outcome(
         (epfo.isNull(), UNVERIFIABLE, LOW, "Karza data not available", "Karza registry data not available."),
         (F.length(issues) > 0, turn(MISMATCH, MATCH), turn(HIGH, INFO), F.concat(F.lit("Karza: "), issues),
          turn("Registry data shows compliance issues not disclosed in annual report.",
@@ -203,7 +216,7 @@ def check_defaults(claims: DataFrame, bureau: DataFrame, registry: DataFrame) ->
         (F.lit(True), MATCH, INFO, F.concat(F.lit("Karza: EPFO "), epfo, F.lit(", no director disqualification")),
          "Company registry confirms clean compliance status."),
     ))
-    return paid.unionByName(listed)
+    return [paid, listed]
 
 
 def concern_flags(red_flags: DataFrame) -> DataFrame:
@@ -213,13 +226,12 @@ def concern_flags(red_flags: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("red_flags"), F.bool_or(text.rlike("|".join(fv.CONCERN_WORDS))).alias("concern"))
 
 
-def check_concern(claims: DataFrame, news: DataFrame, red_flags: DataFrame, bureau: DataFrame) -> DataFrame:
+def concern_checks() -> list[Check]:
     """Media signals of closure and the bureau score."""
     clean = F.coalesce("clean", F.lit(True))
     turn = lambda bad, good: F.when(clean, bad).otherwise(good)
     n = F.coalesce("red_flags", F.lit(0))
-    media = _of(claims, "going_concern", news).join(concern_flags(red_flags), "applicant_id", "left")
-    told = _checks(media, "News / Media", "news", _outcome(
+    told = ("going_concern", "News / Media", "news", _outcome(
         (F.col("adverse_media_detected").isNull(), UNVERIFIABLE, LOW, "News data not available",
          "News scan not performed."),
         (F.col("adverse_media_detected") & F.coalesce("concern", F.lit(False)), turn(MISMATCH, MATCH),
@@ -234,22 +246,22 @@ def check_concern(claims: DataFrame, news: DataFrame, red_flags: DataFrame, bure
     ))
     score = F.col("credit_score")
     shown = lambda word: F.concat(F.lit("CIBIL score: "), score.cast("string"), F.lit(f"/100 ({word})"))
-    scored = _checks(_of(claims, "going_concern", bureau).filter(score.isNotNull()), "CIBIL Score", "cibil", _outcome(
+    scored = ("going_concern", "CIBIL Score", "cibil", F.when(score.isNotNull(), _outcome(
         (score < 40, turn(MISMATCH, MATCH), HIGH, shown("distressed"),
          "Very low credit score signals severe financial stress — going concern risk."),
         (score < 60, PARTIAL, MEDIUM, shown("below average"), "Below-average credit score suggests financial strain."),
         (F.lit(True), MATCH, INFO, shown("adequate"), "Credit score does not indicate going concern risk."),
-    ))
-    return told.unionByName(scored)
+    )))
+    return [told, scored]
 
 
-def check_rating(claims: DataFrame, bureau: DataFrame) -> DataFrame:
+def rating_checks() -> list[Check]:
     """Disclosed rating against the bureau's: equal, same tier or other tier."""
     plain = lambda c: F.replace(F.upper(c), F.lit(" "), F.lit(""))
     own, theirs = plain(F.col("rating")), plain(F.col("bureau_rating"))
     blank = (F.coalesce(F.length("rating"), F.lit(0)) == 0) | (F.coalesce(F.length("bureau_rating"), F.lit(0)) == 0)
     both = F.concat(F.lit("Bureau rating "), "bureau_rating", F.lit(" vs AR disclosed "), "rating")
-    return _checks(_of(claims, "credit_rating", bureau), "CIBIL Rating", "cibil", _outcome(
+    return [("credit_rating", "CIBIL Rating", "cibil", _outcome(
         (F.col("credit_score").isNull(), UNVERIFIABLE, LOW, "Bureau data not available",
          "CIBIL data not available for rating verification."),
         (blank, UNVERIFIABLE, LOW, "Rating comparison not possible",
@@ -262,14 +274,14 @@ def check_rating(claims: DataFrame, bureau: DataFrame) -> DataFrame:
          "discrepancy."),
         (F.lit(True), PARTIAL, MEDIUM, both,
          "Ratings differ but within same tier. May reflect timing or agency differences."),
-    ))
+    ))]
 
 
-def check_litigation(claims: DataFrame, courts: DataFrame, registry: DataFrame) -> DataFrame:
+def litigation_checks() -> list[Check]:
     """Court cases and registry proceedings against the report's silence."""
     clean = F.coalesce("clean", F.lit(True))
     cases, risky = F.col("cases_found"), F.col("high_risk_cases")
-    in_court = _checks(_of(claims, "litigation_status", courts), "eCourts", "ecourts", _outcome(
+    in_court = ("litigation_status", "eCourts", "ecourts", _outcome(
         (cases.isNull(), UNVERIFIABLE, LOW, "Court data not available", "eCourts scan not performed."),
         ((risky > 0) & clean, MISMATCH, HIGH,
          F.format_string("eCourts: %d high-risk case(s) out of %d total", risky, cases),
@@ -282,24 +294,23 @@ def check_litigation(claims: DataFrame, courts: DataFrame, registry: DataFrame)
     ))
     suits = F.col("active_litigations")
     found = F.format_string("Karza: %d active litigation(s)", F.size(suits))
-    registered = _checks(
-        _of(claims, "litigation_status", registry).filter("epfo_compliance IS NOT NULL"), "Karza Litigation", "karza",
-        _outcome(
+    registered = (
+        "litigation_status", "Karza Litigation", "karza",
+        F.when(F.col("epfo_compliance").isNotNull(), _outcome(
             ((F.size(suits) > 0) & clean, PARTIAL, MEDIUM, found, F.concat(
                 F.lit("Registry shows: "), F.array_join(F.slice(suits, 1, 3), "; "),
                 F.lit(". Annual report does not flag these."))),
             (F.size(suits) > 0, MATCH, INFO, found, "Consistent with auditor disclosures."),
             (F.lit(True), MATCH, INFO, "Karza: No active litigations", "Registry confirms clean litigation status."),
-        ))
-    return in_court.unionByName(registered)
+        )))
+    return [in_court, registered]
 
 
-def check_promoter(claims: DataFrame) -> DataFrame:
+def promoter_checks() -> list[Check]:
     """Pledge and level of the promoter holding."""
-    own = claims.filter("claim_id = 'promoter_stability'")
     held, pledged = F.col("num_value"), F.col("second_value")
     shown = F.format_string("Promoter pledge: %.1f%% of holding", pledged)
-    pledge = _checks(own, "Shareholding Pattern", "shareholding", _outcome(
+    pledge = ("promoter_stability", "Shareholding Pattern", "shareholding", _outcome(
         (held <= 0, UNVERIFIABLE, LOW, "Shareholding data not extracted",
          "Could not extract shareholding details from annual report."),
         (pledged > 50, MISMATCH, HIGH, shown,
@@ -309,17 +320,17 @@ def check_promoter(claims: DataFrame) -> DataFrame:
          F.format_string("Promoter pledge: %.1f%% — within acceptable limits", pledged),
          "Promoter shareholding appears stable."),
     ))
-    level = _checks(own, "Shareholding Pattern", "shareholding", _outcome(
+    level = ("promoter_stability", "Shareholding Pattern", "shareholding", _outcome(
         ((held > 0) & (held < 26), PARTIAL, MEDIUM, F.format_string("Low promoter holding: %.1f%%", held),
          "Promoter holding below 26% raises control and commitment concerns."),
     ))
-    return pledge.unionByName(level)
+    return [pledge, level]
 
 
-def check_outlook(claims: DataFrame, site: DataFrame) -> DataFrame:
+def outlook_checks() -> list[Check]:
     """Tone of the discussion against the number of adverse site findings."""
     n = F.col("site_findings")
-    return _checks(_of(claims, "management_outlook", site), "Site Visit", "site_visit", _outcome(
+    return [("management_outlook", "Site Visit", "site_visit", _outcome(
         (F.coalesce(n, F.lit(0)) == 0, UNVERIFIABLE, LOW, "No site visit data available",
          "Site visit not conducted or no notes provided."),
         (F.col("label") == "positive", MISMATCH, MEDIUM,
@@ -328,15 +339,11 @@ def check_outlook(claims: DataFrame, site: DataFrame) -> DataFrame:
          "misleading."),
         (F.lit(True), MATCH, INFO, F.format_string("Site visit: %d finding(s), consistent with cautious MD&A tone", n),
          "Site visit findings align with management's measured outlook."),
-    ))
+    ))]
 
 
-def reconcile_gst_bank(applicants: DataFrame, gst: DataFrame, statement: DataFrame) -> DataFrame:
-    """Tax turnover against bank credits, for every applicant, with the missing-data cases."""
-    both = applicants.select("applicant_id").distinct().join(gst, "applicant_id", "left").join(
-        statement, "applicant_id", "left").select(
-            "*", F.lit("gst_bank_reconciliation").alias("claim_id"),
-            F.lit("Reconciliation of GST turnover with bank credits").alias("claim_text"))
+def reconciliation_checks() -> list[Check]:
+    """Tax turnover against bank credits, with the missing-data cases."""
     turnover, credits = F.col("turnover_cr"), F.coalesce("total_credits", F.lit(0.0)) / fv.RUPEES_PER_CRORE
     has_gst, has_bank = F.col("mismatch_pct").isNotNull(), F.coalesce("total_transactions", F.lit(0)) > 0
     off = (credits - turnover) / F.nullif(turnover, F.lit(0.0)) * 100
@@ -352,7 +359,7 @@ def reconcile_gst_bank(applicants: DataFrame, gst: DataFrame, statement: DataFra
         F.when(off < -15, "Reported turnover may be overstated.").otherwise("GST and Bank flows are reconcilable."),
         F.lit("Standard credit assessment recommended." if matched
               else "Credit exposure should be conservatively assessed."))
-    return _checks(both, "Reconciliation Engine", "gst", _outcome(
+    return [(RECONCILIATION, "Reconciliation Engine", "gst", _outcome(
         (~has_gst & ~has_bank, UNVERIFIABLE, LOW, "GST and Bank data missing",
          "Upload a bank statement and ensure GST data is available to run reconciliation."),
         (~has_gst, UNVERIFIABLE, LOW, "GST data unavailable",
@@ -364,24 +371,68 @@ def reconcile_gst_bank(applicants: DataFrame, gst: DataFrame, statement: DataFra
         (F.abs(off) > 20, MISMATCH, HIGH, finding, detail(False)),
         (F.abs(off) > 10, PARTIAL, MEDIUM, finding, detail(False)),
         (F.lit(True), MATCH, INFO, finding, detail(True)),
-    ))
+    ))]
+
+
+def reconciled(applicants: DataFrame) -> DataFrame:
+    """The reconciliation as a claim of every applicant."""
+    return applicants.select("applicant_id").distinct().select(
+        "applicant_id", F.lit(RECONCILIATION).alias("claim_id"), F.lit("Reconciliation of GST turnover with bank credits").alias("claim_text"))
+
+
+def check_revenue(claims: DataFrame, statement: DataFrame) -> DataFrame:
+    return _run(claims, revenue_checks(), statement=statement)
+
+
+def check_gst(claims: DataFrame, gst: DataFrame) -> DataFrame:
+    return _run(claims, gst_checks(), gst=gst)
+
+
+def check_profit(claims: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return _run(claims, profit_checks(), benchmark=benchmark)
+
+
+def check_defaults(claims: DataFrame, bureau: DataFrame, registry: DataFrame) -> DataFrame:
+    return _run(claims, default_checks(), bureau=bureau, registry=registry)
+
+
+def check_concern(claims: DataFrame, news: DataFrame, red_flags: DataFrame, bureau: DataFrame) -> DataFrame:
+    return _run(claims, concern_checks(), news=news, concern=concern_flags(red_flags), bureau=bureau)
+
+
+def check_rating(claims: DataFrame, bureau: DataFrame) -> DataFrame:
+    return _run(claims, rating_checks(), bureau=bureau)
+
+
+def check_litigation(claims: DataFrame, courts: DataFrame, registry: DataFrame) -> DataFrame:
+    return _run(claims, litigation_checks(), courts=courts, registry=registry)
+
+
+def check_promoter(claims: DataFrame) -> DataFrame:
+    return _run(claims, promoter_checks())
+
+
+def check_outlook(claims: DataFrame, site: DataFrame) -> DataFrame:
+    return _run(claims, outlook_checks(), site=site)
+
+
+def reconcile_gst_bank(applicants: DataFrame, gst: DataFrame, statement: DataFrame) -> DataFrame:
+    """Tax turnover against bank credits, for every applicant."""
+    return _run(reconciled(applicants), reconciliation_checks(), gst=gst, statement=statement)
 
 
 def verify(claims: DataFrame, evidence: dict[str, DataFrame], applicants: DataFrame | None = None) -> DataFrame:
-    """All checks of all claims as rows.
+    """All checks of all claims as rows; claims are read once and meet each evidence table once.
 
     GST and bank turnover are reconciled for every row of ``applicants`` (applicant_id), those
     without a claim among them; without that list for the applicants with claims.
     """
-    e = evidence
-    everyone = claims if applicants is None else applicants
-    return reduce(DataFrame.unionByName, [
-        check_revenue(claims, e["statement"]), check_gst(claims, e["gst"]), check_profit(claims, e["benchmark"]),
-        check_defaults(claims, e["bureau"], e["registry"]),
-        check_concern(claims, e["news"], e["red_flags"], e["bureau"]), check_rating(claims, e["bureau"]),
-        check_litigation(claims, e["courts"], e["registry"]), check_promoter(claims), check_outlook(claims, e["site"]),
-        reconcile_gst_bank(everyone, e["gst"], e["statement"]),
-    ])
+    every = claims.unionByName(reconciled(claims if applicants is None else applicants), allowMissingColumns=True)
+    checks = [
+        *revenue_checks(), *gst_checks(), *profit_checks(), *default_checks(), *concern_checks(), *rating_checks(), *litigation_checks(),
+        *promoter_checks(), *outlook_checks(), *reconciliation_checks()]
+    seen = {**evidence, "concern": concern_flags(evidence["red_flags"])}
+    return _run(every, checks, **{name: seen[name] for name in EVIDENCE})
 
 
 # --- Roll-up -------------------------------------------------------------------------
