@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendgrain import fixed_values as fv
+from lendgrain.session import sent_if_few
 
 
 def rule_table(spark: SparkSession, rows: list[tuple] = fv.RULES) -> DataFrame:
@@ -69,9 +70,9 @@ def union_triggers(*sources: DataFrame) -> DataFrame:
 def apply_rules(triggers: DataFrame, rules: DataFrame) -> DataFrame:
     """Penalties of the triggers that have a definition; others carry no price.
 
-    The rule table has one row per rule id and fixed size, so it is broadcast.
+    The rule table has one row per rule id; a small one, by count, is broadcast.
     """
-    return triggers.join(F.broadcast(rules), "rule_id")
+    return triggers.join(sent_if_few(rules), "rule_id")
 
 
 def decide(
@@ -85,7 +86,7 @@ def decide(
     """
     if sources is not None:
         triggers = triggers.filter(F.col("source").isin(*sources))
-    priced = triggers.join(F.broadcast(rules), "rule_id", "left")
+    priced = triggers.join(sent_if_few(rules), "rule_id", "left")
     folded = priced.groupBy("applicant_id").agg(
         F.coalesce(F.sum("rate_penalty_bps"), F.lit(0)).alias("total_bps"),
         F.array_sort(F.collect_list(F.when(F.col("limit_reduction_pct").isNotNull(), F.struct(

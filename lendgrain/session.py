@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 SPREAD_BYTES = 256 << 20
@@ -58,6 +59,11 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def sent_if_few(frame: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A table marked for broadcast if a count, which stops beyond ``rows``, shows it to be small; else as it is."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
 def spread(frame: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a small table with costly rows.
 
