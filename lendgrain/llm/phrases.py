@@ -1,9 +1,8 @@
 """Collocations: phrases whose words stand together more often than apart, by Rabin-Karp fingerprints.
 
 Texts are lower-cased (A-Z), split into pieces at punctuation and line ends, and pieces into words.
-The distinct words of a cut of texts are hashed once; polynomials over the word hashes, as running
-sums, give the two 64-bit fingerprints of every run of words by one subtraction and one
-multiplication each. Runs are counted per cut, then in a shuffle that aggregates fingerprints (not
+Words are hashed first; polynomials over the word hashes, as running sums, give the two 64-bit
+fingerprints of every run of words by one subtraction and one multiplication each. Runs are counted per cut, then in a shuffle that aggregates fingerprints (not
 texts), each with a pointer to one occurrence: a key of the text, and the place in it. The empty run
 stands before every word, so its count is the number of words of a language.
 
@@ -60,7 +59,7 @@ class Runs:
     def __init__(self, texts: Texts, langs: list[str]):
         self.starts, self.ends = texts.words(BETWEEN)
         self.owner = texts.owner(self.starts)
-        hashed = hashes_of_words(texts, self.starts, self.ends, BETWEEN)
+        hashed = hashes_of_words(texts, self.starts, self.ends)
         self.sums = []
         for side, base in enumerate(BASES):
             sums = np.zeros(len(hashed) + 1, np.uint64)

@@ -4,8 +4,8 @@ A word is a run of bytes outside ``\\x20 \\x09-\\x0D``; A-Z count as a-z. Nulls
 empty texts. Batches are cut so that one cut holds about ``CUT`` bytes of text (a
 longer text is a cut of its own), which bounds a task's memory by its longest text.
 
-Hashes have 64 bits. Words of shingles are hashed by xxh3, each distinct word of a cut
-once; a shingle's hash is a random linear function of its words' hashes, mixed. Where
+Hashes have 64 bits. Words of shingles are hashed by mixing eight bytes at a time; a
+shingle's hash is a random linear function of its words' hashes, mixed. Where
 any stretch of bytes may be asked for, its hash is a polynomial in random values of
 its bytes, from differences of running sums; that serves statistics and features, as
 long words of a certain structure can share such hashes.
@@ -33,6 +33,9 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 2**64)
+#: Masks of the first 0 to 8 bytes of eight; words of more bytes are hashed by themselves.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 4096
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -100,14 +103,27 @@ class Texts:
         return mix((sums[ends] - sums[starts]) * unshift[starts])
 
 
-def hashes_of_words(texts: Texts, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = IS_SPACE) -> np.ndarray:
-    """Two independent 64-bit hashes of each word of ``texts.words(between)``, A-Z as a-z."""
-    packed = np.ascontiguousarray(LOWER[texts.data[~between[texts.data]]])
-    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
-    words = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
-    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), "<u8").reshape(-1, 2)
-    return hashed[words.indices.to_numpy()]
+def hashes_of_words(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, A-Z as a-z.
+
+    Eight bytes at a time are mixed into what came before, for all words that are that long; words of
+    up to eight bytes never collide with each other. Very long words are hashed one by one.
+    """
+    data = LOWER[np.concatenate((texts.data, np.zeros(8, np.uint8)))]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(np.uint64)[:, None] ^ PLACES[20:22])
+    at = np.flatnonzero(length <= LONG_WORD)
+    place, left = starts[at], length[at]
+    while len(at):
+        chunk = eight[place] & FIRST_BYTES[np.minimum(left, 8)]
+        out[at, 0] = mix(out[at, 0] ^ chunk)
+        out[at, 1] = mix(out[at, 1] + chunk * PLACES[22])
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i]:ends[i]].tobytes()), "<u8")
+    return out
 
 
 def sequences(word_hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
