@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from lendgrain.llm import line_dedup, near_dup, substring_dedup
+from lendgrain.llm import line_dedup, near_dup, substring_dedup, words
 from lendgrain.llm.queries import QUERIES
 from tests.llm import brute
 from tests.llm.conftest import EDGES
@@ -146,3 +148,17 @@ def test_byte_strings_of_rows_without_number_stay(spark, frame, prose):
     got = substring_dedup.without_repeats(frame([(None, text), (1, text), (2, text)])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (2, len(text.encode()))]
     assert substring_dedup.without_repeats(frame([])).count() == 0
+
+
+def test_words_are_hashed_by_their_bytes_alone():
+    r = random.Random(3)
+    made = ["".join(r.choice("abAé0") for _ in range(r.choice((1, 3, 7, 8, 9, 16, 17, 40)))) for _ in range(4000)]
+    made += ["x" * n for n in (4095, 4096, 4097, 9000)] + [thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")]
+    texts = words.Texts(pa.array([" ".join(made[:1000]), "", *made[1000:], " \n".join(made)]))
+    hashes = words.hashes_of_words(texts, *texts.words())
+    known = {}
+    for word, pair in zip(made + made, hashes.tolist()):
+        known.setdefault(re.sub("[A-Z]", lambda m: m[0].lower(), word), set()).add(tuple(pair))
+    assert len(hashes) == 2 * len(made) and all(len(pairs) == 1 for pairs in known.values())
+    for side in (0, 1):
+        assert len({next(iter(pairs))[side] for pairs in known.values()}) == len(known)
