@@ -17,6 +17,7 @@ from lendgrain.functions.spans import let
 from lendgrain.operators.filings import TEXT, keys_of
 
 PAGE_STRETCH, STRETCH_ROWS = 16, 500_000
+SUFFIX_EDGE = ",.- "
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
@@ -245,14 +246,15 @@ def strip_suffixes(name: Column) -> Column:
     # Dots at the end are trimmed before suffixes are looked for, so those with one never fit.
     bare = sorted({s.strip() for s in fv.COMPANY_SUFFIXES if not s.endswith(".")}, key=len, reverse=True)
     words = "|".join(tx.quote(s) for s in bare)
-    edge = F.lit(",.- ")
-    return F.btrim(F.regexp_replace(F.btrim(name, edge), rf"(?iu)(?: (?:{words})[,.\- ]*)+$", ""), edge)
+    cut = F.regexp_replace(F.btrim(name, F.lit(SUFFIX_EDGE)), rf"(?iu)(?: (?:{words})[,.\- ]*)+$", "")
+    return F.btrim(cut, F.lit(SUFFIX_EDGE))
 
 
-def entity_name(filings: DataFrame) -> DataFrame:
+def entity_name(filings: DataFrame, numbered: bool = False) -> DataFrame:
     """Company name from the file name, else from the lines above the report title.
 
-    ``filings``: keys, file_name, first_page.
+    ``filings``: keys, file_name, first_page. By default a line that holds the digits of a year is a
+    date; ``numbered`` lets one that ends on a company suffix be a name ("Beta Works 2001 Limited").
     """
     keys = [c for c in filings.columns if c not in ("file_name", "first_page")]
     base = F.replace("file_name", F.lit(".pdf"), F.lit(""))
@@ -262,7 +264,8 @@ def entity_name(filings: DataFrame) -> DataFrame:
     from_file = F.when(F.length(titled) > 0, strip(F.replace(titled, F.lit("_"), F.lit(" ")))).when(
         F.length(left) > 2, left)
     lines = F.filter(F.transform(F.split("first_page", "\n", -1), strip), lambda l: F.length(l) > 0)
-    named = lambda l: (F.length(l) > 4) & ~l.rlike(r"^\d+$") & ~l.rlike(fv.NOT_A_COMPANY)
+    undated = lambda l: F.when(strip_suffixes(l) != F.btrim(l, F.lit(SUFFIX_EDGE)), F.regexp_replace(l, r"20\d{2}", "")).otherwise(l)
+    named = lambda l: (F.length(l) > 4) & ~l.rlike(r"^\d+$") & ~(undated(l) if numbered else l).rlike(fv.NOT_A_COMPANY)
     above = lambda ls, i, back: F.when((i >= back) & named(F.get(ls, i - back)), F.get(ls, i - back))
     from_page = let(lines, lambda ls: F.get(F.array_compact(F.transform(
         ls, lambda l, i: F.when(F.lower(l).contains("annual report"), F.coalesce(above(ls, i, 1), above(ls, i, 2))))),

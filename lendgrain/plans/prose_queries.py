@@ -412,13 +412,13 @@ NAMES = f"""WITH {COVERS.cte}, named AS (SELECT doc_id, registry_name, fallback_
 
 @query("entity_names", f"{NAMES} SELECT doc_id, registry_name, fallback_name, entity_name FROM named")
 def entity_names(spark, sf_dir):
-    return layout.entity_name(COVERS.frame(spark, sf_dir))
+    return layout.entity_name(COVERS.frame(spark, sf_dir), numbered=True)
 
 
 @query("resolved_names", f"""{NAMES} SELECT doc_id, CASE WHEN doc_id % 8 = 3 THEN 'Gamma Holdings'
   WHEN doc_id % 8 = 7 THEN 'Delta Mills' ELSE entity_name END AS resolved_name FROM named""")
 def resolved_names(spark, sf_dir):
-    return layout.resolve_name(layout.entity_name(COVERS.frame(spark, sf_dir))).select("doc_id", "resolved_name")
+    return layout.resolve_name(layout.entity_name(COVERS.frame(spark, sf_dir), numbered=True)).select("doc_id", "resolved_name")
 
 
 @query("title_candidates", f"""WITH {COVERS.cte} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN NULL END AS candidate,

@@ -286,3 +286,14 @@ def test_bounds_of_the_original_may_be_lifted(spark):
     wide = docs(spark, "shareholding pattern 11.11 " + "z" * 9000 + " promoter holding: 55.5 % of shares")
     held = lambda **k: filings.shareholding(wide, **k).first().promoter_holding_pct
     assert held(section_length=None) == 55.5
+
+
+def test_company_names_that_hold_the_digits_of_a_year(spark):
+    page = lambda name: f"FY20\n{name}\n2019-20\nAnnual Report\nIs and"
+    rows = [(n, "AnnualReport_2019CDEL.pdf", page(name)) for n, name in enumerate(
+        ["Beta Works 2001 Limited", "Beta Works 7 Limited", "As of 2001", "Integrated 2001 Limited"])]
+    covers = spark.createDataFrame(rows, "doc_id long, file_name string, first_page string")
+    names = lambda **k: [r.entity_name for r in layout.entity_name(covers, **k).orderBy("doc_id").collect()]
+    other = "Coffee Day Enterprises"
+    assert names() == [other, "Beta Works 7", other, other]
+    assert names(numbered=True) == ["Beta Works 2001", "Beta Works 7", other, other]
