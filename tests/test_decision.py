@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lendgrain.operators import base_terms, decision, network, verify
+from lendgrain.plans import verify_queries as vq
 from lendgrain.plans import portfolio
 
 
@@ -241,3 +242,12 @@ def test_kept_models_stand_beside_their_training(spark, tmp_path):
     kept, fresh = base_terms.load_base_terms(spark, path, first), base_terms.fit_base_terms(rows, trees=3, depth=3)
     score = lambda model: sorted(map(tuple, base_terms.predict_base_terms(model, ratios).collect()))
     assert score(kept) == score(fresh) and rates(kept) == {9.0, 12.0}
+
+
+def test_a_status_is_read_without_findings(spark):
+    """Only the number of the case is exploded: no text is written for a reader of the status."""
+    t = vq.tables(spark, "/root/testdata/sf0.001")
+    checks = verify.verify(vq.claims(t), t)
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Bureau data confirms" in plan(checks)
+    assert "Bureau data confirms" not in plan(verify.roll_up(checks))
