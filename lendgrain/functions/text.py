@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,13 +64,19 @@ def contains_any(col: Column, words: list[str], whole_word: bool = False, lowere
     negator = "|".join(NEGATORS)
     negator = rf"\b(?:{negator})\b" if whole_word else rf"(?:{negator})"
     flags = "" if lowered else "(?iu)"
-    return col.rlike(rf"{flags}(?={alternation(words)})(?<!{negator}{NEGATION_GAP})")
+    free = col.rlike(rf"{flags}(?={alternation(words)})(?<!{negator}{NEGATION_GAP})")
+    if not lowered:
+        return free
+    # A plain search spares texts without a keyword the pattern; words that hold another one add nothing to it.
+    shortest = [w for w in words if not any(v != w and v in w for v in words)]
+    return F.when(~reduce(Column.__or__, [col.contains(w) for w in shortest]), False).otherwise(free)
 
 
 def percent_near(col: Column, phrase: str, lowered: bool = False) -> Column:
     """First percentage within 80 characters after a phrase."""
     flags = "" if lowered else "(?iu)"
-    return F.regexp_extract(col, rf"{flags}{quote(phrase)}[^%\n]{{0,80}}?(\d{{1,3}})\s*%", 1).try_cast("int")
+    share = F.regexp_extract(col, rf"{flags}{quote(phrase)}[^%\n]{{0,80}}?(\d{{1,3}})\s*%", 1).try_cast("int")
+    return F.when(col.contains(phrase), share) if lowered else share
 
 
 def days_jump(col: Column, least: int = 10, lowered: bool = False) -> Column:
@@ -79,6 +86,8 @@ def days_jump(col: Column, least: int = 10, lowered: bool = False) -> Column:
         F.regexp_extract(col, p, 2).try_cast("bigint") - F.regexp_extract(col, p, 1).try_cast("bigint") >= least
         for p in patterns
     ]
+    if lowered:
+        rises = [F.when(col.contains(word), rise) for word, rise in zip(("receivable", "collection"), rises)]
     return F.coalesce(rises[0], F.lit(False)) | F.coalesce(rises[1], F.lit(False))
 
 

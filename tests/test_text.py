@@ -297,3 +297,18 @@ def test_company_names_that_hold_the_digits_of_a_year(spark):
     other = "Coffee Day Enterprises"
     assert names() == [other, "Beta Works 7", other, other]
     assert names(numbered=True) == ["Beta Works 2001", "Beta Works 7", other, other]
+
+
+def test_a_plain_search_goes_before_costly_patterns(spark):
+    """With and without it the outcome is the same; a text without a keyword is spared the pattern."""
+    random.seed(3)
+    parts = ["no ", "commodity prices", "commodity", ", ", ".", "few suppliers", "not many ", "weather", "top customer 45 % ", "\n",
+             "receivable days rose from 5 to 20", "collection period rose from 5 to 9 "]
+    texts = ["".join(random.choices(parts, k=6)) for _ in range(200)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    col, words = F.col("t"), ["commodity", "commodity prices", "weather", "few suppliers"]
+    pairs = [(tx.contains_any(col, words, lowered=low), tx.percent_near(col, "top customer", lowered=low), tx.days_jump(col, lowered=low))
+             for low in (True, False)]
+    assert all(r.a == r.b for r in rows.select(F.struct(*pairs[0]).cast("string").alias("a"), F.struct(*pairs[1]).cast("string").alias("b")).collect())
+    for pattern in (tx.contains_any(col, words, lowered=True), tx.percent_near(col, "top customer", lowered=True)):
+        assert "Contains(" in rows.select(pattern.alias("p"))._jdf.queryExecution().optimizedPlan().toString()
