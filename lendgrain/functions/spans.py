@@ -51,10 +51,11 @@ def fold_sql(items: str, start: str, state: str, row: str, element: str, keep: s
         "part -> named_struct('at', part.at, 'out', concat(acc.out, array(part.out)))), 0), acc -> flatten(acc.out))), 0)")
 
 
-def spans_sql(name: str, pattern: str, groups: int = 0) -> str:
+def spans_sql(name: str, pattern: str, groups: int = 0, needles: tuple[str, ...] = ()) -> str:
     """``array<struct<start,end,text,g1..>>`` of all matches in column ``name``, in text order.
 
-    Offsets are zero-based. The column must be free of mark characters.
+    Offsets are zero-based. The column must be free of mark characters. ``needles``: strings every match
+    holds, each with its alternatives ("profit|loss"); a plain search for them spares other texts the pattern.
     """
     captures = [f"g{i}" for i in range(1, groups + 1)]
     mark = MATCH_MARK + "$0" + TEXT_MARK + "".join(f"${i}{GROUP_MARK}" for i in range(1, groups + 1))
@@ -68,9 +69,12 @@ def spans_sql(name: str, pattern: str, groups: int = 0) -> str:
     found = fold_sql(
         "slice(b, 2, size(b) - 1)", "length(get(b, 0))", f"a.at + length({text}) + length(substring_index(e, '{last}', -1))",
         f"named_struct({row})", element)
-    return (
+    every = (
         f"get(transform(array(split(regexp_replace({name}, {literal(pattern)}, '{mark}'), '{MATCH_MARK}', -1)), b -> "
         f"CASE WHEN size(b) > 1 THEN {found} ELSE CAST(array() AS array<{element}>) END), 0)")
+    held = " AND ".join(
+        "(" + " OR ".join(f"contains({name}, {literal(word)})" for word in needle.split("|")) + ")" for needle in needles)
+    return f"CASE WHEN {held} THEN {every} ELSE CAST(array() AS array<{element}>) END" if needles else every
 
 
 def spans(name: str, pattern: str, groups: int = 0) -> Column:

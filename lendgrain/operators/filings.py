@@ -30,7 +30,8 @@ def lowered(documents: DataFrame) -> DataFrame:
 
     White space beyond ASCII, as in text from PDF files, becomes blanks, which the patterns know.
     """
-    odd = F.col(LOW).rlike(f"[{fv.UNICODE_SPACES}]")
+    # Printable ASCII is passed over by one range test; the long class reads the few other characters.
+    odd = F.col(LOW).rlike(f"(?=[^ -~])[{fv.UNICODE_SPACES}]")
     plain = F.when(odd, F.translate(LOW, fv.UNICODE_SPACES, " " * len(fv.UNICODE_SPACES))).otherwise(F.col(LOW))
     return documents.withColumn(LOW, tx.same_length_lower(F.col(TEXT))).withColumn(LOW, plain).withColumn(
         LOW, without_marks(F.col(LOW)))
@@ -102,11 +103,11 @@ def to_crore(value: Column, unit: Column) -> Column:
 def _candidates() -> str:
     """All matches of all figures as one array, with the number read and the text around it."""
     parts = []
-    for f, (patterns, _) in enumerate(fv.FIGURE_PATTERNS.values()):
-        for n, pattern in enumerate(patterns):
+    for f, (name, (patterns, _)) in enumerate(fv.FIGURE_PATTERNS.items()):
+        for n, (pattern, needles) in enumerate(zip(patterns, fv.FIGURE_NEEDLES[name], strict=True)):
             around = window_sql(TEXT, "m.start", "m.end", 100, 100)
             parts.append(
-                f"transform({spans_sql(LOW, tx.for_lowered(pattern), 1)}, m -> named_struct('figure', {f}, 'pattern', {n}, "
+                f"transform({spans_sql(LOW, tx.for_lowered(pattern), 1, needles)}, m -> named_struct('figure', {f}, 'pattern', {n}, "
                 "'start', m.start, 'end', m.end, 'text', m.text, 'raw', try_cast(regexp_replace(regexp_replace("
                 f"replace(m.g1, ','), '[(]', '-'), '[)]', '') AS double), 'context', {around}))")
     return f"concat({', '.join(parts)})"
@@ -190,9 +191,10 @@ def mentioned_auditor(documents: DataFrame) -> DataFrame:
 # --- Ratings -------------------------------------------------------------------------
 def _rating_array() -> Column:
     scale = ", ".join(literal(g) for g in fv.RATING_SCALE)
-    mention = tx.for_lowered(fv.RATING_MENTION)
+    # The look-ahead passes over letters no agency begins with.
+    mention = "(?=[abci])" + tx.for_lowered(fv.RATING_MENTION)
     return F.expr(
-        f"filter(transform({spans_sql(LOW, mention, 2)}, m -> named_struct('start', m.start, 'end', m.end, 'agency', "
+        f"filter(transform({spans_sql(LOW, mention, 2, (fv.AGENCY_NEEDLE,))}, m -> named_struct('start', m.start, 'end', m.end, 'agency', "
         f"trim(substring({TEXT}, m.start + 1, length(m.g1))), "
         f"'grade', upper(trim(regexp_replace(m.g2, '[ ]*[(][^)]*[)]', ''))))), m -> m.grade IN ({scale}))")
 

@@ -312,3 +312,15 @@ def test_a_plain_search_goes_before_costly_patterns(spark):
     assert all(r.a == r.b for r in rows.select(F.struct(*pairs[0]).cast("string").alias("a"), F.struct(*pairs[1]).cast("string").alias("b")).collect())
     for pattern in (tx.contains_any(col, words, lowered=True), tx.percent_near(col, "top customer", lowered=True)):
         assert "Contains(" in rows.select(pattern.alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_match_of_a_figure_holds_its_needles():
+    said = {
+        "Revenue": ["revenue from operations", "revenue from contracts with customers", "total income", "revenue of", "revenue 12345", "total revenue 1234"],
+        "EBITDA": ["cash ebitda", "ebitda", "operating profit"],
+        "PAT": ["loss for the year amounting to", "profit for the period", "net loss after tax"],
+        "Total Debt": ["total borrowing", "long term borrowing", "total financial liabilities"],
+        "Net Worth": ["total equity", "shareholders fund", "net worth"]}
+    for name, (patterns, _) in fv.FIGURE_PATTERNS.items():
+        for pattern, needles, start in zip(patterns, fv.FIGURE_NEEDLES[name], said[name], strict=True):
+            assert all(any(word in start for word in needle.split("|")) for needle in needles), (name, start)
