@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ SILENT_TAGS = {"script", "style", "noscript"}
 VOID_TAGS = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 }
+PAGES_AT_ONCE = 100
 LEAST_BLOCK = 40
 
 
@@ -70,14 +71,20 @@ def page_blocks(html: str) -> list[str]:
 def html_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Lowercase text blocks of each page, nested blocks included.
 
-    Nested tags need a parser, which runs on Arrow batches inside the tasks.
+    Nested tags need a parser, which runs on Arrow batches inside the tasks, ``PAGES_AT_ONCE`` pages at a time:
+    a batch may hold 10,000 pages, and only the texts of a slice are Python objects at once.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.assign(text=[page_blocks(h or "") for h in batch["html"]])
-            rows = batch.drop(columns="html").explode("text").dropna(subset=["text"])
-            yield rows.assign(block_no=rows.groupby(level=0).cumcount().astype("int32"))[[*keys, "block_no", "text"]]
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                found = [page_blocks(h or "") for h in part.column("html").to_pylist()]
+                owner = pa.array([n for n, blocks in enumerate(found) for _ in blocks], pa.int64())
+                numbers = pa.array([n for blocks in found for n in range(len(blocks))], pa.int32())
+                texts = pa.array([text for blocks in found for text in blocks], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(k).take(owner) for k in keys], numbers, texts], [*keys, "block_no", "text"])
 
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block_no int, text string"
-    return pages.select(*keys, "html").mapInPandas(parse, schema)
+    return pages.select(*keys, "html").mapInArrow(parse, schema)

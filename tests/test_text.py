@@ -324,3 +324,11 @@ def test_every_match_of_a_figure_holds_its_needles():
     for name, (patterns, _) in fv.FIGURE_PATTERNS.items():
         for pattern, needles, start in zip(patterns, fv.FIGURE_NEEDLES[name], said[name], strict=True):
             assert all(any(word in start for word in needle.split("|")) for needle in needles), (name, start)
+
+
+def test_html_blocks_of_many_pages_in_slices(spark):
+    pages = [(n, n % 3, None if n % 7 == 0 else f"<div>{'x' * 40} {n}<p>{'y' * 40} {n}</p></div>") for n in range(250)]
+    frame = reports.html_blocks(spark.createDataFrame(pages, "page_id long, applicant_id int, html string").coalesce(1), ("page_id", "applicant_id"))
+    assert "MapInArrow" in frame._jdf.queryExecution().toString() and reports.PAGES_AT_ONCE < 250
+    assert sorted(map(tuple, frame.collect())) == sorted(
+        (n, a, no, text) for n, a, html in pages for no, text in enumerate(reports.page_blocks(html or "")))
