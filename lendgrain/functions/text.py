@@ -49,6 +49,14 @@ def same_length_lower(col: Column) -> Column:
         F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def letter_first(pattern: str) -> str:
+    """A pattern that opens on a word boundary and a letter, looking for the letter first; it matches the same.
+
+    The boundary of Unicode words costs far more than one character, and was tried at every place.
+    """
+    return re.sub(r"^\\b(?=([a-z])(?![?*{]))", r"(?=\1)\\b", pattern)
+
+
 def collapse_space(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)\s+", " ")
 

@@ -109,7 +109,7 @@ def site_visit_signals(notes: DataFrame, signals: list[tuple] | None = None, tex
         return "coalesce(" + ", ".join(
             f"CASE WHEN _low RLIKE {p} THEN named_struct('at', regexp_instr(_low, {p}) - 1, 'size', "
             f"length(regexp_extract(_low, {p}, 0)), 'reading', {reading.format(p=p)}) END"
-            for p in (literal(f"(?U){q}") for q in patterns)) + ")"
+            for p in (literal(f"(?U){tx.letter_first(q)}") for q in patterns)) + ")"
 
     def finding(rule_id: str, meaning: str, patterns: list[str]) -> str:
         capacity = rule_id == fv.CAPACITY_RULE
