@@ -96,22 +96,25 @@ def read_statement_folder(spark: SparkSession, path: str, multi_line: bool = Fal
     the file name starts with. Up to ``MOST_COLUMNS`` columns of a file are read. ``seq`` rises
     with the order of rows in a file.
     """
-    headers = settle(header_lines(spark, path))
+    known = list(dict.fromkeys([
+        "type", "amount", "mode", *fv.DATE_COLUMNS, *fv.NARRATION_COLUMNS, *fv.DEBIT_COLUMNS, *fv.CREDIT_COLUMNS, *fv.BALANCE_COLUMNS,
+        *fv.TXN_ID_COLUMNS]))
+    # Where each known column stands is looked up once per file, not per row.
+    headers = settle(header_lines(spark, path).select("file", F.array(*[F.array_position("names", name).cast("int") for name in known]).alias("at")))
     if headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
         headers = F.broadcast(headers)
-    rows = spark.read.schema(", ".join(f"c{i} STRING" for i in range(MOST_COLUMNS))).option("multiLine", multi_line).option(
+    # One column more than is read: the parser then picks cells by position, and rows of any length are no failures to it.
+    rows = spark.read.schema(", ".join(f"c{i} STRING" for i in range(MOST_COLUMNS + 1))).option("multiLine", multi_line).option(
         "recursiveFileLookup", True).csv(path)
     folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/applicant_id=(\d+)/", 1), F.lit("")).try_cast("bigint")
     placed = rows.select(
         F.coalesce(folder, applicant_of(F.col("_metadata.file_name"))).alias("applicant_id"),
         F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_path").alias("file"),
         F.array(*[f"c{i}" for i in range(MOST_COLUMNS)]).alias("cells")).join(headers, "file")
-    known = ["type", "amount", "mode", *fv.DATE_COLUMNS, *fv.NARRATION_COLUMNS, *fv.DEBIT_COLUMNS, *fv.CREDIT_COLUMNS, *fv.BALANCE_COLUMNS,
-             *fv.TXN_ID_COLUMNS]
-    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1).alias(name)
+    cell = lambda n, name: F.get("cells", F.get("at", F.lit(n)) - 1).alias(name)
     # A header line is no transaction: its date is no date, and its type none of the two.
     # As a generated row, a cell is looked up once, not wherever parsing names it.
-    cells = F.inline(F.array(F.struct(*[cell(name) for name in dict.fromkeys(known)])))
+    cells = F.inline(F.array(F.struct(*[cell(n, name) for n, name in enumerate(known)])))
     return parse_statements(placed.select("applicant_id", "seq", cells))
 
 

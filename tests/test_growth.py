@@ -6,6 +6,7 @@ import re
 
 from lendgrain.functions.text import letter_first
 from lendgrain.plans import bindings, portfolio
+from lendgrain.sources import statements
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,13 @@ def test_letter_before_boundary_matches_the_same():
         assert letter_first(kept) == kept
     for text in ("vacant", "a vacant one", "avacant", "vacants"):
         assert bool(re.search(letter_first(r"\bvacant\b"), text)) == bool(re.search(r"\bvacant\b", text))
+
+
+def test_columns_are_found_once_per_file(spark, tmp_path):
+    wide = "Date,Narration,Withdrawal,Deposit," + ",".join(f"x{i}" for i in range(70))
+    (tmp_path / "1.csv").write_text("Date,Narration,Withdrawal,Deposit\n2024-01-05,short,7\n2024-01-06,long,8,9,10,11\n")
+    (tmp_path / "2.csv").write_text(wide + "\n2024-01-07,wide,1,2," + ",".join("0" * 70) + "\n")
+    rows = statements.read_statement_folder(spark, str(tmp_path))
+    assert "array_position" not in plan(rows)
+    assert sorted(tuple(r) for r in rows.select("applicant_id", "description", "debit", "credit").collect()) == [
+        (1, "long", 8.0, 9.0), (1, "short", 7.0, 0.0), (2, "wide", 1.0, 2.0)]
