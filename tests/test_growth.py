@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from lendgrain.functions.text import letter_first
-from lendgrain.plans import bindings, portfolio
+from lendgrain.plans import bindings, portfolio, verify_queries
 from lendgrain.sources import statements
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,9 @@ def test_columns_are_found_once_per_file(spark, tmp_path):
     assert "array_position" not in plan(rows)
     assert sorted(tuple(r) for r in rows.select("applicant_id", "description", "debit", "credit").collect()) == [
         (1, "long", 8.0, 9.0), (1, "short", 7.0, 0.0), (2, "wide", 1.0, 2.0)]
+
+
+def test_evidence_meets_in_short_chains(spark):
+    checks = verify_queries.rolled(spark, SF)
+    joins = plan(checks).count("Join LeftOuter")
+    assert joins < 9, joins  # one for each evidence table before
