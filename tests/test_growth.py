@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
 
 from lendgrain.functions.text import letter_first
+from lendgrain.operators import base_terms
 from lendgrain.plans import bindings, portfolio, verify_queries
 from lendgrain.sources import statements
 
@@ -54,3 +56,11 @@ def test_evidence_meets_in_short_chains(spark):
     checks = verify_queries.rolled(spark, SF)
     joins = plan(checks).count("Join LeftOuter")
     assert joins < 9, joins  # one for each evidence table before
+
+
+def test_forests_grow_side_by_side(spark, monkeypatch):
+    both, fit = threading.Barrier(2, timeout=60), base_terms.RandomForestRegressor.fit
+    monkeypatch.setattr(base_terms.RandomForestRegressor, "fit", lambda self, rows: (both.wait(), fit(self, rows))[1])
+    train = spark.range(40).selectExpr("id AS applicant_id", "1 + id % 2 AS dscr", "9.0 + id % 2 AS base_rate", "10.0 - id % 2 AS base_limit")
+    model = base_terms.fit_base_terms(train, trees=2, depth=2, least_leaf=1)
+    assert [s.getLabelCol() for s in model.stages[2:]] == ["base_rate", "base_limit"]
